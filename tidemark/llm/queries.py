@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, sharding, token_files, topk
+from tidemark.llm import bpe, chat, decontaminate, sharding, suffix_dedup, token_files, topk
 from tidemark.llm.arrow_text import shared_folder, stored
 from tidemark.shipping import ship
 
@@ -144,3 +144,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN a USING (doc_id)
 """
+
+
+@query
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.contract(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op6_suffix_dedup"] = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, p, substring(h, 2 * p + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS p FROM d WHERE length(h) >= 100)),
+m AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) < doc_id AS hit FROM s),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS p FROM m WHERE hit),
+g AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) IS DISTINCT FROM 1 AS new FROM r),
+n AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE new) AS n_spans FROM g GROUP BY doc_id),
+k AS (
+  SELECT a.doc_id, string_agg(substring(a.h, 2 * a.p + 1, 2), '' ORDER BY a.p) AS kept
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS p FROM d) a ANTI JOIN r ON a.doc_id = r.doc_id AND a.p = r.p GROUP BY a.doc_id
+)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -34,11 +34,11 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(raw: np.ndarray, at: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about ``most`` bytes each; a longer row is alone."""
+def pieces(raw: np.ndarray, at: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes each, fewer than 2**16 rows; a longer row is alone."""
     row, rows = 0, len(at) - 1
     while row < rows:
-        last = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
+        last = min(max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1), row + 65_000)
         yield row, last
         row = last
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, sharding, suffix_dedup, token_files, topk
+from tidemark.llm import bpe, chat, decontaminate, minhash, sharding, suffix_dedup, token_files, topk
 from tidemark.llm.arrow_text import shared_folder, stored
 from tidemark.shipping import ship
 
@@ -166,3 +166,8 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BI
   sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.contract(table(spark, sf_dir, "documents"))

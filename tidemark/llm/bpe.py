@@ -37,7 +37,7 @@ _LOOSE_SPACE = regex.compile(r" (?=\s|$)")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies, by its rule: printable Latin-1
     characters stand for themselves, the others get the letters from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -82,7 +82,7 @@ class Bpe:
             #: The fixed pattern of the library's byte-level pre-tokenizer.
             self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
             self.drops_space = False
-        letters = _byte_letters()
+        letters = byte_letters()
         vocab: dict[str, int] = model["vocab"]
         self.size = max([*vocab.values(), *self.special.values()]) + 1
         self.strings = [""] * self.size

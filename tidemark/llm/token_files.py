@@ -10,74 +10,53 @@ text columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Entries of a worker's cache of encoded words; it is emptied when full.
-CACHE = 300_000
+from tidemark.llm.bpe import byte_letters
+
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
-#: A pre-token may cross the place before such a space.
-_LOOSE_SPACE = regex.compile(r" (?=\s|$)")
 
 
-class WordCache:
-    """A byte-level vocabulary of the tokenizers library behind a bounded cache of words with their leading spaces.
+class Encoder:
+    """A byte-level BPE file of the tokenizers library, run by tiktoken: it gives the same ids in a quarter of the time.
 
-    No pre-token crosses the place before a space that a visible character follows, so a text's ids are those of its
-    parts. Texts with other spaces or with special tokens go to the library whole.
+    Such a file's ids are its merge ranks, and its pre-tokenizer's pattern is fixed, so the token bytes with their ids
+    are all that the encoder needs. Special tokens in a text become their ids, as the library does by default.
     """
 
+    #: The fixed pattern of the byte-level pre-tokenizer.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        parts: list[list[str] | None] = []
-        whole = []
-        for i, text in enumerate(texts):
-            if _LOOSE_SPACE.search(text) or any(s in text for s in self.special):
-                whole.append(i)
-                parts.append(None)
-            else:
-                first, *rest = text.split(" ")
-                parts.append([first, *[" " + r for r in rest]])
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        for i, p in enumerate(parts):
-            if p is None:
-                continue
-            if missing := [w for w in set(p) if w not in self.known]:
-                if len(self.known) + len(missing) > CACHE:
-                    self.known.clear()
-                    missing = list(set(p))
-                self.known.update(zip(missing, self._library(missing), strict=True))
-            out[i] = b"".join([self.known[w] for w in p])
-        return out
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, letters = spec["model"]["vocab"], byte_letters()
+        merged = [vocab[a + b] for a, b in spec["model"]["merges"]]
+        if merged != sorted(merged):
+            raise ValueError("ids must follow the merges")
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+        self.encoding = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.allowed = set(self.special)
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return self.encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @lru_cache(maxsize=2)
-def _cached(path: str) -> WordCache:
-    return WordCache(path)
+def _cached(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc_id", text: str = "text", row_group_bytes: int = 32 << 20, page_bytes: int = 256 << 10) -> None:
@@ -85,9 +64,9 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _cached(tokenizer)
+        encoder = _cached(tokenizer)
         for b in batches:
-            got = [ids + end for ids in words.encode([t or "" for t in b.column(1).to_pylist()])]
+            got = [encoder.encode(t.as_py() or "") + end for t in b.column(1)]
             n = np.array([len(g) // 4 for g in got], dtype=np.int64)
             flat = np.frombuffer(b"".join(got), dtype="<i4")
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)

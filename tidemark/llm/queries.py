@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, chat, decontaminate, minhash, sharding, suffix_dedup, token_files, topk
+from tidemark.llm import bpe, chat, decontaminate, minhash, quality, sharding, suffix_dedup, token_files, topk, toxicity
 from tidemark.llm.arrow_text import shared_folder, stored
 from tidemark.shipping import ship
 
@@ -171,3 +171,13 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 @query
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.contract(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=5, held_out=0)
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, held_out=2)

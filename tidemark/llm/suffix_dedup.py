@@ -34,7 +34,7 @@ from tidemark.llm.suffix import common_prefixes, suffix_array
 LENGTH, GRAM = 50, 24
 _GRAMS = LENGTH - GRAM + 1
 #: Bytes of text in a part, and in a shard's suffix array, about; the least number of parts and buckets.
-PART_BYTES, SHARD_BYTES, LEAST_PARTS = 8 << 20, 4 << 20, 64
+PART_BYTES, SHARD_BYTES, LEAST_PARTS = 3 << 20, 2 << 20, 64
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87)]
 _NO_DOC = np.iinfo(np.int64).max
@@ -301,7 +301,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     bytes that stay)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-total // PART_BYTES))
-    buckets = max(LEAST_PARTS, -(-total // (2 * PART_BYTES)))
+    buckets = max(LEAST_PARTS, -(-total // PART_BYTES))
     own = len(docs.columns)
     k, x = docs.columns.index(key), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *_FOUND])

@@ -73,6 +73,22 @@ def test_collisions_follow_the_weighted_similarity():
     assert abs((s[0] == s[1]).mean() - 2 / 5) < 0.04
 
 
+def test_drifting_copies_in_small_blocks(spark, monkeypatch):
+    """Copies of copies, where most of a band is unlike its centre."""
+    monkeypatch.setattr(minhash, "UNLIKE_BLOCK", 3)
+    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 5)
+    g = random.Random(12)
+    texts = [[f"w{g.randrange(10**6)}" for _ in range(120)]]
+    for _ in range(80):
+        v = list(g.choice(texts))
+        for _ in range(3):
+            v[g.randrange(len(v))] = f"n{g.randrange(10**6)}"
+        texts.append(v)
+    docs = [(i, " ".join(v)) for i, v in enumerate(texts)]
+    got = minhash.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.id: r.class_id for r in got.collect()} == brute(docs)
+
+
 def test_chain_of_bands_and_clashing_columns(spark):
     g = random.Random(4)
     words = [f"w{g.randrange(10**6)}" for _ in range(300)]

@@ -8,11 +8,11 @@ similarity. About k ln k + 2k darts fill k coordinates however long the document
 region of ranks is thrown. The density of darts follows the size class (the power of two) of a document; one near the
 next class is signed there too, so documents that may be similar always meet in a class.
 
-Signatures are cut into bands, and documents that agree in a band are candidates: each is compared with the band's
-least document, and those unlike it elect the next one, which is compared with all of the band, until none is left. No
-band's pairs are all made, but every document of a band is compared with each of its centres. Candidates are linked if
-the exact Jaccard similarity of their sets is at least the threshold, and linked documents form classes. Copies (equal
-sequences of words) are one document from the start.
+Signatures are cut into bands, and documents that agree in a band are candidates. Each band has a centre, with which all
+of the band is compared; those unlike it are then compared with all of the band, in blocks of bounded size that give
+back only what spans their links. So no pairs of a band's near copies are made, yet any two classes that share a band
+have been compared. Candidates are linked if the exact Jaccard similarity of their sets is at least the threshold, and
+linked documents form classes. Copies (equal sequences of words) are one document from the start.
 
 Null and empty texts are alone; texts without words are copies only if equal; rows without an id are alone and have no
 class; rows that share an id are one document. Other columns are kept by ``deduplicate`` whatever their names.
@@ -32,6 +32,8 @@ from tidemark.llm.arrow_text import _power_table, grams, mix, pieces, stored, ut
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Documents and bytes of a block, about.
+UNLIKE_BLOCK, MEMBER_BLOCK, BLOCK_BYTES = 128, 512, 16 << 20
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
@@ -204,6 +206,59 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _spanning(queries: pa.Table, members: pa.Table, threshold: float) -> pa.Table:
+    """Links of a block of documents (ids and packed sets) with a block of members; one that joins two documents which
+    other links of the block connect already is left out."""
+    found: list[tuple[int, int]] = []
+    parent: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (j := parent.get(i, i)) != i:
+            parent[i] = parent.get(j, j)
+            i = j
+        return i
+
+    if len(queries) and len(members):
+        ids = members.column(0).to_numpy()
+        sets = [np.frombuffer(p, np.uint64) for p in members.column(1).to_pylist()]
+        size = np.array([len(x) for x in sets])
+        order = np.argsort(h := np.concatenate(sets), kind="stable")
+        h, of = h[order], np.repeat(np.arange(len(sets)), size)[order]
+        for q, packed in zip(queries.column(0).to_pylist(), queries.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(packed, np.uint64)
+            low = np.searchsorted(h, own, "left")
+            n = np.searchsorted(h, own, "right") - low
+            common = np.bincount(of[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(sets))
+            for m in ids[(common >= threshold * (len(own) + size - common)) & (common > 0)].tolist():
+                if (a := top(q)) != (b := top(m)):
+                    parent[a] = b
+                    found.append((min(q, m), max(q, m)))
+    x, y = zip(*found, strict=True) if found else ((), ())
+    return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+
+def _within(unlike: DataFrame, members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links of documents with the members of their bands (``band``, ``rep``, ``size``), except the bands' centres.
+
+    Both are dealt into blocks of bounded numbers and bytes, and each pair of blocks of a band is compared in one
+    place, which only says what spans its links.
+    """
+
+    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("band").agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("size") / BLOCK_BYTES), F.lit(1)).cast("int").alias(name))
+
+    grid = stored(blocks(unlike, UNLIKE_BLOCK, "u").join(blocks(members.join(unlike.select("band").distinct(), "band", "left_semi"), MEMBER_BLOCK, "m"), "band"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        block, every = F.pmod(F.xxhash64("rep"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        rows = df.join(grid, "band").select("band", "rep", block.alias(own), every.alias(other))
+        return rows.join(sets.select(F.col("id").alias("rep"), "packed"), "rep").select("band", "u", "m", "rep", "packed")
+
+    few = dealt(unlike, "u", "m").groupBy("band", "u", "m")
+    all_ = dealt(members, "m", "u").toDF("band_", "u_", "m_", "rep_", "packed_").groupBy("band_", "u_", "m_")
+    return few.cogroup(all_).applyInArrow(lambda a, b: _spanning(a.select(["rep", "packed"]), b.select(["rep_", "packed_"]), threshold), "x long, y long")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id`` and ``class_id``, the least id of its class, of all rows; null for a null id."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
@@ -212,33 +267,22 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     copies = named.where("a is not null").groupBy("a", "b").agg(F.min("id").alias("rep"))
     reps = named.join(copies.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "rep"), (F.col("a") == F.col("ra")) & (F.col("b") == F.col("rb")) & (F.col("id") == F.col("rep")))
     in_bands = reps.select("rep", F.explode("bands").alias("band"))
-    full = in_bands.groupBy("band").agg(F.min("rep").alias("x"), F.max("rep").alias("z")).where("x < z").select("band", "x")
-    bands = stored(in_bands.join(full, "band").select("band", "rep", "x"))
-    wanted = bands.select("rep").distinct()
-    sets = stored(_sets(rows.join(wanted.withColumnRenamed("rep", "id").hint("shuffle_hash"), "id", "left_semi")).dropDuplicates(["id"]))
+    full = in_bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(in_bands.join(full, "band").select("band", "rep", "n"))
+    # The document that meets most others in its bands is the centre: the source of near copies is nearest to all.
+    meets = shared.groupBy("rep").agg(F.sum("n").alias("w"))
+    wanted = meets.select(F.col("rep").alias("id"))
+    sets = stored(_sets(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi")).dropDuplicates(["id"]))
     left, right = (sets.select(F.col("id").alias(n), F.col("packed").alias(f"packed_{n}")) for n in "xy")
-
-    judged: DataFrame | None = None
-    open_ = bands
-    while True:
-        # Each band's centre against all of the band that has not been compared with it.
-        pairs = open_.where("rep <> x").select(F.least("rep", "x").alias("x"), F.greatest("rep", "x").alias("y")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged, ["x", "y"], "left_anti")
-        new = stored(_similar(pairs.join(left, "x").join(right, "y").select("x", "y", "packed_x", "packed_y"), threshold))
-        judged = new if judged is None else judged.unionByName(new)
-        # Who is linked to no centre of a band so far elects its next one.
-        rounds = open_.select("band", "rep", F.least("rep", "x").alias("p"), F.greatest("rep", "x").alias("q"))
-        tried = rounds.join(judged.select(F.col("x").alias("p"), F.col("y").alias("q"), "linked"), ["p", "q"], "left")
-        unlike = tried.where("p <> q and not linked").select("band", "rep")
-        if open_ is not bands:
-            unlike = unlike.join(waiting, ["band", "rep"], "left_semi")
-        waiting = stored(unlike)
-        next_ = waiting.groupBy("band").agg(F.min("rep").alias("x"))
-        if not next_.limit(1).count():
-            break
-        open_ = stored(bands.select("band", "rep").join(next_, "band"))
-    labels = connected(judged.where("linked"))
+    known = meets.join(sets.select(F.col("id").alias("rep"), F.octet_length("packed").alias("size")), "rep")
+    bands = stored(shared.join(known, "rep").select("band", "rep", "n", "w", "size"))
+    centres = bands.groupBy("band").agg(F.max_by("rep", F.struct("w", -F.col("rep"))).alias("centre"))
+    around = stored(bands.join(centres, "band").where("rep <> centre").select("band", "rep", "n", "size", F.least("rep", "centre").alias("x"), F.greatest("rep", "centre").alias("y")))
+    pairs = around.select("x", "y").distinct()
+    judged = stored(_similar(pairs.join(left, "x").join(right, "y").select("x", "y", "packed_x", "packed_y"), threshold))
+    stars = judged.where("linked").select("x", "y")
+    unlike = around.where("n > 2").join(stars, ["x", "y"], "left_anti").select("band", "rep", "size")
+    labels = connected(stars.unionByName(stored(_within(unlike, around.select("band", "rep", "size"), sets, threshold))))
     by_rep = copies.join(labels, copies["rep"] == labels["id"], "left").select("a", "b", F.coalesce("label", "rep").alias("class_id"))
     return signed.select("id", "a", "b").join(by_rep, ["a", "b"], "left").select("id", F.coalesce("class_id", "id").alias("class_id")).withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
 

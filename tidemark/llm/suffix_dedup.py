@@ -12,7 +12,8 @@ starts of a document fall into runs with one anchor; a run's bytes are its windo
 4. the parts remove what starts in a smaller document.
 
 Texts move once (all steps read one exchange), a task holds one part, bucket or shard, and parts, buckets and shards
-grow in number, not in size. Windows count as equal if their 64-bit hashes and their anchors' 48-bit hashes are.
+grow in number, not in size. Windows count as equal if their 48-bit hashes and their
+anchors' 48-bit hashes are.
 
 Null texts are empty; a null id counts as greater than all others; rows with one id are one document and do not remove
 each other's bytes; texts shorter than LENGTH lose nothing; other columns are kept whatever their names.
@@ -41,7 +42,7 @@ _NO_DOC = np.iinfo(np.int64).max
 
 
 def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The runs of starts with one anchor: row, first start, last start, anchor hash (48 bits), content hash."""
+    """The runs of starts with one anchor: row, first start, last start, anchor hash and content hash (48 bits each)."""
     empty = np.zeros(0, np.int64)
     n = len(raw)
     if n < LENGTH:
@@ -83,7 +84,7 @@ def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     np.cumsum(one * up[:n], out=total[1:])
     content = (total[end + LENGTH] - total[begin]) * down[begin]
     content = mix(content + (anchor - begin).astype(np.uint64) * _ODD[0] + (end - begin).astype(np.uint64) * _ODD[1])
-    return row, begin, end, g[anchor] >> np.uint64(16), content
+    return row, begin, end, g[anchor] >> np.uint64(16), content >> np.uint64(16)
 
 
 class Part:

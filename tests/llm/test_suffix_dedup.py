@@ -110,3 +110,18 @@ def test_clean_keeps_columns_that_clash(spark):
     assert suffix_dedup.clean(df).columns == df.columns
     assert [got[i].text for i in (1, 2, 3, 4)] == [text, "ab ", None, "short"] and got[2].kept == 6
     assert suffix_dedup.clean(df.limit(0)).count() == 0
+
+
+def test_clean_takes_whole_characters(spark):
+    """The repeated string begins and ends inside a character; what stays is text, and its own U+FFFD stays."""
+    common = "é" * 24 + "x"
+    rows = [(1, "ê"[:1] + common + "é"), (2, "é" + common + "ù\ufffd")]
+    got = {r.doc_id: r.text for r in suffix_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    raw = [t.encode() for _, t in rows]
+    gone = {x for j in range(len(raw[1]) - 49) if raw[1][j : j + 50] in raw[0] for x in range(j, j + 50)}
+    at, want = 0, ""
+    for c in rows[1][1]:
+        n = len(c.encode())
+        want += "" if gone & set(range(at, at + n)) else c
+        at += n
+    assert got == {1: rows[0][1], 2: want} and want.endswith("\ufffd") and max(gone) == len(raw[1]) - 5

@@ -297,9 +297,15 @@ def _removed(windows_of: Part, told: pa.Table) -> np.ndarray:
 _FOUND = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _of_whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """The mask with all bytes of a character that loses one of them."""
+    character = np.cumsum((raw & 0xC0) != 0x80) - 1
+    return np.bincount(character[gone], minlength=int(character[-1]) + 1)[character] > 0 if len(raw) else gone
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (the
-    bytes that stay)."""
+    bytes that stay; with ``whole_characters``, without those of characters that lost one)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     parts = max(LEAST_PARTS, -(-total // PART_BYTES))
     buckets = max(LEAST_PARTS, -(-total // PART_BYTES))
@@ -327,6 +333,8 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         before = np.concatenate([[False], gone[:-1]])
         before[part.at[:-1][part.at[:-1] < len(gone)]] = False
         sums = [np.concatenate([[0], np.cumsum(v)]) for v in (gone, gone & ~before)]
+        if whole_characters:
+            gone = _of_whole_characters(part.raw, gone)
         kept = pa.array([part.raw[i:j][~gone[i:j]].tobytes() for i, j in zip(part.at[:-1].tolist(), part.at[1:].tolist(), strict=True)], pa.binary())
         counts = [pa.array(np.diff(part.at)), *[pa.array(s[part.at[1:]] - s[part.at[:-1]]) for s in sums]]
         return pa.table([*t.columns[:own], *counts, kept], names=[f"c{i}" for i in range(own + 4)])
@@ -349,6 +357,6 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     a null text stays null."""
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     k, x = docs.columns.index(key), docs.columns.index(text)
-    found = deduplicate(named, f"c{k}", f"c{x}")
-    whole = F.replace(F.decode("kept", "UTF-8"), F.lit("�"), F.lit(""))
-    return found.withColumn(f"c{x}", F.when(F.col("n_removed") > 0, whole).otherwise(F.col(f"c{x}"))).select(*named.columns).toDF(*docs.columns)
+    found = deduplicate(named, f"c{k}", f"c{x}", whole_characters=True)
+    cut = F.when(F.col("n_removed") > 0, F.col("kept").cast("string")).otherwise(F.col(f"c{x}"))
+    return found.withColumn(f"c{x}", cut).select(*named.columns).toDF(*docs.columns)

@@ -57,6 +57,10 @@ def test_round_trip_in_spark_keeps_other_columns(spark):
     back = bpe.decode(bpe.encode(df, path), path).collect()
     assert [(r.doc_id, r.text or "") for r in back] == [(r.doc_id, r.decoded) for r in back]
     assert [r.n_tokens for r in back] == [None, 3, 3, 4]
+    at_once = bpe.encode(df, path, decoded="d").collect()
+    assert [(r.ids, r.d) for r in at_once] == [(r.ids, r.decoded) for r in back]
+    nulls = df.selectExpr("doc_id", "cast(null as array<int>) ids")
+    assert {r.decoded for r in bpe.decode(nulls, path).collect()} == {""}
     assert bpe.decode(bpe.encode(df.limit(0), path), path).count() == 0
 
 

@@ -28,8 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidemark.llm.arrow_text import pieces, utf8
+
 #: Entries of a cache of a Python worker; it is emptied when full, so memory is bounded.
 CACHE = 300_000
+#: Bytes (or ids) of texts that are worked on at once, about.
+PIECE = 2 << 20
 _END = 256
 _NEVER = 1 << 60
 #: str.split() parts at these, the tokenizer's \s does not.
@@ -102,7 +106,7 @@ class Bpe:
             self.rank[left, right] = r
             self.parts.setdefault(whole, (left, right, r))
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for token, i in vocab.items():
             if i not in self.parts or self._apart(*self.parts[i][:2], self.parts[i][2]):
@@ -150,11 +154,12 @@ class Bpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """One cell of the pair table, filled when first asked for."""
-        fits = self._fits.get((a, b))
+        cell = a * self.size + b
+        fits = self._fits.get(cell)
         if fits is None:
-            if len(self._fits) > 4 * CACHE:
+            if len(self._fits) > 2 * CACHE:
                 self._fits.clear()
-            fits = self._fits[a, b] = self._apart(a, b)
+            fits = self._fits[cell] = self._apart(a, b)
         return fits
 
     def encode_symbols(self, s: str) -> list[int]:
@@ -254,19 +259,26 @@ def load(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """All columns of ``df`` and the token ids of its text."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """All columns of ``df``, the token ids of its text, and, if named, the text that these decode to.
+
+    Rows go through in pieces of bounded bytes, so a worker's memory does not follow the batches' sizes.
+    """
     place = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False))])
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    schema = T.StructType([*df.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for b in batches:
-            got = [model.encode(t or "") for t in b.column(place).to_pylist()]
-            at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-            flat = np.concatenate(got).astype(np.int32) if got else np.zeros(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*b.columns, column], names=[f.name for f in schema.fields])
+            for r0, r1 in pieces(*utf8(b.column(place)), PIECE):
+                part = b.slice(r0, r1 - r0)
+                got = [model.encode(t.as_py() or "") for t in part.column(place)]
+                at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+                own = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got).view(np.int32)))]
+                if decoded:
+                    own.append(pa.array([model.decode(g).decode() for g in got], pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)
 
@@ -279,7 +291,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)
         for b in batches:
-            got = [model.decode(np.array(x or [], dtype=np.int64)).decode() for x in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.string())], names=[f.name for f in schema.fields])
+            lists = b.column(place).fill_null([])
+            at = lists.offsets.to_numpy()
+            flat = lists.values.to_numpy(zero_copy_only=False)
+            for r0, r1 in pieces(flat, at - at[0], PIECE):
+                got = [model.decode(flat[at[r] : at[r + 1]]).decode() for r in range(r0, r1)]
+                yield pa.RecordBatch.from_arrays([*b.slice(r0, r1 - r0).columns, pa.array(got, pa.string())], names=[f.name for f in schema.fields])
 
     return df.mapInArrow(run, schema)

@@ -52,7 +52,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, ``ids`` and ``decoded``."""
     ship(spark)
     path = vocabulary("word_bpe_49k.json")
-    return bpe.decode(bpe.encode(docs, path), path)
+    return bpe.encode(docs, path, decoded="decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -41,3 +41,14 @@ def check_pins(pins: DataFrame, positions: DataFrame) -> DataFrame:
     meets = (F.col("p.lo") <= F.col("pin_hi")) & (F.col("p.hi") >= F.col("pin_lo"))
     ok = F.when(F.col("expected"), F.col("p").isNotNull() & F.coalesce(meets, F.lit(False))).otherwise(F.col("p").isNull())
     return found.select("pin", "member", "security", "expected", ok.alias("ok"))
+
+
+def check_owners(pins: DataFrame, positions: DataFrame) -> DataFrame:
+    """``pin`` and ``ok``: whether the first current position (by owner) of a pinned security has the pinned owner."""
+    live = positions.where("status <> 'sold'").groupBy("member", "security").agg(F.min("owner").alias("_owner"))
+    return pins.join(live, ["member", "security"], "left").select("pin", F.coalesce(F.col("_owner") == F.col("pin_owner"), F.lit(False)).alias("ok"))
+
+
+def check_inactive(pins: DataFrame, members: DataFrame) -> DataFrame:
+    """``pin`` and ``ok``: whether a member has left; one that the roster lacks counts as gone."""
+    return pins.join(members.select("member", "active"), "member", "left").select("pin", (~F.coalesce("active", F.lit(False))).alias("ok"))

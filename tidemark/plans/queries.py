@@ -112,6 +112,17 @@ def v3_v4_pins(spark: SparkSession, d: str) -> DataFrame:
     return gate.check_pins(pins, _positions(spark, d).where("status <> 'none'"))
 
 
+@query(f"""WITH RECURSIVE {FOLD_SQL}, w AS (SELECT DISTINCT member, security FROM t), l AS (SELECT member, security, min(owner) AS x FROM p WHERE status NOT IN ('sold', 'none') GROUP BY ALL)
+SELECT 'owner-' || member || '-' || security AS pin, coalesce(x = CASE WHEN member % 2 = 0 THEN 'self' ELSE 'spouse' END, false) AS ok FROM w LEFT JOIN l USING (member, security)
+UNION ALL SELECT 'gone-' || w.member, NOT coalesce(active, false) FROM (SELECT DISTINCT member FROM t UNION SELECT -1) w LEFT JOIN m USING (member)""")
+def v5_v6_pins(spark: SparkSession, d: str) -> DataFrame:
+    keys = trades(spark, d).select("member", "security").distinct()
+    owners = keys.select("member", "security", F.concat_ws("-", F.lit("owner"), F.col("member").cast("string"), "security").alias("pin"), F.when(F.col("member") % 2 == 0, "self").otherwise("spouse").alias("pin_owner"))
+    gone = keys.select("member").union(spark.range(1).select(F.lit(-1).cast("long"))).distinct().select("member", F.concat_ws("-", F.lit("gone"), F.col("member").cast("string")).alias("pin"))
+    held = _positions(spark, d).where("status <> 'none'")
+    return gate.check_owners(owners, held).unionByName(gate.check_inactive(gone, members(spark, d)))
+
+
 _SOURCES_SQL = f"""{TRADES_SQL}, o AS (
   SELECT rid, member, traded, side, CASE WHEN kind = 'SMALL' THEN 'raw:' || text ELSE security END AS asset, text, lo, hi, filed, owner, filed > traded + 45 AS late FROM t WHERE part % 2 = 0
 ), c AS (

@@ -125,3 +125,43 @@ def test_clean_takes_whole_characters(spark):
         want += "" if gone & set(range(at, at + n)) else c
         at += n
     assert got == {1: rows[0][1], 2: want} and want.endswith("\ufffd") and max(gone) == len(raw[1]) - 5
+
+
+def _kernel(docs, parts=4, buckets=5):
+    """Removed bytes by document, and the rows that each bucket and shard was sent."""
+    import pyarrow as pa
+
+    rows_of = [docs[p::parts] for p in range(parts)]
+    own = [suffix_dedup.Part(pa.chunked_array([pa.array([d for d, _ in r], pa.int64())]), pa.chunked_array([pa.array([t for _, t in r])])) for r in rows_of]
+    pick = lambda t, v: t.filter(pa.compute.equal(t["to"], v))
+    sent = pa.concat_tables([suffix_dedup._send(p, w, buckets) for p, w in enumerate(own)])
+    judged = pa.concat_tables([suffix_dedup._judge(pick(sent, b)) for b in set(sent["to"].to_pylist())])
+    asked = pa.concat_tables([suffix_dedup._ask(p, w, pick(judged, p), buckets) for p, w in enumerate(own)])
+    told = pa.concat_tables([judged, *[suffix_dedup._sort(pick(asked, b)) for b in set(asked["to"].to_pylist())]])
+    gone = {}
+    for p, w in enumerate(own):
+        mask = suffix_dedup._removed(w, pick(told, p))
+        gone |= {d: int(mask[w.at[i] : w.at[i + 1]].sum()) for i, (d, _) in enumerate(rows_of[p])}
+    return gone, sent, asked
+
+
+@pytest.mark.parametrize(("shard", "classes"), [(2 << 20, 8), (4000, 8), (4000, 1), (300, 2), (1 << 20, 1)])
+def test_a_large_anchor_is_split(monkeypatch, shard, classes):
+    """One passage between texts that differ in each document: its edges have as many windows as there are documents."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix_dedup, "MOST_CLASSES", classes)
+    longest = []
+    sort = suffix_dedup._least_of_strings
+    monkeypatch.setattr(suffix_dedup, "_least_of_strings", lambda raw, source, length, doc: longest.append(int((length + 1).sum())) or sort(raw, source, length, doc))
+    g = random.Random(5)
+    text = lambda n: "".join(g.choice("abcdefgh ") for _ in range(n))
+    passage, ends = text(120), [text(60) for _ in range(3)]
+    docs = [(i * 7919 % 1000, text(g.randint(20, 60)) + passage + (g.choice(ends)[: g.randint(5, 60)] if i % 3 else "") + text(30)) for i in range(300)]
+    gone, sent, asked = _kernel(docs)
+    assert gone == {d: n for d, _, n, _, _ in brute(docs)}
+    assert max(longest, default=0) <= shard
+    if shard == 4000:
+        kinds = set(asked["kind"].to_pylist())
+        assert 7 in kinds
+        h = np.concatenate([suffix_dedup._unpack([d], 4 if k else 3)[0] for k, d in zip(sent["kind"].to_pylist(), sent["data"].to_pylist(), strict=True)])
+        assert np.unique(h, return_counts=True)[1].max() <= 4 * classes

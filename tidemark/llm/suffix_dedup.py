@@ -11,6 +11,12 @@ starts of a document fall into runs with one anchor; a run's bytes are its windo
    common prefixes: suffixes in a row with LENGTH bytes in common are one string, whose least id is told to the parts;
 4. the parts remove what starts in a smaller document.
 
+An anchor with more windows than a shard takes (both edges of a passage that many documents share have one) is split:
+a part with more than ``MOST_CLASSES`` contents of an anchor sends the bucket one row for all of them, and the strings
+of LENGTH bytes in its windows are dealt by their own hash, with the least id of the part, in place of the windows. The
+shard of a string's hash tells the parts its least id; 96 bits of hash decide which strings are equal. So neither a
+bucket nor a shard holds a whole anchor.
+
 Texts move once (all steps read one exchange), a task holds one part, bucket or shard, and parts, buckets and shards
 grow in number, not in size. Windows count as equal if their 48-bit hashes and their
 anchors' 48-bit hashes are.
@@ -36,9 +42,13 @@ LENGTH, GRAM = 50, 24
 _GRAMS = LENGTH - GRAM + 1
 #: Bytes of text in a part, and in a shard's suffix array, about; the least number of parts and buckets.
 PART_BYTES, SHARD_BYTES, LEAST_PARTS = 3 << 20, 2 << 20, 64
+#: Contents of one anchor that a part sends a bucket one by one.
+MOST_CLASSES = 8
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87)]
 _NO_DOC = np.iinfo(np.int64).max
+#: Factors of a string's two hashes, by place.
+_PLACES = mix(np.arange(1, 2 * LENGTH + 1, dtype=np.uint64) * _ODD[1]).reshape(2, LENGTH) | np.uint64(1)
 
 
 def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -113,6 +123,31 @@ class Part:
         """The classes of some windows, all of which the part has."""
         return np.searchsorted(self.keys, _key(h, content))
 
+    def of_anchors(self, h: np.ndarray) -> np.ndarray:
+        """All classes of some anchors."""
+        return np.flatnonzero(np.isin(self.h, h))
+
+    def strings(self, classes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The distinct strings of LENGTH bytes in some classes' windows: two hashes (48 bits each) and the part's least
+        id; the string of each start of each class, and the number of starts by class."""
+        begin = self.begin[self.sample[classes]]
+        n = self.end[self.sample[classes]] - begin + 1
+        start = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        hashes = np.empty((2, len(start)), np.uint64)
+        for i in range(0, len(start), 1 << 14):
+            letters = _LETTER[self.raw[start[i : i + (1 << 14), None] + np.arange(LENGTH)]]
+            for k in range(2):
+                hashes[k, i : i + (1 << 14)] = mix((letters * _PLACES[k]).sum(axis=1, dtype=np.uint64)) >> np.uint64(16)
+        order = np.lexsort((hashes[1], hashes[0]))
+        a, b = hashes[:, order]
+        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        first = np.flatnonzero(new)
+        owner = np.repeat(self.least[classes], n)[order]
+        least = np.minimum.reduceat(owner, first) if len(first) else owner
+        of = np.empty(len(start), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return a[first], b[first], least, of, n
+
 
 def _key(h: np.ndarray, content: np.ndarray) -> np.ndarray:
     return mix(content + h * _ODD[2])
@@ -151,12 +186,27 @@ _SENT_SQL = "to int, part int, kind int, data binary, bytes binary"
 
 
 def _send(part: int, windows_of: Part, buckets: int) -> pa.Table:
+    """A part's classes to the buckets of their anchors (kind 0); one row for all of an anchor that has many (kind 5)."""
     order = np.argsort(windows_of.h, kind="stable")
     h, content, least = windows_of.h[order], windows_of.content[order], windows_of.least[order]
+    if not len(h):
+        return _table([], *_SENT)
+    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    size = np.diff(np.append(at, len(h)))
+    many = size > MOST_CLASSES
+    ends = [f.reduceat(least, at)[many] for f in (np.minimum, np.maximum)]
+    all_h, n = h[at[many]], size[many]
+    few = ~np.repeat(many, size)
+    h, content, least = h[few], content[few], least[few]
     rows = [(b, part, 0, _pack(h[i:j], content[i:j], least[i:j].view(np.uint64)), b"") for b, i, j in _cuts(_bucket(h, buckets))]
+    rows += [(b, part, 5, _pack(all_h[i:j], *(x[i:j].view(np.uint64) for x in (*ends, n))), b"") for b, i, j in _cuts(_bucket(all_h, buckets))]
     return _table(rows, *_SENT)
 
 
+def _of_kind(t: pa.Table, kind: int) -> pa.Table:
+    return t.filter(pa.compute.equal(t["kind"], kind))
+
+
 def _received(t: pa.Table, n: int) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
     data = t["data"].to_pylist()
     sizes = [len(d) // (8 * n) for d in data]
@@ -164,20 +214,27 @@ def _received(t: pa.Table, n: int) -> tuple[list[np.ndarray], np.ndarray, list[b
 
 
 def _judge(t: pa.Table) -> pa.Table:
-    """In a bucket: the least id for anchors with one content (kind 1), a request for the other shared ones (kind 2)."""
-    (h, content, doc), part, _ = _received(t, 3)
-    doc = doc.view(np.int64)
+    """In a bucket: the least id for anchors with one content (kind 1), a request for the other shared ones: windows
+    (kind 2; kind 5 for all of an anchor), or strings if the windows are more than a shard (kinds 4 and 6)."""
+    (h, content, doc), part, _ = _received(_of_kind(t, 0), 3)
+    (all_h, low, high, n), all_part, _ = _received(_of_kind(t, 5), 4)
+    whole = np.repeat([False, True], [len(h), len(all_h)])
+    h, content, part = np.append(h, all_h), np.append(content, np.zeros_like(all_h)), np.append(part, all_part)
+    doc, high, n = (np.append(x, y).view(np.int64) for x, y in ((doc, low), (doc, high), (np.ones_like(doc), n)))
     order = np.lexsort((content, h))
-    h, content, doc, part = h[order], content[order], doc[order], part[order]
+    h, content, doc, high, n, part, whole = (x[order] for x in (h, content, doc, high, n, part, whole))
     new_h = np.append(True, h[1:] != h[:-1])
     new_class = new_h | np.append(True, content[1:] != content[:-1])
     at = np.flatnonzero(new_h)
     size = np.diff(np.append(at, len(h)))
-    least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+    least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(high, at)
     classes = np.add.reduceat(new_class.astype(np.int64), at)
-    least_of, shared, single = (np.repeat(x, size) for x in (least, least < most, classes == 1))
+    one = (classes == 1) & ~np.logical_or.reduceat(whole, at)
+    large = np.add.reduceat(n, at) * (LENGTH + _GRAMS) > SHARD_BYTES
+    least_of, shared, single, split = (np.repeat(x, size) for x in (least, least < most, one, large))
+    asked = shared & ~single
     rows = []
-    for kind, chosen in ((1, shared & single & (doc > least_of)), (2, shared & ~single)):
+    for kind, chosen in ((1, shared & single & (doc > least_of)), (2, asked & ~split & ~whole), (4, asked & split & ~whole), (5, asked & ~split & whole), (6, asked & split & whole)):
         some = np.flatnonzero(chosen)
         some = some[np.argsort(part[some], kind="stable")]
         for p, i, j in _cuts(part[some]):
@@ -186,23 +243,50 @@ def _judge(t: pa.Table) -> pa.Table:
     return _table(rows, *_SENT)
 
 
+def _asked(windows_of: Part, told: pa.Table, one: int, all_: int) -> np.ndarray:
+    """The classes that buckets named one by one or by their anchor."""
+    (h, content, _), _, _ = _received(_of_kind(told, one), 3)
+    (all_h, _, _), _, _ = _received(_of_kind(told, all_), 3)
+    return np.append(windows_of.find(h, content), windows_of.of_anchors(all_h)) if len(all_h) else windows_of.find(h, content)
+
+
 def _ask(part: int, windows_of: Part, told: pa.Table, buckets: int) -> pa.Table:
-    """The bytes of the windows that buckets asked for, to the shard of their anchor."""
-    (h, content, _), _, _ = _received(told.filter(pa.compute.equal(told["kind"], 2)), 3)
-    order = np.argsort(h, kind="stable")
-    h, content = h[order], content[order]
-    own = windows_of.find(h, content)
+    """The bytes of the windows that buckets asked for, to the shard of their anchor (kind 0); the hashes of strings, to
+    the shard of their own hash (kind 7)."""
+    own = _asked(windows_of, told, 2, 5)
+    own = own[np.argsort(windows_of.h[own], kind="stable")]
+    h, content = windows_of.h[own], windows_of.content[own]
     sample = windows_of.sample[own]
     begin, end = windows_of.begin[sample], windows_of.end[sample] + LENGTH
     rows = []
     for b, i, j in _cuts(_bucket(h, buckets)):
         text = b"".join([windows_of.raw[x:y].tobytes() for x, y in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)])
         rows.append((b, part, 0, _pack(h[i:j], content[i:j], windows_of.least[own[i:j]].view(np.uint64), (end - begin)[i:j].astype(np.uint64)), text))
+    if len(split := _asked(windows_of, told, 4, 6)):
+        one, two, least, _, _ = windows_of.strings(split)
+        rows += [(b, part, 7, _pack(one[i:j], two[i:j], least[i:j].view(np.uint64)), b"") for b, i, j in _cuts(_bucket(one, buckets))]
     return _table(rows, *_SENT)
 
 
+def _meet(t: pa.Table) -> list[tuple]:
+    """In a shard: the least id of each string that came by its hashes (kind 7), for the parts that lack it."""
+    (one, two, doc), part, _ = _received(t, 3)
+    doc = doc.view(np.int64)
+    order = np.lexsort((two, one))
+    one, two, doc, part = one[order], two[order], doc[order], part[order]
+    first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
+    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(one))))
+    some = np.flatnonzero(least < doc)
+    some = some[np.argsort(part[some], kind="stable")]
+    return [(p, 0, 7, _pack(one[s], two[s], least[s].view(np.uint64)), b"") for p, i, j in _cuts(part[some]) for s in [some[i:j]]]
+
+
 def _sort(t: pa.Table) -> pa.Table:
-    """In a shard: the least id of every string of LENGTH bytes in its windows (kind 3)."""
+    """In a shard: the least id of every string of LENGTH bytes in its windows (kind 3), and of single strings (kind 7)."""
+    strings, t = _of_kind(t, 7), _of_kind(t, 0)
+    rows = _meet(strings) if len(strings) else []
+    if not len(t):
+        return _table(rows, *_SENT)
     (h, content, doc, size), part, texts = _received(t, 4)
     doc, size = doc.view(np.int64), size.astype(np.int64)
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -214,7 +298,7 @@ def _sort(t: pa.Table) -> pa.Table:
     of = np.cumsum(new) - 1
     least = np.minimum.reduceat(doc, first)
     length, source = size[first], begin[first]
-    # Shards of whole anchors, each with about SHARD_BYTES of text.
+    # Shards of whole anchors, each with about SHARD_BYTES of text; no anchor has more.
     reach = np.cumsum(length + 1)
     anchors = np.flatnonzero(np.append(True, h[first][1:] != h[first][:-1]))
     answer: list[np.ndarray] = []
@@ -232,7 +316,6 @@ def _sort(t: pa.Table) -> pa.Table:
     useful = np.minimum.reduceat(told, told_end - n)[of] < doc
     some = np.flatnonzero(useful)
     some = some[np.argsort(part[some], kind="stable")]
-    rows = []
     for p, i, j in _cuts(part[some]):
         s = some[i:j]
         own = of[s]
@@ -279,11 +362,20 @@ def _removed(windows_of: Part, told: pa.Table) -> np.ndarray:
     np.subtract.at(change, windows_of.end[whole] + LENGTH, 1)
     many = told.filter(pa.compute.equal(told["kind"], 3))
     (h, content, n), _, texts = _received(many, 3)
-    if len(h):
+    split = _asked(windows_of, told, 4, 6)
+    if len(h) or len(split):
         (values,) = _unpack(texts, 1)
         values, n = values.view(np.int64), n.astype(np.int64)
         given = np.full(len(windows_of.keys), -1)
         given[windows_of.find(h, content)] = np.cumsum(n) - n
+        if len(split):
+            one, two, own, of, n = windows_of.strings(split)
+            (h, content, doc), _, _ = _received(_of_kind(told, 7), 3)
+            key = _key(one, two)
+            order = np.argsort(key)
+            own[order[np.searchsorted(key, _key(h, content), sorter=order)]] = doc.view(np.int64)
+            given[split] = len(values) + np.cumsum(n) - n
+            values = np.append(values, own[of])
         some = np.flatnonzero(given[windows_of.of] >= 0)
         size = windows_of.end[some] - windows_of.begin[some] + 1
         step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -342,7 +434,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_
     judged = dealt.groupBy("_part").applyInArrow(send, _SENT_SQL).groupBy("to").applyInArrow(_judge, _SENT_SQL)
     asked = dealt.groupBy("_part").cogroup(judged.groupBy("to")).applyInArrow(ask, _SENT_SQL)
     sorted_ = asked.groupBy("to").applyInArrow(_sort, _SENT_SQL)
-    told = judged.where("kind = 1").unionByName(sorted_)
+    told = judged.where("kind in (1, 4, 6)").unionByName(sorted_)
     out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
     return dealt.groupBy("_part").cogroup(told.groupBy("to")).applyInArrow(remove, out).toDF(*schema.names)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,11 +11,22 @@ from pyspark.sql.streaming import StreamingQuery
 STATES = ("unverified", "corroborated", "conflict")
 
 
-def change_feed(source: DataFrame, key: str, time: str, out: str, checkpoint: str, delay: str = "30 days") -> StreamingQuery:
-    """Append rows with new keys to ``out``, once each. Keys are remembered for ``delay`` by event time, and a batch that
-    fails is read again, since its offsets are committed after its rows."""
-    new = source.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-    return new.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def change_feed(source: DataFrame, key: str, time: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Append rows with new keys to ``out``, once each: of a key's rows in a batch, the one with the least ``time``. The
+    keys in ``out`` are all that were ever seen, however late a row comes, and a batch that fails is read again, since
+    its offsets are committed after its rows; what it had written by then is not written twice."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        rows = batch.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*batch.columns), F.struct(time)).alias("_row"))
+        try:
+            seen = batch.sparkSession.read.schema(batch.schema).parquet(out).select(F.col(key).alias("_seen"))
+            rows = rows.join(seen, F.col("_key").eqNullSafe(F.col("_seen")), "left_anti")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        rows.select("_row.*").write.mode("append").parquet(out)
+
+    return source.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def verification(evidence: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
+from tidemark.operators import positions, pricing
 from tidemark.plans.queries import QUERIES
 from tidemark.streaming import feed
 
@@ -32,3 +35,25 @@ def test_change_feed_takes_late_keys_and_forgets_none(spark, tmp_path):
     source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
     feed.change_feed(source, "id", "ts", f"{tmp_path}/out", f"{tmp_path}/cp_lost").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+
+
+def test_exact_snapshots_and_price_chain(spark):
+    day = dt.date.fromisoformat
+    snapshot = lambda *rows: spark.createDataFrame([(s, day(d), c) for s, d, c in rows], "s string, date date, close double")
+    month, previous, latest = snapshot(("A", "2024-01-31", 1.0), ("B", "2024-01-31", None)), snapshot(("A", "2024-01-31", 2.0), ("A", "2024-02-01", 3.0), ("B", "2024-01-31", 4.0)), snapshot(("A", "2024-02-02", 5.0))
+    asked = spark.createDataFrame([("A", day(f"2024-{d}")) for d in ("01-30", "01-31", "02-01", "02-02")] + [("B", day("2024-01-31")), ("C", day("2024-02-02"))], "s string, d date")
+    found = pricing.exact_snapshot(asked, [month, previous, latest], "s", "d")
+    assert {(r.s, str(r.d)[5:]): r.entry for r in found.collect()} == {("A", "01-30"): None, ("A", "01-31"): 1.0, ("A", "02-01"): 3.0, ("A", "02-02"): 5.0, ("B", "01-31"): 4.0, ("C", "02-02"): None}
+    chain = pricing.price_chain({"kadoa": F.col("k"), "yahoo": F.col("y")}).alias("p")
+    rows = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, None, None)], "i int, k double, y double").select("i", chain).orderBy("i").collect()
+    assert [tuple(r.p) for r in rows] == [(1.0, "kadoa", None), (2.0, "yahoo", None), (None, None, "no price from kadoa, yahoo")]
+
+
+def test_a_sold_baseline_starts_as_sold(spark):
+    day = dt.date.fromisoformat
+    base = [("A", 1, 2, "2023-12-31", False, "pdf-ocr"), ("A", 3, 4, "2024-12-31", True, "pdf-text"), ("A", 5, 6, "2024-12-31", True, "efd-html"), ("B", 1, 2, "2024-12-31", True, "efd-html"), ("B", 1, 2, "2024-12-31", False, "pdf-ocr")]
+    reports = spark.createDataFrame([("m", s, "self", lo, hi, day(d), sold, x) for s, lo, hi, d, sold, x in base], "member string, security string, owner string, lo long, hi long, as_of date, sold boolean, extraction string")
+    latest = positions.latest_baseline(reports)
+    assert {r.security: (r.lo, r.hi, r.n_reports, r.sold, r.extraction) for r in latest.collect()} == {"A": (8, 10, 2, True, "pdf-text"), "B": (2, 4, 2, False, "pdf-ocr")}
+    none = spark.createDataFrame([], "member string, security string, owner string, side string, partial boolean, lo long, hi long, traded date, filed date, ord long")
+    assert {r.security: r.status for r in positions.fold(none, latest).collect()} == {"A": "sold", "B": "holds"}

@@ -10,14 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("member", "security", "owner")
+#: Fixed order, the worst last.
+EXTRACTIONS = ("efd-html", "pdf-text", "pdf-ocr")
 _STATE = "struct<status:string,lo:bigint,hi:bigint,as_of:date,n_sources:int,rejects:int>"
 
 
 def latest_baseline(reports: DataFrame) -> DataFrame:
-    """Of ``member, security, owner, lo, hi, as_of``: the sums of the rows of each key's latest date."""
-    newest = F.max_by(F.struct("lo", "hi", "n"), "as_of")
-    by_day = reports.groupBy(*KEY, "as_of").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
-    return by_day.groupBy(*KEY).agg(F.max("as_of").alias("as_of"), newest.alias("s")).select(*KEY, "s.lo", "s.hi", "as_of", F.col("s.n").alias("n_reports"))
+    """Of ``member, security, owner, lo, hi, as_of``: the sums of the rows of each key's latest date. If ``reports`` has
+    ``sold``, whether all of them are sold; if it has ``extraction``, the worst of them."""
+    level = F.array_position(F.array(*map(F.lit, EXTRACTIONS)), F.col("extraction")).cast("int")
+    more = {"sold": F.bool_and(F.coalesce("sold", F.lit(False))), "extraction": F.get(F.array(*map(F.lit, EXTRACTIONS)), F.max(level) - 1)}
+    more = {c: x.alias(c) for c, x in more.items() if c in reports.columns}
+    newest = F.max_by(F.struct("lo", "hi", "n", *more), "as_of")
+    by_day = reports.groupBy(*KEY, "as_of").agg(F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.count(F.lit(1)).alias("n"), *more.values())
+    return by_day.groupBy(*KEY).agg(F.max("as_of").alias("as_of"), newest.alias("s")).select(*KEY, "s.lo", "s.hi", "as_of", F.col("s.n").alias("n_reports"), *[f"s.{c}" for c in more])
 
 
 def _step(base: Column):  # noqa: ANN202
@@ -51,17 +57,18 @@ def fold(trades: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     ``n_sources`` and ``rejects`` (partial sales of nothing).
 
     ``trades``: ``member, security, owner, side`` (buy or sell), ``partial, lo, hi, traded, filed, ord``; a null owner
-    is self and a null security is left out. Trades go by date, purchases first, then filing date, then ``ord``.
+    is self and a null security is left out. A baseline that is ``sold`` starts as sold. Trades go by date, purchases first, then filing date, then ``ord``.
     """
     event = F.struct("traded", F.when(F.col("side") == "buy", 0).otherwise(1).alias("side"), "filed", "ord", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), F.coalesce("partial", F.lit(False)).alias("partial"))
     rows = trades.where("security is not null").withColumn("owner", F.coalesce("owner", F.lit("self")))
     folded = rows.groupBy(*KEY).agg(F.sort_array(F.collect_list(event)).alias("events"))
     if baseline is None:
-        folded = folded.withColumns({"b_lo": F.lit(None).cast("long"), "b_hi": F.lit(None).cast("long"), "b_as_of": F.lit(None).cast("date")})
+        folded = folded.withColumns({"b_lo": F.lit(None).cast("long"), "b_hi": F.lit(None).cast("long"), "b_as_of": F.lit(None).cast("date"), "b_sold": F.lit(False)})
     else:
-        folded = folded.join(baseline.select(*KEY, F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("as_of").alias("b_as_of")), list(KEY), "full")
+        sold = F.col("sold") if "sold" in baseline.columns else F.lit(False)
+        folded = folded.join(baseline.select(*KEY, F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), F.col("as_of").alias("b_as_of"), sold.alias("b_sold")), list(KEY), "full")
     has = F.col("b_as_of").isNotNull()
-    start = F.struct(F.when(has, "holds").otherwise("none").alias("status"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.col("b_as_of").alias("as_of"), F.when(has, 1).otherwise(0).alias("n_sources"), F.lit(0).alias("rejects")).cast(_STATE)
+    start = F.struct(F.when(has & F.col("b_sold"), "sold").when(has, "holds").otherwise("none").alias("status"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"), F.col("b_as_of").alias("as_of"), F.when(has, 1).otherwise(0).alias("n_sources"), F.lit(0).alias("rejects")).cast(_STATE)
     none = F.array().cast(folded.schema["events"].dataType)
     return folded.select(*KEY, F.aggregate(F.coalesce("events", none), start, _step(F.col("b_as_of"))).alias("p")).select(*KEY, "p.*")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,22 @@ def asof_forward(left: DataFrame, prices: DataFrame, on: str, date: str) -> Data
     return rows.select(*left.columns, hit["p_date"].alias("entry_date"), hit["p_close"].alias("entry"))
 
 
+def exact_snapshot(left: DataFrame, snapshots: Sequence[DataFrame], on: str, date: str) -> DataFrame:
+    """All rows of ``left`` with ``entry``: the close of the very date in the first of the snapshots (each ``on, date,
+    close``) that has one, else null."""
+    ranked = [s.select(on, F.col("date").alias(date), F.col("close").alias("_close"), F.lit(i).alias("_nth")) for i, s in enumerate(snapshots)]
+    known = reduce(DataFrame.unionByName, ranked).where("_close is not null")
+    return left.join(known.groupBy(on, date).agg(F.min_by("_close", "_nth").alias("entry")), [on, date], "left")
+
+
+def price_chain(providers: dict[str, Column]) -> Column:
+    """``close`` and ``source`` of the first provider (a column of closes by name) that answers; ``failure`` names all of
+    them if none does."""
+    source = F.coalesce(*[F.when(c.isNotNull(), name) for name, c in providers.items()])
+    failure = F.when(source.isNull(), "no price from " + ", ".join(providers))
+    return F.struct(F.coalesce(*providers.values()).alias("close"), source.alias("source"), failure.alias("failure"))
+
+
 def latest_close(prices: DataFrame, on: str) -> DataFrame:
     return prices.groupBy(on).agg(F.max_by("close", "date").alias("latest"))
 

@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import positions, pricing
+from tidemark.operators import positions, pricing, resolve
 from tidemark.plans.queries import QUERIES
 from tidemark.streaming import feed
 
@@ -57,3 +57,12 @@ def test_a_sold_baseline_starts_as_sold(spark):
     assert {r.security: (r.lo, r.hi, r.n_reports, r.sold, r.extraction) for r in latest.collect()} == {"A": (8, 10, 2, True, "pdf-text"), "B": (2, 4, 2, False, "pdf-ocr")}
     none = spark.createDataFrame([], "member string, security string, owner string, side string, partial boolean, lo long, hi long, traded date, filed date, ord long")
     assert {r.security: r.status for r in positions.fold(none, latest).collect()} == {"A": "sold", "B": "holds"}
+
+
+def test_names_of_all_lengths_match(spark):
+    names = ["a" * n + " corp" for n in range(1, 301)]
+    universe = spark.createDataFrame([(f"s{i}", f"T{i}", n, i) for i, n in enumerate(names)], "security string, ticker string, name string, ord long")
+    texts = {f"x {names[-1]} y": "s299", f"x {names[0]} y": "s0", "none": None}
+    got = {r.text: r.security for r in resolve.resolve_texts(spark.createDataFrame([(t,) for t in texts], "text string"), universe).collect()}
+    assert got == texts
+    assert [r.security for r in resolve.resolve_texts(spark.createDataFrame([("none",)], "text string"), universe.limit(0)).collect()] == [None]

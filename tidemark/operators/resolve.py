@@ -47,14 +47,14 @@ def resolve_texts(texts: DataFrame, universe: DataFrame, text: str = "text", lea
     """
     asked = texts.select(F.col(text).alias("text")).where("text is not null").distinct()
     names = universe.select("security", "ord", plain_words(F.col("name")).alias("name")).where("name <> ''")
-    lengths = [r.n for r in names.select(F.when(F.length("name") >= least, F.length("name")).otherwise(F.length("name") + 2).alias("n")).distinct().orderBy("n").limit(256).collect()]
+    lengths = [r.n for r in names.select(F.when(F.length("name") >= least, F.length("name")).otherwise(F.length("name") + 2).alias("n")).distinct().orderBy("n").collect()]
     tickers = universe.groupBy("ticker").agg(F.min_by("security", "ord").alias("by_ticker"))
     out = asked.withColumn("ticker", ticker_in(F.col("text"))).join(tickers, "ticker", "left")
     padded = F.concat(F.lit(" "), plain_words(F.col("text")), F.lit(" "))
-    def cut(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - n + 1, F.lit(1))), lambda i: F.substring("p", i, F.lit(n)))
+    def cut(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("p") - n + 1, F.lit(1))), lambda i: F.substring("p", i, n))
 
-    cuts = F.array_distinct(F.flatten(F.array(*map(cut, lengths))))
+    cuts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), cut)))
     patterns = names.select(F.when(F.length("name") >= least, F.col("name")).otherwise(F.concat(F.lit(" "), "name", F.lit(" "))).alias("cut"), F.length("name").alias("n"), "security", "ord")
     hits = asked.select("text", padded.alias("p")).select("text", F.explode(cuts).alias("cut")).join(patterns, "cut")
     best = hits.groupBy("text").agg(F.max_by("security", F.struct("n", -F.col("ord"))).alias("by_name"))

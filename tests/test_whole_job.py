@@ -66,3 +66,10 @@ def test_names_of_all_lengths_match(spark):
     got = {r.text: r.security for r in resolve.resolve_texts(spark.createDataFrame([(t,) for t in texts], "text string"), universe).collect()}
     assert got == texts
     assert [r.security for r in resolve.resolve_texts(spark.createDataFrame([("none",)], "text string"), universe.limit(0)).collect()] == [None]
+
+
+def test_labels_of_large_orders(spark, tmp_path):
+    rows = [(1, 1_000_000.0), (2, 1_600_000.0), (3, 12_400_000.0), (4, 999.0), (5, 50_000.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: r.total for r in QUERIES["k5_k35_k42_labels"](spark, str(tmp_path)).collect()}
+    assert got == {1: "$1M", 2: "$1.6M", 3: "$12M", 4: "$999", 5: "$50K"}

@@ -339,7 +339,7 @@ def w12_news_topk(spark: SparkSession, d: str) -> DataFrame:
   o_orderkey || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS nth, floor(o_totalprice / 7 * 10 + 0.5) / 10 AS tenth FROM orders WHERE o_totalprice < 1000000""")
 def k5_k35_k42_labels(spark: SparkSession, d: str) -> DataFrame:
     total = F.col("o_totalprice")
-    return table(spark, d, "orders").where("o_totalprice < 1000000").select("o_orderkey", K.usd(total).alias("total"), K.ordinal(F.col("o_orderkey")).alias("nth"), K.round_tenth(total / 7).alias("tenth"))
+    return table(spark, d, "orders").select("o_orderkey", K.usd(total).alias("total"), K.ordinal(F.col("o_orderkey")).alias("nth"), K.round_tenth(total / 7).alias("tenth"))
 
 
 @query("""SELECT doc_id, md5(trim(regexp_replace(lower(translate(coalesce(text, ''), 'äöüßéèêçñóí', 'äöüßéèêçñóí')), '[^a-z0-9]+', ' ', 'g'))) AS plain, CASE WHEN length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]', '', 'g')) < 40 THEN true ELSE false END AS scanned,

@@ -79,29 +79,6 @@ def test_query_equals_brute_force(spark, tmp_path, docs, small, monkeypatch):
     assert sorted(got, key=str) == brute(docs)
 
 
-def test_kernel_with_tiny_shards(docs, monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 100)
-    some = [d for d in docs if d[0] is not None]
-    parts = {}
-    for p in range(4):
-        rows = some[p::4]
-        parts[p] = suffix_dedup.Part(pa.chunked_array([pa.array([d for d, _ in rows], pa.int64())]), pa.chunked_array([pa.array([t for _, t in rows])])), rows
-    pick = lambda t, c, v: t.filter(pa.compute.equal(t[c], v))
-    sent = pa.concat_tables([suffix_dedup._send(p, w, 5) for p, (w, _) in parts.items()])
-    judged = pa.concat_tables([suffix_dedup._judge(pick(sent, "to", b)) for b in set(sent["to"].to_pylist())])
-    asked = pa.concat_tables([suffix_dedup._ask(p, w, pick(judged, "to", p), 5) for p, (w, _) in parts.items()])
-    told = pa.concat_tables([judged, *[suffix_dedup._sort(pick(asked, "to", b)) for b in set(asked["to"].to_pylist())]])
-    want = {}
-    for d, _, n, _, _ in brute(some):
-        want.setdefault(d, []).append(n)
-    for p, (w, rows) in parts.items():
-        gone = suffix_dedup._removed(w, pick(told, "to", p))
-        for i, (d, _) in enumerate(rows):
-            assert int(gone[w.at[i] : w.at[i + 1]].sum()) in want[d]
-
-
 def test_clean_keeps_columns_that_clash(spark):
     text = "é" * 40 + " tail that is long enough to be a passage of its own, or so"
     rows = [(1, text, 5), (2, "ab " + text, 6), (3, None, 7), (4, "short", 8)]
@@ -127,41 +104,106 @@ def test_clean_takes_whole_characters(spark):
     assert got == {1: rows[0][1], 2: want} and want.endswith("\ufffd") and max(gone) == len(raw[1]) - 5
 
 
-def _kernel(docs, parts=4, buckets=5):
-    """Removed bytes by document, and the rows that each bucket and shard was sent."""
+def _kernel(docs, parts=4, buckets=5, shards=7):
+    """Removed bytes by document, and what buckets and shards were sent."""
     import pyarrow as pa
 
     rows_of = [docs[p::parts] for p in range(parts)]
-    own = [suffix_dedup.Part(pa.chunked_array([pa.array([d for d, _ in r], pa.int64())]), pa.chunked_array([pa.array([t for _, t in r])])) for r in rows_of]
+
+    def part(p, turned):
+        rows = rows_of[p][::-1] if turned else rows_of[p]
+        ids, texts = pa.array([d for d, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())
+        return suffix_dedup.Part(pa.chunked_array([ids]), pa.chunked_array([texts])), rows
+
     pick = lambda t, v: t.filter(pa.compute.equal(t["to"], v))
-    sent = pa.concat_tables([suffix_dedup._send(p, w, buckets) for p, w in enumerate(own)])
+    sent = pa.concat_tables([suffix_dedup._send(p, part(p, False)[0], buckets) for p in range(parts)])
     judged = pa.concat_tables([suffix_dedup._judge(pick(sent, b)) for b in set(sent["to"].to_pylist())])
-    asked = pa.concat_tables([suffix_dedup._ask(p, w, pick(judged, p), buckets) for p, w in enumerate(own)])
+    # Rows of a part may come in another order when it is read again.
+    asked = pa.concat_tables([suffix_dedup._ask(p, part(p, True)[0], pick(judged, p), buckets, shards) for p in range(parts)])
     told = pa.concat_tables([judged, *[suffix_dedup._sort(pick(asked, b)) for b in set(asked["to"].to_pylist())]])
     gone = {}
-    for p, w in enumerate(own):
-        mask = suffix_dedup._removed(w, pick(told, p))
-        gone |= {d: int(mask[w.at[i] : w.at[i + 1]].sum()) for i, (d, _) in enumerate(rows_of[p])}
-    return gone, sent, asked
+    for p in range(parts):
+        w, rows = part(p, False)
+        mask = suffix_dedup._removed(w, pick(told, p), buckets, shards)
+        for i, (d, _) in enumerate(rows):
+            gone.setdefault(d, []).append(int(mask[w.at[i] : w.at[i + 1]].sum()))
+    return {d: sorted(n) for d, n in gone.items()}, sent, asked
+
+
+def _wanted(docs):
+    out = {}
+    for d, _, n, _, _ in brute(docs):
+        out.setdefault(d, []).append(n)
+    return {d: sorted(n) for d, n in out.items()}
+
+
+@pytest.mark.parametrize("array", [1 << 20, 400, 1])
+def test_kernel_with_tiny_arrays(docs, monkeypatch, array):
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", array)
+    some = [d for d in docs if d[0] is not None]
+    assert _kernel(some)[0] == _wanted(some)
+
+
+def test_equal_hashes_remove_nothing(docs, monkeypatch):
+    """Where all letters hash alike, every string has the same anchor, and bytes alone tell strings apart."""
+    monkeypatch.setattr(suffix_dedup, "_LETTER", np.full(256, 7, np.uint64))
+    some = [d for d in docs if d[0] is not None]
+    for array in (1 << 30, 1):
+        monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", array)
+        assert _kernel(some)[0] == _wanted(some)
 
 
-@pytest.mark.parametrize(("shard", "classes"), [(2 << 20, 8), (4000, 8), (4000, 1), (300, 2), (1 << 20, 1)])
-def test_a_large_anchor_is_split(monkeypatch, shard, classes):
+@pytest.mark.parametrize("array", [1 << 20, 4000, 300])
+def test_a_large_anchor_is_split(monkeypatch, array):
     """One passage between texts that differ in each document: its edges have as many windows as there are documents."""
-    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", shard)
-    monkeypatch.setattr(suffix_dedup, "MOST_CLASSES", classes)
+    monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", array)
     longest = []
     sort = suffix_dedup._least_of_strings
-    monkeypatch.setattr(suffix_dedup, "_least_of_strings", lambda raw, source, length, doc: longest.append(int((length + 1).sum())) or sort(raw, source, length, doc))
+    monkeypatch.setattr(suffix_dedup, "_least_of_strings", lambda raw, length, doc: longest.append(int((length + 1).sum())) or sort(raw, length, doc))
     g = random.Random(5)
     text = lambda n: "".join(g.choice("abcdefgh ") for _ in range(n))
     passage, ends = text(120), [text(60) for _ in range(3)]
     docs = [(i * 7919 % 1000, text(g.randint(20, 60)) + passage + (g.choice(ends)[: g.randint(5, 60)] if i % 3 else "") + text(30)) for i in range(300)]
     gone, sent, asked = _kernel(docs)
-    assert gone == {d: n for d, _, n, _, _ in brute(docs)}
-    assert max(longest, default=0) <= shard
-    if shard == 4000:
-        kinds = set(asked["kind"].to_pylist())
-        assert 7 in kinds
-        h = np.concatenate([suffix_dedup._unpack([d], 4 if k else 3)[0] for k, d in zip(sent["kind"].to_pylist(), sent["data"].to_pylist(), strict=True)])
-        assert np.unique(h, return_counts=True)[1].max() <= 4 * classes
+    assert gone == _wanted(docs)
+    assert max(longest, default=0) <= array + 77
+    # A bucket has one entry for each part that has an anchor.
+    h = np.concatenate([np.cumsum(suffix_dedup._columns(d, 2)[0], dtype=np.uint64) for d in sent["data"].to_pylist()])
+    assert np.unique(h, return_counts=True)[1].max() <= 4
+
+
+def test_long_texts_go_in_spans(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPAN", 200)
+    g = random.Random(9)
+    body = "".join(g.choice("abcdefghijklmnop ") for _ in range(9000))
+    docs = [(5, body), (3, body[4000:4300]), (7, "x" * 30 + body[100:900]), (9, body), (1, body[8990:]), (2, "q" * 5000), (4, "q" * 700)]
+    assert _kernel(docs, parts=2)[0] == _wanted(docs)
+
+
+def test_windows_of_a_text_of_several_mb():
+    """A text beyond every block: each string that occurs twice is found, against a brute force by hash."""
+    g = np.random.default_rng(4)
+    raw = g.integers(97, 123, 5 << 20).astype(np.uint8)
+    raw[3_000_000:3_400_000] = raw[100_000:500_000]
+    raw[[2_999_999, 3_400_000]] = 48
+    text = raw.tobytes().decode()
+    gone, _, _ = _kernel([(1, text[:2_500_000]), (2, text[2_500_000:])], parts=2)
+    assert gone == {1: [0], 2: [400_000]}
+
+
+def test_recursion_is_never_left(monkeypatch):
+    """On two MB of windows the reduced strings have far more names than a byte has, and are sorted the same way."""
+    sizes = []
+    real = suffix.suffix_array
+    monkeypatch.setattr(suffix, "suffix_array", lambda t, letters: sizes.append((len(t), letters)) or real(t, letters))
+    g = np.random.default_rng(2)
+    words_ = [bytes(g.integers(97, 123, int(n)).astype(np.uint8)) + b" " for n in g.integers(2, 9, 3000)]
+    raw = b"".join(words_[i] for i in g.zipf(1.3, 600_000) % 3000)[: 2 << 20]
+    half = len(raw) // 2
+    raw = raw[:half] + raw[: 1 << 19] + raw[half:]
+    t = np.append(np.frombuffer(raw, np.uint8).astype(np.uint16), 0)
+    sa = suffix.suffix_array(t, 256)
+    assert len(sizes) >= 3 and max(k for _, k in sizes) > 4096
+    assert sizes[1][0] <= len(t) // 2 and np.array_equal(np.sort(sa), np.arange(len(t)))
+    for i in g.integers(0, len(sa) - 1, 3000).tolist():
+        assert raw[sa[i] :] < raw[sa[i + 1] :]

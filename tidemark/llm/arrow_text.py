@@ -5,14 +5,14 @@ All kernels work on whole texts. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Byte classes of the word rule ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -43,6 +43,31 @@ def pieces(raw: np.ndarray, at: np.ndarray, most: int = 1 << 18) -> Iterator[tup
         row = last
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: Spark keeps Python workers, and what they once held, from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trim(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of one or two tables (Spark counts its arguments) that hands back its memory when it is done."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return f(table)
+        finally:
+            give_back()
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            give_back()
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))
@@ -115,8 +140,3 @@ def stored(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def text_of(df: DataFrame, column: str = "text") -> F.Column:
-    """A null text is an empty one."""
-    return F.coalesce(df[column], F.lit(""))

@@ -4,25 +4,24 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts in a docu
 string has an anchor, the rightmost least hash of its grams of ``GRAM`` bytes, so equal strings have equal anchors. The
 starts of a document fall into runs with one anchor; a run's bytes are its window (at most 76 bytes). Then
 
-1. parts of the documents send each window's anchor, content hash and least document id, once for each content (the
-   pre-aggregation: copies inside a part are decided there), to a bucket of anchors;
-2. a bucket tells the parts of windows whose anchor has one content only the least id, and asks for the others' bytes;
-3. a shard gets these windows, one for each content, sorts all their suffixes by induced sorting, and computes permuted
-   common prefixes: suffixes in a row with LENGTH bytes in common are one string, whose least id is told to the parts;
-4. the parts remove what starts in a smaller document.
-
-An anchor with more windows than a shard takes (both edges of a passage that many documents share have one) is split:
-a part with more than ``MOST_CLASSES`` contents of an anchor sends the bucket one row for all of them, and the strings
-of LENGTH bytes in its windows are dealt by their own hash, with the least id of the part, in place of the windows. The
-shard of a string's hash tells the parts its least id; 96 bits of hash decide which strings are equal. So neither a
-bucket nor a shard holds a whole anchor.
-
-Texts move once (all steps read one exchange), a task holds one part, bucket or shard, and parts, buckets and shards
-grow in number, not in size. Windows count as equal if their 48-bit hashes and their
-anchors' 48-bit hashes are.
+1. parts of the documents send the hash of each of their anchors once to a bucket of anchors, with the size of its
+   windows;
+2. a bucket tells the parts which of their anchors occur in another document as well (the others' strings are single);
+3. the parts send these anchors' windows to shards: each distinct window of a part once, with its least document id;
+4. a shard sorts all suffixes of its windows by induced sorting, and computes permuted common prefixes: suffixes in a
+   row with LENGTH bytes in common are one string; a part is told which of its strings have a smaller id elsewhere;
+5. the parts remove what starts in a smaller document.
+
+Hashes only say where windows meet: whether strings are equal is decided by their bytes. An anchor with more windows
+than a shard takes (both edges of a passage that many documents share have one) is split: its strings of LENGTH bytes
+are dealt one by one by their own hash, each distinct string of a part once. So no shard holds a whole large anchor.
+
+Texts move once (all steps read one exchange), a task holds one part, bucket or shard, and these grow in number, not in
+size; a text longer than a part is a part, and is worked on in spans.
 
 Null texts are empty; a null id counts as greater than all others; rows with one id are one document and do not remove
-each other's bytes; texts shorter than LENGTH lose nothing; other columns are kept whatever their names.
+each other's bytes; texts shorter than LENGTH lose nothing; an empty table gives no rows; other columns are kept
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,34 +34,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.arrow_text import _power_table, mix, pieces, utf8
+from tidemark.llm.arrow_text import mix, pieces, trim, utf8
 from tidemark.llm.suffix import common_prefixes, suffix_array
 
 LENGTH, GRAM = 50, 24
 _GRAMS = LENGTH - GRAM + 1
-#: Bytes of text in a part, and in a shard's suffix array, about; the least number of parts and buckets.
-PART_BYTES, SHARD_BYTES, LEAST_PARTS = 3 << 20, 2 << 20, 64
-#: Contents of one anchor that a part sends a bucket one by one.
-MOST_CLASSES = 8
+#: Bytes of text in a part, of the texts whose anchors share a bucket, of those whose windows share a shard, and of the
+#: windows in one suffix array, about; the least number of parts, buckets and shards.
+PART_BYTES, BUCKET_BYTES, SHARD_BYTES, ARRAY_BYTES, LEAST_PARTS = 3 << 20, 12 << 20, 3 << 20, 1 << 20, 32
+#: Starts of a long text that are worked on at once.
+SPAN = 1 << 18
 _LETTER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0x9E3779B185EBCA87)]
 _NO_DOC = np.iinfo(np.int64).max
-#: Factors of a string's two hashes, by place.
-_PLACES = mix(np.arange(1, 2 * LENGTH + 1, dtype=np.uint64) * _ODD[1]).reshape(2, LENGTH) | np.uint64(1)
+#: Factors of a string's hash, by place.
+_PLACES = mix(np.arange(1, LENGTH + 1, dtype=np.uint64) * _ODD[1]) | np.uint64(1)
+#: What a bucket says of an anchor: its strings are single, its windows are wanted, or its strings one by one.
+_SINGLE, _WINDOWS, _STRINGS = range(3)
 
 
-def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The runs of starts with one anchor: row, first start, last start, anchor hash and content hash (48 bits each)."""
+def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of starts with one anchor: row, first start, last start, and the anchor's hash (48 bits)."""
     empty = np.zeros(0, np.int64)
     n = len(raw)
     if n < LENGTH:
-        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64)
     one = _LETTER[raw]
     two = one[:-1] * _ODD[0] + one[1:]
+    del one
     four = two[:-2] * _ODD[1] + two[2:]
     eight = four[:-4] * _ODD[2] + four[4:]
     sixteen = eight[:-8] * _ODD[3] + eight[8:]
     g = mix(sixteen[: n - GRAM + 1] * _ODD[4] + eight[16 : n - GRAM + 17])
+    del two, four, eight, sixteen
     least, width = g, 1
     while width * 2 <= _GRAMS:
         least = np.minimum(least[:-width], least[width:])
@@ -79,262 +83,235 @@ def windows(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     event = newest.copy()
     event[1:] |= least[1:] > least[:-1]
     event[first] = True
-    event &= np.cumsum(valid[:-1]).astype(bool)
+    event &= np.cumsum(valid[:-1], dtype=np.int8).astype(bool)
     begin = np.flatnonzero(event)
-    anchor = begin + _GRAMS - 1
-    old = np.flatnonzero(~newest[begin])
-    for i in range(0, len(old), 1 << 16):
-        some = old[i : i + (1 << 16)]
-        same = g[begin[some][:, None] + np.arange(_GRAMS)] == least[begin[some]][:, None]
-        anchor[some] -= np.argmax(same[:, ::-1], axis=1)
     row = np.searchsorted(at, begin, "right") - 1
     end = np.minimum(np.append(begin[1:], n) - 1, at[row + 1] - LENGTH)
-    up, down = _power_table(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(one * up[:n], out=total[1:])
-    content = (total[end + LENGTH] - total[begin]) * down[begin]
-    content = mix(content + (anchor - begin).astype(np.uint64) * _ODD[0] + (end - begin).astype(np.uint64) * _ODD[1])
-    return row, begin, end, g[anchor] >> np.uint64(16), content >> np.uint64(16)
+    return row, begin, end, least[begin] >> np.uint64(16)
+
+
+def _spans(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First row, first byte and offsets of stretches of bounded size; those of a long text overlap, so that every
+    string of LENGTH bytes begins in one of them."""
+    for r0, r1 in pieces(raw, at, SPAN):
+        begin, end = int(at[r0]), int(at[r1])
+        if end - begin <= 2 * SPAN:
+            yield r0, begin, at[r0 : r1 + 1] - begin
+        else:
+            for x in range(begin, end, SPAN):
+                yield r0, x, np.array([0, min(SPAN + LENGTH - 1, end - x)])
 
 
 class Part:
-    """The windows of a part's documents and their classes of equal content."""
+    """The windows of a part's documents."""
 
     def __init__(self, ids: pa.ChunkedArray, texts: pa.ChunkedArray):
         self.raw, self.at = utf8(texts)
         self.doc = ids.combine_chunks().fill_null(_NO_DOC).to_numpy(zero_copy_only=False)
-        found = []
-        for r0, r1 in pieces(self.raw, self.at):
-            row, begin, end, h, content = windows(self.raw[self.at[r0] : self.at[r1]], self.at[r0 : r1 + 1] - self.at[r0])
-            found.append((row + r0, begin + self.at[r0], end + self.at[r0], h, content))
-        row, self.begin, self.end, h, content = (np.concatenate(x) for x in zip(*found, strict=True)) if found else windows(self.raw, self.at)
+        found = [[np.zeros(0, np.int64)] for _ in range(3)] + [[np.zeros(0, np.uint64)]]
+        for r0, x, cut in _spans(self.raw, self.at):
+            row, begin, end, h = windows(self.raw[x : x + cut[-1]], cut)
+            for all_, new in zip(found, (row + r0, begin + x, end + x, h), strict=True):
+                all_.append(new)
+        row, self.begin, self.end, h = map(np.concatenate, found)
         self.owner = self.doc[row]
-        key = _key(h, content)
-        order = np.argsort(key, kind="stable")
-        starts = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else np.zeros(0, np.int64)
-        self.keys = key[order][starts]
-        self.h, self.content = h[order][starts], content[order][starts]
-        self.sample = order[starts]
-        self.least = np.minimum.reduceat(self.owner[order], starts) if len(key) else self.owner
-        self.of = np.empty(len(key), np.int64)
-        self.of[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-
-    def find(self, h: np.ndarray, content: np.ndarray) -> np.ndarray:
-        """The classes of some windows, all of which the part has."""
-        return np.searchsorted(self.keys, _key(h, content))
-
-    def of_anchors(self, h: np.ndarray) -> np.ndarray:
-        """All classes of some anchors."""
-        return np.flatnonzero(np.isin(self.h, h))
-
-    def strings(self, classes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The distinct strings of LENGTH bytes in some classes' windows: two hashes (48 bits each) and the part's least
-        id; the string of each start of each class, and the number of starts by class."""
-        begin = self.begin[self.sample[classes]]
-        n = self.end[self.sample[classes]] - begin + 1
-        start = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        hashes = np.empty((2, len(start)), np.uint64)
-        for i in range(0, len(start), 1 << 14):
-            letters = _LETTER[self.raw[start[i : i + (1 << 14), None] + np.arange(LENGTH)]]
-            for k in range(2):
-                hashes[k, i : i + (1 << 14)] = mix((letters * _PLACES[k]).sum(axis=1, dtype=np.uint64)) >> np.uint64(16)
-        order = np.lexsort((hashes[1], hashes[0]))
-        a, b = hashes[:, order]
-        new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-        first = np.flatnonzero(new)
-        owner = np.repeat(self.least[classes], n)[order]
-        least = np.minimum.reduceat(owner, first) if len(first) else owner
-        of = np.empty(len(start), np.int64)
-        of[order] = np.cumsum(new) - 1
-        return a[first], b[first], least, of, n
-
-
-def _key(h: np.ndarray, content: np.ndarray) -> np.ndarray:
-    return mix(content + h * _ODD[2])
-
-
-def _pack(*columns: np.ndarray) -> bytes:
+        order = np.argsort(h, kind="stable")
+        self.begin, self.end, self.owner, self.h = self.begin[order], self.end[order], self.owner[order], h[order]
+        #: The windows are ordered by anchor; the first window of each anchor, and the end.
+        self.first = np.append(np.flatnonzero(np.append(True, self.h[1:] != self.h[:-1])), len(h)) if len(h) else np.zeros(1, np.int64)
+        self.anchor = self.h[self.first[:-1]]
+
+    def sizes(self) -> np.ndarray:
+        """Of each anchor, twice the bytes of its windows, and one more if it occurs in two documents."""
+        if not len(self.anchor):
+            return np.zeros(0, np.uint64)
+        total = np.add.reduceat(self.end - self.begin + LENGTH, self.first[:-1])
+        least, most = (f.reduceat(self.owner, self.first[:-1]) for f in (np.minimum, np.maximum))
+        return (2 * total + (least < most)).astype(np.uint64)
+
+    def items(self, said: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """What goes to the shards, in the order of its hash: hash, least id and bytes of each distinct window (or
+        string); then the item, first start and owner of each window (string) of the part."""
+        count = np.diff(self.first)
+        whole = np.flatnonzero(np.repeat(said == _WINDOWS, count))
+        split = np.flatnonzero(np.repeat(said == _STRINGS, count))
+        n = self.end[split] - self.begin[split] + 1
+        strings = np.repeat(self.begin[split] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        begin = np.concatenate([self.begin[whole], strings])
+        end = np.concatenate([self.end[whole] + LENGTH, strings + LENGTH])
+        owner = np.concatenate([self.owner[whole], np.repeat(self.owner[split], n)])
+        data = self.raw.tobytes()
+        known: dict[bytes, int] = {}
+        of = np.fromiter((known.setdefault(data[x:y], len(known)) for x, y in zip(begin.tolist(), end.tolist(), strict=True)), np.int64, len(begin))
+        texts = list(known)
+        least = np.full(len(texts), _NO_DOC)
+        np.minimum.at(least, of, owner)
+        h = np.zeros(len(texts), np.uint64)
+        h[of[: len(whole)]] = self.h[whole]
+        if len(split):
+            ones = np.unique(of[len(whole) :])
+            for i in range(0, len(ones), 1 << 13):
+                some = ones[i : i + (1 << 13)]
+                letters = _LETTER[np.frombuffer(b"".join([texts[j] for j in some.tolist()]), np.uint8).reshape(-1, LENGTH)]
+                h[some] = mix((letters * _PLACES).sum(axis=1, dtype=np.uint64)) >> np.uint64(16)
+        # Recomputed in any order of the part's rows, the items come in the same order.
+        order = np.array(sorted(range(len(texts)), key=texts.__getitem__), np.int64)
+        order = order[np.argsort(h[order], kind="stable")]
+        place = np.empty(len(texts), np.int64)
+        place[order] = np.arange(len(texts))
+        return h[order], least[order], [texts[i] for i in order.tolist()], place[of], begin, owner
+
+
+def _planes(*columns: np.ndarray) -> bytes:
     """Columns of 64-bit integers, byte plane by byte plane, which compresses well where high bytes repeat."""
     return b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
 
 
-def _unpack(data: list[bytes], n: int) -> list[np.ndarray]:
-    """``n`` columns of several packed rows, concatenated."""
-    got = [np.frombuffer(d, np.uint8).reshape(n, 8, -1) for d in data]
-    return [np.concatenate([np.ascontiguousarray(g[i].T).reshape(-1).view(np.uint64) for g in got]) if got else np.zeros(0, np.uint64) for i in range(n)]
+def _columns(data: bytes, n: int) -> list[np.ndarray]:
+    planes = np.frombuffer(data, np.uint8).reshape(n, 8, -1)
+    return [np.ascontiguousarray(p.T).reshape(-1).view(np.uint64) for p in planes]
+
+
+def _steps(h: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences."""
+    return np.diff(h, prepend=np.uint64(0))
+
+
+def _deal(h: np.ndarray, places: int) -> np.ndarray:
+    """The place of each hash; ascending as the hashes are."""
+    return ((h >> np.uint64(16)) * np.uint64(places)) >> np.uint64(32)
 
 
 def _cuts(key: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """Value, begin and end of each run of equal keys."""
     if len(key):
         where = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        for k, a, b in zip(key[where].tolist(), where.tolist(), np.append(where[1:], len(key)).tolist(), strict=True):
-            yield k, a, b
+        yield from zip(key[where].tolist(), where.tolist(), np.append(where[1:], len(key)).tolist(), strict=True)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
+_SENT = (["to", "sender", "kind", "data", "bytes"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
+_SENT_SQL = "to int, sender int, kind int, data binary, bytes binary"
 
 
-def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
+def _table(rows: list[tuple]) -> pa.Table:
+    names, types = _SENT
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
     return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-_SENT = (["to", "part", "kind", "data", "bytes"], [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()])
-_SENT_SQL = "to int, part int, kind int, data binary, bytes binary"
+def _send(part: int, own: Part, buckets: int) -> pa.Table:
+    """A part's anchors and their sizes to the buckets."""
+    size = own.sizes()
+    return _table([(b, part, 0, _planes(_steps(own.anchor[i:j]), size[i:j]), b"") for b, i, j in _cuts(_deal(own.anchor, buckets))])
 
 
-def _send(part: int, windows_of: Part, buckets: int) -> pa.Table:
-    """A part's classes to the buckets of their anchors (kind 0); one row for all of an anchor that has many (kind 5)."""
-    order = np.argsort(windows_of.h, kind="stable")
-    h, content, least = windows_of.h[order], windows_of.content[order], windows_of.least[order]
-    if not len(h):
-        return _table([], *_SENT)
-    at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    size = np.diff(np.append(at, len(h)))
-    many = size > MOST_CLASSES
-    ends = [f.reduceat(least, at)[many] for f in (np.minimum, np.maximum)]
-    all_h, n = h[at[many]], size[many]
-    few = ~np.repeat(many, size)
-    h, content, least = h[few], content[few], least[few]
-    rows = [(b, part, 0, _pack(h[i:j], content[i:j], least[i:j].view(np.uint64)), b"") for b, i, j in _cuts(_bucket(h, buckets))]
-    rows += [(b, part, 5, _pack(all_h[i:j], *(x[i:j].view(np.uint64) for x in (*ends, n))), b"") for b, i, j in _cuts(_bucket(all_h, buckets))]
-    return _table(rows, *_SENT)
+def _judge(t: pa.Table) -> pa.Table:
+    """In a bucket: what is said of each part's anchors, in the parts' order (kind 0)."""
+    got = [_columns(d, 2) for d in t["data"].to_pylist()]
+    count = [len(g[0]) for g in got]
+    h = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+    size = np.concatenate([g[1] for g in got])
+    del got
+    order = np.argsort(h, kind="stable")
+    h, size = h[order], size[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    n = np.diff(np.append(first, len(h)))
+    shared = (n > 1) | (np.bitwise_or.reduceat(size, first) & np.uint64(1)).astype(bool)
+    large = np.add.reduceat(size >> np.uint64(1), first) > ARRAY_BYTES
+    said = np.empty(len(h), np.uint8)
+    said[order] = np.repeat(np.where(shared, np.where(large, _STRINGS, _WINDOWS), _SINGLE).astype(np.uint8), n)
+    rows = []
+    for to, sender, i, j in zip(t["sender"].to_pylist(), t["to"].to_pylist(), np.cumsum([0, *count[:-1]]), np.cumsum(count), strict=True):
+        if said[i:j].any():
+            rows.append((to, sender, 0, said[i:j].tobytes(), b""))
+    return _table(rows)
 
 
-def _of_kind(t: pa.Table, kind: int) -> pa.Table:
-    return t.filter(pa.compute.equal(t["kind"], kind))
+def _of_kind(t: pa.Table, kind: int) -> dict[int, bytes]:
+    some = t.filter(pa.compute.equal(t["kind"], kind))
+    return dict(zip(some["sender"].to_pylist(), some["data"].to_pylist(), strict=True))
 
 
-def _received(t: pa.Table, n: int) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
-    data = t["data"].to_pylist()
-    sizes = [len(d) // (8 * n) for d in data]
-    return _unpack(data, n), np.repeat(t["part"].to_numpy(), sizes), t["bytes"].to_pylist()
+def _said(own: Part, told: pa.Table, buckets: int) -> np.ndarray:
+    """What the buckets say of each anchor of a part."""
+    said = np.zeros(len(own.anchor), np.uint8)
+    answers = _of_kind(told, 0)
+    for b, i, j in _cuts(_deal(own.anchor, buckets)):
+        if b in answers:
+            said[i:j] = np.frombuffer(answers[b], np.uint8)
+    return said
 
 
-def _judge(t: pa.Table) -> pa.Table:
-    """In a bucket: the least id for anchors with one content (kind 1), a request for the other shared ones: windows
-    (kind 2; kind 5 for all of an anchor), or strings if the windows are more than a shard (kinds 4 and 6)."""
-    (h, content, doc), part, _ = _received(_of_kind(t, 0), 3)
-    (all_h, low, high, n), all_part, _ = _received(_of_kind(t, 5), 4)
-    whole = np.repeat([False, True], [len(h), len(all_h)])
-    h, content, part = np.append(h, all_h), np.append(content, np.zeros_like(all_h)), np.append(part, all_part)
-    doc, high, n = (np.append(x, y).view(np.int64) for x, y in ((doc, low), (doc, high), (np.ones_like(doc), n)))
-    order = np.lexsort((content, h))
-    h, content, doc, high, n, part, whole = (x[order] for x in (h, content, doc, high, n, part, whole))
-    new_h = np.append(True, h[1:] != h[:-1])
-    new_class = new_h | np.append(True, content[1:] != content[:-1])
-    at = np.flatnonzero(new_h)
-    size = np.diff(np.append(at, len(h)))
-    least, most = np.minimum.reduceat(doc, at), np.maximum.reduceat(high, at)
-    classes = np.add.reduceat(new_class.astype(np.int64), at)
-    one = (classes == 1) & ~np.logical_or.reduceat(whole, at)
-    large = np.add.reduceat(n, at) * (LENGTH + _GRAMS) > SHARD_BYTES
-    least_of, shared, single, split = (np.repeat(x, size) for x in (least, least < most, one, large))
-    asked = shared & ~single
-    rows = []
-    for kind, chosen in ((1, shared & single & (doc > least_of)), (2, asked & ~split & ~whole), (4, asked & split & ~whole), (5, asked & ~split & whole), (6, asked & split & whole)):
-        some = np.flatnonzero(chosen)
-        some = some[np.argsort(part[some], kind="stable")]
-        for p, i, j in _cuts(part[some]):
-            s = some[i:j]
-            rows.append((p, 0, kind, _pack(h[s], content[s], least_of[s].view(np.uint64)), b""))
-    return _table(rows, *_SENT)
-
-
-def _asked(windows_of: Part, told: pa.Table, one: int, all_: int) -> np.ndarray:
-    """The classes that buckets named one by one or by their anchor."""
-    (h, content, _), _, _ = _received(_of_kind(told, one), 3)
-    (all_h, _, _), _, _ = _received(_of_kind(told, all_), 3)
-    return np.append(windows_of.find(h, content), windows_of.of_anchors(all_h)) if len(all_h) else windows_of.find(h, content)
-
-
-def _ask(part: int, windows_of: Part, told: pa.Table, buckets: int) -> pa.Table:
-    """The bytes of the windows that buckets asked for, to the shard of their anchor (kind 0); the hashes of strings, to
-    the shard of their own hash (kind 7)."""
-    own = _asked(windows_of, told, 2, 5)
-    own = own[np.argsort(windows_of.h[own], kind="stable")]
-    h, content = windows_of.h[own], windows_of.content[own]
-    sample = windows_of.sample[own]
-    begin, end = windows_of.begin[sample], windows_of.end[sample] + LENGTH
+def _ask(part: int, own: Part, told: pa.Table, buckets: int, shards: int) -> pa.Table:
+    """The part's windows and strings to the shards."""
+    h, least, texts, _, _, _ = own.items(_said(own, told, buckets))
     rows = []
-    for b, i, j in _cuts(_bucket(h, buckets)):
-        text = b"".join([windows_of.raw[x:y].tobytes() for x, y in zip(begin[i:j].tolist(), end[i:j].tolist(), strict=True)])
-        rows.append((b, part, 0, _pack(h[i:j], content[i:j], windows_of.least[own[i:j]].view(np.uint64), (end - begin)[i:j].astype(np.uint64)), text))
-    if len(split := _asked(windows_of, told, 4, 6)):
-        one, two, least, _, _ = windows_of.strings(split)
-        rows += [(b, part, 7, _pack(one[i:j], two[i:j], least[i:j].view(np.uint64)), b"") for b, i, j in _cuts(_bucket(one, buckets))]
-    return _table(rows, *_SENT)
-
-
-def _meet(t: pa.Table) -> list[tuple]:
-    """In a shard: the least id of each string that came by its hashes (kind 7), for the parts that lack it."""
-    (one, two, doc), part, _ = _received(t, 3)
-    doc = doc.view(np.int64)
-    order = np.lexsort((two, one))
-    one, two, doc, part = one[order], two[order], doc[order], part[order]
-    first = np.flatnonzero(np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])))
-    least = np.repeat(np.minimum.reduceat(doc, first), np.diff(np.append(first, len(one))))
-    some = np.flatnonzero(least < doc)
-    some = some[np.argsort(part[some], kind="stable")]
-    return [(p, 0, 7, _pack(one[s], two[s], least[s].view(np.uint64)), b"") for p, i, j in _cuts(part[some]) for s in [some[i:j]]]
+    for s, i, j in _cuts(_deal(h, shards)):
+        size = np.fromiter(map(len, texts[i:j]), np.uint64, j - i)
+        rows.append((s, part, 1, _planes(_steps(h[i:j]), least[i:j].view(np.uint64), size), b"".join(texts[i:j])))
+    return _table(rows)
 
 
 def _sort(t: pa.Table) -> pa.Table:
-    """In a shard: the least id of every string of LENGTH bytes in its windows (kind 3), and of single strings (kind 7)."""
-    strings, t = _of_kind(t, 7), _of_kind(t, 0)
-    rows = _meet(strings) if len(strings) else []
-    if not len(t):
-        return _table(rows, *_SENT)
-    (h, content, doc, size), part, texts = _received(t, 4)
-    doc, size = doc.view(np.int64), size.astype(np.int64)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
+    """In a shard: for each window of each part, a bit for each start whose LENGTH bytes have a smaller id (kind 1)."""
+    got = [_columns(d, 3) for d in t["data"].to_pylist()]
+    count = [len(g[0]) for g in got]
+    h = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
+    doc = np.concatenate([g[1] for g in got]).view(np.int64)
+    size = np.concatenate([g[2] for g in got]).astype(np.int64)
+    del got
+    data = b"".join(t["bytes"].to_pylist())
     begin = np.cumsum(size) - size
-    order = np.lexsort((content, h))
-    h, content, doc, size, part, begin = (x[order] for x in (h, content, doc, size, part, begin))
-    new = np.append(True, (h[1:] != h[:-1]) | (content[1:] != content[:-1]))
-    first = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
-    least = np.minimum.reduceat(doc, first)
-    length, source = size[first], begin[first]
-    # Shards of whole anchors, each with about SHARD_BYTES of text; no anchor has more.
-    reach = np.cumsum(length + 1)
-    anchors = np.flatnonzero(np.append(True, h[first][1:] != h[first][:-1]))
-    answer: list[np.ndarray] = []
+    order = np.argsort(h, kind="stable")
+    anchors = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+    reach = np.cumsum(size[order] + 1)
+    ends = np.append(anchors[1:], len(h))
+    mask = np.zeros(len(h), np.uint32)
     a = 0
     while a < len(anchors):
-        c0 = int(anchors[a])
-        limit = (reach[c0 - 1] if c0 else 0) + SHARD_BYTES
-        b = max(a + 1, int(np.searchsorted(reach[np.append(anchors[1:], len(first)) - 1], limit, "right")))
-        c1 = int(anchors[b]) if b < len(anchors) else len(first)
-        answer.append(_least_of_strings(raw, source[c0:c1], length[c0:c1], least[c0:c1]))
+        # Whole anchors, with about ARRAY_BYTES of windows; a larger one came as single strings.
+        i = int(anchors[a])
+        b = max(a + 1, int(np.searchsorted(reach[ends - 1], (reach[i - 1] if i else 0) + ARRAY_BYTES, "right")))
+        some = order[i : int(ends[b - 1])]
+        mask[some] = _smaller(data, begin[some], size[some], doc[some])
         a = b
-    told = np.concatenate(answer)
+    rows = []
+    for to, sender, i, j in zip(t["sender"].to_pylist(), t["to"].to_pylist(), np.cumsum([0, *count[:-1]]), np.cumsum(count), strict=True):
+        if mask[i:j].any():
+            rows.append((to, sender, 1, mask[i:j].tobytes(), b""))
+    return _table(rows)
+
+
+def _smaller(data: bytes, begin: np.ndarray, size: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Bits of the starts of each window whose string also stands in a window with a smaller id."""
+    known: dict[bytes, int] = {}
+    of = np.fromiter((known.setdefault(data[x : x + n], len(known)) for x, n in zip(begin.tolist(), size.tolist(), strict=True)), np.int64, len(begin))
+    least = np.full(len(known), _NO_DOC)
+    np.minimum.at(least, of, doc)
+    length = np.fromiter(map(len, known), np.int64, len(known))
+    told = _least_of_strings(np.frombuffer(b"".join(known), np.uint8), length, least)
     n = length - LENGTH + 1
-    told_end = np.cumsum(n)
-    useful = np.minimum.reduceat(told, told_end - n)[of] < doc
-    some = np.flatnonzero(useful)
-    some = some[np.argsort(part[some], kind="stable")]
-    for p, i, j in _cuts(part[some]):
-        s = some[i:j]
-        own = of[s]
-        where = np.repeat(told_end[own] - np.cumsum(n[own]), n[own]) + np.arange(n[own].sum())
-        rows.append((p, 0, 3, _pack(h[s], content[s], n[own].astype(np.uint64)), _pack(told[where].view(np.uint64))))
-    return _table(rows, *_SENT)
-
-
-def _least_of_strings(raw: np.ndarray, source: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    step = np.arange(_GRAMS)
+    out = np.zeros(len(begin), np.uint32)
+    for i in range(0, len(begin), 1 << 14):
+        own = of[i : i + (1 << 14)]
+        place = (np.cumsum(n) - n)[own][:, None] + np.minimum(step, n[own][:, None] - 1)
+        bits = (told[place] < doc[i : i + (1 << 14), None]) & (step < n[own][:, None])
+        out[i : i + (1 << 14)] = (bits * (1 << step)).sum(axis=1)
+    return out
+
+
+def _least_of_strings(raw: np.ndarray, length: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For every start in every window, the least id of the windows that hold its LENGTH bytes."""
     at = np.cumsum(length + 1) - (length + 1)
-    n = int(length.sum() + len(length)) + 1
+    n = len(raw) + len(length) + 1
     inside = np.ones(n, dtype=bool)
     inside[at + length] = inside[-1] = False
-    where = np.repeat(source - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-    letters, coded = np.unique(raw[where], return_inverse=True)
+    letters, coded = np.unique(raw, return_inverse=True)
     t = np.ones(n, np.uint16)  # a window ends with 1, the text with 0
     t[inside] = coded + 2
     t[-1] = 0
+    del coded
     sa = suffix_array(t, len(letters) + 2)
     common = common_prefixes(t, sa, LENGTH)
     starts = length - LENGTH + 1
@@ -344,46 +321,30 @@ def _least_of_strings(raw: np.ndarray, source: np.ndarray, length: np.ndarray, d
     new = common[sa] < LENGTH
     new[0] = True
     least = np.minimum.reduceat(owner[sa], np.flatnonzero(new))
-    out = np.empty(n, np.int64)
-    out[sa] = least[np.cumsum(new) - 1]
-    return out[start]
+    owner[sa] = least[np.cumsum(new) - 1]
+    return owner[start]
 
 
-def _removed(windows_of: Part, told: pa.Table) -> np.ndarray:
+def _removed(own: Part, told: pa.Table, buckets: int, shards: int) -> np.ndarray:
     """A mask of the part's bytes that go."""
-    least = windows_of.least.copy()
-    single = told.filter(pa.compute.equal(told["kind"], 1))
-    (h, content, doc), _, _ = _received(single, 3)
-    if len(h):
-        np.minimum.at(least, windows_of.find(h, content), doc.view(np.int64))
-    change = np.zeros(len(windows_of.raw) + 1, np.int32)
-    whole = np.flatnonzero(least[windows_of.of] < windows_of.owner)
-    np.add.at(change, windows_of.begin[whole], 1)
-    np.subtract.at(change, windows_of.end[whole] + LENGTH, 1)
-    many = told.filter(pa.compute.equal(told["kind"], 3))
-    (h, content, n), _, texts = _received(many, 3)
-    split = _asked(windows_of, told, 4, 6)
-    if len(h) or len(split):
-        (values,) = _unpack(texts, 1)
-        values, n = values.view(np.int64), n.astype(np.int64)
-        given = np.full(len(windows_of.keys), -1)
-        given[windows_of.find(h, content)] = np.cumsum(n) - n
-        if len(split):
-            one, two, own, of, n = windows_of.strings(split)
-            (h, content, doc), _, _ = _received(_of_kind(told, 7), 3)
-            key = _key(one, two)
-            order = np.argsort(key)
-            own[order[np.searchsorted(key, _key(h, content), sorter=order)]] = doc.view(np.int64)
-            given[split] = len(values) + np.cumsum(n) - n
-            values = np.append(values, own[of])
-        some = np.flatnonzero(given[windows_of.of] >= 0)
-        size = windows_of.end[some] - windows_of.begin[some] + 1
-        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        least_here = values[np.repeat(given[windows_of.of[some]], size) + step]
-        begin = (np.repeat(windows_of.begin[some], size) + step)[least_here < np.repeat(windows_of.owner[some], size)]
-        np.add.at(change, begin, 1)
-        np.subtract.at(change, begin + LENGTH, 1)
-    return np.cumsum(change[:-1]) > 0
+    h, least, texts, item, begin, owner = own.items(_said(own, told, buckets))
+    mask = np.zeros(len(h), np.uint32)
+    answers = _of_kind(told, 1)
+    for s, i, j in _cuts(_deal(h, shards)):
+        if s in answers:
+            mask[i:j] = np.frombuffer(answers[s], np.uint32)
+    starts = np.fromiter(map(len, texts), np.int64, len(texts)) - LENGTH + 1
+    change = np.zeros(len(own.raw) + 1, np.int32)
+    # In a document with more than the least id of its window's copies, everything goes.
+    later = np.flatnonzero(owner > least[item])
+    np.add.at(change, begin[later], 1)
+    np.subtract.at(change, begin[later] + starts[item[later]] + LENGTH - 1, 1)
+    marked = np.flatnonzero((mask[item] != 0) & (owner == least[item]))
+    for step in range(_GRAMS):
+        x = begin[marked[(mask[item[marked]] >> np.uint32(step)) & np.uint32(1) == 1]] + step
+        np.add.at(change, x, 1)
+        np.subtract.at(change, x + LENGTH, 1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 _FOUND = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
@@ -391,16 +352,19 @@ _FOUND = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.L
 
 def _of_whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
     """The mask with all bytes of a character that loses one of them."""
-    character = np.cumsum((raw & 0xC0) != 0x80) - 1
-    return np.bincount(character[gone], minlength=int(character[-1]) + 1)[character] > 0 if len(raw) else gone
+    if not len(raw):
+        return gone
+    character = np.cumsum((raw & 0xC0) != 0x80, dtype=np.int32) - 1
+    touched = np.zeros(int(character[-1]) + 1, bool)
+    touched[character[gone]] = True
+    return touched[character]
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_characters: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and ``kept`` (the
     bytes that stay; with ``whole_characters``, without those of characters that lost one)."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    parts = max(LEAST_PARTS, -(-total // PART_BYTES))
-    buckets = max(LEAST_PARTS, -(-total // PART_BYTES))
+    parts, buckets, shards = (max(LEAST_PARTS, -(-total // size)) for size in (PART_BYTES, BUCKET_BYTES, SHARD_BYTES))
     own = len(docs.columns)
     k, x = docs.columns.index(key), docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *_FOUND])
@@ -413,28 +377,31 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", whole_
     def number(t: pa.Table) -> int:
         return t.column(own)[0].as_py()
 
+    @trim
     def send(t: pa.Table) -> pa.Table:
         return _send(number(t), part_of(t), buckets)
 
+    @trim
     def ask(t: pa.Table, told: pa.Table) -> pa.Table:
-        return _ask(number(t), part_of(t), told, buckets) if len(t) and len(told) else _table([], *_SENT)
+        return _ask(number(t), part_of(t), told, buckets, shards) if len(t) and len(told) else _table([])
 
+    @trim
     def remove(t: pa.Table, told: pa.Table) -> pa.Table:
         part = part_of(t)
-        gone = _removed(part, told)
+        gone = _removed(part, told, buckets, shards)
         before = np.concatenate([[False], gone[:-1]])
         before[part.at[:-1][part.at[:-1] < len(gone)]] = False
         sums = [np.concatenate([[0], np.cumsum(v)]) for v in (gone, gone & ~before)]
+        counts = [pa.array(np.diff(part.at)), *[pa.array(s[part.at[1:]] - s[part.at[:-1]]) for s in sums]]
+        del sums, before
         if whole_characters:
             gone = _of_whole_characters(part.raw, gone)
         kept = pa.array([part.raw[i:j][~gone[i:j]].tobytes() for i, j in zip(part.at[:-1].tolist(), part.at[1:].tolist(), strict=True)], pa.binary())
-        counts = [pa.array(np.diff(part.at)), *[pa.array(s[part.at[1:]] - s[part.at[:-1]]) for s in sums]]
         return pa.table([*t.columns[:own], *counts, kept], names=[f"c{i}" for i in range(own + 4)])
 
-    judged = dealt.groupBy("_part").applyInArrow(send, _SENT_SQL).groupBy("to").applyInArrow(_judge, _SENT_SQL)
+    judged = dealt.groupBy("_part").applyInArrow(send, _SENT_SQL).groupBy("to").applyInArrow(trim(_judge), _SENT_SQL)
     asked = dealt.groupBy("_part").cogroup(judged.groupBy("to")).applyInArrow(ask, _SENT_SQL)
-    sorted_ = asked.groupBy("to").applyInArrow(_sort, _SENT_SQL)
-    told = judged.where("kind in (1, 4, 6)").unionByName(sorted_)
+    told = judged.unionByName(asked.groupBy("to").applyInArrow(trim(_sort), _SENT_SQL))
     out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)])
     return dealt.groupBy("_part").cogroup(told.groupBy("to")).applyInArrow(remove, out).toDF(*schema.names)
 

@@ -69,3 +69,45 @@ def test_one_label_or_no_rows(spark, tmp_path):
     assert {r.score for r in QUERIES["op4_toxicity"](spark, str(tmp_path / "a")).collect()} == {1.0}
     write(spark, tmp_path / "b", [], [])
     assert QUERIES["op4_toxicity"](spark, str(tmp_path / "b")).count() == 0
+
+
+def test_scores_equal_trees_and_curve_by_hand(spark, tmp_path):
+    """The query's score is the calibrated probability of the trees, walked node by node, over features counted slowly."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.labelled import remainder
+
+    docs, labels = corpus()
+    write(spark, tmp_path, docs, labels)
+    rows = spark.createDataFrame(docs, "id long, t string")
+    model = toxicity.train(rows, spark.read.parquet(f"{tmp_path}/labels.parquet"), remainder(F.col("id"), 4) != 2)
+
+    def walk(node, f):
+        if node.subtreeDepth() == 0:
+            return node.prediction()
+        split = node.split()
+        return walk(node.leftChild() if f[split.featureIndex()] <= split.threshold() else node.rightChild(), f)
+
+    roots = [t._call_java("rootNode") for t in model.trees.trees]
+    x, y = (np.array(v) for v in (model.curve.boundaries, model.curve.predictions))
+    got = {r.doc_id: r.score for r in QUERIES["op4_toxicity"](spark, str(tmp_path)).where("doc_id is not null").collect()}
+    for i, t in docs:
+        if i is not None and (i % 7 == 0 or i >= 2000):
+            f = toxicity.features(t or "", model.learned)
+            margin = sum(w * walk(r, f) for w, r in zip(model.trees.treeWeights, roots, strict=True))
+            p = 1 / (1 + np.exp(-2 * margin))
+            assert np.isclose(got[i], min(1, max(0, 0.999 * np.interp(p, x, y) + 0.001 * p)), atol=1e-9)
+
+
+def test_lexicon_has_no_cap(spark):
+    """Every one of 3,000 words that only toxic texts have is learned."""
+    g = random.Random(1)
+    own = ["".join(g.choice("abcdefgh") for _ in range(9)) for _ in range(3000)]
+    rows = [(i, " ".join(own), 1) for i in range(4)] + [(i, "plain words here", 0) for i in range(4, 12)]
+    learned = toxicity._lexicon(spark.createDataFrame(rows, "id long, t string, y int"))
+    assert set(own) <= set(learned)
+
+
+def test_capitals_of_other_alphabets():
+    assert toxicity.capitals("ÄÖü Ñandú ПРИвет ABC \U0001d400") == 2 + 1 + 3 + 3

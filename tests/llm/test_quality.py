@@ -79,3 +79,53 @@ def test_one_label_or_no_rows(spark, tmp_path):
     assert {r.score for r in QUERIES["op3_quality"](spark, str(tmp_path / "a")).collect()} == {1.0}
     write(spark, tmp_path / "b", [], [])
     assert QUERIES["op3_quality"](spark, str(tmp_path / "b")).count() == 0
+
+
+def test_scores_equal_enumeration(spark, tmp_path):
+    """The query's score is the length-weighted mean of marginals over all label paths of a document's lines."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.labelled import remainder
+
+    docs, labels = corpus()
+    write(spark, tmp_path, docs, labels)
+    rows = spark.createDataFrame(docs, "id long, t string")
+    model, share = quality.fit(rows, spark.read.parquet(f"{tmp_path}/labels.parquet"), remainder(F.col("id"), 5) != 0)
+    got = {r.doc_id: r.score for r in QUERIES["op3_quality"](spark, str(tmp_path)).where("doc_id is not null").collect()}
+    for i, t in docs[:60]:
+        f, size, _ = quality.line_features(pa.array([t]))
+        e = [float(((x - model.mean) / model.scale) @ model.w[:-1] + model.w[-1]) for x in f]
+        total = good = 0.0
+        for path in itertools.product((0, 1), repeat=len(e)):
+            w = np.exp(sum(v * y for v, y in zip(e, path, strict=True)) + sum(model.transition[a, b] for a, b in itertools.pairwise(path)))
+            total += w
+            good += w * float(size @ np.array(path))
+        assert np.isclose(got[i], good / total / size.sum(), atol=1e-6)
+    assert got[901] == share
+
+
+def test_gradient_equals_differences():
+    g = np.random.default_rng(3)
+    f, first, y = g.normal(size=(12, 3)).astype(np.float32), np.array([0, 5, 5, 6, 12]), np.array([1, 0, 0, 1])
+    plain = quality.Crf(np.zeros(3), np.ones(3), np.zeros(0), np.zeros((2, 2)))
+    theta = g.normal(size=8)
+    got = plain.at(theta).likelihood(y, f, first)
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-5
+        rise = plain.at(theta + step).likelihood(y, f, first)[0] - plain.at(theta - step).likelihood(y, f, first)[0]
+        assert np.isclose(got[1 + k], rise / 2e-5, atol=1e-4)
+
+
+def test_junk_far_down_a_long_text_is_learned(spark):
+    """Bad documents that begin with thousands of good lines: only what comes after tells them apart."""
+    from pyspark.sql import functions as F
+
+    g = random.Random(2)
+    line = lambda: " ".join(g.choice(["the", "river", "was", "wide"]) for _ in range(9)) + ".\n"
+    docs = [(i, "".join(line() for _ in range(600)) + ("$$$ BUY ### || 1234\n" * 900 if i % 2 else line())) for i in range(24)]
+    rows = spark.createDataFrame(docs, "id long, t string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs], "doc_id long, quality int")
+    model, share = quality.fit(rows, labels, F.lit(True))
+    f, _, first = quality.line_features(pa.array(["$$$ BUY ### || 1234\n" * 3, line() * 3]))
+    good = model.lines(f, first)
+    assert good[:3].max() < 0.3 < 0.5 < good[3:].min() and share == 0.5

@@ -1,30 +1,35 @@
 """Document quality by a linear-chain conditional random field over lines.
 
 Each line that is not empty has features of its form and of the lines before and after it; a chain with the labels bad
-and good is fitted to whole labelled documents (each of a document's lines has its label), on at most ``SAMPLE`` of
-them with at most ``SAMPLE_LINES`` lines each. The score of a document is the mean of its lines' marginal probabilities of good,
-by forward and backward passes, weighted by their lengths.
+and good is fitted to at most ``SAMPLE`` whole labelled documents (each of a document's lines has its label). The tasks
+sum the likelihood and its gradient over the sample, and the driver gets one short row from each for a step. The score
+of a document is the mean of its lines' marginal probabilities of good, by forward and backward passes, weighted by
+their lengths.
 
 Labels, language, source and id are no features. A text without lines (null, empty, only white space) scores the
-sample's share of label 1, as does every text if the sample lacks a label (0.5 without rows). Repeated rows score alike;
-an empty table gives no rows; other columns than the id and the text are not read.
+sample's share of label 1, as does every text if the sample lacks a label (0.5 without rows). All lines of a very long
+text count, in the fit and in its score. Rows that share an id all take part in the fit (an id has one label); repeated
+rows score alike; an empty table gives no rows; other columns than the id and the text are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow_text import pieces, utf8, words
+from tidemark.llm.arrow_text import give_back, pieces, stored, utf8, words
 from tidemark.llm.labelled import remainder, sample
 
-SAMPLE, SAMPLE_LINES = 4000, 400
+#: Labelled documents used at most, and the tasks that they are dealt to.
+SAMPLE, TASKS = 4000, 8
 THRESHOLD = 0.3
-STEPS, RATE, RIDGE = 150, 0.15, 1e-3
+#: Steps of the fit at most, the gradients it remembers, and the weight of the penalty.
+STEPS, MEMORY, RIDGE = 40, 8, 1e-3
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -119,51 +124,92 @@ def marginals(emission: np.ndarray, first: np.ndarray, transition: np.ndarray) -
     return good, np.exp(np.minimum(pair, 0)).sum(axis=0) if len(j) else np.zeros((2, 2)), float(z_doc.sum())
 
 
+@dataclass
 class Crf:
-    """Weights of a fitted chain; small enough to go with the tasks."""
+    """A chain's weights; small enough to go with the tasks."""
 
-    def __init__(self, f: np.ndarray, first: np.ndarray, y: np.ndarray):
-        self.mean, self.scale = f.mean(axis=0), f.std(axis=0) + 1e-3
-        x = np.concatenate([(f - self.mean) / self.scale, np.ones((len(f), 1))], axis=1).astype(np.float64)
+    mean: np.ndarray
+    scale: np.ndarray
+    w: np.ndarray
+    transition: np.ndarray
+
+    def emission(self, f: np.ndarray) -> np.ndarray:
+        return ((f - self.mean) / self.scale).astype(np.float64) @ self.w[:-1] + self.w[-1]
+
+    def lines(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
+        return marginals(self.emission(f), first, self.transition)[0]
+
+    def likelihood(self, y: np.ndarray, f: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The log likelihood of documents whose lines have the labels ``y``, and its gradient."""
         line_y = np.repeat(y, np.diff(first)).astype(np.float64)
         inner = np.ones(len(f), dtype=bool)
         inner[first[:-1][np.diff(first) > 0]] = False
-        observed = np.zeros((2, 2))
-        for label in (0, 1):
-            observed[label, label] = (line_y[inner] == label).sum()
-        self.w, self.transition = np.zeros(x.shape[1]), np.zeros((2, 2))
-        docs = max(1, len(y))
-        m = v = np.zeros(len(self.w) + 4)
-        for step in range(1, STEPS + 1):
-            good, pairs, _ = marginals(x @ self.w, first, self.transition)
-            gradient = np.concatenate([x.T @ (line_y - good), (observed - pairs).ravel()]) / docs
-            gradient -= RIDGE * np.concatenate([self.w, self.transition.ravel()])
-            m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
-            move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-            self.w, self.transition = self.w + move[:-4], self.transition + move[-4:].reshape(2, 2)
-
-    def lines(self, f: np.ndarray, first: np.ndarray) -> np.ndarray:
+        observed = np.diag([(line_y[inner] == label).sum() for label in (0, 1)]).astype(np.float64)
+        emission = self.emission(f)
+        good, pairs, z = marginals(emission, first, self.transition)
+        value = emission @ line_y + (observed * self.transition).sum() - z
         x = (f - self.mean) / self.scale
-        return marginals((x @ self.w[:-1] + self.w[-1]).astype(np.float64), first, self.transition)[0]
+        return np.concatenate([[value], x.T @ (line_y - good), [(line_y - good).sum()], (observed - pairs).ravel()])
+
+    def at(self, theta: np.ndarray) -> Crf:
+        return Crf(self.mean, self.scale, theta[:-4], theta[-4:].reshape(2, 2))
+
+
+def maximum(f: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray) -> np.ndarray:
+    """The maximum of a concave function from its values and gradients (limited-memory quasi-Newton steps)."""
+    x = start
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        q, back = g.copy(), []
+        for s, y in reversed(past):
+            back.append((s @ q) / (s @ y))
+            q -= back[-1] * y
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.abs(g).max()))
+        for (s, y), a in zip(past, reversed(back), strict=True):
+            q += s * (a - (y @ q) / (s @ y))
+        step = 1.0
+        while True:
+            new, its = f(x + step * q)
+            if new >= value + 1e-4 * step * (g @ q) or step < 1e-4:
+                break
+            step /= 4
+        if new <= value:
+            break
+        s, y = step * q, g - its
+        if s @ y > 1e-12:
+            past = [*past, (s, y)][-MEMORY:]
+        x, gain, value, g = x + s, new - value, new, its
+        if gain < 1e-7 * abs(value) or np.abs(g).max() < 1e-5:
+            break
+    return x
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", most: int = SAMPLE) -> tuple[Crf | None, float]:
     """A chain and the sample's share of label 1; no chain if it lacks a label. ``docs`` has ``id`` and ``t``."""
-    rows = sample(docs, labels, label, usable, most).select("id", "y", "t")
+    rows = stored(sample(docs, labels, label, usable, most).select("id", "y", "t").repartition(TASKS, "id").sortWithinPartitions("id", "t"))
+    n, ones = rows.agg(F.count("y"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < ones < n:
+        return None, ones / n if n else 0.5
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            f, _, first = line_features(b.column(2))
-            packed = [f[i : min(j, i + SAMPLE_LINES)].astype("<f4").tobytes() for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["id", "y", "f"])
+    def summed(of: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                f, _, first = line_features(b.column(2))
+                yield pa.RecordBatch.from_arrays([pa.array([of(b.column(1).to_numpy(), f, first).tobytes()], pa.binary())], names=["v"])
+
+        return np.sum([np.frombuffer(r.v) for r in rows.mapInArrow(run, "v binary").collect()], axis=0)
+
+    moments = summed(lambda _, f, __: np.stack([np.full(f.shape[1], float(len(f))), f.sum(axis=0, dtype=np.float64), (f.astype(np.float64) ** 2).sum(axis=0)]))
+    lines, total, squares = moments.reshape(3, -1)
+    mean = total / np.maximum(lines, 1)
+    plain = Crf(mean, np.sqrt(np.maximum(squares / np.maximum(lines, 1) - mean**2, 0)) + 1e-3, np.zeros(0), np.zeros((2, 2)))
+
+    def value(theta: np.ndarray) -> tuple[float, np.ndarray]:
+        got = summed(plain.at(theta).likelihood) / n
+        return float(got[0] - RIDGE / 2 * theta @ theta), got[1:] - RIDGE * theta
 
-    got = sorted((r.id, r.y, bytes(r.f)) for r in rows.mapInArrow(run, "id long, y int, f binary").collect())
-    y = np.array([r[1] for r in got])
-    if len(set(y.tolist())) < 2:
-        return None, float(y.mean()) if len(y) else 0.5
-    width = line_features(pa.array(["x"]))[0].shape[1]
-    f = [np.frombuffer(r[2], "<f4").reshape(-1, width) for r in got]
-    return Crf(np.concatenate(f).astype(np.float64), np.concatenate([[0], np.cumsum([len(x) for x in f])]), y), float(y.mean())
+    return plain.at(maximum(value, np.zeros(len(mean) + 5))), ones / n
 
 
 def score(docs: DataFrame, model: Crf | None, share: float) -> DataFrame:
@@ -180,6 +226,7 @@ def score(docs: DataFrame, model: Crf | None, share: float) -> DataFrame:
                 has = weight > 0
                 out[has] = np.clip((good[first[1:]] - good[first[:-1]])[has] / weight[has], 0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["id", "score"])
+            give_back()
 
     return docs.select("id", "t").mapInArrow(run, "id long, score double")
 

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -11,7 +12,7 @@ UPPER = {c: c - 32 for c in range(97, 123)}
 
 def sets(text):
     w = [x for x in "".join(c.lower() if c.isalnum() else " " for c in text or "").split()]
-    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def brute(docs, threshold=0.8):
@@ -25,7 +26,7 @@ def brute(docs, threshold=0.8):
     s = [(d, t, sets(t)) for d, t in docs if d is not None and t]
     for i, (d, t, a) in enumerate(s):
         for e, u, b in s[:i]:
-            if t == u or (a and b and len(a & b) >= threshold * len(a | b)):
+            if t == u or (a and b and (a & b).total() >= threshold * (a | b).total()):
                 x, y = sorted((top(d), top(e)))
                 parent[y] = x
     return {d: top(d) for d in parent}
@@ -48,6 +49,9 @@ def corpus():
         v = list(long)
         v[i] = f"own{i}"
         docs.append((2000 + i, " ".join(v)))
+    # Repeated runs count: the same sets, of which only some have the same weights.
+    base = [g.choice(vocab) for _ in range(20)]
+    docs += [(3000 + n, " ".join(base * n + [g.choice(vocab) for _ in range(2)])) for n in (2, 3, 9, 10, 11)]
     return docs + [(5000, None), (5001, ""), (5002, "!!!"), (5003, "!!!"), (5004, "?"), (None, docs[3][1]), (None, None)]
 
 
@@ -99,3 +103,27 @@ def test_chain_of_bands_and_clashing_columns(spark):
     want = brute([(d, t) for d, t, _ in docs])
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, {*want.values(), None}))
     assert minhash.deduplicate(df.limit(0)).count() == 0
+
+
+def test_weights_decide(spark):
+    """Two texts with the same runs of words are alike only as far as they repeat them alike."""
+    line = " ".join(f"w{i}" for i in range(20)) + " "
+    docs = [(1, line * 2), (2, line * 20), (3, line * 19)]
+    got = {r.id: r.class_id for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) == {1: 1, 2: 2, 3: 2}
+
+
+def test_rows_that_share_an_id_follow_a_stated_order(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "b " + text, "p"), (1, "a " + text, "q"), (1, "c", "r"), (2, None, "s"), (2, None, "s"), (3, "c", "t")]
+    for n in (1, 5):
+        kept = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, x string").repartition(n))
+        assert sorted(map(tuple, kept.collect())) == [(1, "a " + text, "q"), (2, None, "s")]
+
+
+def test_one_very_long_text(spark):
+    g = random.Random(3)
+    w = [f"w{g.randrange(5000)}" for _ in range(1_200_000)]
+    docs = [(1, " ".join(w)), (2, " ".join(w[:-50])), (3, "short text of its own")]
+    got = {r.id: r.class_id for r in minhash.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}

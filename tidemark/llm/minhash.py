@@ -1,6 +1,7 @@
 """Near-duplicate classes by DartMinHash and banded joining.
 
-A document is the set of hashes of its runs of five words (all of its words, if fewer). Darts are thrown at the plane
+A document is the weighted set of hashes of its runs of five words (all of its words, if fewer); the weight of a run is
+the number of times it occurs. Darts are thrown at the plane
 of each element's weight and a rank: an element of weight w catches a Poisson number of darts in each region of ranks,
 drawn from its hash, so equal elements catch equal darts in all documents. Each dart has a coordinate and the earliest
 dart of a coordinate is kept: two documents keep the same one with the probability of their weighted Jaccard
@@ -11,11 +12,13 @@ next class is signed there too, so documents that may be similar always meet in
 Signatures are cut into bands, and documents that agree in a band are candidates. Each band has a centre, with which all
 of the band is compared; those unlike it are then compared with all of the band, in blocks of bounded size that give
 back only what spans their links. So no pairs of a band's near copies are made, yet any two classes that share a band
-have been compared. Candidates are linked if the exact Jaccard similarity of their sets is at least the threshold, and
-linked documents form classes. Copies (equal sequences of words) are one document from the start.
+have been compared. Candidates are linked if their exact weighted Jaccard similarity (the sum of the lesser weights over
+that of the greater ones) is at least the threshold, and linked documents form classes. Copies (equal sequences of words) are one document from the start.
 
 Null and empty texts are alone; texts without words are copies only if equal; rows without an id are alone and have no
-class; rows that share an id are one document. Other columns are kept by ``deduplicate`` whatever their names.
+class; rows that share an id are one document, which is in the bands of all of them, is compared by the least of their
+weighted sets, and keeps the row with the least text. Very long texts are signed whole, as a piece of their own; an
+empty table gives no rows. Other columns are kept by ``deduplicate`` whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow_text import _power_table, grams, mix, pieces, stored, utf8, words
+from tidemark.llm.arrow_text import _power_table, give_back, grams, mix, pieces, stored, utf8, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -38,8 +41,8 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and 48-bit hash of each distinct run of words of each row (fewer than 2**16), sorted by both."""
+def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, 48-bit hash and count of each distinct run of words of each row (fewer than 2**16), sorted by both."""
     n = np.diff(first)
     g = grams(h, SHINGLE)
     row = np.repeat(np.arange(len(n)), n)
@@ -52,8 +55,10 @@ def shingles(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row, g = np.concatenate(rows).astype(np.uint64), np.concatenate(found)
     bits = np.uint64(16)
     key = np.sort((row << (np.uint64(64) - bits)) | (g >> bits))
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    return (key >> (np.uint64(64) - bits)).astype(np.int64), key << bits >> bits
+    new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(new, len(key)))
+    key = key[new]
+    return (key >> (np.uint64(64) - bits)).astype(np.int64), key << bits >> bits, count
 
 
 def _poisson(mean: float) -> np.ndarray:
@@ -99,9 +104,9 @@ def sign(row: np.ndarray, element: np.ndarray, weight: np.ndarray, scale: int, r
         region += 1
 
 
-def band_keys(row: np.ndarray, element: np.ndarray, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def band_keys(row: np.ndarray, element: np.ndarray, weight: np.ndarray, rows: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row and key of every band of every row that has elements."""
-    size = np.bincount(row, minlength=rows)
+    size = np.bincount(row, weight, minlength=rows)
     own = np.floor(np.log2(np.maximum(size, 1))).astype(np.int64)
     out_row, out_key = [], []
     for up in (0, 1):
@@ -111,8 +116,7 @@ def band_keys(row: np.ndarray, element: np.ndarray, rows: int, threshold: float)
             dense = np.full(rows, -1)
             dense[some] = np.arange(len(some))
             mine = dense[row] >= 0
-            e = element[mine]
-            s = sign(dense[row[mine]], e, np.ones(len(e), np.int64), int(scale), len(some), BANDS * ROWS)
+            s = sign(dense[row[mine]], element[mine], weight[mine], int(scale), len(some), BANDS * ROWS)
             key = np.full((len(some), BANDS), np.uint64(scale)) * _ODD[1] + np.arange(BANDS, dtype=np.uint64)
             for i in range(ROWS):
                 key = mix(key * _ODD[2] + s.reshape(len(some), BANDS, ROWS)[:, :, i])
@@ -145,17 +149,28 @@ def _signed(docs: DataFrame, threshold: float) -> DataFrame:
                         pair.append(mix((total[edge[1:]] - total[edge[:-1]]) * down[edge[:-1]] + np.diff(edge).astype(np.uint64)))
                     keys.append(np.where(np.diff(first) > 0, pair[0], pair[1] ^ _ODD[3]).view(np.int64))
                 none = np.diff(cut) == 0
-                row, element = shingles(h, first)
-                band_row, band = band_keys(row, element, n, threshold)
+                band_row, band = band_keys(*shingles(h, first), n, threshold)
                 offsets = np.searchsorted(band_row, np.arange(n + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(r0, n), pa.array(keys[0], mask=none), pa.array(keys[1], mask=none), lists], names=["id", "a", "b", "bands"])
+            give_back()
 
     return docs.mapInArrow(run, "id long, a long, b long, bands array<long>")
 
 
+def weighted_set(g: np.ndarray) -> np.ndarray:
+    """Sorted hashes, one for each occurrence of each run of words: the common ones of two documents are the sum of the
+    lesser weights, so the weighted similarity is that of these sets."""
+    g = np.sort(g)
+    if not len(g):
+        return g
+    new = np.append(True, g[1:] != g[:-1])
+    nth = np.arange(len(g)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return np.unique(np.where(new, g, mix(g + nth.astype(np.uint64) * _ODD[2])))
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """``id`` and the sorted distinct hashes of its runs of words, packed."""
+    """``id`` and its packed weighted set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +178,9 @@ def _sets(docs: DataFrame) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 _, _, h, first = words(raw[at[i] : at[i + 1]], np.array([0, at[i + 1] - at[i]]))
-                g = grams(h, min(SHINGLE, max(1, len(h))))
-                out.append(np.unique(g).tobytes())
+                out.append(weighted_set(grams(h, min(SHINGLE, max(1, len(h))))).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "packed"])
+            give_back()
 
     return docs.mapInArrow(run, "id long, packed binary")
 
@@ -272,7 +287,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     # The document that meets most others in its bands is the centre: the source of near copies is nearest to all.
     meets = shared.groupBy("rep").agg(F.sum("n").alias("w"))
     wanted = meets.select(F.col("rep").alias("id"))
-    sets = stored(_sets(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi")).dropDuplicates(["id"]))
+    sets = stored(_sets(rows.join(wanted.hint("shuffle_hash"), "id", "left_semi")).groupBy("id").agg(F.min("packed").alias("packed")))
     left, right = (sets.select(F.col("id").alias(n), F.col("packed").alias(f"packed_{n}")) for n in "xy")
     known = meets.join(sets.select(F.col("id").alias("rep"), F.octet_length("packed").alias("size")), "rep")
     bands = stored(shared.join(known, "rep").select("band", "rep", "n", "w", "size"))
@@ -284,7 +299,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
     unlike = around.where("n > 2").join(stars, ["x", "y"], "left_anti").select("band", "rep", "size")
     labels = connected(stars.unionByName(stored(_within(unlike, around.select("band", "rep", "size"), sets, threshold))))
     by_rep = copies.join(labels, copies["rep"] == labels["id"], "left").select("a", "b", F.coalesce("label", "rep").alias("class_id"))
-    return signed.select("id", "a", "b").join(by_rep, ["a", "b"], "left").select("id", F.coalesce("class_id", "id").alias("class_id")).withColumn("class_id", F.when(F.col("id").isNotNull(), F.col("class_id")))
+    # Empty texts and rows without an id are alone; as null keys they would meet in one task.
+    alone = signed.where("a is null or id is null").select("id", F.col("id").alias("class_id"))
+    return named.where("a is not null").select("id", "a", "b").join(by_rep, ["a", "b"]).select("id", "class_id").unionByName(alone)
 
 
 def contract(documents: DataFrame) -> DataFrame:
@@ -297,5 +314,6 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     k, x = (f"c{docs.columns.index(c)}" for c in (key, text))
     found = classes(named, k, x, threshold).where("id = class_id").select("id").distinct()
-    kept = named.join(found.hint("shuffle_hash"), named[k].cast("long") == found["id"], "left_semi").dropDuplicates([k])
+    kept = named.join(found.hint("shuffle_hash"), named[k].cast("long") == found["id"], "left_semi")
+    kept = kept.groupBy(F.col(k).alias("_key")).agg(F.min_by(F.struct(*named.columns), F.struct(x)).alias("_row")).select("_row.*")
     return kept.unionByName(named.where(F.col(k).isNull())).toDF(*docs.columns)

@@ -7,17 +7,19 @@ for good, so each place is left at most once for each of its tokens, and the res
 by rank.
 
 Null texts are empty: no tokens, an empty decoded text. Special tokens are found in the raw text first, as the
-tokenizers library does by default. Ties cannot occur; repeated rows are encoded alike; other columns are kept by
-``encode`` and ``decode`` whatever their names.
+tokenizers library does by default. Ties cannot occur; repeated rows are encoded alike; an empty table gives no rows.
+A word takes some bytes of memory for each of its letters, so that a very long one is encoded whole. Other columns are
+kept by ``encode`` and ``decode`` whatever their names: where a table has a column of the new one's name, the new one
+gets an underscore behind it.
 
-Letter classes come from the regex module, the library's from its own Unicode tables: a code point that only one of
-them has assigned may be cut elsewhere.
+Text that is not ASCII is normalized and cut into words by the file's own normalizer and pre-tokenizer, run by the
+tokenizers library, so that both have the same Unicode tables; merges are made here.
 """
 
 from __future__ import annotations
 
 import json
-import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,11 +29,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from tidemark.llm.arrow_text import pieces, utf8
+from tidemark.llm.arrow_text import give_back, pieces, utf8
 
-#: Entries of a cache of a Python worker; it is emptied when full, so memory is bounded.
-CACHE = 300_000
+#: Entries of a cache of a Python worker, which is emptied when full, and letters of what it holds at most: some 50 MB.
+CACHE, CACHED_LETTERS = 150_000, 64
 #: Bytes (or ids) of texts that are worked on at once, about.
 PIECE = 2 << 20
 _END = 256
@@ -77,7 +80,9 @@ class Bpe:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         kinds = {n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])}
-        self.lower, self.nfc = "Lowercase" in kinds, "NFC" in kinds
+        self.lower = "Lowercase" in kinds
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.cutter = library.normalizer, library.pre_tokenizer
         pre = spec["pre_tokenizer"]
         if pre["type"] == "Sequence":
             self.pattern = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"])
@@ -108,10 +113,16 @@ class Bpe:
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
+        of: dict[str, int] = {}
         for token, i in vocab.items():
             if i not in self.parts or self._apart(*self.parts[i][:2], self.parts[i][2]):
-                s = symbols(token)
-                self.automaton.add_word(s, (i, len(s)))
+                of[symbols(token)] = i
+        #: Letters of each token, and the longest token that it begins with.
+        self.length, self.shorter = [0] * self.size, [-1] * self.size
+        for s, i in of.items():
+            self.automaton.add_word(s, i)
+            self.length[i] = len(s)
+            self.shorter[i] = next((of[s[:n]] for n in range(len(s) - 1, 0, -1) if s[:n] in of), -1)
         self.automaton.make_automaton()
         self._words: dict[str, bytes] = {}
         self._chunks: dict[str, bytes] = {}
@@ -162,59 +173,58 @@ class Bpe:
             fits = self._fits[cell] = self._apart(a, b)
         return fits
 
-    def encode_symbols(self, s: str) -> list[int]:
-        n = len(s)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for last, (token, length) in self.automaton.iter(s):
-            starts[last - length + 1].append((token, last + 1))
-        tokens: list[int] = []
-        back: list[tuple[int, int]] = []
-        dead: set[int] = set()
-        at, fits = 0, self.compatible
-        choice = len(starts[0]) - 1
+    def encode_symbols(self, s: str) -> array:
+        n, length, shorter, fits = len(s), self.length, self.shorter, self.compatible
+        longest, dead = array("i", [-1]) * n, bytearray(n + 1)
+        for last, token in self.automaton.iter(s):
+            longest[last - length[token] + 1] = token  # a longer one ends later
+        tokens = array("I")
+        at, token = 0, longest[0]
         while True:
-            options = starts[at]
-            while choice >= 0:
-                token, end = options[choice]
-                if end not in dead and (not tokens or fits(tokens[-1], token)):
+            while token >= 0:
+                end = at + length[token]
+                if not dead[end] and (not tokens or fits(tokens[-1], token)):
                     break
-                choice -= 1
-            if choice >= 0:
+                token = shorter[token]
+            if token >= 0:
                 tokens.append(token)
-                back.append((at, choice))
                 at = end
                 if at == n:
                     return tokens
-                choice = len(starts[at]) - 1
+                token = longest[at]
             else:
-                dead.add(at)
-                tokens.pop()
-                at, choice = back.pop()
-                choice -= 1
+                dead[at] = 1
+                token = tokens.pop()
+                at -= length[token]
+                token = shorter[token]
 
     def _word(self, word: str) -> bytes:
         out = self._words.get(word)
         if out is None:
-            if len(self._words) > CACHE:
-                self._words.clear()
             s = word.encode("utf-8").decode("latin-1")
             if self.suffix:
                 s = s[:-1] + chr(ord(s[-1]) + _END)
-            out = self._words[word] = np.array(self.encode_symbols(s), dtype="<u4").tobytes()
+            out = self.encode_symbols(s).tobytes()
+            if len(word) <= CACHED_LETTERS:
+                if len(self._words) > CACHE:
+                    self._words.clear()
+                self._words[word] = out
         return out
 
     def _chunk(self, chunk: str) -> bytes:
         """A part of a text that no pre-token crosses."""
         out = self._chunks.get(chunk)
         if out is None:
-            if len(self._chunks) > CACHE:
-                self._chunks.clear()
-            text = chunk
-            if self.nfc and not text.isascii():
-                text = unicodedata.normalize("NFC", text)
-            if self.lower:
-                text = text.replace("Σ", "σ").lower()  # each letter alone: no final sigma
-            out = self._chunks[chunk] = b"".join(map(self._word, self.pattern.findall(text)))
+            if chunk.isascii():
+                found = self.pattern.findall(chunk.lower() if self.lower else chunk)
+            else:
+                text = self.normalizer.normalize_str(chunk) if self.normalizer else chunk
+                found = [text[i:j] for _, (i, j) in self.cutter.pre_tokenize_str(text)]
+            out = b"".join(map(self._word, found))
+            if len(chunk) <= CACHED_LETTERS:
+                if len(self._chunks) > CACHE:
+                    self._chunks.clear()
+                self._chunks[chunk] = out
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -224,7 +234,7 @@ class Bpe:
             get, chunk = self._chunks.get, self._chunk
             return b"".join([get(c) or chunk(c) for c in text.split()])
         if _LOOSE_SPACE.search(text):
-            return b"".join(map(self._word, self.pattern.findall(text)))
+            return self._chunk(text)
         # No pre-token crosses the place before a space that a visible character follows.
         first, *rest = text.split(" ")
         get, spaced = self._chunks.get, self._spaced
@@ -253,6 +263,14 @@ class Bpe:
         return self.decimal.gather(ids)[:-1]
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """The name, with as many underscores as no column of the table has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 @lru_cache(maxsize=4)
 def load(path: str) -> Bpe:
     """One model for each Python worker and path."""
@@ -265,7 +283,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     Rows go through in pieces of bounded bytes, so a worker's memory does not follow the batches' sizes.
     """
     place = df.columns.index(text)
-    more = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    names = [free_name(df.columns, n) for n in (ids, decoded) if n]
+    more = [T.StructField(n, t) for n, t in zip(names, (T.ArrayType(T.IntegerType(), False), T.StringType()), strict=False)]
     schema = T.StructType([*df.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,6 +298,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
                 if decoded:
                     own.append(pa.array([model.decode(g).decode() for g in got], pa.string()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[f.name for f in schema.fields])
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -286,7 +306,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """All columns of ``df`` and the text of its token ids; null ids give an empty text."""
     place = df.columns.index(ids)
-    schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(free_name(df.columns, text), T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(path)

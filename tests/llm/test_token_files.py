@@ -1,8 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidemark.llm import token_files
@@ -56,3 +58,30 @@ def test_empty_table_and_repeated_keys(spark, tmp_path):
     assert [(r.doc_id, r.start, r.n_tokens) for r in got] == [(None, 0, 2), (1, 2, 2), (1, 4, 2), (1, 6, 2)]
     token_files.write(df.limit(0), str(tmp_path / "b"), P.path("byte_bpe_50k.json"), 0)
     assert token_files.contract(token_files.read(spark, str(tmp_path / "b"))).count() == 0
+
+
+def test_many_texts_equal_the_library():
+    own = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    t.no_truncation()
+    g = random.Random(7)
+    bits = [" ", "  ", "\n", "\t", "\u00a0", "word", "it's", "it 's", "12", "é", "漢字", "!?", "<|endoftext|>", "\u0378", "\x1c", "a" * 90, "\u2028"]
+    texts = ["".join(g.choice(bits) for _ in range(g.randrange(40))) for _ in range(3000)] + [x or "" for x in TEXTS]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    for step in (1, 7, 5000):
+        assert [i for r in range(0, len(texts), step) for i in own.encode_all(texts[r : r + step])] == want
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE", 20)
+    own = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    for i in range(50):
+        own.encode(f"some{i} words{i} here " + "x" * 500)
+    assert len(own.known) <= 24 and max(map(len, own.known)) <= token_files.CACHED_LETTERS
+
+
+def test_files_beyond_five_digits_go_by_number(spark):
+    names = ["part-99999-a.parquet", "part-100000-a.parquet", "part-00001-a.parquet"]
+    rows = spark.createDataFrame([(i, 10 ** (2 - i), n, 0) for i, n in enumerate(names)], "doc_id long, n_tokens long, file_name string, row_index long")
+    table = rows.select("doc_id", "n_tokens", F.struct("file_name", "row_index").alias("_metadata"))
+    assert {r.doc_id: r.start for r in token_files.offsets(table).collect()} == {2: 0, 0: 1, 1: 101}

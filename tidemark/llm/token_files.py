@@ -4,13 +4,14 @@ A table of token files holds one row for each document in ascending order of its
 ``doc_id`` and ``n_tokens`` (delta encoded under the version 2 writer), and ``ids`` (a list, dictionary encoded). Row
 groups and pages have set sizes and every page has an index entry, so that ids of few documents or the metadata alone
 can be read without the rest. Every document ends with the end id, so an empty or null text has one token.
-Repeated keys keep all their rows, in the order of their texts; an empty table gives no files' rows. Only the key and
-text columns are read, so other columns cannot clash.
+Repeated keys keep all their rows, in the order of a hash of their texts; an empty table gives no files' rows; a very long text is
+one row. Only the key and text columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,39 +20,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidemark.llm.bpe import byte_letters
+from tidemark.llm.arrow_text import give_back
 
+#: Text of a file, about, and words that a worker remembers the ids of, with the letters of such a word at most.
+FILE_BYTES, CACHE, CACHED_LETTERS = 64 << 20, 150_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
 class Encoder:
-    """A byte-level BPE file of the tokenizers library, run by tiktoken: it gives the same ids in a quarter of the time.
+    """A byte-level BPE file, run by the tokenizers library over pieces of the text.
 
-    Such a file's ids are its merge ranks, and its pre-tokenizer's pattern is fixed, so the token bytes with their ids
-    are all that the encoder needs. Special tokens in a text become their ids, as the library does by default.
+    No pre-token of such a file crosses the place before a blank that stands between two visible letters, and no special
+    token has a blank inside, so a text is cut there; the library encodes each distinct piece once for as long as it is
+    remembered. Special tokens in a text become their ids, as the library does by default.
     """
 
-    #: The fixed pattern of the byte-level pre-tokenizer.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    #: A blank that begins a piece.
+    _CUT = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab, letters = spec["model"]["vocab"], byte_letters()
-        merged = [vocab[a + b] for a, b in spec["model"]["merges"]]
-        if merged != sorted(merged):
-            raise ValueError("ids must follow the merges")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in self.special}
-        self.encoding = tiktoken.Encoding("byte_level", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.allowed = set(self.special)
+        if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"] or any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+            raise ValueError("not a plain byte-level file, or a special token with blanks")
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        cut = [[p if not i else " " + p for i, p in enumerate(self._CUT.split(t))] if t else [] for t in texts]
+        new = list({p for parts in cut for p in parts if p not in self.known})
+        ids = [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        fresh, known = dict(zip(new, ids, strict=True)), self.known.get
+        out = [b"".join([known(p) or fresh[p] for p in parts]) for parts in cut]
+        if len(self.known) + len(fresh) > CACHE:
+            self.known.clear()
+        self.known |= {p: i for p, i in fresh.items() if len(p) <= CACHED_LETTERS}
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        return self.encoding.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -66,17 +78,20 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _cached(tokenizer)
         for b in batches:
-            got = [encoder.encode(t.as_py() or "") + end for t in b.column(1)]
+            got = [i + end for r in range(0, b.num_rows, 256) for i in encoder.encode_all([t or "" for t in b.column(1).slice(r, 256).to_pylist()])]
             n = np.array([len(g) // 4 for g in got], dtype=np.int64)
             flat = np.frombuffer(b"".join(got), dtype="<i4")
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
+            give_back()
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text"))
+    # The files' number follows the text; a repeated key is cut by hashes of its texts.
+    total = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    rows = df.select(df[key].cast("long").alias("doc_id"), df[text].alias("text")).withColumn("_h", F.xxhash64("text"))
     (
-        rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
+        rows.repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text").select("doc_id", "text").mapInArrow(run, SCHEMA)
         .write.option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes).option("parquet.page.size", page_bytes)
         .option("parquet.enable.dictionary#ids.list.element", "true").option("parquet.enable.dictionary#doc_id", "false").option("parquet.enable.dictionary#n_tokens", "false")
         .option("compression", "zstd").parquet(path)
@@ -93,7 +108,8 @@ def offsets(table: DataFrame) -> DataFrame:
     metadata columns only. Files are summed one by one, then rows within each file, so no task sees all rows."""
     rows = table.select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row_index"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    # A part's number has five digits at least: names order as their numbers only after they are read as numbers.
+    before = Window.orderBy(F.regexp_extract("file", r"^part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("file_start"))
     inside = Window.partitionBy("file").orderBy("row_index").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(files, "file").select("doc_id", "n_tokens", "file", "row_index", (F.col("file_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("start"))

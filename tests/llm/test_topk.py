@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 
 from tidemark.llm import topk
 from tidemark.llm.queries import QUERIES
@@ -35,3 +36,15 @@ def test_many_blocks_and_few_rows(spark, monkeypatch):
     assert got == brute(rows, every=7)
     assert topk.contract(df.where("vec_id < 3")).count() == 2
     assert topk.contract(df.limit(0)).count() == 0
+
+
+def test_components_of_any_size(spark):
+    """Products beyond 64 bits are neither cut nor wrapped; the best scores of these rows fit."""
+    big = 3e38
+    rows = [(0, [big, 1.0]), (1, [0.0, 1.0]), (2, [0.0, 2.0]), (3, [-big, 5.0]), (4, [-big, 9.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    known = df.where("vec_id not in (0, 50)").select("vec_id", topk.quantized(df["embedding"]).alias("v"))
+    got = sorted(tuple(r) for r in topk.search(known.where("vec_id in (1, 2)"), known, 2, "v", "vec_id").select("query_id", "rank", "vec_id", "score").collect())
+    assert got == [r for r in brute([r for r in rows if r[0] not in (0, 50)], k=2, every=1) if r[0] in (1, 2)]
+    q, c = (pa.table({"id": pa.array([i for i, _ in part]), "v": pa.array([v for _, v in part], pa.list_(pa.float64()))}) for part in ([(9, [2.0**70, 1.0])], [(1, [-(2.0**70), 3.0]), (2, [0.0, 7.0]), (3, [0.0, 5.0])]))
+    assert topk.cell(q, c, 2).to_pylist() == [{"query_id": 9, "vec_id": 2, "score": 7}, {"query_id": 9, "vec_id": 3, "score": 5}]

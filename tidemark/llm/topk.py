@@ -7,7 +7,9 @@ cell have bounded sizes and nothing is broadcast or collected.
 
 Vectors that are null, or hold a null or non-finite component, and rows with a null id take no part. Ties go to the
 smaller id, a repeated row counts as often as it occurs, a query's own id is no candidate, missing trailing components
-count as zero, and an empty table gives no rows.
+count as zero, and an empty table gives no rows. Scores are exact whole numbers: a cell whose largest score may need more
+than 62 bits is scored in Python's integers, which have no bound, and a best score that is no 64-bit number raises. Only
+the id and the vector are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -26,17 +28,20 @@ _NONE = -(1 << 62)
 
 
 def quantized(vector: Column, scale: int = 256) -> Column:
-    """floor(scale * x) of each component, x as double; null where the vector takes no part."""
+    """floor(scale * x) of each component, x as double; null where the vector takes no part. Whole numbers are given as
+    doubles, which hold the result exactly however large it is."""
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(whole, F.transform(vector, lambda x: F.floor(x.cast("double") * scale).cast("long")))
+    scaled = lambda x: x.cast("double") * scale
+    # Doubles from 2**53 on are whole already; floor() would cut them to 64 bits.
+    return F.when(whole, F.transform(vector, lambda x: F.when(F.abs(scaled(x)) < 2.0**53, F.floor(scaled(x)).cast("double")).otherwise(scaled(x))))
 
 
 def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    """Rows of lists as a term-major matrix, zero where a list is shorter."""
+    """Rows of lists as a term-major matrix of doubles, zero where a list is shorter."""
     lists = column.combine_chunks()
     at = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    out = np.zeros((width, len(lists)), np.int64)
+    flat = lists.values.to_numpy(zero_copy_only=False).astype(np.float64)
+    out = np.zeros((width, len(lists)))
     n = np.diff(at)
     row = np.repeat(np.arange(len(n)), n)
     out[np.arange(len(flat[at[0] : at[-1]])) - np.repeat(at[:-1] - at[0], n), row] = flat[at[0] : at[-1]]
@@ -50,6 +55,10 @@ def cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
         q_id, c_id = queries["id"].to_numpy(), candidates["id"].to_numpy()
         width = max(int(np.diff(t["v"].combine_chunks().offsets.to_numpy()).max()) for t in (queries, candidates))
         q, c = _matrix(queries["v"], width), _matrix(candidates["v"], width)
+        most = float((np.abs(q).max(axis=1) * np.abs(c).max(axis=1)).sum()) if width else 0.0
+        if not most < 2.0**62:
+            return _wide(q_id, q, c_id, c, k)
+        q, c = q.astype(np.int64), c.astype(np.int64)
         postings = [(np.flatnonzero(t), t[t != 0]) for t in c]
         n = len(c_id)
         for start in range(0, len(q_id), _AT_ONCE):
@@ -78,9 +87,27 @@ def cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2]})
 
 
+def _wide(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k: int) -> pa.Table:
+    """The same by unbounded integers, query by query and term by term."""
+    whole = lambda v: np.array([int(x) for x in v], dtype=object)
+    terms = [whole(t) for t in c]
+    rows: list[tuple[int, int, int]] = []
+    for n, i in enumerate(q_id.tolist()):
+        scores = whole(np.zeros(len(c_id)))
+        for term, weight in zip(terms, q[:, n], strict=True):
+            if weight:
+                scores += int(weight) * term
+        best = sorted((-s, j) for s, j in zip(scores.tolist(), c_id.tolist(), strict=True) if j != i)[:k]
+        rows += [(i, j, -s) for s, j in best]
+    if any(not -(1 << 63) <= s < 1 << 63 for _, _, s in rows):
+        raise OverflowError("a best score is no 64-bit number")
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
+    return pa.table([pa.array(x, pa.int64()) for x in columns], names=["query_id", "vec_id", "score"])
+
+
 def search(queries: DataFrame, candidates: DataFrame, k: int, vector: str, key: str) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of the k best candidates of every query; vectors are
-    arrays of integers."""
+    arrays of whole numbers (integers or doubles)."""
 
     def side(df: DataFrame) -> DataFrame:
         return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")

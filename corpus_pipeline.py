@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, minhash, suffix_dedup, toxicity
-from tidemark.llm.arrow_text import stored
 from tidemark.llm.labelled import remainder
 from tidemark.llm.queries import table, vocabulary
+from tidemark.shared import stored
 from tidemark.shipping import ship
 
 #: No SQL expresses boosted trees.

@@ -63,10 +63,21 @@ def test_query_equals_brute_force(spark, tmp_path, cases):
     assert sorted(got, key=str) == brute(*cases)
 
 
-def test_join_gives_the_same(spark, cases):
+def test_blocks_of_a_large_benchmark_give_the_same(spark, cases):
     docs, items = frames(spark, cases)
     key = lambda df: sorted(map(str, df.select("doc_id", "n_words", "n_hit", "items").collect()))
-    assert key(decontaminate.mark(docs, items, broadcast_bytes=0)) == key(decontaminate.mark(docs, items))
+    whole = key(decontaminate.mark(docs, items))
+    for size in (100, 700):
+        assert key(decontaminate.mark(docs, items, block_bytes=size)) == whole
+
+
+def test_a_very_long_text(spark):
+    g = random.Random(1)
+    w = [f"w{g.randrange(10**5)}" for _ in range(700_000)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, "short")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w[650_000:650_030])), (2, " ".join(w[:9]) + " else")], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontaminate.mark(docs, items).collect()}
+    assert got == {1: (700_000, 30, [1]), 2: (1, 0, [])}
 
 
 def test_clean_keeps_columns_that_clash(spark, cases):

@@ -1,4 +1,4 @@
-"""Text columns of Arrow batches as bytes, and the names of shared folders.
+"""Text columns of Arrow batches as bytes.
 
 All kernels work on whole texts. A null text counts as an empty one.
 """
@@ -6,13 +6,11 @@ All kernels work on whole texts. A null text counts as an empty one.
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
 
 #: Byte classes of the word rule ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -121,22 +119,3 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
         out *= _BASE
         out += h[i : i + n]
     return mix(out + np.uint64(k))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors and the driver share.
-
-    The setting is read from the session; where it is unset, as in tests, one below the warehouse is set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: its lineage ends there, and a lost executor costs nothing."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

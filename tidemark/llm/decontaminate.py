@@ -5,31 +5,34 @@ words that a document shares with an item lie over the same six hashes in both,
 fingerprints are extended, word by word, to the whole common span; spans of ten words or more are hits. An item of one
 to nine words is a single window: its one hash of all its words is looked up among the document's.
 
-A benchmark of at most ``BROADCAST_BYTES`` is sent to all tasks and each document is matched where it is read, without a
-shuffle. A larger one is joined to the documents by fingerprint, and the candidate pairs are verified.
+The benchmark is dealt into blocks of about ``BLOCK_BYTES`` of text. The fingerprints of a block are sent to all tasks
+and joined to a document's own where it is read, without a shuffle; a larger benchmark is more blocks, one after the
+other, so what is sent at once does not grow with it.
 
 Words are lower-cased by A-Z only and keep every non-ASCII character. Null and empty texts have no words, items without
-words or with a null id are never found, equal items all count by their ids, repeated rows are judged alike, and any
-other columns of the documents are kept.
+words or with a null id are never found, equal items all count by their ids, repeated rows are judged alike, a very long
+text is matched whole, an empty table gives no rows, and any other columns of the documents are kept.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.arrow_text import grams, pieces, utf8, words
+from tidemark.llm.arrow_text import give_back, grams, pieces, utf8, words
 
 #: Words of a window, of a fingerprint's gram, and grams of which one is kept.
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
-#: Text of a benchmark that is broadcast at most.
-BROADCAST_BYTES = 32 << 20
+#: Text of a block of the benchmark, about.
+BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 22
 
 
@@ -140,87 +143,56 @@ class Index:
 
 
 _FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType(), False))]
+_SO_FAR = [T.StructField("_mask", T.BinaryType()), T.StructField("_items", T.ArrayType(T.LongType(), False))]
+#: The last index that a worker has made, by the block's name.
+_ready: dict[str, Index] = {}
 
 
-def _matched(docs: DataFrame, text: str, index) -> DataFrame:  # noqa: ANN001
-    place = docs.columns.index(text)
-    schema = T.StructType([*docs.schema.fields, *_FOUND])
+def _index(name: str, sent: Broadcast) -> Index:
+    if name not in _ready:
+        _ready.clear()
+        _ready[name] = Index(sent.value)
+    return _ready[name]
+
+
+def _matched(docs: DataFrame, place: int, own: int, sent: Broadcast, last: bool) -> DataFrame:
+    """The first ``own`` columns of ``docs`` with the hits of a block, added to those of the blocks before."""
+    name = uuid.uuid4().hex
+    schema = T.StructType([*docs.schema.fields[:own], *(_FOUND if last else _SO_FAR)])
+    later = len(docs.columns) > own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = index()
+        index = _index(name, sent)
         for b in batches:
-            n, hits, items = [], [], []
-            for count, hit, found in ready.match(b.column(place)):
+            before = zip(b.column(own).to_pylist(), b.column(own + 1).to_pylist(), strict=True) if later else ((None, ()) for _ in range(b.num_rows))
+            n, masks, items = [], [], []
+            for (count, hit, found), (mask, had) in zip(index.match(b.column(place)), before, strict=True):
                 n.append(count)
-                hits.append(int(hit.sum()))
-                items.append(sorted(found))
-            own = [pa.array(n, pa.int64()), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[f.name for f in schema.fields])
+                masks.append(hit | np.unpackbits(np.frombuffer(mask, np.uint8), count=count).astype(bool) if mask is not None else hit)
+                items.append(sorted(found | set(had)))
+            listed = pa.array(items, pa.list_(pa.int64()))
+            new = [pa.array(n, pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), listed] if last else [pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), listed]
+            yield pa.RecordBatch.from_arrays([*b.columns[:own], *new], names=[f.name for f in schema.fields])
+            give_back()
 
     return docs.mapInArrow(run, schema)
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of ``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted ids of items with occurring windows).
 
     ``benchmark`` has ``item_id`` and ``text``.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null and item_text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + 16), F.lit(0))).first()[0]
-    if size > broadcast_bytes:
-        return _joined(docs, items, text)
-    sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.item_text) for r in items.collect()])
-    return _matched(docs, text, lambda: Index(sent.value))
-
-
-def _joined(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
-    """The same for a benchmark of any size: fingerprints of both sides are joined, the pairs verified."""
-
-    def prints(df: DataFrame, keys: str, shorts: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                raw, at = utf8(b.column(1))
-                for r0, r1 in pieces(raw, at):
-                    _, _, h, first = words(raw[at[r0] : at[r1]], at[r0 : r1 + 1] - at[r0])
-                    where, found = _fingerprints(h, first)
-                    row, out, size = [np.searchsorted(first, where, "right") - 1], [found], [np.zeros(len(found), np.int32)]
-                    length = np.diff(first)
-                    for m in range(1, SPAN):
-                        g = grams(h, m)
-                        own = np.repeat(np.arange(r1 - r0), length)[: len(g)]
-                        fits = (np.arange(len(g)) + m <= first[own + 1]) if shorts else (length[own] == m) & (np.arange(len(g)) == first[own])
-                        row.append(own[fits])
-                        out.append(g[fits])
-                        size.append(np.full(int(fits.sum()), m, np.int32))
-                    rows = np.concatenate(row)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(r0, r1 - r0).take(pa.array(rows)), pa.array(np.concatenate(size)), pa.array(np.concatenate(out).view(np.int64))], names=["key", "m", "h"])
-
-        return df.mapInArrow(run, f"key {keys}, m int, h long").distinct()
-
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce(docs[text], F.lit(""))))
-    texts = keyed.select("_key", F.coalesce(docs[text], F.lit("")).alias("_text")).dropDuplicates(["_key", "_text"])
-    left = prints(texts.select("_key", "_text"), "long", True).withColumnRenamed("key", "_key")
-    right = prints(items, "long", False).withColumnRenamed("key", "item_id")
-    pairs = left.join(right, ["m", "h"]).select("_key", "item_id").distinct()
-    checked = pairs.join(texts, "_key").join(items, "item_id").select("_key", "_text", "item_id", "item_text")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i in range(b.num_rows):
-                item = Index([(b.column(2)[i].as_py(), b.column(3)[i].as_py())])
-                _, hit, found = next(item.match(b.column(1).slice(i, 1)))
-                if found:
-                    out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), b.column(2)[i].as_py(), np.flatnonzero(hit).tolist()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["_key", "_text", "item_id", "words"])
-
-    hits = checked.mapInArrow(verify, "_key long, _text string, item_id long, words array<long>")
-    per_text = hits.select("_key", "_text", "item_id", F.explode("words").alias("w")).groupBy("_key", "_text").agg(F.count_distinct("w").alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"))
-    found = keyed.join(per_text.withColumnRenamed("_key", "_k").withColumnRenamed("_text", "_t"), (F.col("_key") == F.col("_k")) & (F.coalesce(docs[text], F.lit("")) == F.col("_t")), "left")
-    # Letters apart from A-Z stay as they are: the rule's words are runs of these characters in the text itself.
-    n_words = F.size(F.regexp_extract_all(F.coalesce(docs[text], F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long")
-    return found.select(*[docs[c] for c in docs.columns], n_words.alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    blocks = max(1, -(-size // block_bytes))
+    dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)))
+    place, own, out = docs.columns.index(text), len(docs.columns), docs
+    for k in range(blocks):
+        block = dealt.where(F.col("_block") == k) if blocks > 1 else dealt
+        sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.item_text) for r in block.collect()])
+        out = _matched(out, place, own, sent, k == blocks - 1)
+    return out
 
 
 def items_digest(items: Column) -> Column:

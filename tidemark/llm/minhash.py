@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow_text import _power_table, give_back, grams, mix, pieces, stored, utf8, words
+from tidemark.llm.arrow_text import _power_table, give_back, grams, mix, pieces, utf8, words
+from tidemark.shared import stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5

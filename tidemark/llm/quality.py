@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow_text import give_back, pieces, stored, utf8, words
+from tidemark.llm.arrow_text import give_back, pieces, utf8, words
 from tidemark.llm.labelled import remainder, sample
+from tidemark.shared import stored
 
 #: Labelled documents used at most, and the tasks that they are dealt to.
 SAMPLE, TASKS = 4000, 8

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, decontaminate, minhash, quality, sharding, suffix_dedup, token_files, topk, toxicity
-from tidemark.llm.arrow_text import shared_folder, stored
+from tidemark.shared import shared_folder, stored
 from tidemark.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

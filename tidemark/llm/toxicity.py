@@ -27,8 +27,9 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow_text import give_back, stored
+from tidemark.llm.arrow_text import give_back
 from tidemark.llm.labelled import remainder, sample
+from tidemark.shared import stored
 
 #: Labelled rows used at most. A word of the learned lexicon is in three toxic texts of the sample at least, and in one
 #: of 200, so the sample bounds the lexicon.

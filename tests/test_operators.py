@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as K
+from tidemark.functions import labels as L
 from tidemark.operators import gate, matching, portfolio, positions, pricing, resolve
 from tidemark.sources import landing, markup
 from tidemark.streaming import feed
@@ -113,6 +114,13 @@ def test_portfolio(spark):
     buys = spark.createDataFrame([("m", "A", DAY(f"2024-01-{d:02}")) for d in range(1, 15)] + [("m", "A", DAY("2024-01-14"))], "member string, security string, traded date")
     c = portfolio.common_holdings(df, roster, buys).collect()
     assert [(x.security, x.owners, x.party_r, x.party_d, x.party_i, str(x.latest_buy)) for x in c] == [("A", 2, 1, 1, 0, "2024-01-14")]
+    # The latest purchase is that of any owner, one that has sold among them.
+    more = df.union(spark.createDataFrame([("o", "A", "self", "sold", 1, 2)], df.schema))
+    people = spark.createDataFrame([("m", "Mo", "R", "house", "TX", True), ("n", "Al", "D", "house", "TX", True), ("o", "Ed", "D", "house", "TX", True)], "member string, name string, party string, chamber string, state string, active boolean")
+    late = buys.union(spark.createDataFrame([("o", "A", DAY("2024-02-01"))], buys.schema))
+    assert [str(x.latest_buy) for x in portfolio.common_holdings(more, people, late).collect()] == ["2024-02-01"]
+    doc = portfolio.common_documents(more, people, late).first()
+    assert (str(doc.latest_buy), doc.owners_count, [(o.name, o.status, len(o.buy_dates)) for o in doc.owners]) == ("2024-02-01", 2, [("Mo", "holds", 10), ("Al", "holds", 0), ("Ed", "sold", 1)])
     days = portfolio.newest_dates(buys).first().dates
     assert [d.day for d in days] == [14, 14, 13, 12, 11, 10, 9, 8, 7, 6]
     strip = portfolio.stage_strip(spark.createDataFrame([(1, "a", None, "c")], "k int, x string, y string, z string"), "k", ("x", "y", "z"))
@@ -131,8 +139,8 @@ def test_gate(spark):
 @pytest.mark.parametrize(
     ("column", "want"),
     [
-        (lambda: K.round_tenth(F.lit(-0.25)), -0.2), (lambda: K.round_tenth(F.lit(-27.79)), -27.8), (lambda: K.usd(F.lit(1_600_000)), "$1.6M"), (lambda: K.usd(F.lit(12_400_000)), "$12M"), (lambda: K.usd(F.lit(50_000)), "$50K"), (lambda: K.usd(F.lit(800)), "$800"),
-        (lambda: K.usd(F.lit(1_000_000)), "$1M"), (lambda: K.usd_range(F.lit(15_001), F.lit(50_000)), "$15K–$50K"), (lambda: K.ordinal(F.lit(112)), "112th"), (lambda: K.ordinal(F.lit(23)), "23rd"), (lambda: K.ticker_in(F.lit("Apple (AAPL) [ST]")), "AAPL"), (lambda: K.ticker_in(F.lit("none")), None),
+        (lambda: K.round_tenth(F.lit(-0.25)), -0.2), (lambda: K.round_tenth(F.lit(-27.79)), -27.8), (lambda: L.usd(F.lit(1_600_000)), "$1.6M"), (lambda: L.usd(F.lit(12_400_000)), "$12M"), (lambda: L.usd(F.lit(50_000)), "$50K"), (lambda: L.usd(F.lit(800)), "$800"),
+        (lambda: L.usd(F.lit(1_000_000)), "$1M"), (lambda: L.usd_range(F.lit(15_001), F.lit(50_000)), "$15K–$50K"), (lambda: L.ordinal(F.lit(112)), "112th"), (lambda: L.ordinal(F.lit(23)), "23rd"), (lambda: K.ticker_in(F.lit("Apple (AAPL) [ST]")), "AAPL"), (lambda: K.ticker_in(F.lit("none")), None),
         (lambda: K.clean_asset(F.lit("Marathon &amp; Co. (MPC) [ST]")), "marathon co"), (lambda: K.without_marks(F.lit("Núñez Žák")), "Nunez Zak"), (lambda: K.is_options(F.lit("Putnam callable fund")), False), (lambda: K.is_options(F.lit("NVDA call option")), True), (lambda: K.is_options(F.lit("x"), F.lit("OPT")), True),
         (lambda: K.claimed_return(F.lit("a loss of 12.5%")), -12.5), (lambda: K.claimed_return(F.lit("gain of 7 %")), 7.0), (lambda: K.claimed_return(F.lit("7% of voters")), None), (lambda: K.district_of(F.lit("AK00")), "AK-AL"), (lambda: K.district_of(F.lit("SC03")), "SC-03"), (lambda: K.district_of(F.lit("x")), None),
         (lambda: K.any_date(F.lit("3/9/2025")), DAY("2025-03-09")), (lambda: K.any_date(F.lit("9-Mar-2025")), DAY("2025-03-09")), (lambda: K.any_date(F.lit("March 9, 2025, 4:00 PM")), DAY("2025-03-09")), (lambda: K.any_date(F.lit("2025-03-09T10:00Z")), DAY("2025-03-09")), (lambda: K.any_date(F.lit("soon")), None),
@@ -144,7 +152,7 @@ def test_scalars(spark, column, want):
     assert one(spark, column()) == want
 
 
-@pytest.mark.parametrize(("text", "want"), [("$1,001 - $15,000", (1001, 15000)), ("Over $50,000,000", (50e6, 50e6)), ("less than $1,000", (0, 1000)), ("none", None)])
+@pytest.mark.parametrize(("text", "want"), [("$1,001 - $15,000", (1001, 15000)), ("Over $50,000,000", (50e6, 50e6)), ("None (or less than $1,001)", (0, 1001)), ("1,001 - 15,000", None), ("$1,001 -\n $15,000", (1001, 15000)), ("none", None)])
 def test_amounts(spark, text, want):
     band = one(spark, K.amount_band(F.lit(text)))
     assert (band and (band.lo, band.hi)) == want
@@ -168,10 +176,25 @@ def test_landing(spark, tmp_path):
     assert sorted(tuple(r) for r in landing.append_ledger(df.where("k = 2"), df, ["k"], "v").collect()) == [(1, "a"), (2, "c")]
     assert [r.k for r in landing.keep_last(df, "k", ["v"], 1).collect()] == [2]
     out = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        landing.published(spark, out, "t")
+    assert landing.published(spark, out, "t", "k int").count() == 0
     landing.publish({"t": df, "u": df.limit(1)}, out, lambda name, got: [])
     with pytest.raises(ValueError, match="u: bad"):
         landing.publish({"t": df.limit(1), "u": df}, out, lambda name, got: ["bad"] if name == "u" else [])
-    assert spark.read.parquet(f"{out}/t").count() == 3
+    assert landing.published(spark, out, "t").count() == 3
+    landing.publish({"t": df.limit(2)}, out, lambda name, got: [])
+    assert landing.published(spark, out, "t").count() == 2 and landing.prune(spark, out) == 1
+    assert landing.published(spark, out, "t").count() == 2
+    note = f"{tmp_path}/report.json"
+    landing.report(spark, note, "gate", "no", {"x": 1.0}, ["w"], ["f"])
+    assert spark.read.option("multiLine", True).json(note).first().validation == ["f"]
+    landing.withdraw(spark, note)
+    assert not landing.exists(spark, note)
+    warnings = []
+    assert landing.or_last_good("s", lambda: df.select(F.raise_error(F.lit("bad"))), lambda: df, warnings).count() == 3 and len(warnings) == 1
+    with pytest.raises(landing.StepError, match="s: "):
+        landing.step("s", lambda: 1 / 0)
 
 
 def test_change_feed_and_state(spark, tmp_path):

@@ -36,17 +36,17 @@ def one_to_one(official: DataFrame, other: DataFrame, shortest: int = 4) -> Data
         return (F.least(F.length(a), F.length(b)) >= shortest) & (a.startswith(b) | b.startswith(a))
 
     def step(acc: Column, k: Column) -> Column:
-        free = F.filter(places, lambda i: ~F.array_contains(acc, i))
-
         def first(cond) -> Column:  # noqa: ANN001
-            return F.array_min(F.filter(free, lambda i: cond(F.get("o", i))))
+            return F.get(F.filter(acc["free"], lambda i: cond(F.get("o", i))), F.lit(0))
 
         by_key = first(lambda o: o["asset"] == k["asset"])
         alike = lambda o: (o["text"] == k["text"]) | begins(o["text"], k["text"])
         by_text = F.coalesce(first(lambda o: alike(o) & (o["lo"] == k["lo"]) & (o["hi"] == k["hi"])), first(alike))
-        return F.concat(acc, F.array(F.coalesce(by_key, by_text, F.lit(-1))))
+        hit = F.coalesce(by_key, by_text, F.lit(-1))
+        return F.struct(F.when(hit < 0, acc["free"]).otherwise(F.array_remove(acc["free"], hit)).alias("free"), F.concat(acc["at"], F.array(hit)).alias("at"))
 
-    claimed = F.aggregate("k", F.array().cast("array<int>"), step)
+    # The places that are still free get fewer; none is looked at again once it is taken.
+    claimed = F.aggregate("k", F.struct(places.alias("free"), F.array().cast("array<int>").alias("at")), step, lambda acc: acc["at"])
     found = both.select("o", F.explode(F.arrays_zip(F.col("k").alias("k"), claimed.alias("at"))).alias("m"))
     hit = F.when(F.col("m.at") >= 0, F.get("o", F.col("m.at")))
     how = F.when(hit.isNull(), "none").when(hit["asset"] == F.col("m.k.asset"), "key").otherwise("text")
@@ -65,6 +65,26 @@ def coverage(filed: Column, start: Column) -> Column:
     return F.when(start.isNotNull() & (filed >= start), "missed").otherwise("backfill")
 
 
+def coverage_start(chamber: Column, by_chamber: dict[str, str] | None, option: str | None, first_filed: Column) -> Column:
+    """When official coverage began: for the chamber, else as the option says, else the first official filing."""
+    own = F.create_map(*[F.lit(x) for kv in by_chamber.items() for x in kv])[chamber] if by_chamber else F.lit(None)
+    return F.coalesce(own.cast("date"), F.lit(option).cast("date"), first_filed)
+
+
+def chamber_of(url: Column) -> Column:
+    """The chamber whose site a filing's address is of."""
+    return F.when(url.contains("efdsearch.senate.gov"), "senate").otherwise("house")
+
+
+def merged(official: DataFrame, other: DataFrame, matches: DataFrame) -> DataFrame:
+    """Official rows (``provenance`` official, or both where a row of the other source matched) and the other source's
+    rows without a match."""
+    hit = matches.where("official_rid is not null").select(F.col("official_rid").alias("rid")).withColumn("_hit", F.lit(True))
+    own = official.join(hit, "rid", "left").withColumn("provenance", F.when(F.col("_hit"), "both").otherwise("official")).drop("_hit")
+    rest = other.join(matches.where("official_rid is null").select("rid"), "rid", "left_semi").withColumn("provenance", F.lit("third-party"))
+    return own.unionByName(rest, allowMissingColumns=True)
+
+
 def unambiguous(rows: DataFrame, key: Sequence[str], value: Sequence[str], order: str) -> DataFrame:
     """One row for each key whose rows agree on ``value``; keys that disagree are left out."""
     known = rows.dropna(subset=list(key))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.views import owners_in_order
+from tidemark.shared import stored
+
 PARTIES = ("R", "D", "I")
 
 
@@ -18,7 +21,8 @@ def owners(positions: DataFrame) -> DataFrame:
 
 
 def common_holdings(positions: DataFrame, members: DataFrame, buys: DataFrame, least: int = 2) -> DataFrame:
-    """Securities that at least ``least`` members hold now: owners, party split and latest purchase.
+    """Securities that at least ``least`` members hold now: owners, party split and the latest purchase of any owner,
+    those that have sold among them.
 
     ``members``: ``member, party``; ``buys``: ``member, security, traded``. Sums are made per security and member
     first, so a security that everyone holds reaches the last step as one row for each member.
@@ -27,10 +31,40 @@ def common_holdings(positions: DataFrame, members: DataFrame, buys: DataFrame, l
     each = owners(positions).join(members.select("member", "party"), "member").join(bought, ["security", "member"], "left")
     now = F.col("status") != "sold"
     split = [F.count_if(now & (F.col("party") == p)).alias(f"party_{p.lower()}") for p in PARTIES]
-    out = each.groupBy("security").agg(F.count_if(now).alias("owners"), *split, F.max(F.when(now, F.col("bought"))).alias("latest_buy"), F.sum(F.when(now, F.col("lo"))).alias("lo"), F.sum(F.when(now, F.col("hi"))).alias("hi"))
+    out = each.groupBy("security").agg(F.count_if(now).alias("owners"), *split, F.max("bought").alias("latest_buy"), F.sum(F.when(now, F.col("lo"))).alias("lo"), F.sum(F.when(now, F.col("hi"))).alias("hi"))
     return out.where(F.col("owners") >= least)
 
 
+def common_documents(positions: DataFrame, members: DataFrame, buys: DataFrame, least: int = 2, names: DataFrame | None = None) -> DataFrame:
+    """The same with all owners inside: ``security, name, owners_count``, the party split, ``latest_buy`` and ``owners``
+    (``member, name, party, chamber, state, active, buy_dates, lo, hi, status``, the current ones first, then by the
+    latest purchase, then by name). A security's owners are members, so the array is bounded by the roster."""
+    each = owners(positions).join(members.select("member", "name", "party", "chamber", "state", "active"), "member").join(newest_dates(buys), ["security", "member"], "left")
+    dates = F.coalesce("dates", F.array().cast("array<date>"))
+    owner = F.struct("member", "name", "party", "chamber", "state", "active", dates.alias("buy_dates"), "lo", "hi", "status", F.get(dates, F.lit(0)).alias("latest_buy"))
+    split = [F.count_if((F.col("status") != "sold") & (F.col("party") == p)).alias(f"party_{p.lower()}") for p in PARTIES]
+    out = each.groupBy("security").agg(F.count_if(F.col("status") != "sold").alias("owners_count"), *split, F.max(F.get(dates, F.lit(0))).alias("latest_buy"), owners_in_order(F.collect_list(owner)).alias("owners"))
+    out = out.where(F.col("owners_count") >= least).withColumn("owners", F.transform("owners", lambda o: o.dropFields("latest_buy")))
+    return out.join(names.select("security", "name"), "security", "left") if names is not None else out
+
+
+def documents(trades: DataFrame, positions: DataFrame, members: DataFrame, measured: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A document for each member with trades: the member, its positions, its trades (the newest first), their series and
+    its measured return; and the members of trades that the roster lacks, with their number of trades. A document holds
+    one member's trades, so it is a row; members are dealt to tasks.
+
+    ``trades``: ``member, asset, security, side, owner, lo, hi, traded, filed, ord``."""
+    row = F.struct((-F.unix_date("traded")).alias("_a"), (-F.unix_date("filed")).alias("_b"), "ord", "asset", "security", "side", "owner", "lo", "hi", "traded", "filed")
+    own = trades.groupBy("member").agg(F.array_sort(F.collect_list(row)).alias("trades"), F.count(F.lit(1)).alias("trade_count"), F.max("traded").alias("last_trade"))
+    own = own.withColumn("trades", F.transform("trades", lambda t: t.dropFields("_a", "_b")))
+    by_date = F.array_sort(F.transform("trades", lambda t: F.struct(t["traded"].alias("date"), t["ord"].alias("ord"), ((t["lo"] + t["hi"]) / 2).alias("value"))))
+    held = positions.groupBy("member").agg(F.array_sort(F.collect_list(F.struct("security", "owner", "status", "lo", "hi", "as_of"))).alias("positions"))
+    none = F.array().cast(held.schema["positions"].dataType)
+    out = own.join(members, "member").join(held, "member", "left").withColumns({"positions": F.coalesce("positions", none), "series": F.transform(by_date, lambda p: F.struct(p["date"].alias("date"), p["value"].alias("value")))})
+    out = out.join(measured, "member", "left") if measured is not None else out
+    return out, own.join(members.select("member"), "member", "left_anti").select("member", "trade_count")
+
+
 def newest_dates(buys: DataFrame, most: int = 10) -> DataFrame:
     """The newest purchase dates of each security and member, repeated ones kept."""
     days = buys.groupBy("security", "member", "traded").agg(F.count(F.lit(1)).alias("n"))
@@ -40,16 +74,20 @@ def newest_dates(buys: DataFrame, most: int = 10) -> DataFrame:
     return kept.groupBy("security", "member").agg(F.sort_array(F.collect_list("traded"), asc=False).alias("dates"))
 
 
-def attribution(trades: DataFrame) -> DataFrame:
-    """Who traded for each member: owners by count, then name, joined by " + "."""
-    counts = trades.where("owner is not null").groupBy("member", "owner").agg(F.count(F.lit(1)).alias("n"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "owner")))
-    return counts.groupBy("member").agg(F.array_join(F.transform(listed, lambda x: x["owner"]), " + ").alias("attribution"))
+def attribution(trades: DataFrame, unknown: str = "self (owner not stated in filings)") -> DataFrame:
+    """Who traded for each member: owners by count, then name, joined by " + "; a fixed text where no filing says."""
+    counts = trades.groupBy("member", "owner").agg(F.count(F.lit(1)).alias("n"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("owner").isNotNull(), F.struct((-F.col("n")).alias("n"), "owner"))))
+    joined = F.array_join(F.transform(listed, lambda x: x["owner"]), " + ")
+    return counts.groupBy("member").agg(F.coalesce(F.nullif(joined, F.lit("")), F.lit(unknown)).alias("attribution"))
 
 
-def directory(trades: DataFrame, members: DataFrame) -> DataFrame:
-    """Members with trades: count and last date."""
-    return trades.groupBy("member").agg(F.count(F.lit(1)).alias("trades"), F.max("traded").alias("last_trade")).join(members, "member")
+def directory(trades: DataFrame, members: DataFrame, traders: DataFrame | None = None) -> DataFrame:
+    """Members with trades: count and last date; whether each is among the traders that are followed, if these are given."""
+    rows = trades.groupBy("member").agg(F.count(F.lit(1)).alias("trades"), F.max("traded").alias("last_trade")).join(members, "member")
+    if traders is None:
+        return rows
+    return rows.join(traders.select("member", F.lit(True).alias("_followed")).distinct(), "member", "left").withColumn("on_roster", F.coalesce("_followed", F.lit(False))).drop("_followed")
 
 
 def filter_directory(entries: DataFrame, parties: tuple[str, ...] = (), active_only: bool = False, query: str = "") -> DataFrame:
@@ -65,13 +103,14 @@ def filter_directory(entries: DataFrame, parties: tuple[str, ...] = (), active_o
 
 def ranked(df: DataFrame, order: list[Column], out: str = "rank", key: list[str] | None = None) -> DataFrame:
     """Positions without shared ranks. Without a key, rows are ranked by range partitions: each counts its own rows and
-    adds the counts of the partitions before, so no task sees them all."""
+    adds the counts of the partitions before, so no task sees them all. The numbered partitions are stored first, since
+    ranges are sampled anew whenever they are computed."""
     if key:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    dealt = stored(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
     local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.max("_n").alias("_size"))
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_size")
     return local.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
 

@@ -11,26 +11,25 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import simple_return_pct
 
 
-def asof_forward(left: DataFrame, prices: DataFrame, on: str, date: str) -> DataFrame:
+def asof_forward(left: DataFrame, prices: DataFrame, on: str | None, date: str) -> DataFrame:
     """All rows of ``left`` with ``entry_date`` and ``entry``: the first close on or after the row's date, or nulls.
 
-    ``prices``: ``on, date, close``. Rows and prices meet by symbol and month; only where a month has no later price
-    does the row take the first price of the next month that has one. So no window spans a symbol's whole history,
-    however many rows the symbol has.
+    ``prices``: ``on, date, close`` (without ``on``, one series for all rows). The distinct days that are asked for and
+    the prices go, month by month, through one ordered pass; where a month has no later price, the first price of the
+    next month that has one is carried back. So no window spans a symbol's whole history, however many rows it has.
     """
-    month = F.trunc
-    p = prices.select(on, F.col("date").alias("p_date"), F.col("close").alias("p_close"), month("date", "month").alias("_month"))
-    first = p.groupBy(on, "_month").agg(F.min(F.struct("p_date", "p_close")).alias("_first"))
-    # A month's list of prices is short; it rides along with the month's first later price.
-    later = Window.partitionBy(on).orderBy("_month").rowsBetween(1, Window.unboundedFollowing)
-    months = p.groupBy(on, "_month").agg(F.sort_array(F.collect_set(F.struct("p_date", "p_close"))).alias("_days")).join(first, [on, "_month"]).withColumn("_next", F.first("_first").over(later)).select(on, "_month", "_days", "_next")
-    # Months without prices that rows ask for point to the next month with some.
-    asked = left.select(on, month(date, "month").alias("_month")).distinct().join(months.select(on, "_month"), [on, "_month"], "left_anti")
-    ahead = asked.join(first.select(on, F.col("_month").alias("_m"), "_first"), on).where("_m > _month").groupBy(on, "_month").agg(F.min("_first").alias("_next"))
-    table = months.unionByName(ahead.withColumn("_days", F.array().cast(months.schema["_days"].dataType)))
-    rows = left.withColumn("_month", month(date, "month")).join(table, [on, "_month"], "left")
-    hit = F.coalesce(F.array_min(F.filter("_days", lambda x: x["p_date"] >= F.col(date))), F.col("_next"))
-    return rows.select(*left.columns, hit["p_date"].alias("entry_date"), hit["p_close"].alias("entry"))
+    key = [on] if on else []
+    price = F.struct(F.col("date").alias("p_date"), F.col("close").alias("p_close"))
+    p = prices.where("date is not null").select(*key, F.col("date").alias("_day"), price.alias("_price"))
+    asked = left.where(F.col(date).isNotNull()).select(*key, F.col(date).alias("_day")).distinct()
+    both = asked.withColumn("_price", F.lit(None).cast(p.schema["_price"].dataType)).unionByName(p).withColumn("_month", F.trunc("_day", "month"))
+    back = Window.partitionBy(*key, "_month").orderBy(F.desc("_day"), F.col("_price").isNull())
+    near = both.withColumn("_near", F.last("_price", ignorenulls=True).over(back)).where("_price is null").select(*key, "_month", "_day", "_near")
+    months = both.groupBy(*key, "_month").agg(F.min("_price").alias("_first"))
+    later = Window.partitionBy(*key).orderBy("_month").rowsBetween(1, Window.unboundedFollowing)
+    carried = months.select(*key, "_month", F.first("_first", ignorenulls=True).over(later).alias("_next"))
+    found = near.join(carried, [*key, "_month"]).select(*key, F.col("_day").alias(date), F.coalesce("_near", "_next").alias("_hit"))
+    return left.join(found, [*key, date], "left").select(*left.columns, F.col("_hit.p_date").alias("entry_date"), F.col("_hit.p_close").alias("entry"))
 
 
 def exact_snapshot(left: DataFrame, snapshots: Sequence[DataFrame], on: str, date: str) -> DataFrame:
@@ -54,11 +53,13 @@ def latest_close(prices: DataFrame, on: str) -> DataFrame:
 
 
 def returns(buys: DataFrame, prices: DataFrame, benchmark: DataFrame, on: str, date: str) -> DataFrame:
-    """All buys with ``ret`` and ``excess`` over the benchmark in the same window (null where a price lacks)."""
+    """All buys with ``ret`` and ``excess`` over the benchmark in the same window (null where a price lacks). The
+    benchmark's return is made once for each day and joined by it; there are as many days as the calendar has."""
     rows = asof_forward(buys, prices, on, date).join(latest_close(prices, on), on, "left").withColumn("ret", simple_return_pct(F.col("entry"), F.col("latest"))).drop("entry", "entry_date", "latest")
-    bench = benchmark.select(F.lit("*").alias("_b"), "date", "close")
-    rows = asof_forward(rows.withColumn("_b", F.lit("*")), bench, "_b", date).join(latest_close(bench, "_b"), "_b", "left")
-    return rows.withColumn("excess", F.col("ret") - simple_return_pct(F.col("entry"), F.col("latest"))).drop("_b", "entry", "entry_date", "latest")
+    days = asof_forward(buys.select(date).distinct(), benchmark, None, date)
+    last = benchmark.groupBy().agg(F.max_by("close", "date").alias("latest"))
+    gains = days.join(F.broadcast(last), how="cross").select(date, simple_return_pct(F.col("entry"), F.col("latest")).alias("_market"))
+    return rows.join(gains, date, "left").withColumn("excess", F.col("ret") - F.col("_market")).drop("_market")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import columns as K
+from tidemark.functions import labels as L
 from tidemark.operators import gate, matching, portfolio, positions, pricing, resolve
 from tidemark.plans.model import FOLD_SQL, MEMBERS_SQL, TIER_1, TODAY, TRADES_SQL, members, table, trades
+from tidemark.shared import stored
 from tidemark.sources import landing, markup
 from tidemark.streaming import feed
 
@@ -34,12 +36,20 @@ def _baseline(t: DataFrame) -> DataFrame:
     return positions.latest_baseline(reports)
 
 
-def _positions(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
+def _once(spark: SparkSession, d: str) -> DataFrame:
+    """All trades, for queries that use them more than once: joined and written once."""
+    return stored(trades(spark, d))
+
+
+def _held(t: DataFrame) -> DataFrame:
     folded = positions.fold(t.where("not reported").withColumn("ord", F.col("rid")), _baseline(t))
     return positions.mark_stale(folded, F.lit(TODAY).cast("date"))
 
 
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return _held(_once(spark, d))
+
+
 @query(f"WITH RECURSIVE {FOLD_SQL} SELECT member, security, owner, lo, hi, as_of::VARCHAR AS as_of, n_reports::BIGINT AS n_reports FROM b")
 def g1_latest_baseline(spark: SparkSession, d: str) -> DataFrame:
     return _baseline(trades(spark, d)).withColumn("as_of", _text("as_of"))
@@ -47,7 +57,7 @@ def g1_latest_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {FOLD_SQL} SELECT member, security, owner, status, lo, hi, as_of::VARCHAR AS as_of, n_sources::INT AS n_sources, rejects::INT AS rejects FROM p")
 def g2_position_fold(spark: SparkSession, d: str) -> DataFrame:
-    return _positions(spark, d).withColumn("as_of", _text("as_of"))
+    return _positions(spark, d).select(*positions.KEY, "status", "lo", "hi", _text("as_of"), "n_sources", "rejects")
 
 
 _OWNERS_SQL = """e AS (
@@ -64,12 +74,18 @@ def g9_common_owner(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH RECURSIVE {FOLD_SQL}, {_OWNERS_SQL}, y AS (SELECT security, member, max(traded) AS bought FROM t WHERE side = 'buy' GROUP BY ALL)
-SELECT security, count(*) FILTER (WHERE cur) AS owners, count(*) FILTER (WHERE cur AND party = 'R') AS party_r, count(*) FILTER (WHERE cur AND party = 'D') AS party_d,
-  count(*) FILTER (WHERE cur AND party = 'I') AS party_i, (max(bought) FILTER (WHERE cur))::VARCHAR AS latest_buy, (sum(lo) FILTER (WHERE cur))::BIGINT AS lo, (sum(hi) FILTER (WHERE cur))::BIGINT AS hi
-FROM e JOIN m USING (member) LEFT JOIN y USING (security, member) GROUP BY security HAVING owners >= 2""")
+SELECT security, count(*) FILTER (WHERE cur) AS owners_count, count(*) FILTER (WHERE cur AND party = 'R') AS party_r, count(*) FILTER (WHERE cur AND party = 'D') AS party_d,
+  count(*) FILTER (WHERE cur AND party = 'I') AS party_i, max(bought)::VARCHAR AS latest_buy, (sum(lo) FILTER (WHERE cur))::BIGINT AS lo, (sum(hi) FILTER (WHERE cur))::BIGINT AS hi,
+  string_agg(name || ' ' || status || ' ' || lo || '-' || hi || coalesce(' ' || bought, ''), ', ' ORDER BY NOT cur, coalesce(bought::VARCHAR, '') DESC, name) AS owners
+FROM e JOIN m USING (member) LEFT JOIN y USING (security, member) GROUP BY security HAVING owners_count >= 2""")
 def g10_common_holdings(spark: SparkSession, d: str) -> DataFrame:
-    held = _positions(spark, d).where("status <> 'none'")
-    return portfolio.common_holdings(held, members(spark, d), trades(spark, d).where("side = 'buy'")).withColumn("latest_buy", _text("latest_buy"))
+    t = _once(spark, d)
+    found = portfolio.common_documents(_held(t).where("status <> 'none'"), members(spark, d), t.where("side = 'buy'"))
+    now = F.filter("owners", lambda o: o["status"] != "sold")
+    total = lambda c: F.aggregate(F.transform(now, lambda o: o[c]), F.lit(0).cast("long"), lambda a, x: a + x).alias(c)
+    bought = lambda o: F.coalesce(F.concat(F.lit(" "), F.get(o["buy_dates"], F.lit(0)).cast("string")), F.lit(""))
+    row = lambda o: F.concat(o["name"], F.lit(" "), o["status"], F.lit(" "), o["lo"].cast("string"), F.lit("-"), o["hi"].cast("string"), bought(o))
+    return found.select("security", "owners_count", "party_r", "party_d", "party_i", _text("latest_buy"), total("lo"), total("hi"), F.array_join(F.transform("owners", row), ", ").alias("owners"))
 
 
 @query(f"""WITH {TRADES_SQL}, r AS (SELECT security, member, traded, row_number() OVER (PARTITION BY security, member ORDER BY traded DESC) AS n FROM t WHERE side = 'buy')
@@ -79,8 +95,8 @@ def g11_buy_dates_topk(spark: SparkSession, d: str) -> DataFrame:
     return newest.withColumn("dates", F.array_join(F.transform("dates", lambda x: x.cast("string")), ","))
 
 
-@query(f"""WITH {TRADES_SQL}, c AS (SELECT member, owner, count(*) AS n FROM t WHERE owner IS NOT NULL GROUP BY ALL)
-SELECT member, string_agg(owner, ' + ' ORDER BY n DESC, owner) AS attribution FROM c GROUP BY member""")
+@query(f"""WITH {TRADES_SQL}, c AS (SELECT member, owner, count(*) AS n FROM t GROUP BY ALL)
+SELECT member, coalesce(string_agg(owner, ' + ' ORDER BY n DESC, owner) FILTER (WHERE owner IS NOT NULL), 'self (owner not stated in filings)') AS attribution FROM c GROUP BY member""")
 def g8_attribution(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.attribution(trades(spark, d))
 
@@ -107,19 +123,21 @@ _PINS = "SELECT member, security, 'pin-' || member || '-' || security AS pin, me
 SELECT pin, w.member, w.security, expected, CASE WHEN expected THEN x IS NOT NULL AND coalesce(x.lo <= pin_hi AND x.hi >= pin_lo, false) ELSE x IS NULL END AS ok
 FROM w LEFT JOIN l ON w.member = l.member AND w.security = l.security""")
 def v3_v4_pins(spark: SparkSession, d: str) -> DataFrame:
-    keys = trades(spark, d).select("member", "security").distinct()
+    t = _once(spark, d)
+    keys = t.select("member", "security").distinct()
     pins = keys.select("member", "security", F.concat_ws("-", F.lit("pin"), F.col("member").cast("string"), "security").alias("pin"), (F.col("member") % 2 == 0).alias("expected"), F.lit(15001).alias("pin_lo"), F.lit(100000).alias("pin_hi"))
-    return gate.check_pins(pins, _positions(spark, d).where("status <> 'none'"))
+    return gate.check_pins(pins, _held(t).where("status <> 'none'"))
 
 
 @query(f"""WITH RECURSIVE {FOLD_SQL}, w AS (SELECT DISTINCT member, security FROM t), l AS (SELECT member, security, min(owner) AS x FROM p WHERE status NOT IN ('sold', 'none') GROUP BY ALL)
 SELECT 'owner-' || member || '-' || security AS pin, coalesce(x = CASE WHEN member % 2 = 0 THEN 'self' ELSE 'spouse' END, false) AS ok FROM w LEFT JOIN l USING (member, security)
 UNION ALL SELECT 'gone-' || w.member, NOT coalesce(active, false) FROM (SELECT DISTINCT member FROM t UNION SELECT -1) w LEFT JOIN m USING (member)""")
 def v5_v6_pins(spark: SparkSession, d: str) -> DataFrame:
-    keys = trades(spark, d).select("member", "security").distinct()
+    t = _once(spark, d)
+    keys = t.select("member", "security").distinct()
     owners = keys.select("member", "security", F.concat_ws("-", F.lit("owner"), F.col("member").cast("string"), "security").alias("pin"), F.when(F.col("member") % 2 == 0, "self").otherwise("spouse").alias("pin_owner"))
     gone = keys.select("member").union(spark.range(1).select(F.lit(-1).cast("long"))).distinct().select("member", F.concat_ws("-", F.lit("gone"), F.col("member").cast("string")).alias("pin"))
-    held = _positions(spark, d).where("status <> 'none'")
+    held = _held(t).where("status <> 'none'")
     return gate.check_owners(owners, held).unionByName(gate.check_inactive(gone, members(spark, d)))
 
 
@@ -133,7 +151,7 @@ _SOURCES_SQL = f"""{TRADES_SQL}, o AS (
 
 
 def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = trades(spark, d).withColumn("late", K.is_late(F.col("traded"), F.col("filed"))).withColumn("asset", F.when(F.col("kind") == "SMALL", F.concat(F.lit("raw:"), "text")).otherwise(F.col("security")))
+    t = _once(spark, d).withColumn("late", K.is_late(F.col("traded"), F.col("filed"))).withColumn("asset", F.when(F.col("kind") == "SMALL", F.concat(F.lit("raw:"), "text")).otherwise(F.col("security")))
     names = ["rid", "member", "traded", "side", "asset", "text", "lo", "hi", "filed", "owner", "late"]
     own = t.where("part % 2 = 0").select(*names).withColumn("ord", F.col("rid"))
     short = F.col("line") % 4 == 0
@@ -182,9 +200,9 @@ def j10_j11_conflicts(spark: SparkSession, d: str) -> DataFrame:
     fields = ["lo", "hi", "filed", "late"]
     official = own.select(F.col("rid").alias("official_rid"), *[F.col(c).alias(f"official_{c}") for c in [*fields, "owner"]])
     pairs = matching.one_to_one(own, other).join(other.select("rid", *fields, "owner"), "rid").join(official, "official_rid", "left")
-    start = own.groupBy().agg(F.min("filed")).first()[0]
+    pairs = pairs.join(F.broadcast(own.groupBy().agg(F.min("filed").alias("start"))), how="cross")
     unlike = F.when(F.col("official_rid").isNotNull(), F.array_join(matching.differences(pairs, fields, ["owner"]), ","))
-    only = matching.coverage(F.col("filed"), F.lit(start))
+    only = matching.coverage(F.col("filed"), matching.coverage_start(F.lit(None).cast("string"), None, None, F.col("start")))
     return pairs.select("rid", "how", F.when(F.col("official_rid").isNotNull(), "both").otherwise(only).alias("provenance"), F.coalesce(unlike, F.lit("")).alias("conflicts"))
 
 
@@ -196,23 +214,24 @@ def _tier_sql(name: str, key: str) -> str:
 SELECT rid, coalesce(a.v, b.v, c.v) AS found_lo, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 END AS tier
 FROM t LEFT JOIN a USING (member, text, traded) LEFT JOIN b USING (member, ticker, traded) LEFT JOIN c USING (member, traded) WHERE t.part % 2 = 0 AND t.side = 'buy'""")
 def j12_return_lookup(spark: SparkSession, d: str) -> DataFrame:
-    buys = trades(spark, d).where("side = 'buy'").select("rid", "member", "text", "ticker", "traded", "lo", "part")
+    buys = _once(spark, d).where("side = 'buy'").select("rid", "member", "text", "ticker", "traded", "lo", "part")
     found = matching.tiered_lookup(buys.where("part % 2 = 0").drop("part", "lo"), buys.where("part % 2 = 1"), [["member", "text", "traded"], ["member", "ticker", "traded"], ["member", "traded"]], ["lo"], "rid")
     return found.select("rid", "found_lo", "tier")
 
 
-_PRICE_SQL = f"""{TRADES_SQL}, pr AS (SELECT ticker, traded AS date, sum(cents) / sum(quantity) AS close FROM t WHERE day(traded) <= 9 GROUP BY ALL),
-be AS (SELECT traded AS date, sum(cents) / sum(quantity) AS close FROM t WHERE day(traded) <= 9 GROUP BY ALL)"""
+_PRICE_SQL = f"""{TRADES_SQL}, pr AS (SELECT ticker, traded AS date, sum(cents) / sum(quantity) AS close FROM t GROUP BY ALL),
+be AS (SELECT traded AS date, sum(cents) / sum(quantity) AS close FROM t GROUP BY ALL)"""
 
 
 def _prices(t: DataFrame, *key: str) -> DataFrame:
-    return t.where(F.dayofmonth("traded") <= 9).groupBy(*key, F.col("traded").alias("date")).agg((F.sum("cents") / F.sum("quantity")).alias("close"))
+    return t.groupBy(*key, F.col("traded").alias("date")).agg((F.sum("cents") / F.sum("quantity")).alias("close"))
 
 
-@query(f"WITH {_PRICE_SQL}, b AS (SELECT DISTINCT ticker, traded FROM t) SELECT b.ticker, b.traded::VARCHAR AS traded, pr.date::VARCHAR AS entry_date, floor(close + 0.5)::BIGINT AS entry FROM b ASOF LEFT JOIN pr ON b.ticker = pr.ticker AND b.traded <= pr.date")
+@query(f"WITH {_PRICE_SQL}, b AS (SELECT DISTINCT ticker, filed - 3 AS traded FROM t) SELECT b.ticker, b.traded::VARCHAR AS traded, pr.date::VARCHAR AS entry_date, floor(close + 0.5)::BIGINT AS entry FROM b ASOF LEFT JOIN pr ON b.ticker = pr.ticker AND b.traded <= pr.date")
 def j13_asof_forward(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
-    found = pricing.asof_forward(t.select("ticker", "traded").distinct(), _prices(t, "ticker"), "ticker", "traded")
+    t = trades(spark, d).select("ticker", "traded", "filed", "cents", "quantity")
+    asked = t.select("ticker", F.date_sub("filed", 3).alias("traded")).distinct()
+    found = pricing.asof_forward(asked, _prices(t, "ticker"), "ticker", "traded")
     return found.select("ticker", _text("traded"), _text("entry_date"), F.floor(F.col("entry") + 0.5).cast("long").alias("entry"))
 
 
@@ -221,9 +240,9 @@ s AS (SELECT b.member, b.traded, (lo + hi) / 2 AS w, (l.latest / pr.close - 1) *
 x AS (SELECT member, w, ret, ret - (bl.latest / be.close - 1) * 100 AS excess FROM s ASOF LEFT JOIN be ON s.traded <= be.date CROSS JOIN bl)
 SELECT member, count(*) AS buys, count(ret) AS priced, floor(sum(w * ret) / sum(w) FILTER (WHERE ret IS NOT NULL) * 10 + 0.5) / 10 AS ret, floor(sum(w * excess) / sum(w) FILTER (WHERE excess IS NOT NULL) * 10 + 0.5) / 10 AS excess FROM x GROUP BY member""")
 def g7_weighted_returns(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
+    t = _once(spark, d)
     buys = t.where("side = 'buy'").select("member", "ticker", "traded", K.midpoint(F.col("lo"), F.col("hi")).alias("w"))
-    rows = pricing.returns(buys, _prices(t, "ticker"), _prices(t), "ticker", "traded")
+    rows = pricing.returns(buys, stored(_prices(t, "ticker")), _prices(t), "ticker", "traded")
     mean = lambda c: K.round_tenth(pricing.weighted_mean(F.col(c), F.col("w"))).alias(c)
     return rows.groupBy("member").agg(F.count(F.lit(1)).alias("buys"), F.count("ret").alias("priced"), mean("ret"), mean("excess"))
 
@@ -317,7 +336,7 @@ def s1_f2_unseen(spark: SparkSession, d: str) -> DataFrame:
     return landing.unseen(rows, seen, "user_id").groupBy("user_id").agg(F.max("ts").cast("date").cast("string").alias("last_seen"), F.count(F.lit(1)).alias("events"))
 
 
-@query("WITH s AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN 3 WHEN event_type = 'purchase' THEN 2 ELSE 1 END) AS l, count(*) AS seen FROM events WHERE event_id % 25 < 2 OR event_type <> 'error' GROUP BY user_id) SELECT user_id, CASE l WHEN 3 THEN 'conflict' WHEN 2 THEN 'corroborated' ELSE 'unverified' END AS state, seen FROM s")
+@query("WITH s AS (SELECT user_id, max(CASE WHEN event_type = 'error' THEN 3 WHEN event_type = 'purchase' THEN 2 ELSE 1 END) AS l, count(*) AS seen FROM events GROUP BY user_id) SELECT user_id, CASE l WHEN 3 THEN 'conflict' WHEN 2 THEN 'corroborated' ELSE 'unverified' END AS state, seen FROM s")
 def s5_verification_state(spark: SparkSession, d: str) -> DataFrame:
     state = F.when(F.col("event_type") == "error", "conflict").when(F.col("event_type") == "purchase", "corroborated").otherwise("unverified")
     return feed.verification(table(spark, d, "events").select("user_id", state.alias("state")), "user_id")
@@ -335,15 +354,16 @@ def w12_news_topk(spark: SparkSession, d: str) -> DataFrame:
     return portfolio.newest_distinct(rows, "h", "n_chars", "doc_id").select("source", "doc_id", "n_chars")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 1000000 THEN '$' || (floor(o_totalprice / 100000 + 0.5) / 10)::VARCHAR || 'M' WHEN o_totalprice >= 1000 THEN '$' || floor(o_totalprice / 1000 + 0.5)::BIGINT || 'K' ELSE '$' || floor(o_totalprice + 0.5)::BIGINT END AS total,
-  o_orderkey || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS nth, floor(o_totalprice / 7 * 10 + 0.5) / 10 AS tenth FROM orders WHERE o_totalprice < 1000000""")
+@query("""SELECT o_orderkey, CASE WHEN o_totalprice >= 10000000 THEN '$' || floor(o_totalprice / 1000000 + 0.5)::BIGINT || 'M'
+    WHEN o_totalprice >= 1000000 THEN '$' || floor(o_totalprice / 100000 + 0.5)::BIGINT // 10 || CASE WHEN floor(o_totalprice / 100000 + 0.5)::BIGINT % 10 = 0 THEN '' ELSE '.' || floor(o_totalprice / 100000 + 0.5)::BIGINT % 10 END || 'M' WHEN o_totalprice >= 1000 THEN '$' || floor(o_totalprice / 1000 + 0.5)::BIGINT || 'K' ELSE '$' || floor(o_totalprice + 0.5)::BIGINT END AS total,
+  o_orderkey || CASE WHEN o_orderkey % 100 BETWEEN 11 AND 13 THEN 'th' WHEN o_orderkey % 10 = 1 THEN 'st' WHEN o_orderkey % 10 = 2 THEN 'nd' WHEN o_orderkey % 10 = 3 THEN 'rd' ELSE 'th' END AS nth, floor(o_totalprice / 7 * 10 + 0.5) / 10 AS tenth FROM orders""")
 def k5_k35_k42_labels(spark: SparkSession, d: str) -> DataFrame:
     total = F.col("o_totalprice")
-    return table(spark, d, "orders").select("o_orderkey", K.usd(total).alias("total"), K.ordinal(F.col("o_orderkey")).alias("nth"), K.round_tenth(total / 7).alias("tenth"))
+    return table(spark, d, "orders").select("o_orderkey", L.usd(total).alias("total"), L.ordinal(F.col("o_orderkey")).alias("nth"), K.round_tenth(total / 7).alias("tenth"))
 
 
 @query("""SELECT doc_id, md5(trim(regexp_replace(lower(translate(coalesce(text, ''), 'äöüßéèêçñóí', 'äöüßéèêçñóí')), '[^a-z0-9]+', ' ', 'g'))) AS plain, CASE WHEN length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]', '', 'g')) < 40 THEN true ELSE false END AS scanned,
-  CASE WHEN length(coalesce(text, '')) > 200 THEN rtrim(left(text, 199), ' ') || '…' ELSE coalesce(text, '') END AS short FROM documents""")
+  CASE WHEN length(coalesce(text, '')) > 200 THEN regexp_replace(left(text, 199), '[ \\t\\n\\r\\f\\v]+$', '') || '…' ELSE coalesce(text, '') END AS short FROM documents""")
 def k10_k36_f4_texts(spark: SparkSession, d: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return table(spark, d, "documents").select("doc_id", F.md5(K.plain_words(text).cast("binary")).alias("plain"), K.looks_scanned(text).alias("scanned"), K.truncated(text, 200).alias("short"))

@@ -6,15 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Named entities that filings use.
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def decoded(text: Column) -> Column:
+    """Text with its named and numeric entities decoded, each once."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(&#\d{1,7};|&#x[0-9a-fA-F]{1,6};|&[a-z]+;|&|[^&]+)"), F.lit(1))
+
+    def letter(p: Column) -> Column:
+        named = F.coalesce(*[F.when(p == name, value) for name, value in _ENTITIES])
+        # A code point as a letter, by its four bytes.
+        decimal = F.when(p.rlike(r"^&#\d+;$"), F.regexp_extract(p, r"^&#(\d+);$", 1).try_cast("int"))
+        hexadecimal = F.when(p.rlike("^&#x[0-9a-fA-F]+;$"), F.conv(F.regexp_extract(p, "^&#x([0-9a-fA-F]+);$", 1), 16, 10).try_cast("int"))
+        code = F.coalesce(decimal, hexadecimal)
+        spelled = F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(named, spelled, p)
+
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, letter), "")).otherwise(text)
 
 
 def text_of(html: Column) -> Column:
-    """Text without tags, with named entities decoded and white space collapsed."""
-    text = F.regexp_replace(html, "(?s)<[^>]*>", " ")
-    for name, letter in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(letter))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """Text without tags, with entities decoded and white space collapsed."""
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(html, "(?s)<[^>]*>", " ")), "[\\s ]+", " "))
 
 
 def rows_of(html: Column) -> Column:
@@ -25,7 +38,7 @@ def rows_of(html: Column) -> Column:
 
 def table_with(html: Column, header: str) -> Column:
     """The first table whose HTML holds a text; null if none does."""
-    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table.*?</table>"), F.lit(0))
+    tables = F.regexp_extract_all(html, F.lit(r"(?is)(<table[^>]*>.*?</table>)"), F.lit(1))
     return F.get(F.filter(tables, lambda t: F.contains(t, F.lit(header))), F.lit(0))
 
 

@@ -11,10 +11,12 @@ one row. Only the key and text columns are read, so other columns cannot clash.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,46 +26,75 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.arrow_text import give_back
 
-#: Text of a file, about, and words that a worker remembers the ids of, with the letters of such a word at most.
-FILE_BYTES, CACHE, CACHED_LETTERS = 64 << 20, 150_000, 64
+#: Text of a file, about, and pieces that a worker remembers the ids of, with the letters of such a piece at most.
+FILE_BYTES, CACHE, CACHED_LETTERS = 64 << 20, 250_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
+def _remember(known: dict[str, bytes], text: str, ids: bytes) -> None:
+    """Keep the ids of a short text; of a full dictionary the half that came first stays, as frequent texts come first."""
+    if len(text) <= CACHED_LETTERS:
+        if len(known) >= CACHE:
+            for old in [*islice(known, CACHE // 2, None)]:
+                del known[old]
+        known[text] = ids
+
+
 class Encoder:
     """A byte-level BPE file, run by the tokenizers library over pieces of the text.
 
-    No pre-token of such a file crosses the place before a blank that stands between two visible letters, and no special
-    token has a blank inside, so a text is cut there; the library encodes each distinct piece once for as long as it is
-    remembered. Special tokens in a text become their ids, as the library does by default.
+    No pre-token of such a file crosses the place before a blank that a visible character follows, and no special token
+    has a blank inside, so a text is cut there, and an ASCII piece into its pre-tokens; the library encodes each distinct
+    one once for as long as it is remembered. Special tokens in a text become their ids, as the library does by default.
     """
 
-    #: A blank that begins a piece.
-    _CUT = re.compile(r"(?<=\S) (?=\S)")
+    #: The fixed pattern of the byte-level pre-tokenizer, for ASCII.
+    _WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+    #: A blank that white space or the end follows; a text with one is cut only between visible characters.
+    _LOOSE, _CUT = re.compile(r" (?=\s|$)"), re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"] or spec["normalizer"] or any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("not a plain byte-level file, or a special token with blanks")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core already
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        #: Ids of pieces after a blank, and of pre-tokens.
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [[p if not i else " " + p for i, p in enumerate(self._CUT.split(t))] if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.known})
-        ids = [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        fresh, known = dict(zip(new, ids, strict=True)), self.known.get
-        out = [b"".join([known(p) or fresh[p] for p in parts]) for parts in cut]
-        if len(self.known) + len(fresh) > CACHE:
-            self.known.clear()
-        self.known |= {p: i for p, i in fresh.items() if len(p) <= CACHED_LETTERS}
+    def _word(self, word: str) -> bytes:
+        out = self.words.get(word)
+        if out is None:
+            out = self._library(word)
+            _remember(self.words, word, out)
         return out
 
+    def _piece(self, text: str) -> bytes:
+        # \x1c to \x1f are white space for one of the two, and a special token is no pre-token.
+        if text.isascii() and "<|" not in text and not _SEPARATORS.search(text):
+            return b"".join(map(self._word, self._WORD.findall(text)))
+        return self._library(text)
+
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        """Little-endian unsigned 32-bit ids of a text."""
+        parts = self._CUT.split(text) if self._LOOSE.search(text) else text.split(" ")
+        ids = [*map(self.known.get, parts)]
+        ids[0] = self._piece(parts[0])  # no blank before it
+        for at in [i for i, x in enumerate(ids) if x is None]:
+            piece = parts[at]
+            ids[at] = out = self.known.get(piece) or self._piece(" " + piece)
+            _remember(self.known, piece, out)
+        return b"".join(ids)
 
 
 @lru_cache(maxsize=2)
@@ -78,7 +109,7 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _cached(tokenizer)
         for b in batches:
-            got = [i + end for r in range(0, b.num_rows, 256) for i in encoder.encode_all([t or "" for t in b.column(1).slice(r, 256).to_pylist()])]
+            got = [encoder.encode(t.as_py() or "") + end for t in b.column(1)]
             n = np.array([len(g) // 4 for g in got], dtype=np.int64)
             flat = np.frombuffer(b"".join(got), dtype="<i4")
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe
+from tidemark.llm import arrow_text, bpe
 from tidemark.llm.queries import QUERIES
 
 FILES = ("word_bpe_49k.json", "byte_bpe_50k.json")
@@ -90,7 +90,7 @@ def test_new_columns_never_clash(spark):
 
 
 def test_caches_are_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE", 5)
+    monkeypatch.setattr(arrow_text, "CACHE", 5)
     own, other = bpe.Bpe(P.path(FILES[0])), library(FILES[0])
     text = " ".join(f"word{i} tion{i}x" for i in range(200))
     assert own.encode(text).tolist() == other.encode(text, add_special_tokens=False).ids

@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import token_files
+from tidemark.llm import arrow_text, token_files
 from tidemark.llm.queries import QUERIES
 
 TEXTS = ["plain words, here", None, "", "two  spaces", " lead", "trail ", "a <|endoftext|> b", "x\n\n y", "long " * 3000, "plain words, here"]
@@ -72,11 +72,11 @@ def test_many_texts_equal_the_library():
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr(token_files, "CACHE", 20)
+    monkeypatch.setattr(arrow_text, "CACHE", 20)
     own = token_files.Encoder(P.path("byte_bpe_50k.json"))
     for i in range(50):
         own.encode(f"some{i} words{i} here " + "x" * 500)
-    assert len(own.known) <= 20 and max(map(len, own.known)) <= token_files.CACHED_LETTERS
+    assert len(own.known) <= 20 and max(map(len, own.known)) <= arrow_text.CACHED_LETTERS
 
 
 def test_files_beyond_five_digits_go_by_number(spark):

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Texts that a worker remembers the ids of, and letters of such a text at most: some 40 MB a dictionary.
+CACHE, CACHED_LETTERS = 200_000, 64
 #: Byte classes of the word rule ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z.
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -66,6 +69,15 @@ def trim(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return one if f.__code__.co_argcount == 1 else two
 
 
+def remember(known: dict[str, bytes], text: str, ids: bytes) -> None:
+    """Keep the ids of a short text. Of a full dictionary the half that came first stays, as frequent texts come first."""
+    if len(text) <= CACHED_LETTERS:
+        if len(known) >= CACHE:
+            for old in [*islice(known, CACHE // 2, None)]:
+                del known[old]
+        known[text] = ids
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

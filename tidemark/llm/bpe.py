@@ -12,13 +12,14 @@ A word takes some bytes of memory for each of its letters, so that a very long o
 kept by ``encode`` and ``decode`` whatever their names: where a table has a column of the new one's name, the new one
 gets an underscore behind it.
 
-Text that is not ASCII is normalized and cut into words by the file's own normalizer and pre-tokenizer, run by the
-tokenizers library, so that both have the same Unicode tables; merges are made here.
+Text beyond the Latin letters is normalized and cut into words by the file's own normalizer and pre-tokenizer, run by
+the tokenizers library, so that both have the same Unicode tables; merges are made here.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidemark.llm.arrow_text import give_back, pieces, utf8
+from tidemark.llm.arrow_text import give_back, pieces, remember, utf8
 
-#: Entries of a cache of a Python worker, which is emptied when full, and letters of what it holds at most: some 50 MB.
-CACHE, CACHED_LETTERS = 150_000, 64
+#: Cells of the pair table that a worker holds; it is emptied when full.
+CELLS = 300_000
 #: Bytes (or ids) of texts that are worked on at once, about.
 PIECE = 2 << 20
 _END = 256
@@ -42,6 +43,8 @@ _NEVER = 1 << 60
 #: str.split() parts at these, the tokenizer's \s does not.
 _LOOSE_SPACE = regex.compile(r" (?=\s|$)")
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
+#: Letters whose classes and cases have never changed and that are their own normal form.
+_LATIN = re.compile("[\x00-\u024f]*")
 
 
 def byte_letters() -> dict[str, int]:
@@ -168,27 +171,31 @@ class Bpe:
         cell = a * self.size + b
         fits = self._fits.get(cell)
         if fits is None:
-            if len(self._fits) > 2 * CACHE:
+            if len(self._fits) > CELLS:
                 self._fits.clear()
             fits = self._fits[cell] = self._apart(a, b)
         return fits
 
     def encode_symbols(self, s: str) -> array:
-        n, length, shorter, fits = len(s), self.length, self.shorter, self.compatible
+        n, length, shorter, size, cell = len(s), self.length, self.shorter, self.size, self._fits.get
         longest, dead = array("i", [-1]) * n, bytearray(n + 1)
         for last, token in self.automaton.iter(s):
             longest[last - length[token] + 1] = token  # a longer one ends later
         tokens = array("I")
-        at, token = 0, longest[0]
+        at, token, before = 0, longest[0], -1
         while True:
             while token >= 0:
                 end = at + length[token]
-                if not dead[end] and (not tokens or fits(tokens[-1], token)):
-                    break
+                if not dead[end]:
+                    if before < 0:
+                        break
+                    fits = cell(before * size + token)
+                    if self.compatible(before, token) if fits is None else fits:
+                        break
                 token = shorter[token]
             if token >= 0:
                 tokens.append(token)
-                at = end
+                at, before = end, token
                 if at == n:
                     return tokens
                 token = longest[at]
@@ -196,6 +203,7 @@ class Bpe:
                 dead[at] = 1
                 token = tokens.pop()
                 at -= length[token]
+                before = tokens[-1] if tokens else -1
                 token = shorter[token]
 
     def _word(self, word: str) -> bytes:
@@ -205,26 +213,20 @@ class Bpe:
             if self.suffix:
                 s = s[:-1] + chr(ord(s[-1]) + _END)
             out = self.encode_symbols(s).tobytes()
-            if len(word) <= CACHED_LETTERS:
-                if len(self._words) > CACHE:
-                    self._words.clear()
-                self._words[word] = out
+            remember(self._words, word, out)
         return out
 
     def _chunk(self, chunk: str) -> bytes:
         """A part of a text that no pre-token crosses."""
         out = self._chunks.get(chunk)
         if out is None:
-            if chunk.isascii():
+            if chunk.isascii() or _LATIN.fullmatch(chunk):
                 found = self.pattern.findall(chunk.lower() if self.lower else chunk)
             else:
                 text = self.normalizer.normalize_str(chunk) if self.normalizer else chunk
                 found = [text[i:j] for _, (i, j) in self.cutter.pre_tokenize_str(text)]
             out = b"".join(map(self._word, found))
-            if len(chunk) <= CACHED_LETTERS:
-                if len(self._chunks) > CACHE:
-                    self._chunks.clear()
-                self._chunks[chunk] = out
+            remember(self._chunks, chunk, out)
         return out
 
     def _plain(self, text: str) -> bytes:

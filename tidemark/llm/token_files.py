@@ -16,7 +16,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,25 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.arrow_text import give_back
+from tidemark.llm.arrow_text import give_back, remember
 
-#: Text of a file, about, and pieces that a worker remembers the ids of, with the letters of such a piece at most.
-FILE_BYTES, CACHE, CACHED_LETTERS = 64 << 20, 250_000, 64
+#: Text of a file, about.
+FILE_BYTES = 64 << 20
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
-def _remember(known: dict[str, bytes], text: str, ids: bytes) -> None:
-    """Keep the ids of a short text; of a full dictionary the half that came first stays, as frequent texts come first."""
-    if len(text) <= CACHED_LETTERS:
-        if len(known) >= CACHE:
-            for old in [*islice(known, CACHE // 2, None)]:
-                del known[old]
-        known[text] = ids
-
-
 class Encoder:
     """A byte-level BPE file, run by the tokenizers library over pieces of the text.
 
@@ -76,7 +66,7 @@ class Encoder:
         out = self.words.get(word)
         if out is None:
             out = self._library(word)
-            _remember(self.words, word, out)
+            remember(self.words, word, out)
         return out
 
     def _piece(self, text: str) -> bytes:
@@ -93,7 +83,7 @@ class Encoder:
         for at in [i for i, x in enumerate(ids) if x is None]:
             piece = parts[at]
             ids[at] = out = self.known.get(piece) or self._piece(" " + piece)
-            _remember(self.known, piece, out)
+            remember(self.known, piece, out)
         return b"".join(ids)
 
 

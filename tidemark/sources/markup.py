@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import once
+
 #: Named entities that filings use.
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
@@ -27,7 +29,7 @@ def decoded(text: Column) -> Column:
 
 def text_of(html: Column) -> Column:
     """Text without tags, with entities decoded and white space collapsed."""
-    return F.trim(F.regexp_replace(decoded(F.regexp_replace(html, "(?s)<[^>]*>", " ")), "[\\s ]+", " "))
+    return F.trim(F.regexp_replace(once(F.regexp_replace(html, "(?s)<[^>]*>", " "), decoded), "[\\s\\u00a0]+", " "))
 
 
 def rows_of(html: Column) -> Column:

@@ -3,7 +3,9 @@
 Every shard draws a number for every key, ``-ln(u) / weight`` with a uniform ``u`` hashed from the key and the shard's
 name; the least number wins. A shard that is added takes only the keys it wins, all others stay, and each shard gets a
 share in proportion to its weight. Equal keys (repeated rows) share a shard; equal texts under different keys are
-spread, so no group of copies makes a shard hot. A null key is a key like any other. The text only gives the size.
+spread, so no group of copies makes a shard hot. A null key is a key like any other. The text only gives the size, however
+long it is, and a null one has none. An empty table gives no rows; ``assign`` keeps all columns, and ``contract`` reads
+only the key and the text.
 """
 
 from __future__ import annotations
@@ -20,12 +22,20 @@ def draw(key: Column, shard: int, weight: float = 1.0) -> Column:
     return -F.ln((bits.cast("double") + 0.5) / float(1 << 53)) / weight
 
 
-def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """The shard (an index of ``weights``) that a key belongs to."""
+def winner(key: Column, weights: Sequence[float]) -> Column:
+    """The least ``draw`` for a key, and its ``shard`` (an index of ``weights``)."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    draws = F.array(*[F.struct(draw(key, i, w).alias("draw"), F.lit(i).alias("shard")) for i, w in enumerate(weights)])
-    return F.array_min(draws)["shard"]
+    return F.array_min(F.array(*[F.struct(draw(key, i, w).alias("draw"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]))
+
+
+def shard_of(key: Column, weights: Sequence[float]) -> Column:
+    return winner(key, weights)["shard"]
+
+
+def grown(best: Column, key: Column, shards: int, weight: float = 1.0) -> Column:
+    """The shard of a key once one more stands beside ``shards``, from its ``winner`` among them: only the new one draws."""
+    return F.when(draw(key, shards, weight) < best["draw"], shards).otherwise(best["shard"])
 
 
 def assign(df: DataFrame, weights: Sequence[float], key: str, out: str = "shard") -> DataFrame:
@@ -58,7 +68,8 @@ def contract(documents: DataFrame, shards: int = 40) -> DataFrame:
         (F.coalesce(octets, F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        shard_of(key, [1.0] * shards).cast("int").alias("shard"),
-        shard_of(key, [1.0] * (shards + 1)).cast("int").alias("grown_shard"),
+        winner(key, [1.0] * shards).alias("_best"),
     )
+    best = rows["_best"]
+    rows = rows.withColumns({"shard": best["shard"].cast("int"), "grown_shard": grown(best, F.col("doc_id"), shards).cast("int")}).drop("_best")
     return slots(rows, "shard", "doc_id", ["text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -24,7 +24,9 @@ def tables(spark, tmp_path_factory):
     docs += [(1000 + i, text(60) + (" idiot" if i % 2 else "")) for i in range(300)]
     folder = str(tmp_path_factory.mktemp("tables"))
     rows = [(i, t, "en", "web", len(t or "")) for i, t in docs]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    # Columns that stages could take for their own are kept as they are.
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.selectExpr("*", "'x' AS ids", "1 AS decoded", "2 AS c0", "3 AS score", "4 AS kept", "5 AS n_hit", "6 AS id").repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder, dict(docs), leak
@@ -64,7 +66,8 @@ def test_stages_one_by_one(spark, tables, tmp_path):
     library.no_truncation()
     for r in kept[4].values():
         ids = library.encode(r.text or "", add_special_tokens=False).ids
-        assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
+        assert r.ids_ == ids and r.decoded_ == library.decode(ids, skip_special_tokens=False)
+        assert (r.ids, r.decoded, r.c0, r.score, r.kept, r.n_hit, r.id) == ("x", 1, 2, 3, 4, 5, 6)
     assert set(kept[4]) == set(kept[3]) and {500, 501} <= set(kept[4])
     run = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id: r for r in run} == kept[4]

@@ -9,7 +9,8 @@ backslash becomes two and ``<|`` becomes ``<\|``, so no control string can occur
 dropping the first of every backslash pair.
 
 Null texts and roles are empty. Turns with equal numbers are ordered by role and text, null numbers come first, and
-repeated rows are turns of their own. An empty table gives no examples. Only the four named columns are read.
+repeated rows are turns of their own. An empty table gives no examples. Only the four named columns are read. A very long
+text is kept whole; a conversation is one row before it is expanded, and n turns give up to n prefixes of it.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ DAY = dt.date.fromisoformat
 
 STATUS = """<?xml version="1.0"?><billStatus><bill><number>3633</number><type>HR</type><congress>119</congress><title>An Act</title><introducedDate>2025-05-29</introducedDate>
 <sponsors><item><bioguideId>H001072</bioguideId><firstName>French</firstName><lastName>Hill</lastName><party>R</party><state>AR</state></item></sponsors>
-<titles><item><titleType>Short Title(s) as Passed House</titleType><title>Later</title></item><item><titleType>Short Title(s) as Introduced</titleType><title>CLARITY Act</title></item></titles>
+<titles><item><titleType>Short Title(s) as Passed House</titleType><title>Later</title></item><item><titleType>Short Title(s) as Introduced</titleType><title>OPENNESS Act</title></item></titles>
 <actions><item><actionDate>2025-09-18</actionDate><text>Received in the Senate &amp; read.</text><type>IntroReferral</type></item>
 <item><actionDate>2025-07-17</actionDate><text>On passage Passed by the Yeas and Nays</text><type>Floor</type><actionCode>8000</actionCode><recordedVotes><recordedVote><rollNumber>199</rollNumber><chamber>House</chamber><congress>119</congress><sessionNumber>1</sessionNumber><date>2025-07-17T19:30:31Z</date><url>https://clerk/roll199.xml</url></recordedVote><recordedVote><rollNumber>1</rollNumber><url></url></recordedVote></recordedVotes></item>
 <item><actionDate>2025-05-29</actionDate><text>Introduced in House</text><type>IntroReferral</type><actionCode>1000</actionCode></item><item><text>no date</text></item>{more}</actions>
@@ -49,7 +49,7 @@ def marked(spark, more="", menu=MENU):
 
 def test_status(spark):
     r = bills.bill_status(doc(spark, STATUS.replace("{more}", ""))).first()
-    assert (r.congress, r.bill_type, r.number, r.short_title, str(r.introduced), r.sponsor.name, r.latest_action.text) == (119, "hr", 3633, "CLARITY Act", "2025-05-29", "Rep. French Hill", "Received")
+    assert (r.congress, r.bill_type, r.number, r.short_title, str(r.introduced), r.sponsor.name, r.latest_action.text) == (119, "hr", 3633, "OPENNESS Act", "2025-05-29", "Rep. French Hill", "Received")
     assert [a.code for a in r.actions] == ["", "8000", "1000"] and r.actions[0].text == "Received in the Senate & read." and [v.url for v in r.actions[1].votes] == ["https://clerk/roll199.xml"]
     assert [(v.code, v.chamber, str(v.date), v.url) for v in r.versions] == [("EH", "house", "2025-07-17", "https://x/eh.xml"), ("RS", "senate", "2026-06-01", "")]
     assert [(b.label, b.url) for b in r.related] == [("S. 4", "https://www.congress.gov/bill/119th-congress/senate-bill/4")]
@@ -98,8 +98,9 @@ def test_stages(spark, more, states, requires):
     if not more:
         assert r.s[3].detail.startswith("Cloture activity recorded - not a passage vote. ")
     votes = spark.createDataFrame([(DAY("2026-01-01"), "senate", "cloture", "q", "passed", 1, 2, "u"), (DAY("2025-01-01"), "house", "passage", "q", "passed", 1, 2, "u")], "date date, chamber string, type string, question string, result string, yea int, nay int, url string")
-    whole = bill.assemble(m, votes).first()
+    whole = bill.assemble(m, votes, "OPENNESS", "H.R. 3633").first()
     assert [v.chamber for v in whole.votes] == ["house", "senate"] and (whole.warning.startswith("The Senate passed") is requires)
+    assert "If the Senate passes H.R. 3633" in whole.warning and "House-passed OPENNESS text" in whole.warning
 
 
 def test_law_without_an_act_raises(spark):

@@ -44,9 +44,9 @@ def test_exact_snapshots_and_price_chain(spark):
     asked = spark.createDataFrame([("A", day(f"2024-{d}")) for d in ("01-30", "01-31", "02-01", "02-02")] + [("B", day("2024-01-31")), ("C", day("2024-02-02"))], "s string, d date")
     found = pricing.exact_snapshot(asked, [month, previous, latest], "s", "d")
     assert {(r.s, str(r.d)[5:]): r.entry for r in found.collect()} == {("A", "01-30"): None, ("A", "01-31"): 1.0, ("A", "02-01"): 3.0, ("A", "02-02"): 5.0, ("B", "01-31"): 4.0, ("C", "02-02"): None}
-    chain = pricing.price_chain({"kadoa": F.col("k"), "yahoo": F.col("y")}).alias("p")
+    chain = pricing.price_chain({"one": F.col("k"), "two": F.col("y")}).alias("p")
     rows = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 2.0), (3, None, None)], "i int, k double, y double").select("i", chain).orderBy("i").collect()
-    assert [tuple(r.p) for r in rows] == [(1.0, "kadoa", None), (2.0, "yahoo", None), (None, None, "no price from kadoa, yahoo")]
+    assert [tuple(r.p) for r in rows] == [(1.0, "one", None), (2.0, "two", None), (None, None, "no price from one, two")]
 
 
 def test_a_sold_baseline_starts_as_sold(spark):

@@ -12,26 +12,41 @@ from tidemark.functions.labels import bill_number, house_question, is_passed, is
 
 #: Codes of actions.
 INTRODUCED, HOUSE_PASSED, SENATE_REPORTED, SENATE_PASSED = "1000", "8000", "14000", "17000"
-#: Words of a title that may replace the bill.
-VEHICLE_WORDS = ("market structure", "digital commodit", "responsible financial innovation", "clarity", "digital asset")
-VEHICLE_NOTE = "WATCH: Senate-side measure matching market-structure keywords - possible replacement vehicle for the CLARITY text."
-#: The texts about a substitute.
+#: Words of a title that may replace the bill; the bill's own short name is one more.
+VEHICLE_WORDS = ("market structure", "digital commodit", "responsible financial innovation", "digital asset")
+#: The texts about a substitute; ``{own}`` is the bill's short name with a blank, ``{number}`` its number.
+VEHICLE_NOTE = "WATCH: Senate-side measure matching market-structure keywords - possible replacement vehicle for the {own}text."
 SUBSTITUTE = (
     "The Senate text is a full strike-and-replace substitute (amendment in the nature of a substitute). "
-    "If the Senate passes H.R. 3633, the bill goes back to the House for re-passage of the amended text - "
-    "it does NOT send the House-passed CLARITY text to the President. A cloture vote is not a passage vote."
+    "If the Senate passes {number}, the bill goes back to the House for re-passage of the amended text - "
+    "it does NOT send the House-passed {own}text to the President. A cloture vote is not a passage vote."
 )
 SUBSTITUTE_PASSED = (
-    "The Senate passed its substitute text - this is NOT the House-passed CLARITY text and it is NOT law. "
+    "The Senate passed its substitute text - this is NOT the House-passed {own}text and it is NOT law. "
     "House re-passage of the amended text is now required. "
 )
 REPASSAGE_REQUIRED = (
     "REQUIRED NOW: the Senate passed a strike-and-replace substitute, so the amended text goes back to the House. "
-    "Senate passage did not make the House-passed CLARITY text law."
+    "Senate passage did not make the House-passed {own}text law."
 )
 REPASSAGE_LATER = "Required because the Senate text strikes all House-passed text."
 CLOTURE_DETAIL = "Cloture activity recorded - not a passage vote. "
-MILESTONES = ("introduced", "house_passed", "received_in_senate", "senate_reported", "senate_cloture", "senate_passed", "house_repassed", "to_president", "became_law")
+#: What the actions of the milestones say, whatever the case.
+SAYS = {
+    "introduced": "^introduced in house$",
+    "house_passed": "passed/agreed to in house",
+    "received_in_senate": "received in the senate",
+    "senate_reported": "^committee on .*reported by senator",
+    "senate_ordered": "ordered to be reported",
+    "substitute": "amendment in the nature of a substitute",
+    "cloture": "cloture",
+    "senate_passed": "passed/agreed to in senate|passed senate",
+    "house_repassed": "house agreed to (the )?senate amendment",
+    "to_president": "presented to president",
+    "became_law": "became public law",
+}
+#: An action that says all of these repasses the bill as well.
+REPASSES = ("motion that the house agree", "senate amendment", "agreed to")
 _MEMBER_ID = r"^[A-Z]\d{6}$"
 
 
@@ -56,7 +71,7 @@ def milestones(status: DataFrame) -> DataFrame:
     ``substitute_in_play`` and ``requires_repassage``. ``status``: as ``bill_status`` gives it, with ``hits``."""
     # The earliest action counts, on one day the one that stands first.
     actions = F.array_sort(F.transform("actions", lambda a, i: F.struct(a["date"].alias("date"), i.alias("pos"), a["text"].alias("text"), a["type"].alias("type"), a["code"].alias("code"))))
-    says = lambda pattern: (lambda a: a["text"].rlike(f"(?i){pattern}"))
+    says = lambda what: (lambda a: a["text"].rlike(f"(?i){SAYS[what]}"))
     pair = lambda date, detail: F.struct(date.alias("date"), detail.alias("detail"))
 
     def first(condition, since: Column | None = None) -> Column:  # noqa: ANN001
@@ -72,34 +87,44 @@ def milestones(status: DataFrame) -> DataFrame:
         return F.when(h.isNotNull(), pair(h["date"], hit_detail(h, score)))
 
     out = status.withColumn("_actions", actions)
-    out = out.withColumn("received_in_senate", first(says("received in the senate")))
+    out = out.withColumn("received_in_senate", first(says("received_in_senate")))
     since = F.coalesce(F.col("received_in_senate.date"), F.lit("9999-12-31").cast("date"))
     amendment = F.get(F.filter("versions", lambda v: is_senate_amendment(v["code"])), F.lit(0))
-    replaced = F.exists("_actions", lambda a: (a["date"] >= since) & says("amendment in the nature of a substitute")(a)) | F.exists("versions", lambda v: (v["chamber"] == "senate") & v["code"].isin("RS", "EAS"))
-    repass = lambda a: says("house agreed to (?:the )?senate amendment")(a) | (says("motion that the house agree")(a) & says("senate amendment")(a) & says("agreed to")(a))
+    replaced = F.exists("_actions", lambda a: (a["date"] >= since) & says("substitute")(a)) | F.exists("versions", lambda v: (v["chamber"] == "senate") & v["code"].isin("RS", "EAS"))
+
+    def repasses(a: Column) -> Column:
+        every = F.lit(True)
+        for part in REPASSES:
+            every = every & F.contains(F.lower(a["text"]), F.lit(part))
+        return says("house_repassed")(a) | every
+
     out = out.withColumns({
-        "introduced": F.coalesce(first(lambda a: (a["code"] == INTRODUCED) | says("^introduced in house$")(a)), pair(F.col("introduced"), F.lit("Introduced"))),
-        "house_passed": first(lambda a: (a["code"] == HOUSE_PASSED) | says("passed/agreed to in house")(a)),
-        "senate_reported": F.coalesce(first(lambda a: (a["code"] == SENATE_REPORTED) | says("^committee on .*reported by senator")(a), since), first(says("ordered to be reported"), since)),
+        "introduced": F.coalesce(first(lambda a: (a["code"] == INTRODUCED) | says("introduced")(a)), pair(F.col("introduced"), F.lit("Introduced"))),
+        "house_passed": first(lambda a: (a["code"] == HOUSE_PASSED) | says("house_passed")(a)),
+        "senate_reported": F.coalesce(first(lambda a: (a["code"] == SENATE_REPORTED) | says("senate_reported")(a), since), first(says("senate_ordered"), since)),
         "senate_cloture": F.coalesce(first(says("cloture")), hit(lambda h: h["kind"] == "cloture", False)),
         "senate_passed": F.coalesce(
-            first(lambda a: (a["code"] == SENATE_PASSED) | says("passed/agreed to in senate|passed senate")(a)), hit(lambda h: (h["kind"] == "passage") & is_passed(h["result"]), True),
+            first(lambda a: (a["code"] == SENATE_PASSED) | says("senate_passed")(a)), hit(lambda h: (h["kind"] == "passage") & is_passed(h["result"]), True),
             F.when(amendment.isNotNull(), pair(amendment["date"], F.lit("Engrossed Amendment Senate (EAS) text published."))),
         ),
-        "house_repassed": first(repass), "to_president": first(says("presented to president")),
-        "became_law": first(lambda a: (a["type"] == "BecameLaw") | says("became public law")(a)), "substitute_in_play": F.coalesce(replaced, F.lit(False)),
+        "house_repassed": first(repasses), "to_president": first(says("to_president")),
+        "became_law": first(lambda a: (a["type"] == "BecameLaw") | says("became_law")(a)), "substitute_in_play": F.coalesce(replaced, F.lit(False)),
     }).drop("_actions")
     returned = F.col("senate_passed").isNotNull() & (F.col("substitute_in_play") | amendment.isNotNull())
     return out.withColumn("requires_repassage", returned & F.col("house_repassed").isNull())
 
 
-def stages(marked: DataFrame) -> Column:
+def _named(text: str, short: str, number: str = "") -> str:
+    return text.format(own=f"{short} " if short else "", number=number or "the bill")
+
+
+def stages(marked: DataFrame, short: str = "") -> Column:
     """The six stages of a bill with its milestones: ``label, date, status, detail``. What is reached is done, the first
-    other one is current, the rest are pending; the floor vote stays open through cloture."""
+    other one is current, the rest are pending; the floor vote stays open through cloture. ``short`` names the bill."""
     own = lambda m: F.nullif(F.col(f"{m}.detail"), F.lit(""))
     floor = F.coalesce(F.col("senate_passed.detail"), F.concat(F.lit(CLOTURE_DETAIL), F.col("senate_cloture.detail")))
     swap = F.col("substitute_in_play")
-    again = F.when(F.col("requires_repassage"), REPASSAGE_REQUIRED).otherwise(REPASSAGE_LATER)
+    again = F.when(F.col("requires_repassage"), _named(REPASSAGE_REQUIRED, short)).otherwise(REPASSAGE_LATER)
     rows = [
         (F.lit("Introduced in House"), F.col("introduced"), own("introduced")),
         (F.lit("Passed House"), F.col("house_passed"), own("house_passed")),
@@ -113,18 +138,20 @@ def stages(marked: DataFrame) -> Column:
     return F.array(*[F.struct(label.alias("label"), m["date"].alias("date"), status(i, m).alias("status"), detail.alias("detail")) for i, (label, m, detail) in enumerate(rows)])
 
 
-def substitute_warning(in_play: Column, requires: Column) -> Column:
-    return F.when(in_play & requires, SUBSTITUTE_PASSED + SUBSTITUTE).when(in_play, SUBSTITUTE)
+def substitute_warning(in_play: Column, requires: Column, short: str = "", number: str = "") -> Column:
+    later = _named(SUBSTITUTE, short, number)
+    return F.when(in_play & requires, _named(SUBSTITUTE_PASSED, short) + later).when(in_play, later)
 
 
-def related_bills(related: Column) -> Column:
+def related_bills(related: Column, short: str = "") -> Column:
     """``title``, ``number``, ``url`` and ``note`` of related bills; Senate bills that may replace this one are noted."""
 
     def row(r: Column) -> Column:
         risk = F.lit(False)
-        for w in VEHICLE_WORDS:
+        for w in (*VEHICLE_WORDS, *([short.lower()] if short else [])):
             risk = risk | F.contains(F.lower(r["title"]), F.lit(w))
-        return F.struct(r["title"].alias("title"), r["label"].alias("number"), r["url"].alias("url"), F.when(F.startswith(F.upper(r["type"]), F.lit("S")) & risk, VEHICLE_NOTE).alias("note"))
+        note = F.when(F.startswith(F.upper(r["type"]), F.lit("S")) & risk, _named(VEHICLE_NOTE, short))
+        return F.struct(r["title"].alias("title"), r["label"].alias("number"), r["url"].alias("url"), note.alias("note"))
 
     return F.transform(related, row)
 
@@ -169,17 +196,17 @@ def latest_action(latest: Column, hits: Column) -> Column:
     return F.when(newest["date"] > latest["date"], F.struct(newest["date"].alias("date"), text.alias("text"))).otherwise(latest)
 
 
-def assemble(marked: DataFrame, votes: DataFrame) -> DataFrame:
-    """One row a bill: its stages, versions, votes by date and chamber, related bills, warning and latest action. A
+def assemble(marked: DataFrame, votes: DataFrame, short: str = "", number: str = "") -> DataFrame:
+    """One row a bill (called ``short``, with its number, in the texts about it): its stages, versions, votes by date and chamber, related bills, warning and latest action. A
     bill that would be shown as law without an act that says so raises."""
     listed = votes.groupBy().agg(F.array_sort(F.collect_list(F.struct("date", "chamber", "type", "question", "result", "yea", "nay", "url"))).alias("votes"))
     law = F.get(stages(marked), F.lit(5))["status"] == "done"
     wrong = law & (F.col("became_law").isNull() | F.col("requires_repassage"))
-    sound = F.when(wrong, F.raise_error(F.lit("a bill is shown as law while it is none"))).otherwise(stages(marked))
+    sound = F.when(wrong, F.raise_error(F.lit("a bill is shown as law while it is none"))).otherwise(stages(marked, short))
     return marked.join(F.broadcast(listed), how="cross").select(
         "congress", "bill_type", "number", "title", "short_title", F.col("introduced.date").alias("introduced"), "sponsor", latest_action(F.col("latest_action"), F.col("hits")).alias("latest_action"),
-        substitute_warning(F.col("substitute_in_play"), F.col("requires_repassage")).alias("warning"), "requires_repassage", sound.alias("stages"), text_versions(F.col("versions")).alias("versions"), "votes",
-        related_bills(F.col("related")).alias("related"),
+        substitute_warning(F.col("substitute_in_play"), F.col("requires_repassage"), short, number).alias("warning"), "requires_repassage", sound.alias("stages"), text_versions(F.col("versions")).alias("versions"), "votes",
+        related_bills(F.col("related"), short).alias("related"),
     )
 
 

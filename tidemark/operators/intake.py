@@ -13,6 +13,22 @@ from tidemark.operators.resolve import NICKNAMES, match_names, resolve_third
 
 #: Sources of the congress, where a filer's branch is not known.
 CONGRESS_SOURCES = ("house_clerk", "senate_efd")
+#: Why a third-party row is no trade, in the order in which the reasons are tried.
+REASONS = (
+    "duplicate row id",
+    "non-congress filer",
+    "phantom filer (no party): ",
+    "row has no filer name",
+    "filer not in member roster: ",
+    "unsupported transaction_type: ",
+    "missing amount range",
+    "missing/invalid transaction_date",
+    "missing/invalid filing_date",
+    "missing doc_url",
+    "no asset text",
+    "schema: negative amount",
+    "schema: invalid url",
+)
 TRADE = ("member", "asset", "security", "side", "owner", "lo", "hi", "traded", "filed", "url", "late", "note")
 
 
@@ -60,24 +76,16 @@ def normalize_third(rows: DataFrame, roster: DataFrame, universe: DataFrame, fil
     sound = lambda c: F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$")
     side, asset = side_of(F.col("transaction_type")), F.coalesce(given(F.col("asset_name")), given(F.col("ticker")))
     text = lambda label, *values: F.concat(F.lit(label), F.coalesce(*[F.col(v) for v in values[:-1]], F.lit(values[-1])))
-    rules = [
-        ("duplicate row id", F.col("_first")),
-        ("non-congress filer", is_congress(rows)),
-        (text("phantom filer (no party): ", "filer_name", "filer_id", "unknown"), F.col("party") != ""),
-        ("row has no filer name", F.col("filer_name").isNotNull()),
-        (text("filer not in member roster: ", "filer_name", ""), F.col("member").isNotNull()),
-        (text("unsupported transaction_type: ", "transaction_type", "null"), side.isNotNull()),
-        ("missing amount range", F.col("amount_range_low").isNotNull() & F.col("amount_range_high").isNotNull()),
-        ("missing/invalid transaction_date", sound("transaction_date")),
-        ("missing/invalid filing_date", sound("filing_date")),
-        ("missing doc_url", F.col("doc_url").rlike(r"^https?://")),
-        ("no asset text", asset.isNotNull()),
-        ("schema: negative amount", F.least("amount_range_low", "amount_range_high") >= 0),
-        ("schema: invalid url", F.try_parse_url("doc_url", F.lit("HOST")).isNotNull()),
-    ]
+    # What each reason ends with, and when a row passes it.
+    ends = {2: ("filer_name", "filer_id", "unknown"), 4: ("filer_name", ""), 5: ("transaction_type", "null")}
+    passes = (
+        F.col("_first"), is_congress(rows), F.col("party") != "", F.col("filer_name").isNotNull(), F.col("member").isNotNull(), side.isNotNull(), F.col("amount_range_low").isNotNull() & F.col("amount_range_high").isNotNull(),
+        sound("transaction_date"), sound("filing_date"), F.col("doc_url").rlike(r"^https?://"), asset.isNotNull(), F.least("amount_range_low", "amount_range_high") >= 0, F.try_parse_url("doc_url", F.lit("HOST")).isNotNull(),
+    )
+    rules = [(text(r, *ends[i]) if i in ends else r, ok) for i, (r, ok) in enumerate(zip(REASONS, passes, strict=True))]
     rows = rows.withColumn("reason", first_reason(rules))
     skipped = rows.where("reason is not null").select("id", "ord", "reason")
-    unmatched = rows.where(F.startswith("reason", F.lit("filer not in member roster: "))).select("filer_name").distinct().orderBy("filer_name")
+    unmatched = rows.where(F.startswith("reason", F.lit(REASONS[4]))).select("filer_name").distinct().orderBy("filer_name")
     good = rows.where("reason is null")
     named = resolve_third(good.select("ticker", F.col("asset_name").alias("asset"), "asset_type"), universe).toDF("_ticker", "_asset", "_type", "security")
     same = F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("asset_name").eqNullSafe(F.col("_asset")) & F.col("asset_type").eqNullSafe(F.col("_type"))

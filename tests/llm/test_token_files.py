@@ -68,15 +68,17 @@ def test_many_texts_equal_the_library():
     bits = [" ", "  ", "\n", "\t", "\u00a0", "word", "it's", "it 's", "12", "é", "漢字", "!?", "<|endoftext|>", "\u0378", "\x1c", "a" * 90, "\u2028"]
     texts = ["".join(g.choice(bits) for _ in range(g.randrange(40))) for _ in range(3000)] + [x or "" for x in TEXTS]
     want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
-    assert [own.encode(x) for x in texts] == want
+    for step in (1, 7, 5000):
+        assert [i for r in range(0, len(texts), step) for i in own.encode_all(texts[r : r + step])] == want
 
 
 def test_memory_of_words_is_bounded(monkeypatch):
-    monkeypatch.setattr(arrow_text, "CACHE", 20)
+    monkeypatch.setattr(token_files, "PIECES", 20)
+    monkeypatch.setattr(token_files, "WORDS", 30)
     own = token_files.Encoder(P.path("byte_bpe_50k.json"))
     for i in range(50):
         own.encode(f"some{i} words{i} here " + "x" * 500)
-    assert len(own.known) <= 20 and max(map(len, own.known)) <= arrow_text.CACHED_LETTERS
+    assert len(own.known) <= 20 and len(own.words) <= 30 and max(map(len, own.known)) <= arrow_text.CACHED_LETTERS
 
 
 def test_files_beyond_five_digits_go_by_number(spark):

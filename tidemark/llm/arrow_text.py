@@ -69,13 +69,13 @@ def trim(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return one if f.__code__.co_argcount == 1 else two
 
 
-def remember(known: dict[str, bytes], text: str, ids: bytes) -> None:
-    """Keep the ids of a short text. Of a full dictionary the half that came first stays, as frequent texts come first."""
-    if len(text) <= CACHED_LETTERS:
-        if len(known) >= CACHE:
-            for old in [*islice(known, CACHE // 2, None)]:
-                del known[old]
-        known[text] = ids
+def remember(known: dict[str, bytes], new: dict[str, bytes], most: int = 0) -> None:
+    """Keep the ids of short texts. Of a full dictionary the half that came first stays, as frequent texts come first."""
+    most = most or CACHE
+    known |= {t: i for t, i in new.items() if len(t) <= CACHED_LETTERS}
+    if len(known) > most:
+        for old in [*islice(known, most // 2, None)]:
+            del known[old]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

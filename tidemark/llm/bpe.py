@@ -213,7 +213,7 @@ class Bpe:
             if self.suffix:
                 s = s[:-1] + chr(ord(s[-1]) + _END)
             out = self.encode_symbols(s).tobytes()
-            remember(self._words, word, out)
+            remember(self._words, {word: out})
         return out
 
     def _chunk(self, chunk: str) -> bytes:
@@ -226,7 +226,7 @@ class Bpe:
                 text = self.normalizer.normalize_str(chunk) if self.normalizer else chunk
                 found = [text[i:j] for _, (i, j) in self.cutter.pre_tokenize_str(text)]
             out = b"".join(map(self._word, found))
-            remember(self._chunks, chunk, out)
+            remember(self._chunks, {chunk: out})
         return out
 
     def _plain(self, text: str) -> bytes:

@@ -14,6 +14,7 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +26,8 @@ from tokenizers import Tokenizer
 
 from tidemark.llm.arrow_text import give_back, remember
 
-#: Text of a file, about.
-FILE_BYTES = 64 << 20
+#: Text of a file, about, texts that are encoded at once, and pieces and pre-tokens that a worker remembers (some 150 MB).
+FILE_BYTES, TEXTS, PIECES, WORDS = 64 << 20, 128, 500_000, 250_000
 SCHEMA = "doc_id long, n_tokens long, ids array<int>"
 
 
@@ -59,32 +60,37 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _library(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        out = self.words.get(word)
-        if out is None:
-            out = self._library(word)
-            remember(self.words, word, out)
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces (with the blank before them, if any); the library gets their new pre-tokens all at once."""
+        # \x1c to \x1f are white space for one of the two, and a special token is no pre-token.
+        cut = {p: self._WORD.findall(p) if p.isascii() and "<|" not in p and not _SEPARATORS.search(p) else [p] for p in pieces}
+        word = self.words.get
+        new = [w for w in {w for parts in cut.values() for w in parts} if word(w) is None]
+        fresh = {w: array("I", e.ids).tobytes() for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        out = {p: b"".join([word(w) or fresh[w] for w in parts]) for p, parts in cut.items()}
+        remember(self.words, fresh, WORDS)
         return out
 
-    def _piece(self, text: str) -> bytes:
-        # \x1c to \x1f are white space for one of the two, and a special token is no pre-token.
-        if text.isascii() and "<|" not in text and not _SEPARATORS.search(text):
-            return b"".join(map(self._word, self._WORD.findall(text)))
-        return self._library(text)
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        known = self.known.get
+        cut = [self._CUT.split(t) if self._LOOSE.search(t) else t.split(" ") for t in texts]
+        heads = [parts[0] for parts in cut]  # no blank before them
+        got = [[*map(known, parts)] for parts in cut]
+        gaps = [[i for i, x in enumerate(ids) if x is None and i] for ids in got]
+        pieces = {" " + parts[i] for parts, own in zip(cut, gaps, strict=True) for i in own}
+        found = self._learn(pieces | set(heads))
+        out = []
+        for parts, ids, own in zip(cut, got, gaps, strict=True):
+            ids[0] = found[parts[0]]
+            for i in own:
+                ids[i] = found[" " + parts[i]]
+            out.append(b"".join(ids))
+        remember(self.known, {p[1:]: found[p] for p in pieces}, PIECES)
+        return out
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a text."""
-        parts = self._CUT.split(text) if self._LOOSE.search(text) else text.split(" ")
-        ids = [*map(self.known.get, parts)]
-        ids[0] = self._piece(parts[0])  # no blank before it
-        for at in [i for i, x in enumerate(ids) if x is None]:
-            piece = parts[at]
-            ids[at] = out = self.known.get(piece) or self._piece(" " + piece)
-            remember(self.known, piece, out)
-        return b"".join(ids)
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -99,7 +105,8 @@ def write(df: DataFrame, path: str, tokenizer: str, end_id: int, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _cached(tokenizer)
         for b in batches:
-            got = [encoder.encode(t.as_py() or "") + end for t in b.column(1)]
+            rows = (b.column(1).slice(r, TEXTS) for r in range(0, b.num_rows, TEXTS))
+            got = [i + end for some in rows for i in encoder.encode_all([t or "" for t in some.to_pylist()])]
             n = np.array([len(g) // 4 for g in got], dtype=np.int64)
             flat = np.frombuffer(b"".join(got), dtype="<i4")
             at = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)

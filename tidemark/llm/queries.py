@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of operators 1 to 10, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -181,3 +181,6 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), modulus=4, held_out=2)
+
+
+from tidemark.llm import pair_queries  # noqa: E402, F401  adds the queries of operators 11 to 13

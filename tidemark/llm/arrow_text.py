@@ -20,6 +20,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, dtype=bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+#: Those of words between ASCII blanks, ``[^\x20\x09-\x0D]+``.
+NOT_BLANK = np.ones(256, dtype=bool)
+NOT_BLANK[32] = NOT_BLANK[9:14] = False
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +105,12 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, at: np.ndarray, letters: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of rows of lower-cased text: start, end (byte positions), 64-bit hash, and the first word of each row
-    (one more than rows). Rows are cut apart even where no separator stands between them."""
+    (one more than rows). Rows are cut apart even where no separator stands between them. ``letters`` says of each byte
+    whether it belongs to a word."""
     low = _LOWER[raw]
-    inside = _IS_WORD[low]
+    inside = letters[low]
     n = len(low)
     cut = np.zeros(n + 1, dtype=bool)
     cut[at] = True

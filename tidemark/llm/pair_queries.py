@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import periodic
+from tidemark.llm import collocation, periodic
 from tidemark.llm.queries import ORACLES, query, table
 
 
@@ -86,3 +86,36 @@ SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length
   1000 * best.length // best.period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM d LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)
 """
+
+
+@query
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, 6) AS t(k) WHERE len(w) >= k
+), f AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND f >= 100
+), s AS (
+  SELECT lang, phrase, a, unnest(range(1, k)) AS cut, w, k FROM c
+), t AS (
+  SELECT s.lang, s.phrase, s.a, s.cut, l.f AS l, r.f AS r, n, (1000::HUGEINT * s.a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM s JOIN n USING (lang) JOIN f l ON l.lang = s.lang AND l.phrase = array_to_string(w[1 : cut], ' ') JOIN f r ON r.lang = s.lang AND r.phrase = array_to_string(w[cut + 1 : s.k], ' ')
+), b AS (
+  SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), o AS (
+  SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND len(c.w) > len(string_split(b.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * c.a >= 100 * b.a)
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM o QUALIFY rank <= 2000
+"""

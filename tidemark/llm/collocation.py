@@ -40,7 +40,7 @@ from tidemark.shared import stored
 #: longer phrase at which a phrase is a part of that one.
 LEAST, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 #: Bytes of text of a part and of the texts whose hashes or phrases share a bucket, about; parts and buckets at least.
-PART_BYTES, BUCKET_BYTES, LEAST_PARTS = 8 << 20, 32 << 20, 16
+PART_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 16 << 20, 16
 #: duckdb's memory, beyond which it goes to disk; ranges that each language's phrases are first ranked in.
 MEMORY, RANGES = "256MB", 16
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
@@ -166,14 +166,15 @@ class _Part:
         own = table.filter(pc.equal(table.column("lang"), lang))
         strings, m = _summed(_lines(own.column("lines")), own.column("m").combine_chunks().flatten().to_numpy())
         self.raw, at = utf8(strings)
-        starts, ends, hashes, after, weight = ([np.zeros(0, kind)] for kind in (np.int64, np.int64, np.uint64, np.int64, np.int64))
+        place = np.int32 if len(self.raw) < 1 << 31 else np.int64
+        starts, ends, hashes, after, weight = ([np.zeros(0, kind)] for kind in (place, place, np.uint64, place, np.int64))
         for r0, r1 in pieces(self.raw, at):
             start, end, h, first = words(self.raw[at[r0] : at[r1]], at[r0 : r1 + 1] - at[r0], _NOT_SPACE)
             n = np.diff(first)
-            starts.append(start + at[r0])
-            ends.append(end + at[r0])
+            starts.append((start + at[r0]).astype(place))
+            ends.append((end + at[r0]).astype(place))
             hashes.append(h)
-            after.append(np.repeat(first[1:], n) - np.arange(len(h)))
+            after.append((np.repeat(first[1:], n) - np.arange(len(h))).astype(place))
             weight.append(np.repeat(m[r0:r1], n))
         self.start, self.end, h, self.left, self.weight = map(np.concatenate, (starts, ends, hashes, after, weight))
         seed = _of_language(lang)
@@ -207,7 +208,7 @@ class _Part:
             stop.append(self.end[chain + k - 1])
             chain = chain[pair[chain + k - 1]]  # the pair of the last word and the one after it
         at = np.concatenate(begin)
-        first, size = self.start[at], np.concatenate(stop) - self.start[at]
+        first, size = self.start[at].astype(np.int64), (np.concatenate(stop) - self.start[at]).astype(np.int64)
         out, total = [], [np.zeros(0, np.int64)]
         for k in range(0, len(at), 1 << 18):
             n = size[k : k + (1 << 18)]

@@ -114,9 +114,9 @@ def test_review(spark):
     holdings = spark.createDataFrame([(1, 1, "M", "IBIT", "spot-etf", "holds"), (2, 2, "M", "BTC", "direct", "sold"), (3, 3, "N", "IBIT", "spot-etf", "holds"), (4, 4, "X", "IBIT", "spot-etf", "holds")], "holding int, ord int, member string, ticker string, kind string, status string")
     members = spark.createDataFrame([("M", "Nick Begich III"), ("N", "Ann Oda")], "member string, name string")
     universe = spark.createDataFrame([("IBIT", "spot-etf", "iShares Bitcoin Trust"), ("BTC", "direct", "Bitcoin")], "ticker string, kind string, name string")
-    within, beyond = review.planned(holdings, members, universe, budget=3)
-    assert sorted((r.holding, r.nth) for r in within.collect()) == [(1, 0), (1, 1), (2, 0)] and [r.holding for r in review.skipped(beyond, within).collect()] == [3]
-    assert within.where("holding = 1 and nth = 0").first().query == "Nick Begich III iShares Bitcoin Trust IBIT disclosure"
+    asked = review.searches(holdings, members, universe)
+    assert sorted((r.holding, r.nth) for r in asked.collect()) == [(h, n) for h in (1, 2, 3) for n in (0, 1)]
+    assert asked.where("holding = 1 and nth = 0").first().query == "Nick Begich III iShares Bitcoin Trust IBIT disclosure"
     results = [(1, 0, 0, "Weather", "http://a", "begich and rain"), (1, 0, 1, "Senate", "http://b", "Begich disclosed IBIT shares"), (1, 0, 2, "Begich dumps his IBIT", "http://c", ""), (1, 1, 0, "Begich buys IBIT", "http://d", ""), (2, 0, 0, "Begich bought bitcoin", "https://e", ""), (2, 1, 0, "Begich sold bitcoin", "https://f", " "), (2, 1, 1, "Begich filed on bitcoin", "ftp://g", ""), (3, 0, 0, "Oda sells IBIT, buys more", "https://h", "")]
     found = review.outcomes(spark.createDataFrame(results, "holding int, nth int, pos int, title string, url string, text string"), holdings, members, universe)
     got = {r.holding: (r.outcome, [e.url for e in r.evidence]) for r in found.collect()}

@@ -205,7 +205,7 @@ def test_change_feed_and_state(spark, tmp_path):
     def run():
         source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         feed.change_feed(source, "id", "ts", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-        return sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect())
+        return sorted(r.id for r in feed.rows(spark, f"{tmp_path}/out", schema).collect())
 
     assert run() == [1, 2]
     spark.createDataFrame([(2, dt.datetime(2024, 1, 4), "conflict"), (3, dt.datetime(2024, 1, 4), "?")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")

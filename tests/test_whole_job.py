@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import positions, pricing, resolve
 from tidemark.plans.queries import QUERIES
-from tidemark.streaming import feed
 
 
 def test_verification_state_counts_every_event(spark, tmp_path):
@@ -17,26 +16,6 @@ def test_verification_state_counts_every_event(spark, tmp_path):
     assert got == {1: ("conflict", 2), 2: ("conflict", 2), 3: ("corroborated", 1), 4: ("conflict", 1), 5: ("unverified", 1)}
 
 
-def test_change_feed_takes_late_keys_and_forgets_none(spark, tmp_path):
-    schema = "id int, ts timestamp, v string"
-    day = lambda y, m=1, d=1: dt.datetime(y, m, d)
-    batches = [
-        [(1, day(2024, 1, 2), "b"), (1, day(2024), "a"), (2, day(2024, 6), "c")],
-        [(3, day(2019), "late"), (1, day(2024, 12), "again"), (None, day(2024), "no key")],
-        [(2, day(2025, 6), "again"), (4, day(2020), "late"), (4, None, "no time"), (None, day(2025), "again"), (5, day(2025, 6), "d")],
-    ]
-    for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        feed.change_feed(source, "id", "ts", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = sorted((tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("id", "v").collect()), key=str)
-    assert got == [(1, "a"), (2, "c"), (3, "late"), (4, "no time"), (5, "d"), (None, "no key")]
-    # A batch whose rows were written but whose offsets were not committed is read again.
-    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-    feed.change_feed(source, "id", "ts", f"{tmp_path}/out", f"{tmp_path}/cp_lost").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out").count() == 6
-
-
 def test_exact_snapshots_and_price_chain(spark):
     day = dt.date.fromisoformat
     snapshot = lambda *rows: spark.createDataFrame([(s, day(d), c) for s, d, c in rows], "s string, date date, close double")

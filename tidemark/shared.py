@@ -27,4 +27,12 @@ def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    path = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+    path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

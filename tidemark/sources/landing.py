@@ -177,7 +177,7 @@ def index_differs(index: DataFrame, files: DataFrame, key: str = "member") -> Da
     return one.unionByName(files.select(key, F.lit("files").alias("only")).join(index.select(key), key, "left_anti"))
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_small(spark: SparkSession, path: str, text: str) -> None:
     """A small file, put in place by one rename over the old one."""
     p, fs = _path(spark, path)
     temporary, _ = _path(spark, f"{path}.{uuid.uuid4().hex}")
@@ -192,7 +192,7 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(temporary, p, option)
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
+def read_small(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path).collect()) if exists(spark, path) else None
 
 
@@ -208,7 +208,7 @@ def publish(outputs: dict[str, DataFrame], folder: str, check: Callable[[str, Da
             failures += [f"{name}: {x}" for x in check(name, spark.read.schema(df.schema).parquet(f"{folder}/versions/{version}/{name}"))]
         if failures:
             raise ValueError("; ".join(failures))
-        _write_text(spark, f"{folder}/current.json", json.dumps({"version": version, "outputs": sorted(outputs)}))
+        write_small(spark, f"{folder}/current.json", json.dumps({"version": version, "outputs": sorted(outputs)}))
     except BaseException:
         p, fs = _path(spark, f"{folder}/versions/{version}")
         fs.delete(p, True)
@@ -218,7 +218,7 @@ def publish(outputs: dict[str, DataFrame], folder: str, check: Callable[[str, Da
 
 def published(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
     """A published output: that of the last good run. Before the first one, an empty table of the schema, if given."""
-    pointer = _read_text(spark, f"{folder}/current.json")
+    pointer = read_small(spark, f"{folder}/current.json")
     if pointer is None and schema:
         return spark.createDataFrame([], schema)
     if pointer is None:
@@ -228,7 +228,7 @@ def published(spark: SparkSession, folder: str, name: str, schema: str | None =
 
 def prune(spark: SparkSession, folder: str) -> int:
     """Delete all versions but the current one; how many. Not while another run may be writing or reading them."""
-    pointer = _read_text(spark, f"{folder}/current.json")
+    pointer = read_small(spark, f"{folder}/current.json")
     p, fs = _path(spark, f"{folder}/versions/*")
     old = [s.getPath() for s in fs.globStatus(p) if pointer and s.getPath().getName() != json.loads(pointer)["version"]]
     for path in old:
@@ -238,7 +238,7 @@ def prune(spark: SparkSession, folder: str) -> int:
 
 def report(spark: SparkSession, path: str, step: str, reason: str, stats: dict[str, float], warnings: list[str], failures: list[str] | None = None) -> None:
     """What failed, in a file of its own; the outputs stay as they are. A run that ends well removes it (``withdraw``)."""
-    _write_text(spark, path, json.dumps({"ok": False, "step": step, "reason": reason, "validation": failures or [], "stats": stats, "warnings": warnings}, indent=2) + "\n")
+    write_small(spark, path, json.dumps({"ok": False, "step": step, "reason": reason, "validation": failures or [], "stats": stats, "warnings": warnings}, indent=2) + "\n")
 
 
 def withdraw(spark: SparkSession, path: str) -> None:

@@ -4,7 +4,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from tidemark.llm import jaccard_join, minhash
+from tidemark.llm import jaccard_join
 from tidemark.llm.queries import QUERIES
 
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -63,10 +63,13 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, seed, sizes, cop
     assert got == want and len({c for *_, c in want}) < len(want) - 30
 
 
-def test_lists_with_several_components_in_small_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("rounds", [1, 3])
+def test_lists_with_several_components_in_small_blocks(spark, monkeypatch, rounds):
     """Copies of copies: most of a list is unlike its centre."""
-    monkeypatch.setattr(minhash, "UNLIKE_BLOCK", 3)
-    monkeypatch.setattr(minhash, "MEMBER_BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "OUTSIDE_BLOCK", 3)
+    monkeypatch.setattr(jaccard_join, "MEMBER_BLOCK", 5)
+    monkeypatch.setattr(jaccard_join, "SCANNED", 100)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
     g = random.Random(12)
     texts = [[f"w{g.randrange(10**6)}" for _ in range(150)]]
     for _ in range(80):
@@ -120,3 +123,17 @@ def test_one_very_long_text(spark):
     docs = [(1, " ".join(w)), (2, " ".join(w[:-50])), (3, " ".join(w[:200_000])), (4, "short text of its own")]
     got = {r.id: r.component_id for r in jaccard_join.components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_cells_bound_the_overlap():
+    g = np.random.default_rng(7)
+    for n, m, common in ((1, 1, 1), (20, 23, 20), (400, 380, 350), (130, 127, 125), (5000, 4600, 4590), (300, 300, 0)):
+        x = g.integers(0, 1 << 63, n, np.uint64)
+        y = np.concatenate([x[:common], g.integers(0, 1 << 63, m - common, np.uint64)])
+        (a,), (b,) = (jaccard_join.cells(z, np.zeros(len(z), np.int64), np.array([len(z)])) for z in (x, y))
+        a, b = (np.frombuffer(z, np.uint8) for z in (a, b))
+        assert a.sum() == n and b.sum() == m
+        assert common <= jaccard_join.bound(a, b[None, :])[0] == jaccard_join.bound(b, a[None, :])[0] <= min(n, m)
+    assert jaccard_join.bound(a, b[None, :])[0] < 0.9 * 300  # unlike sets are told apart
+    full = np.full(4, 255, np.uint8)
+    assert jaccard_join.bound(full, full[None, :])[0] > 10**9

@@ -6,19 +6,25 @@ s and t being their sizes. Equal sets are one from the start. Then
 
 - light sets, of at most b elements: each enumerates, for every size s that a partner may have, its subsets of c(s, t)
   elements. Documents of sizes s and t that have a subset in common are linked, without another look;
-- heavy sets, of more: an inverted list of each element is scanned. In an order of all elements by their frequency, two
-  sets that are linked share one of their first t - ceil(PERCENT t / 100) + 1 elements, so only those are listed. Sets
-  that may be partners of heavy ones are in the lists as well;
+- heavy sets, of more: the inverted lists of their elements are scanned. In an order of all elements by their frequency,
+  two sets that are linked share one of their first t - ceil(PERCENT t / 100) + 1 elements, so only those are listed.
+  Sets that may be partners of heavy ones are in the lists as well;
 - the boundary b has the least cost: for each size, the subsets that its sets enumerate against the entries of the
   lists that they meet.
 
-A list has a centre, with which all of it is compared, exactly and over whole sets. Linked sets form components; where a
-list still holds several, what lies outside its largest is compared with all of it, in blocks of bounded numbers and
-bytes that give back only what spans their links. So a group of near copies costs one comparison each, no pairs of a
-list are made, and yet any two sets that share a listed element have been compared or are connected.
+A list has a centre, with which all of it is compared; linked sets form components. Where a list still holds several, the
+next centre is compared with the others, for ``ROUNDS`` rounds. What is left of a list then is scanned in blocks of
+bounded size: each set outside the list's largest component against all of the list. So a group of near copies costs one
+comparison each, and yet any two sets that share a listed element have been compared or are connected.
 
-The frequencies are counts of all elements of all documents in a table of ``COUNTERS`` hashes, so what is broadcast has a
-fixed size. They only order the elements: any order gives the same links. Elements are 64-bit hashes of words.
+A comparison looks at counts first: the elements of a set fall into cells by their hashes, some eight a cell, and two sets
+share no more than the lesser counts of all cells. Only pairs that this bound lets through are read as whole sets and
+compared exactly; it rejects no linked pair, and a set's cells are a sixty-fourth of its size.
+
+The frequencies are counts of all elements of all documents in a table of ``COUNTERS`` hashes; filters of at most
+``filters.BITS`` say early which elements and texts are surely not wanted. So what is broadcast has a fixed size. The counts only
+order the elements, and any order gives the same links; what a filter lets through in vain costs time only. Elements are
+64-bit hashes of words.
 
 Words are the parts between the ASCII blanks 20 and 09 to 0D, lower-cased by A-Z. Null and empty texts, and those without
 words, have an empty set and are linked with nothing; rows without an id are alone and have no component; rows that
@@ -29,25 +35,29 @@ piece of their own; an empty table gives no rows; other columns are not read, wh
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrow_text import NOT_BLANK, give_back, grams, mix, pieces, utf8, words
-from tidemark.llm.minhash import _similar, _within, connected
-from tidemark.shared import stored
+from tidemark.llm.arrow_text import NOT_BLANK, give_back, grams, mix, pieces, trim, utf8, words
+from tidemark.llm.filters import Filter, chunks, merged
+from tidemark.llm.minhash import _similar, connected
+from tidemark.shared import discard, stored
 
 SHINGLE, PERCENT = 4, 85
 #: Sizes above this one are never light: their subsets would be thousands.
 MOST_LIGHT = 24
-#: Counters of the table of frequencies, and how many rows they are sent in.
-COUNTERS, CHUNKS = 1 << 20, 64
+#: Counters of the table of frequencies.
+COUNTERS = 1 << 20
+#: Rounds of centres; elements of a cell; sets of a block of a list on either side; rows that a task scans, about.
+ROUNDS, PER_CELL, OUTSIDE_BLOCK, MEMBER_BLOCK, SCANNED = 3, 8, 256, 1024, 20_000
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
 
 
@@ -121,32 +131,47 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     """Numbers of elements by counter, over all texts; of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(COUNTERS, "<i8")
         for b in batches:
             for _, _, _, h in _slabs(b.column(0)):
                 np.add.at(total, _counter(h), 1)
             give_back()
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS, dtype=np.int32)), pa.array([x.tobytes() for x in np.split(total.astype("<i8"), CHUNKS)], pa.binary())], names=["chunk", "n"])
+            yield chunks(total)
+
+    return merged(rows.select("t").mapInArrow(run, "chunk int, x binary"), np.add, "<i8", COUNTERS)
+
+
+def cell_numbers(n: np.ndarray) -> np.ndarray:
+    """Cells of sets of n elements: a power of two, ``PER_CELL`` to twice as many elements each."""
+    return 1 << np.floor(np.log2(np.maximum(n // PER_CELL, 1))).astype(np.int64)
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, chunk = np.zeros(COUNTERS // CHUNKS, np.int64), None
-        for b in batches:
-            chunk = b.column("chunk")[0].as_py()
-            for x in b.column("n"):
-                total += np.frombuffer(x.as_buffer(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names=["chunk", "n"])
 
-    own = rows.select("t").mapInArrow(run, "chunk int, n binary").withColumn("some", F.pmod(F.spark_partition_id(), F.lit(32)))
-    summed = own.groupBy("chunk", "some").applyInArrow(add, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary")
-    out = np.zeros((CHUNKS, COUNTERS // CHUNKS), np.int64)
-    for r in summed.collect():
-        out[r.chunk] = np.frombuffer(r.n, "<i8")
-    return out.reshape(-1)
+def cells(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Numbers of elements of each row in the cells of its size, by the first bits of their hashes; 255 is 255 or more."""
+    number = cell_numbers(n)
+    first = np.append(0, np.cumsum(number))
+    bits = np.log2(number).astype(np.uint64)[row]
+    own = np.where(bits > 0, (mix(h) >> np.uint64(1) >> (np.uint64(63) - bits)), 0).astype(np.int64)
+    raw = np.minimum(np.bincount(first[row] + own, minlength=first[-1]), 255).astype(np.uint8).tobytes()
+    return [raw[i:j] for i, j in zip(first.tolist(), first[1:].tolist(), strict=False)]
+
+
+def bound(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Elements that a set may share with each of others, by their cells (a row each), which may be half or twice as
+    many; without a bound where a cell of both is full."""
+    one, many = one.astype(np.int64), many.astype(np.int64)
+    while len(one) != many.shape[1]:
+        if len(one) > many.shape[1]:
+            one = one.reshape(-1, 2).sum(axis=1)
+        else:
+            many = many.reshape(len(many), -1, 2).sum(axis=2)
+    return np.minimum(one, many).sum(axis=1) + ((one >= 255) & (many >= 255)).any(axis=1) * (1 << 40)
 
 
 def _signed(rows: DataFrame, sent: Broadcast, percent: int) -> DataFrame:
-    """``id``, the size ``n`` of each set, two hashes of it, its listed ``tokens``, and all elements of a ``small`` one."""
+    """``id``, the size ``n`` of each set, two hashes of it, its listed ``tokens``, all elements of a ``small`` one, and the
+    counts of its ``cells``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = sent.value
@@ -169,19 +194,37 @@ def _signed(rows: DataFrame, sent: Broadcast, percent: int) -> DataFrame:
                 small = np.where(n <= MOST_LIGHT, n, 0)
                 place = np.arange(len(h)) - first[row]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(r0, rows_), pa.array(n), *(pa.array(x) for x in sums), lists(place < own[row], own), lists(place < small[row], small)],
-                    names=["id", "n", "a", "b", "tokens", "small"],
+                    [b.column(0).slice(r0, rows_), pa.array(n), *(pa.array(x) for x in sums), lists(place < own[row], own), lists(place < small[row], small), pa.array(cells(h, row, n), pa.binary())],
+                    names=["id", "n", "a", "b", "tokens", "small", "cells"],
                 )
             give_back()
 
-    return rows.mapInArrow(run, "id long, n long, a long, b long, tokens array<long>, small array<long>")
+    return rows.mapInArrow(run, "id long, n long, a long, b long, tokens array<long>, small array<long>, cells binary")
 
 
-def _sets(rows: DataFrame) -> DataFrame:
-    """``id`` and its elements, sorted and packed."""
+def _shared_tokens(reps: DataFrame, sent: Broadcast) -> DataFrame:
+    """``reps`` with those of its tokens only that the filter may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            tokens = b.column("tokens")
+            flat = tokens.flatten().to_numpy()
+            keep = sent.value.may_hold(flat)
+            at = np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(np.diff(tokens.offsets.to_numpy())))]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("n"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat[keep]))], names=["rep", "n", "tokens"])
+
+    return reps.select("rep", "n", "tokens").mapInArrow(run, "rep long, n long, tokens array<long>")
+
+
+def _sets(rows: DataFrame, ids: DataFrame, several: DataFrame | None) -> DataFrame:
+    """``id`` and its elements, sorted and packed, of all rows with one of the ``ids`` (and some others); texts are read
+    where they lie. Of an id with several rows, each set once."""
+    sent = rows.sparkSession.sparkContext.broadcast(Filter(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pc.is_valid(b.column(0)))
+            b = b.filter(pa.array(sent.value.may_hold(b.column(0).to_numpy())))
             out = []
             for r0, r1, row, h in _slabs(b.column(1)):
                 order = np.argsort(row, kind="stable")
@@ -191,7 +234,10 @@ def _sets(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "packed"])
             give_back()
 
-    return rows.mapInArrow(run, "id long, packed binary")
+    found = rows.mapInArrow(run, "id long, packed binary")
+    if several is None:
+        return found
+    return found.join(several, "id", "left_anti").unionByName(found.join(several, "id", "left_semi").distinct())
 
 
 def _light_links(light: DataFrame, most: int, percent: int) -> DataFrame:
@@ -225,23 +271,87 @@ def boundary(sets: dict[int, int], entries: dict[int, int], percent: int = PERCE
     return min(range(MOST_LIGHT + 1), key=cost)
 
 
+def _likely(pairs: DataFrame, cells_: DataFrame, percent: int) -> DataFrame:
+    """Of distinct pairs (``x``, ``y``) those that may be linked by their cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s, t = (b.column(i).to_numpy() for i in (2, 3))
+            keep = np.minimum(s, t) * 100 >= np.maximum(s, t) * percent
+            need = -(-percent * (s + t) // (100 + percent))
+            for i in np.flatnonzero(keep):
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint8) for c in (4, 5))
+                keep[i] = bound(x, y[None, :])[0] >= need[i]
+            yield b.select(["x", "y"]).filter(pa.array(keep))
+
+    left, right = (cells_.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("cells").alias(f"cells_{c}")) for c in "xy")
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", "cells_x", "cells_y").mapInArrow(run, "x long, y long")
+
+
+def _scan(open_: DataFrame, cells_: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets of one list (``token``, ``rep``, ``label``) in different components that may be linked by their cells.
+
+    Each set outside the list's largest component is held against all of the list. Both are dealt into blocks, and every
+    block of the one against every block of the other is a piece of work; many small lists are one task's.
+    """
+    parts = open_.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = parts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("in_main"))
+    number = lambda n, most: F.ceil(n / most).cast("int")
+    grid = main.withColumns({"us": F.greatest(number(F.col("m") - F.col("in_main"), OUTSIDE_BLOCK), F.lit(1)), "ms": number(F.col("m"), MEMBER_BLOCK)})
+    rows = open_.join(grid, "token")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    columns = ["token", "rep", "label", "u", "m", "outside"]
+    few = rows.where("label <> main").withColumns({"u": own("us"), "outside": F.lit(True)}).withColumn("m", every("ms")).select(*columns)
+    all_ = rows.withColumns({"m": own("ms"), "outside": F.lit(False)}).withColumn("u", every("us")).select(*columns)
+    dealt = stored(few.unionByName(all_).withColumn("piece", F.xxhash64("token", "u", "m")))
+    tasks = max(1, -(-dealt.count() // SCANNED))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("piece").combine_chunks()
+        piece, rep, label, n = (table.column(c).to_numpy() for c in ("piece", "rep", "label", "n"))
+        outside, packed = table.column("outside").to_numpy(zero_copy_only=False), table.column("cells").to_pylist()
+        edge = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(piece))
+        number = cell_numbers(n)
+        found: set[tuple[int, int]] = set()
+        for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
+            asked, others = np.flatnonzero(outside[a:b]) + a, np.flatnonzero(~outside[a:b]) + a
+            by_number = {int(k): others[number[others] == k] for k in np.unique(number[others])}
+            table_of = {k: np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), k) for k, at in by_number.items()}
+            for q in asked.tolist():
+                one = np.frombuffer(packed[q], np.uint8)
+                for k, at in by_number.items():
+                    fits = (np.minimum(n[at], n[q]) * 100 >= np.maximum(n[at], n[q]) * percent) & (label[at] != label[q])
+                    if fits.any():
+                        some = at[fits]
+                        some = some[bound(one, table_of[k][fits]) >= -(-percent * (n[some] + n[q]) // (100 + percent))]
+                        found.update((min(int(rep[q]), i), max(int(rep[q]), i)) for i in rep[some].tolist())
+        x, y = zip(*found, strict=True) if found else ((), ())
+        return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+
+    work = dealt.join(cells_, "rep").select("piece", "rep", "label", "n", "cells", "outside", F.pmod("piece", F.lit(tasks)).alias("task"))
+    return work.groupBy("task").applyInArrow(trim(run), "x long, y long").distinct()
+
+
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``id``, the size ``n`` of its set and ``component_id``, the least id that links connect it with, of all rows."""
-    spark, threshold = docs.sparkSession, percent / 100
+    send, threshold = docs.sparkSession.sparkContext.broadcast, percent / 100
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    sent = spark.sparkContext.broadcast(frequencies(rows))
-    signed = stored(_signed(rows, sent, percent))
+    signed = stored(_signed(rows, send(frequencies(rows)), percent))
     named = signed.where("id is not null and n > 0")
     copies = stored(named.groupBy("a", "b", "n").agg(F.min("id").alias("rep")))
     of_set = stored(named.select("id", "a", "b", "n").join(copies, ["a", "b", "n"]).select("id", "n", "rep"))
+    alone = stored(signed.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id")))
     # Rows of one id may be of several sets, which are linked by it.
-    several = of_set.groupBy("id").agg(F.min("rep").alias("x"), F.max("rep").alias("y")).where("x <> y").select("id", "x")
-    by_id = of_set.join(several, "id").where("x <> rep").select("x", F.col("rep").alias("y")).distinct()
-    reps = named.join(copies.withColumnRenamed("rep", "id"), ["a", "b", "n", "id"], "left_semi").dropDuplicates(["a", "b", "n"]).withColumnRenamed("id", "rep")
-    reps = stored(reps.select("rep", "n", "tokens", "small"))
-
-    entries = reps.select("rep", "n", F.explode("tokens").alias("token"))
-    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("largest")).where("m > 1")
+    repeated = stored(of_set.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("x")).where("k > 1"))
+    by_id = of_set.join(repeated, "id").where("x <> rep").select("x", F.col("rep").alias("y")).distinct()
+    several = None if repeated.isEmpty() else repeated.select("id")
+    reps = named.join(copies.withColumnRenamed("rep", "id"), ["a", "b", "n", "id"], "left_semi")
+    reps = stored((reps.dropDuplicates(["a", "b", "n"]) if several is not None else reps).select(F.col("id").alias("rep"), "n", "tokens", "small", "cells"))
+    discard(signed)
+
+    lists = stored(reps.select("n", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("largest")).where("m > 1"))
+    entries = _shared_tokens(reps, send(Filter(lists.select("token")))).select("rep", "n", F.explode("tokens").alias("token"))
     shared = stored(entries.join(lists, "token").select("token", "rep", "n", "m", "largest"))
     few = F.col("n") <= MOST_LIGHT
     light = boundary(
@@ -249,32 +359,52 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
         {r.n: r.k for r in shared.where(few).groupBy("n").agg(F.sum("m").alias("k")).collect()}, percent,
     )
     light_links = stored(_light_links(reps.where(F.col("n") <= light), light, percent))
+    links = [light_links, by_id]
 
     heavy = shared.where((F.col("largest") > light) & (F.col("n") * 100 >= percent * (light + 1)))
     # The set that meets most others in its lists is the centre: the source of near copies is nearest to all.
     meets = heavy.groupBy("rep").agg(F.sum("m").alias("w"))
-    wanted = stored(meets)
-    sets = stored(_sets(rows.join(wanted.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi")).distinct())
-    members = stored(heavy.join(wanted, "rep").select("token", "rep", "n", "w"))
-    centres = members.groupBy("token").agg(F.max_by(F.struct("rep", "n"), F.struct("w", -F.col("rep"))).alias("c"))
-    fits = F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent
-    pairs = members.join(centres, "token").where((F.col("rep") != F.col("c.rep")) & fits).select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y")).distinct()
-    left, right = (sets.select(F.col("id").alias(n), F.col("packed").alias(f"packed_{n}")) for n in "xy")
-    judged = _similar(pairs.join(left, "x").join(right, "y").select("x", "y", "packed_x", "packed_y"), threshold)
-    links = stored(judged.where("linked").select("x", "y").unionByName(light_links).unionByName(by_id))
-    labels = connected(links)
-
-    # Lists that hold several components: what is outside the largest is compared with all.
-    told = members.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").select("token", "rep", "n", F.coalesce("label", "rep").alias("label"))
-    parts = told.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = parts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "main")
-    open_ = stored(told.join(main, "token").select(F.col("token").alias("band"), "rep", (F.col("n") * 8).alias("size"), (F.col("label") != F.col("main")).alias("outside")))
-    rest = stored(_within(open_.where("outside").drop("outside"), open_.drop("outside"), sets, threshold))
-    labels = connected(links.unionByName(rest)).withColumnRenamed("id", "rep")
-
-    linked = of_set.join(labels, "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component_id"))
-    alone = signed.where("id is null or n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return linked.unionByName(alone)
+    left = stored(heavy.join(meets, "rep").select("token", "rep", "n", "w"))
+    cells_ = stored(reps.join(meets.select("rep"), "rep", "left_semi").select("rep", "n", "cells"))
+    discard(shared)
+    discard(reps)
+    seen: list[DataFrame] = []
+
+    def compared(pairs: DataFrame) -> None:
+        """Pairs that no earlier round has compared, exactly; links join the others."""
+        for old in seen:
+            pairs = pairs.join(old, ["x", "y"], "left_anti")
+        likely = stored(_likely(pairs, cells_, percent))
+        seen.append(likely)
+        sets = _sets(rows, likely.select("x").unionByName(likely.select(F.col("y").alias("x"))).distinct(), several)
+        one, other = (sets.select(F.col("id").alias(c), F.col("packed").alias(f"packed_{c}")) for c in "xy")
+        judged = _similar(likely.join(one, "x").join(other, "y").select("x", "y", "packed_x", "packed_y"), threshold)
+        links.append(stored(judged.where("linked").select("x", "y").distinct()))
+
+    def labelled() -> tuple[DataFrame, DataFrame]:
+        """The component of each linked set, and what is left of lists that hold several."""
+        labels = connected(reduce(DataFrame.unionByName, links))
+        told = left.join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        several_ = told.groupBy("token").agg(F.min("label").alias("one"), F.max("label").alias("other")).where("one < other").select("token")
+        return labels, stored(told.join(several_, "token", "left_semi").select("token", "rep", "n", "w", "label"))
+
+    labels = None
+    for _ in range(ROUNDS):
+        centres = left.groupBy("token").agg(F.max_by(F.struct(*[c for c in left.columns if c != "token"]), F.struct("w", -F.col("rep"))).alias("c"))
+        met = left.join(centres, "token").where(F.col("rep") != F.col("c.rep"))
+        met = met.where(F.least("n", "c.n") * 100 >= F.greatest("n", "c.n") * percent)
+        if labels is not None:
+            met = met.where(F.col("label") != F.col("c.label"))
+        compared(met.select(F.least("rep", "c.rep").alias("x"), F.greatest("rep", "c.rep").alias("y")).distinct())
+        left = stored(left.join(centres.select("token", F.col("c.rep").alias("centre")), "token").where("rep <> centre").select("token", "rep", "n", "w"))
+        labels, left = labelled()
+        if left.isEmpty():
+            break
+    else:
+        compared(_scan(left.select("token", "rep", "label"), cells_, percent))
+        labels = connected(reduce(DataFrame.unionByName, links))
+    labels = labels.withColumnRenamed("id", "rep")
+    return of_set.join(labels, "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component_id")).unionByName(alone)
 
 
 def contract(documents: DataFrame) -> DataFrame:

@@ -16,8 +16,8 @@ have been compared. Candidates are linked if their exact weighted Jaccard simila
 that of the greater ones) is at least the threshold, and linked documents form classes. Copies (equal sequences of words) are one document from the start.
 
 Null and empty texts are alone; texts without words are copies only if equal; rows without an id are alone and have no
-class; rows that share an id are one document, which is in the bands of all of them, is compared by the least of their
-weighted sets, and keeps the row with the least text. Very long texts are signed whole, as a piece of their own; an
+class; rows that share an id are one document of ``classes``, which is in the bands of all of them and is compared by the
+least of their weighted sets; ``deduplicate`` loses none of their texts. Very long texts are signed whole, as a piece of their own; an
 empty table gives no rows. Other columns are kept by ``deduplicate`` whatever their names.
 """
 
@@ -311,10 +311,20 @@ def contract(documents: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The document with the least id of each class, and all rows without an id, with their own columns."""
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    """One row of each class with its own columns: that of the least id, of one id that of the least digest; and all rows
+    without an id. Here each distinct text of an id is a document of its own, so unlike texts under one id all stay; of
+    rows with the same id and text the one with the least other columns does."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
     k, x = (f"c{docs.columns.index(c)}" for c in (key, text))
-    found = classes(named, k, x, threshold).where("id = class_id").select("id").distinct()
-    kept = named.join(found.hint("shuffle_hash"), named[k].cast("long") == found["id"], "left_semi")
-    kept = kept.groupBy(F.col(k).alias("_key")).agg(F.min_by(F.struct(*named.columns), F.struct(x)).alias("_row")).select("_row.*")
-    return kept.unionByName(named.where(F.col(k).isNull())).toDF(*docs.columns)
+    named = docs.toDF(*names).withColumn("_h", F.when(F.col(k).isNotNull(), F.xxhash64(F.col(k).cast("long"), F.col(x))))
+    rows = named.where("_h is not null")
+    found = classes(rows, "_h", x, threshold).select(F.col("id").alias("_h"), "class_id").distinct()
+    own = stored(rows.groupBy("_h").agg(F.min(F.col(k).cast("long")).alias("_k"), F.count(F.lit(1)).alias("_n")))
+    first = stored(own.join(found, "_h").groupBy("class_id").agg(F.min(F.struct("_k", "_h", "_n")).alias("r")).select("r._h", "r._n"))
+    kept = rows.join(first.where("_n = 1").select("_h").hint("shuffle_hash"), "_h", "left_semi").select(*names)
+    again = first.where("_n > 1").select("_h")
+    if not again.isEmpty():  # rows repeated as they are: few texts, or copies that all go but one
+        repeated = rows.join(again, "_h", "left_semi")
+        once = repeated.groupBy("_h").agg(F.min_by(F.struct(*names), F.xxhash64(*[c for c in names if c != x])).alias("_row")).select("_row.*")
+        kept = kept.unionByName(once)
+    return kept.unionByName(named.where("_h is null").select(*names)).toDF(*docs.columns)

@@ -63,12 +63,25 @@ def test_query_equals_brute_force(spark, tmp_path, cases):
     assert sorted(got, key=str) == brute(*cases)
 
 
-def test_blocks_of_a_large_benchmark_give_the_same(spark, cases):
+def test_many_tasks_give_the_same(spark, cases, monkeypatch):
     docs, items = frames(spark, cases)
     key = lambda df: sorted(map(str, df.select("doc_id", "n_words", "n_hit", "items").collect()))
     whole = key(decontaminate.mark(docs, items))
-    for size in (100, 700):
-        assert key(decontaminate.mark(docs, items, block_bytes=size)) == whole
+    monkeypatch.setattr(decontaminate, "TASK_BYTES", 500)
+    assert key(decontaminate.mark(docs.repartition(5), items.repartition(5))) == whole
+
+
+def test_the_plan_does_not_grow_with_the_benchmark(spark, cases):
+    docs, _ = frames(spark, cases)
+
+    def plan(items):
+        df = decontaminate.contract(docs, spark.createDataFrame(items, "item_id long, text string"))
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    many = [(i, f"word{i} " * 3 + " ".join(f"w{i * 7 + k}" for k in range(200))) for i in range(3000)]
+    small, large = (plan(x) for x in (many[:3], many))
+    shape = lambda p: re.sub(r"#\d+L?|plan_id=\d+|\S*tidemark-\S*|\d+", "", p)
+    assert shape(small) == shape(large) and not re.search("MapInArrow|InArrow", large)  # all Python work is done and stored
 
 
 def test_a_very_long_text(spark):

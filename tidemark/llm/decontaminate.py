@@ -5,35 +5,34 @@ words that a document shares with an item lie over the same six hashes in both,
 fingerprints are extended, word by word, to the whole common span; spans of ten words or more are hits. An item of one
 to nine words is a single window: its one hash of all its words is looked up among the document's.
 
-The benchmark is dealt into blocks of about ``BLOCK_BYTES`` of text. The fingerprints of a block are sent to all tasks
-and joined to a document's own where it is read, without a shuffle; a larger benchmark is more blocks, one after the
-other, so what is sent at once does not grow with it.
+The fingerprints of distinct texts and of items are two tables that Spark joins; a filter of at most ``filters.BITS`` of
+the items' fingerprints, the only thing that is broadcast, leaves out most of the texts' before. A text and the items
+that it shares a fingerprint with then meet, many texts a task, and the hits are extended there. So neither the driver
+nor a task ever holds the benchmark, and the plan is the same whatever its size.
 
 Words are lower-cased by A-Z only and keep every non-ASCII character. Null and empty texts have no words, items without
-words or with a null id are never found, equal items all count by their ids, repeated rows are judged alike, a very long
-text is matched whole, an empty table gives no rows, and any other columns of the documents are kept.
+words or with a null id are never found, equal items all count by their ids, repeated rows and texts are judged alike, a
+very long text is matched whole, an empty table gives no rows, and any other columns of the documents are kept.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tidemark.llm.arrow_text import give_back, grams, pieces, utf8, words
+from tidemark.llm.arrow_text import give_back, grams, pieces, trim, utf8, words
+from tidemark.llm.filters import Filter
+from tidemark.shared import stored
 
 #: Words of a window, of a fingerprint's gram, and grams of which one is kept.
 SPAN, GRAM = 10, 5
 WINDOW = SPAN - GRAM + 1
-#: Text of a block of the benchmark, about.
-BLOCK_BYTES = 16 << 20
-_FILTER_BITS = 22
+#: Bytes of texts and items that meet in a task, about.
+TASK_BYTES = 8 << 20
 
 
 def _fingerprints(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +68,7 @@ class Index:
         length = np.diff(self.first)
         places, prints = _fingerprints(self.hash, self.first)
         self.tables = {GRAM: self._table(prints, places)} if len(prints) else {}
-        self.short: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for m in range(1, SPAN):
             if len(rows := np.flatnonzero(length == m)):
                 g = grams(self.hash, m)
@@ -77,20 +76,17 @@ class Index:
         self.item_of = np.repeat(np.arange(len(self.ids)), length)
 
     @staticmethod
-    def _table(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _table(h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(h, kind="stable")
-        seen = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return h[order], place[order], seen
+        return h[order], place[order]
 
     @staticmethod
-    def _find(table: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def _find(table: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """Places in ``h`` that the table has, each with the item words it stands for."""
-        known, place, seen = table
-        maybe = np.flatnonzero(seen[(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-        low, high = np.searchsorted(known, h[maybe], "left"), np.searchsorted(known, h[maybe], "right")
+        known, place = table
+        low, high = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
         for i in np.flatnonzero(high > low):
-            yield int(maybe[i]), place[low[i] : high[i]]
+            yield int(i), place[low[i] : high[i]]
 
     def match(self, column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, set[int]]]:
         """For every text: its number of words, a mask of those hit, and the ids of items with occurring windows."""
@@ -142,57 +138,137 @@ class Index:
                         found(j, j + m, p, row)
 
 
-_FOUND = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.LongType(), False))]
-_SO_FAR = [T.StructField("_mask", T.BinaryType()), T.StructField("_items", T.ArrayType(T.LongType(), False))]
-#: The last index that a worker has made, by the block's name.
-_ready: dict[str, Index] = {}
+def _prints(h: np.ndarray, first: np.ndarray, sizes: range) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of the fingerprints of rows of words, and of the windows of each of the ``sizes``."""
+    places, prints = _fingerprints(h, first)
+    rows, found = [np.searchsorted(first, places, "right") - 1], [prints]
+    last = np.repeat(first[1:], np.diff(first))
+    for m in sizes:
+        g = grams(h, m)
+        inside = np.flatnonzero(np.arange(len(g)) + m <= last[: len(g)])
+        rows.append(np.searchsorted(first, inside, "right") - 1)
+        found.append(g[inside])
+    return np.concatenate(rows), np.concatenate(found)
 
 
-def _index(name: str, sent: Broadcast) -> Index:
-    if name not in _ready:
-        _ready.clear()
-        _ready[name] = Index(sent.value)
-    return _ready[name]
+def _of_items(items: DataFrame) -> DataFrame:
+    """``item_id``, ``item_key``, ``print`` and ``size`` (words of a short item, else 0) of each item's fingerprints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, at = utf8(b.column(2))
+            _, _, h, first = words(raw, at)
+            n = np.diff(first)
+            row, found = _prints(h, first, range(0))
+            size = np.zeros(len(row), np.int32)
+            for m in range(1, SPAN):
+                if len(few := np.flatnonzero(n == m)):
+                    row, found, size = np.append(row, few), np.append(found, grams(h, m)[first[few]]), np.append(size, np.full(len(few), m, np.int32))
+            at_ = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at_), b.column(1).take(at_), pa.array(found.view(np.int64)), pa.array(size.astype(np.int32))], names=["item_id", "item_key", "print", "size"])
+            give_back()
+
+    return items.select("item_id", "item_key", "item_text").mapInArrow(run, "item_id long, item_key string, print long, size int").distinct()
 
 
-def _matched(docs: DataFrame, place: int, own: int, sent: Broadcast, last: bool) -> DataFrame:
-    """The first ``own`` columns of ``docs`` with the hits of a block, added to those of the blocks before."""
-    name = uuid.uuid4().hex
-    schema = T.StructType([*docs.schema.fields[:own], *(_FOUND if last else _SO_FAR)])
-    later = len(docs.columns) > own
+def _counted(rows: DataFrame, sizes: list[int], known: Filter | None) -> DataFrame:
+    """The columns of ``rows`` but ``_text``, ``_n_words``, and ``_prints``: those of its fingerprints that an item may have."""
+    place, own = rows.columns.index("_text"), [c for c in rows.columns if c != "_text"]
+    sent = rows.sparkSession.sparkContext.broadcast(known)
+    kept = [i for i, c in enumerate(rows.columns) if c != "_text"]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text"] + ["_n_words long", "_prints array<long>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = _index(name, sent)
         for b in batches:
-            before = zip(b.column(own).to_pylist(), b.column(own + 1).to_pylist(), strict=True) if later else ((None, ()) for _ in range(b.num_rows))
-            n, masks, items = [], [], []
-            for (count, hit, found), (mask, had) in zip(index.match(b.column(place)), before, strict=True):
-                n.append(count)
-                masks.append(hit | np.unpackbits(np.frombuffer(mask, np.uint8), count=count).astype(bool) if mask is not None else hit)
-                items.append(sorted(found | set(had)))
-            listed = pa.array(items, pa.list_(pa.int64()))
-            new = [pa.array(n, pa.int64()), pa.array([int(m.sum()) for m in masks], pa.int64()), listed] if last else [pa.array([np.packbits(m).tobytes() for m in masks], pa.binary()), listed]
-            yield pa.RecordBatch.from_arrays([*b.columns[:own], *new], names=[f.name for f in schema.fields])
+            raw, at = utf8(b.column(place))
+            n, many, found = [], [], [np.zeros(0, np.int64)]
+            for r0, r1 in pieces(raw, at):
+                _, _, h, first = words(raw[at[r0] : at[r1]], at[r0 : r1 + 1] - at[r0])
+                n.append(np.diff(first))
+                counts = np.zeros(r1 - r0, np.int64)
+                if sent.value is not None:
+                    row, prints = _prints(h, first, sizes)
+                    maybe = sent.value.may_hold(prints)
+                    order = np.argsort(row[maybe], kind="stable")
+                    row, prints = row[maybe][order], prints[maybe][order]
+                    counts = np.bincount(row, minlength=r1 - r0)
+                    found.append(prints.view(np.int64))
+                many.append(counts)
             give_back()
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.concatenate([np.zeros(0, np.int64), *many]))).astype(np.int32)), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in kept), pa.array(np.concatenate([np.zeros(0, np.int64), *n])), lists], names=[*own, "_n_words", "_prints"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _hits(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``_key``, ``n_hit`` and ``items`` of the texts (``_key``, ``_text``) that hold a window of one of their items (``pairs``:
+    ``_key``, ``item_id``, ``item_text``)."""
+    size = pairs.agg(F.coalesce(F.sum(F.octet_length("item_text") + 16), F.lit(0))).first()[0] + texts.agg(F.coalesce(F.sum(F.octet_length("_text") + 16), F.lit(0))).first()[0]
+    task = F.pmod(F.xxhash64("_key"), F.lit(max(1, -(-size // TASK_BYTES)))).alias("task")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        items: dict[str, list[tuple[int, str]]] = {}
+        for key, i, t in zip(*(right.column(c).to_pylist() for c in ("_key", "item_id", "item_text")), strict=True):
+            items.setdefault(key, []).append((i, t))
+        keys, n_hit, found = [], [], []
+        for row, key in enumerate(left.column("_key").to_pylist()):
+            ((_, mask, ids),) = Index(items.get(key, ())).match(left.column("_text").slice(row, 1))
+            if ids:
+                keys.append(key)
+                n_hit.append(int(mask.sum()))
+                found.append(sorted(ids))
+        return pa.table([pa.array(keys, pa.string()), pa.array(n_hit, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["_key", "n_hit", "items"])
+
+    right = pairs.select(task, "_key", "item_id", "item_text")
+    return texts.select(task, "_key", "_text").groupBy("task").cogroup(right.groupBy("task")).applyInArrow(trim(run), "_key string, n_hit long, items array<long>")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, text: str = "text", own: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The columns ``own`` of ``docs`` with ``_key`` (a digest of the text) and ``_n_words`` of all rows, and ``_key``, ``n_hit``
+    and ``items`` of the texts that are hit. ``benchmark`` has ``item_id`` and ``text``. Both are stored."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.md5(F.col("text").cast("binary")).alias("item_key"), F.col("text").alias("item_text")).where("item_id is not null and item_text is not null").distinct()
+    prints = stored(_of_items(items))
+    sizes = sorted(r[0] for r in prints.where("size > 0").select("size").distinct().collect())  # of nine
+    known = None if prints.isEmpty() else Filter(prints.select("print").distinct())
+    keyed = docs.select(*own, F.md5(F.col(text).cast("binary")).alias("_key"), F.col(text).alias("_text"))
+    rows = stored(_counted(keyed, sizes, known))
+    asked = rows.where("size(_prints) > 0").select("_key", F.explode(F.array_distinct("_prints")).alias("print")).distinct()
+    met = stored(asked.join(prints, "print").select("_key", "item_id", "item_key").distinct())
+    wanted = met.select("_key").distinct()
+    # Copies of a text are one; its rows are found by the digest again.
+    texts = keyed.select("_key", "_text").where(F.col("_key").isNotNull())
+    texts = stored(_only(texts, Filter(wanted.select(F.xxhash64("_key"))) if known else None).join(wanted, "_key", "left_semi").dropDuplicates(["_key"]))
+    pairs = met.join(items, ["item_id", "item_key"]).select("_key", "item_id", "item_text")
+    return rows.drop("_prints"), stored(_hits(texts, pairs))
+
+
+def _only(rows: DataFrame, known: Filter | None, held: bool = True) -> DataFrame:
+    """Rows whose ``_key`` a filter may hold, or those of which it surely does not; no row moves for that."""
+    if known is None:
+        return rows.limit(0) if held else rows
+    place, sent = rows.columns.index("_key"), rows.sparkSession.sparkContext.broadcast(known)
+    hashed = rows.withColumn("_hash", F.xxhash64("_key"))
 
-    return docs.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            maybe = sent.value.may_hold(b.column(b.num_columns - 1).to_numpy()) & b.column(place).is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=b.schema.names[:-1]).filter(pa.array(maybe == held))
 
+    return hashed.mapInArrow(run, rows.schema)
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """All columns of ``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted ids of items with occurring windows).
 
-    ``benchmark`` has ``item_id`` and ``text``.
-    """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item_text")).where("item_id is not null and item_text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("item_text") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    dealt = items.withColumn("_block", F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)))
-    place, own, out = docs.columns.index(text), len(docs.columns), docs
-    for k in range(blocks):
-        block = dealt.where(F.col("_block") == k) if blocks > 1 else dealt
-        sent = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.item_text) for r in block.collect()])
-        out = _matched(out, place, own, sent, k == blocks - 1)
-    return out
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``n_words``, ``n_hit`` and ``items`` (sorted ids of items with occurring windows)."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    rows, hits = judged(plain, benchmark, names[docs.columns.index(text)])
+    words_of = rows.where("_key is not null").groupBy("_key").agg(F.max("_n_words").alias("n_words"))
+    keyed = plain.withColumn("_key", F.md5(F.col(names[docs.columns.index(text)]).cast("binary")))
+    # Texts without a digest have no words, and stay where they are.
+    out = keyed.where("_key is not null").join(words_of, "_key").join(hits, "_key", "left").unionByName(keyed.where("_key is null"), allowMissingColumns=True)
+    found = [F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items")]
+    return out.select(*names, *found).toDF(*docs.columns, "n_words", "n_hit", "items")
 
 
 def items_digest(items: Column) -> Column:
@@ -200,12 +276,20 @@ def items_digest(items: Column) -> Column:
 
 
 def contract(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    found = mark(documents.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items_digest(F.col("items")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    rows, hits = judged(documents, benchmark, "text", ("doc_id",))
+    found = rows.join(hits, "_key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    return found.select("doc_id", F.col("_n_words").alias("n_words"), n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), items_digest(F.col("items")).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that no window of the benchmark occurs in, with their own columns."""
+    """The documents that no window of the benchmark occurs in, with their own columns. Only rows whose digest a filter of
+    the hit ones may hold are moved."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)
-    return mark(plain, benchmark, names[docs.columns.index(text)]).where("n_hit = 0").select(*names).toDF(*docs.columns)
+    own = names[docs.columns.index(text)]
+    _, hits = judged(plain, benchmark, own)
+    known = None if hits.isEmpty() else Filter(hits.select(F.xxhash64("_key")))
+    keyed = plain.withColumn("_key", F.md5(F.col(own).cast("binary")))
+    kept = _only(keyed, known, held=False).unionByName(_only(keyed, known).join(hits.select("_key"), "_key", "left_anti"))
+    return kept.select(*names).toDF(*docs.columns)

@@ -30,6 +30,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +41,11 @@ from tidemark.shared import stored
 #: longer phrase at which a phrase is a part of that one.
 LEAST, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 #: Bytes of text of a part and of the texts whose hashes or phrases share a bucket, about; parts and buckets at least.
-PART_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 16 << 20, 16
+PART_BYTES, BUCKET_BYTES, LEAST_PARTS = 4 << 20, 12 << 20, 16
+#: Bytes of text that are cut at once, and bytes from which what is sent is compressed.
+SLICE_BYTES, SHORT = 8 << 20, 256
 #: duckdb's memory, beyond which it goes to disk; ranges that each language's phrases are first ranked in.
-MEMORY, RANGES = "256MB", 16
+MEMORY, RANGES = "160MB", 16
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
 #: Kinds of bytes: of words, blanks within a piece, ends of a piece.
 _KIND = np.zeros(256, dtype=np.uint8)
@@ -113,50 +116,84 @@ def _lines(column: pa.Array) -> pa.Array:
     return _strings(raw[raw != 10], np.append(0, end - np.arange(len(end))))
 
 
-def _joined(strings: pa.Array, first: np.ndarray) -> pa.Array:
-    """The strings of each range, every one with a line end."""
+def _joined(strings: pa.Array, first: np.ndarray) -> list[bytes]:
+    """The strings of each range, every one with a line end, packed."""
     raw, at = utf8(strings)
     n = len(at) - 1
     out = np.full(len(raw) + n, 10, np.uint8)
     inside = np.ones(len(out), dtype=bool)
     inside[at[1:] + np.arange(n)] = False
     out[inside] = raw
-    return _strings(out, (at + np.arange(n + 1))[first])
+    cuts = (at + np.arange(n + 1))[first].tolist()
+    return [_packed(out[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _packed(raw: bytes) -> bytes:
+    """Compressed from some length on; the first byte says whether."""
+    return b"\1" + zstandard.compress(raw, 3) if len(raw) >= SHORT else b"\0" + raw
+
+
+def _unpacked(packed: bytes) -> bytes:
+    return zstandard.decompress(packed[1:]) if packed[0] else packed[1:]
+
+
+def _numbers(x: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """64-bit numbers of each range, packed: the first bytes of all, then the second ones, and so on."""
+    planes = lambda part: np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8).T.tobytes()
+    cuts = first.tolist()
+    return [_packed(planes(x[i:j])) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _read_numbers(packed: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_unpacked(packed), np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def _read_lines(column: pa.Array | pa.ChunkedArray) -> pa.Array:
+    return _lines(pa.array([_unpacked(x.as_py()) for x in column], pa.large_binary()))
+
+
+def _sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Ranges of a batch's rows with about ``SLICE_BYTES`` of text (its second column)."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def _cut(docs: DataFrame, parts: int) -> DataFrame:
-    """``part``, ``lang``, the distinct pieces of a batch for that part (lines), their ``m``, and words in all."""
+    """``part``, ``lang``, the distinct pieces of a slice for that part (lines), their ``m``, and words in all."""
+
+    def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        code = pc.dictionary_encode(pc.fill_null(batch.column(0), "und"))
+        langs, code = code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False)
+        raw, at = utf8(batch.column(1))
+        blocks = []
+        for r0, r1 in pieces(raw, at):
+            own, cuts, row, n = cut(raw[at[r0] : at[r1]], at[r0 : r1 + 1] - at[r0])
+            blocks.append(pa.table([pa.array(code[r0 + row].astype(np.int32)), _strings(own, cuts), pa.array(n)], names=["lang", "s", "n"]))
+        got = pa.concat_tables(blocks).group_by(["lang", "s"], use_threads=False).aggregate([("n", "count"), ("n", "sum")]).combine_chunks()
+        if not len(got):
+            return None
+        lang, m, n = (got.column(c).to_numpy() for c in ("lang", "n_count", "n_sum"))
+        seed = np.array([_of_language(x) for x in langs], np.uint64)
+        part = _range(mix(_hashes(got.column("s")) ^ seed[lang]), parts)
+        order = np.lexsort((lang, part))
+        lang, part, m, n = lang[order], part[order], m[order], n[order]
+        first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])))
+        upto = np.append(first, len(part))
+        lines = pa.array(_joined(got.column("s").take(pa.array(order)), upto), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), pa.array([langs[k] for k in lang[first]], pa.string()), lines, pa.array(_numbers(m.astype(np.int64), upto), pa.binary()), pa.array(np.add.reduceat(n, first))], names=["part", "lang", "lines", "m", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            code = pc.dictionary_encode(pc.fill_null(batch.column(0), "und"))
-            langs, code = code.dictionary.to_pylist(), code.indices.to_numpy(zero_copy_only=False)
-            raw, at = utf8(batch.column(1))
-            blocks = []
-            for r0, r1 in pieces(raw, at):
-                own, cuts, row, n = cut(raw[at[r0] : at[r1]], at[r0 : r1 + 1] - at[r0])
-                blocks.append(pa.table([pa.array(code[r0 + row].astype(np.int32)), _strings(own, cuts), pa.array(n)], names=["lang", "s", "n"]))
-            give_back()
-            if not blocks:
-                continue
-            got = pa.concat_tables(blocks).group_by(["lang", "s"], use_threads=False).aggregate([("n", "count"), ("n", "sum")]).combine_chunks()
-            if not len(got):
-                continue
-            lang, m, n = (got.column(c).to_numpy() for c in ("lang", "n_count", "n_sum"))
-            seed = np.array([_of_language(x) for x in langs], np.uint64)
-            part = _range(mix(_hashes(got.column("s")) ^ seed[lang]), parts)
-            order = np.lexsort((lang, part))
-            lang, part, m, n = lang[order], part[order], m[order], n[order]
-            first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (lang[1:] != lang[:-1])))
-            upto = np.append(first, len(part))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[first]), pa.array([langs[k] for k in lang[first]], pa.string()), _joined(got.column("s").take(pa.array(order)), upto).cast(pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(m.astype(np.int64))), pa.array(np.add.reduceat(n, first))],
-                names=["part", "lang", "lines", "m", "n"],
-            )
-            give_back()
-
-    return docs.mapInArrow(run, "part int, lang string, lines binary, m array<long>, n long")
+            for piece in _sliced(batch):
+                if (out := one(piece)) is not None:
+                    yield out
+                give_back()
+
+    return docs.mapInArrow(run, "part int, lang string, lines binary, m binary, n long")
 
 
 class _Part:
@@ -164,7 +201,7 @@ class _Part:
 
     def __init__(self, table: pa.Table, lang: str):
         own = table.filter(pc.equal(table.column("lang"), lang))
-        strings, m = _summed(_lines(own.column("lines")), own.column("m").combine_chunks().flatten().to_numpy())
+        strings, m = _summed(_read_lines(own.column("lines")), np.concatenate([_read_numbers(x.as_py()) for x in own.column("m")]))
         self.raw, at = utf8(strings)
         place = np.int32 if len(self.raw) < 1 << 31 else np.int64
         starts, ends, hashes, after, weight = ([np.zeros(0, kind)] for kind in (place, place, np.uint64, place, np.int64))
@@ -221,7 +258,7 @@ class _Part:
 
 
 def _requests(dealt: DataFrame, buckets: int) -> DataFrame:
-    """``bucket``, ``part``, and the hashes of a part for that bucket with their numbers."""
+    """``bucket``, ``part``, and the hashes of a part for that bucket (ascending, as differences) with their numbers."""
 
     def run(table: pa.Table) -> pa.Table:
         found = [_Part(table, lang).hashes() for lang in pc.unique(table.column("lang")).to_pylist()]
@@ -232,11 +269,13 @@ def _requests(dealt: DataFrame, buckets: int) -> DataFrame:
         h, m = h[first], np.add.reduceat(m, first)
         bucket = _range(h, buckets)
         group = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-        upto = pa.array(np.append(group, len(h)).astype(np.int32))
+        upto = np.append(group, len(h))
         part = pa.array(np.full(len(group), table.column("part")[0].as_py(), np.int32))
-        return pa.table([pa.array(bucket[group]), part, pa.ListArray.from_arrays(upto, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(upto, pa.array(m))], names=["bucket", "part", "h", "m"])
+        step = np.diff(h, prepend=np.uint64(0))
+        step[group] = h[group]
+        return pa.table([pa.array(bucket[group]), part, pa.array(_numbers(step, upto), pa.binary()), pa.array(_numbers(m, upto), pa.binary())], names=["bucket", "part", "h", "m"])
 
-    return dealt.groupBy("part").applyInArrow(trim(run), "bucket int, part int, h array<long>, m array<long>")
+    return dealt.groupBy("part").applyInArrow(trim(run), "bucket int, part int, h binary, m binary")
 
 
 def _counted(source: pa.RecordBatchReader, sql: str) -> Iterator[pa.RecordBatch]:
@@ -255,8 +294,9 @@ def _frequent(requests: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                h = b.column("h")
-                yield pa.RecordBatch.from_arrays([b.column("part").take(pc.list_parent_indices(h)), h.flatten(), b.column("m").flatten()], schema=schema)
+                for part, h, m in zip(*(b.column(c).to_pylist() for c in ("part", "h", "m")), strict=True):
+                    own = np.cumsum(_read_numbers(h, np.uint64), dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(own), pa.array(_read_numbers(m))], schema=schema)
 
         for b in _counted(pa.RecordBatchReader.from_batches(schema, flat()), sql):
             b = b.sort_by("part")
@@ -283,12 +323,12 @@ def _phrases(dealt: DataFrame, frequent: DataFrame, buckets: int, longest: int)
             bucket, m = bucket[order], m[order]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             upto = np.append(first, len(bucket))
-            lines = _joined(strings.take(pa.array(order)), upto).cast(pa.binary())
-            out.append(pa.table([pa.array(bucket[first]), pa.array([lang] * len(first), pa.string()), lines, pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(m))], names=["bucket", "lang", "lines", "m"]))
-        kinds = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("lines", pa.binary()), ("m", pa.list_(pa.int64()))])
+            lines = pa.array(_joined(strings.take(pa.array(order)), upto), pa.binary())
+            out.append(pa.table([pa.array(bucket[first]), pa.array([lang] * len(first), pa.string()), lines, pa.array(_numbers(m, upto), pa.binary())], names=["bucket", "lang", "lines", "m"]))
+        kinds = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("lines", pa.binary()), ("m", pa.binary())])
         return pa.concat_tables(out).cast(kinds) if out else kinds.empty_table()
 
-    return dealt.groupBy("part").cogroup(frequent.groupBy("part")).applyInArrow(trim(run), "bucket int, lang string, lines binary, m array<long>")
+    return dealt.groupBy("part").cogroup(frequent.groupBy("part")).applyInArrow(trim(run), "bucket int, lang string, lines binary, m binary")
 
 
 def _sums(phrases: DataFrame, least: int) -> DataFrame:
@@ -299,8 +339,10 @@ def _sums(phrases: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                m = b.column("m")
-                yield pa.RecordBatch.from_arrays([b.column("lang").take(pc.list_parent_indices(m)), _lines(b.column("lines").cast(pa.large_binary())).cast(pa.string()), m.flatten()], schema=schema)
+                for k in range(b.num_rows):
+                    m = _read_numbers(b.column("m")[k].as_py())
+                    lang = pa.array([b.column("lang")[k].as_py()], pa.string()).take(pa.array(np.zeros(len(m), np.int32)))
+                    yield pa.RecordBatch.from_arrays([lang, _read_lines(b.column("lines").slice(k, 1)).cast(pa.string()), pa.array(m)], schema=schema)
 
         yield from _counted(pa.RecordBatchReader.from_batches(schema, flat()), sql)
         give_back()

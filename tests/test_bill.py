@@ -98,7 +98,9 @@ def test_stages(spark, more, states, requires):
     if not more:
         assert r.s[3].detail.startswith("Cloture activity recorded - not a passage vote. ")
     votes = spark.createDataFrame([(DAY("2026-01-01"), "senate", "cloture", "q", "passed", 1, 2, "u"), (DAY("2025-01-01"), "house", "passage", "q", "passed", 1, 2, "u")], "date date, chamber string, type string, question string, result string, yea int, nay int, url string")
-    whole = bill.assemble(m, votes, "OPENNESS", "H.R. 3633").first()
+    votes = votes.withColumns({"congress": F.lit(119), "bill": F.lit("hr3633")})
+    other = votes.withColumn("bill", F.lit("hr1"))
+    whole = bill.assemble(m, votes.unionByName(other), "OPENNESS", "H.R. 3633").first()
     assert [v.chamber for v in whole.votes] == ["house", "senate"] and (whole.warning.startswith("The Senate passed") is requires)
     assert "If the Senate passes H.R. 3633" in whole.warning and "House-passed OPENNESS text" in whole.warning
 
@@ -107,7 +109,20 @@ def test_law_without_an_act_raises(spark):
     m = marked(spark, PASSED + LAW)
     votes = spark.createDataFrame([], "date date, chamber string, type string, question string, result string, yea int, nay int, url string")
     with pytest.raises(Exception, match="shown as law"):
-        bill.assemble(m, votes).collect()
+        bill.assemble(m, votes.withColumns({"congress": F.lit(119), "bill": F.lit("hr3633")})).collect()
+
+
+def test_each_bill_gets_its_own_votes(spark):
+    statuses = [f"<bill><congress>119</congress><type>{t}</type><number>{n}</number><title>t</title><introducedDate>2025-01-0{n}</introducedDate></bill>" for t, n in (("HR", 1), ("HR", 2), ("S", 1))]
+    status = bills.bill_status(spark.createDataFrame([(x,) for x in statuses], "xml string"))
+    menu = spark.createDataFrame([(119, 1, 5, DAY("2026-01-01"), "H.R. 1", ["S. 1", "H.R. 9"], "q", "passage", "Passed", 60, 30), (119, 1, 6, DAY("2026-01-02"), "H.R. 2", None, "q", "cloture", "Rejected", 1, 2), (118, 1, 7, DAY("2024-01-02"), "H.R. 2", [], "q", "cloture", "Agreed to", 1, 2)],
+        "congress int, session int, number int, date date, issue string, en_bloc array<string>, question string, kind string, result string, yeas int, nays int")
+    hits = bill.votes_of_bills(menu, status)
+    marked_ = bill.milestones(bill.with_hits(status, hits))
+    assert {r.bill: [h.number for h in r.hits] for r in marked_.collect()} == {"hr1": [5], "hr2": [6], "s1": [5]}
+    got = {(r.bill_type, r.number): [(v.type, v.yea) for v in r.votes] for r in bill.assemble(marked_, bill.menu_votes(hits)).collect()}
+    assert got == {("hr", 1): [("passage", 60)], ("hr", 2): [("cloture", 1)], ("s", 1): [("passage", 60)]}
+    assert sorted(r.bill for r in bill.votes_of_bills(menu, status, spark.createDataFrame([(6,)], "number int")).collect()) == ["hr1", "s1"]
 
 
 def test_review(spark):

@@ -193,8 +193,10 @@ def test_landing(spark, tmp_path):
     assert not landing.exists(spark, note)
     warnings = []
     assert landing.or_last_good("s", lambda: df.select(F.raise_error(F.lit("bad"))), lambda: df, warnings).count() == 3 and len(warnings) == 1
-    with pytest.raises(landing.StepError, match="s: "):
+    with pytest.raises(landing.StepError, match="^s: "):
         landing.step("s", lambda: 1 / 0)
+    with pytest.raises(landing.StepError, match="^inner: "):
+        landing.step("outer", lambda: landing.step("inner", lambda: 1 / 0))
 
 
 def test_change_feed_and_state(spark, tmp_path):

@@ -1,13 +1,14 @@
 """What a run does around its parsers: documents set aside, a budget of searches, kept state, and lines of items."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import prefix, review
-from tidemark.sources import filings, landing, positioned
+from tidemark.operators import contract, lookup, prefix, review
+from tidemark.sources import filings, landing, positioned, searches
 from tidemark.streaming import feed
 
 DAY = dt.date.fromisoformat
@@ -251,3 +252,96 @@ def test_lines_of_positioned_items(spark):
         got.setdefault(r.page, []).append(r.text)
     assert got == {p: walk(i) for p, i in pages.items()} and got["slope"][0] == "s0  s1  s2" and got["ties"] == ["up  a  b", "below  left"]
     assert {r.page: r.text for r in positioned.page_text(items, ["page"]).collect()} == {p: "\n".join(x) for p, x in got.items()}
+
+
+def test_contracts_name_every_place(spark):
+    day = DAY("2026-01-01")
+    good = ("S", 2, 1, 1, 0, None, [("M000001", "Al", "R", "holds", (1, 2), [day]), ("D000002", "Di", "D", "stale", (0, 0), []), ("D000003", "Ed", "D", "sold", (5, 9), [])])
+    bad = ("", 1, 1, 0, None, day, [("x", None, "X", "gone", (3, 2), [day] * 11), (None, "", "D", "sold", (-1, None), None), ("M000001", "Al", "R", None, None, [])])
+    kinds = "security string, owners_count int, party_r int, party_d int, party_i int, latest_buy date, owners array<struct<member: string, name: string, party: string, status: string, range: struct<lo: int, hi: int>, buy_dates: array<date>>>"
+    rows = spark.createDataFrame([good, bad, (*good[:1], 3, *good[2:]), (*good[:6], None)], kinds)
+    sound, broken = contract.checked(rows, contract.COMMON)
+    assert sound.columns == rows.columns and sound.count() == 1
+    got = [sorted(r.faults) for r in broken.collect()]
+    assert got[0] == sorted([
+        "security: must have 1 letters or more", "owners_count: must be 2 or more", "party_i: is missing", "owners[0].member: must be a letter and six digits", "owners[0].name: is missing", "owners[0].party: must be one of R, D, I",
+        "owners[0].status: must be one of holds, sold, stale", "owners[0].range: hi must not be below lo", "owners[0].buy_dates: must have 10 or fewer", "owners[1].member: is missing", "owners[1].name: must have 1 letters or more",
+        "owners[1].range.lo: must be 0 or more", "owners[1].range.hi: is missing", "owners[1].buy_dates: is missing", "owners[2].status: is missing", "owners[2].range: is missing",
+    ])
+    assert got[1] == ["row: owners_count must be the number of owners that have not sold", "row: the parties must sum to owners_count"] and got[2] == ["owners: is missing"]
+
+
+def test_contracts_of_documents_and_entries(spark):
+    day = DAY("2026-01-02")
+    trade = lambda filed, **k: {"asset": "a", "security": None, "side": "buy", "owner": None, "range": (1, 2), "traded": day, "filed": filed} | k
+    kinds = """member string, name string, positions array<struct<security: string, owner: string, status: string, range: struct<lo: int, hi: int>, as_of: date>>,
+    trades array<struct<asset: string, security: string, side: string, owner: string, range: struct<lo: int, hi: int>, traded: date, filed: date>>, series array<struct<date: date, value: double>>"""
+    tup = lambda t: tuple(t.values())
+    docs = [("M000001", "Al", [("S", "self", "holds", (1, 2), day)], [tup(trade(day))], [(day, 1.5)]), ("M000001", "Al", [], [tup(trade(DAY("2026-01-01"), side="swap")), None], [(None, -1.0)]), ("M000001", "Al", [], [], [])]
+    told = [r.f for r in spark.createDataFrame(docs, kinds).select(contract.faults(contract.PORTFOLIO, name="portfolio").alias("f")).collect()]
+    assert told == [[], ["portfolio.trades[0].side: must be one of buy, sell", "portfolio.trades[0]: filed before it was traded", "portfolio.trades[1]: is missing", "portfolio.series[0].date: is missing", "portfolio.series[0].value: must be 0 or more"], ["portfolio.trades: must have 1 or more"]]
+    entry = spark.createDataFrame([("M000001", "Al", "R", "house", "TX", True, 3, day, False), ("M1", "", "Q", "moon", "TXX", None, -1, None, None)], "member string, name string, party string, chamber string, state string, active boolean, trades int, last_trade date, on_roster boolean")
+    struct = entry.select(F.struct("*").alias("e")).select(F.size(contract.faults(contract.DIRECTORY, F.col("e"))).alias("n"))
+    assert [r.n for r in struct.collect()] == [0, 9] == [len(r.f) for r in entry.select(contract.faults(contract.DIRECTORY).alias("f")).collect()]
+
+
+def cells(number, day, link="ptr"):
+    return ["A", "B", "Senator", f'<a href="/search/view/{link}/00000000-0000-0000-0000-{number:012d}/">Periodic</a>' if link else "none", day]
+
+
+def test_pages_of_a_search_add_up(spark, tmp_path):
+    def land(search, page, total, *rows):
+        (tmp_path / search).mkdir(exist_ok=True)
+        (tmp_path / search / f"{page}.json").write_text(json.dumps({"recordsTotal": total, "data": rows}) if total is not None else "<html>")
+
+    land("whole", 1, 3, cells(1, "1/5/2026"), cells(2, "1/6/2026"))
+    land("whole", 2, 3, cells(3, "1/6/2026", None))
+    land("short", 1, 3, cells(4, "1/6/2026"))
+    land("drift", 1, 1, cells(5, "1/6/2026"))
+    land("drift", 2, 2, cells(6, "1/6/2026"))
+    land("ill", 1, None)
+    land("same", 1, 1, cells(2, "1/6/2026"))
+    land("none", 1, 0)
+    pages = searches.pages(searches.answers(spark, str(tmp_path)))
+    assert {r.search: r.reason for r in searches.unfinished(pages).collect()} == {"short": "1 rows of 3", "drift": "pages name totals from 1 to 2", "ill": "1 pages without an answer"}
+    found, bad = searches.hits(pages)
+    assert sorted((r.search, int(r.filing[-4:])) for r in found.collect()) == [("same", 2), ("whole", 1), ("whole", 2)] and [(r.page, r.reason) for r in bad.collect()] == [("2", "no link to a filing: none")]
+    state = spark.createDataFrame([], "filing string")
+    numbers = lambda last, state=state: sorted(int(r.filing[-4:]) for r in searches.due(found, state, last).collect())
+    assert numbers(None) == [1, 2] and numbers(F.lit(None).cast("date")) == [1, 2] and numbers(F.lit("2026-01-06").cast("date")) == [2]
+    assert numbers(F.lit("2026-01-05").cast("date"), found.where("filing like '%1'").select("filing")) == [2]
+    # A stream reads the same pages, each once.
+    seen = []
+    for search, page in (("whole", 3), ("late", 1)):
+        q = searches.pages(searches.answers(spark, str(tmp_path), stream=True)).writeStream.foreachBatch(lambda df, n: seen.extend((r.search, r.page, r.total, str(r.cells), r.fault) for r in df.collect()))
+        q.option("checkpointLocation", str(tmp_path.parent / "pages_cp")).trigger(availableNow=True).start().awaitTermination()
+        land(search, page, 3)
+    whole = [(r.search, r.page, r.total, str(r.cells), r.fault) for r in searches.pages(searches.answers(spark, str(tmp_path))).collect()]
+    assert sorted(map(str, seen)) == sorted(str(r) for r in whole if r[:2] != ("late", "1"))
+
+
+def test_a_page_reads_few_row_groups(spark, tmp_path):
+    g = random.Random(3)
+    rows = [(m, dt.date(2020, 1, 1) + dt.timedelta(g.randrange(200)), dt.date(2021, 1, 1) + dt.timedelta(g.randrange(9)), i, "x" * 50) for i in range(40_000) for m in [min(39, int(g.expovariate(0.15)))]]
+    df = spark.createDataFrame(rows, "member int, traded date, filed date, ord int, text string")
+    path = str(tmp_path / "trades")
+    lookup.write(df, path, group_bytes=20_000, files=6)
+    want = sorted(((r[1], r[2], r[3]) for r in rows if r[0] == 7), key=lambda r: (-r[0].toordinal(), -r[1].toordinal(), r[2]))
+    got, after = [], None
+    while page := [tuple(r)[1:4] for r in lookup.page(spark, path, 7, after, 300).collect()]:
+        got += page
+        after = page[-1]
+    assert got == want
+    third = lookup.page(spark, path, 7, want[599], 300)
+    assert [r.ord for r in third.collect()] == [r[2] for r in want[600:900]]
+    plan = third._jdf.queryExecution().executedPlan()
+    read = 0
+    stack = [plan]
+    while stack:
+        node = stack.pop()
+        node = node.executedPlan() if "AdaptiveSparkPlan" in node.getClass().getName() else node
+        if node.nodeName().startswith("Scan parquet"):
+            read += node.metrics().apply("numOutputRows").value()
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    assert 300 <= read < 6000  # of 40,000 rows; the member has a few thousand
+    assert lookup.last_of(lookup.page(spark, path, 999)) is None

@@ -50,20 +50,50 @@ REPASSES = ("motion that the house agree", "senate amendment", "agreed to")
 _MEMBER_ID = r"^[A-Z]\d{6}$"
 
 
+#: What a vote belongs to: its congress, and the bill's type and number as ``bill_number`` writes them.
+_BILL = ("congress", "bill")
+
+
+def _own(votes: DataFrame) -> list[str]:
+    return [c for c in _BILL if c in votes.columns]
+
+
+def keyed(status: DataFrame) -> DataFrame:
+    """Statuses with ``bill``."""
+    return status.withColumn("bill", bill_number(F.concat("bill_type", F.col("number").cast("string"))))
+
+
+def votes_of_bills(menu: DataFrame, status: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Votes of a menu on any of the bills (``congress``, ``bill``), alone or decided together with others, once for each
+    bill, that are not among ``seen`` (``number``); with the address of the vote."""
+    named = F.array_distinct(F.transform(F.concat(F.array("issue"), F.coalesce("en_bloc", F.array().cast("array<string>"))), bill_number))
+    rows = menu.withColumn("bill", F.explode(named)).join(keyed(status).select(*_BILL).distinct(), list(_BILL), "left_semi")
+    if seen is not None:
+        rows = rows.join(seen.select("number"), "number", "left_anti")
+    return rows.withColumn("url", vote_url(F.col("congress"), F.col("session"), F.col("number")))
+
+
 def menu_hits(menu: DataFrame, bill: str, seen: DataFrame | None = None) -> DataFrame:
-    """Votes of a menu on a bill, alone or decided together with others, that are not among ``seen`` (``number``), by
-    number; with the address of the vote."""
+    """Those of one bill (``bill``), by number."""
     wanted = bill_number(F.lit(bill))
     hits = menu.where((bill_number(F.col("issue")) == wanted) | F.exists("en_bloc", lambda i: bill_number(i) == wanted))
     if seen is not None:
         hits = hits.join(seen.select("number"), "number", "left_anti")
-    return hits.withColumn("url", vote_url(F.col("congress"), F.col("session"), F.col("number"))).orderBy("number")
+    return hits.withColumns({"bill": wanted, "url": vote_url(F.col("congress"), F.col("session"), F.col("number"))}).orderBy("number")
+
+
+def _listed(votes: DataFrame, name: str, columns: tuple[str, ...]) -> DataFrame:
+    """The votes of each bill in one array; a bill has some dozens."""
+    return votes.groupBy(*_BILL).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+
+
+_HIT = "array<struct<number: int, date: date, question: string, kind: string, result: string, yeas: int, nays: int, url: string>>"
 
 
 def with_hits(status: DataFrame, hits: DataFrame) -> DataFrame:
-    """Statuses with ``hits``: the votes of one menu as an array by number. A session has a few hundred votes."""
-    listed = hits.groupBy().agg(F.array_sort(F.collect_list(F.struct("number", "date", "question", "kind", "result", "yeas", "nays", "url"))).alias("hits"))
-    return status.join(F.broadcast(listed), how="cross")
+    """Statuses with ``bill`` and ``hits``: its own votes of the menus, as an array by number (empty without any)."""
+    listed = _listed(hits, "hits", ("number", "date", "question", "kind", "result", "yeas", "nays", "url"))
+    return keyed(status).join(listed, list(_BILL), "left").withColumn("hits", F.coalesce("hits", F.array().cast(_HIT)))
 
 
 def milestones(status: DataFrame) -> DataFrame:
@@ -168,7 +198,7 @@ def house_votes(rolls: DataFrame) -> DataFrame:
     votes = F.transform(F.filter("members", lambda m: m["member"].rlike(_MEMBER_ID)), lambda m: F.struct(m["member"].alias("member"), m["vote"].alias("vote")))
     return rolls.withColumn("type", house_question(F.col("question"))).where("type is not null").select(
         "type", F.lit("house").alias("chamber"), "date", "question", result_of(F.col("result"), F.lit("house")).alias("result"), F.col("totals.yea").alias("yea"), F.col("totals.nay").alias("nay"),
-        F.col("totals.present").alias("present"), F.col("totals.not_voting").alias("not_voting"), "url", "by_party", votes.alias("votes"),
+        F.col("totals.present").alias("present"), F.col("totals.not_voting").alias("not_voting"), "url", "by_party", votes.alias("votes"), *_own(rolls),
     )
 
 
@@ -178,14 +208,14 @@ def senate_votes(details: DataFrame) -> DataFrame:
     votes = F.transform("members", lambda m: F.struct(m["lis"].alias("lis"), m["name"].alias("name"), m["party"].alias("party"), m["state"].alias("state"), m["vote"].alias("vote")))
     return details.where("kind <> 'other'").select(
         F.col("kind").alias("type"), F.lit("senate").alias("chamber"), "date", "question", result_of(F.col("result"), F.lit("senate")).alias("result"), F.col("counts.yeas").alias("yea"), F.col("counts.nays").alias("nay"),
-        F.col("counts.present").alias("present"), F.col("counts.absent").alias("not_voting"), "url", "by_party", votes.alias("senate_votes"),
+        F.col("counts.present").alias("present"), F.col("counts.absent").alias("not_voting"), "url", "by_party", votes.alias("senate_votes"), *_own(details),
     )
 
 
 def menu_votes(hits: DataFrame) -> DataFrame:
     """The same from the menu alone, where a vote's detail is missing: no members, missing tallies are 0."""
     return hits.where("kind <> 'other'").select(
-        F.col("kind").alias("type"), F.lit("senate").alias("chamber"), "date", "question", result_of(F.col("result"), F.lit("senate")).alias("result"), F.coalesce("yeas", F.lit(0)).alias("yea"), F.coalesce("nays", F.lit(0)).alias("nay"), "url",
+        F.col("kind").alias("type"), F.lit("senate").alias("chamber"), "date", "question", result_of(F.col("result"), F.lit("senate")).alias("result"), F.coalesce("yeas", F.lit(0)).alias("yea"), F.coalesce("nays", F.lit(0)).alias("nay"), "url", *_own(hits),
     )
 
 
@@ -196,16 +226,20 @@ def latest_action(latest: Column, hits: Column) -> Column:
     return F.when(newest["date"] > latest["date"], F.struct(newest["date"].alias("date"), text.alias("text"))).otherwise(latest)
 
 
+_VOTES = "array<struct<date: date, chamber: string, type: string, question: string, result: string, yea: int, nay: int, url: string>>"
+
+
 def assemble(marked: DataFrame, votes: DataFrame, short: str = "", number: str = "") -> DataFrame:
-    """One row a bill (called ``short``, with its number, in the texts about it): its stages, versions, votes by date and chamber, related bills, warning and latest action. A
+    """One row a bill, with its own votes by ``congress`` and ``bill`` (called ``short``, with its number, in the texts about it): its stages, versions, votes by date and chamber, related bills, warning and latest action. A
     bill that would be shown as law without an act that says so raises."""
-    listed = votes.groupBy().agg(F.array_sort(F.collect_list(F.struct("date", "chamber", "type", "question", "result", "yea", "nay", "url"))).alias("votes"))
+    listed = _listed(votes, "votes", ("date", "chamber", "type", "question", "result", "yea", "nay", "url"))
+    own = marked if "bill" in marked.columns else keyed(marked)
     law = F.get(stages(marked), F.lit(5))["status"] == "done"
     wrong = law & (F.col("became_law").isNull() | F.col("requires_repassage"))
     sound = F.when(wrong, F.raise_error(F.lit("a bill is shown as law while it is none"))).otherwise(stages(marked, short))
-    return marked.join(F.broadcast(listed), how="cross").select(
+    return own.join(listed, list(_BILL), "left").select(
         "congress", "bill_type", "number", "title", "short_title", F.col("introduced.date").alias("introduced"), "sponsor", latest_action(F.col("latest_action"), F.col("hits")).alias("latest_action"),
-        substitute_warning(F.col("substitute_in_play"), F.col("requires_repassage"), short, number).alias("warning"), "requires_repassage", sound.alias("stages"), text_versions(F.col("versions")).alias("versions"), "votes",
+        substitute_warning(F.col("substitute_in_play"), F.col("requires_repassage"), short, number).alias("warning"), "requires_repassage", sound.alias("stages"), text_versions(F.col("versions")).alias("versions"), F.coalesce("votes", F.array().cast(_VOTES)).alias("votes"),
         related_bills(F.col("related"), short).alias("related"),
     )
 

@@ -10,6 +10,7 @@ from tidemark.functions.columns import full_name, given, is_late, iso_date, midp
 from tidemark.functions.labels import filing_url
 from tidemark.operators.gate import first_reason
 from tidemark.operators.resolve import NICKNAMES, match_names, resolve_third
+from tidemark.shared import stored
 
 #: Sources of the congress, where a filer's branch is not known.
 CONGRESS_SOURCES = ("house_clerk", "senate_efd")
@@ -83,7 +84,8 @@ def normalize_third(rows: DataFrame, roster: DataFrame, universe: DataFrame, fil
         sound("transaction_date"), sound("filing_date"), F.col("doc_url").rlike(r"^https?://"), asset.isNotNull(), F.least("amount_range_low", "amount_range_high") >= 0, F.try_parse_url("doc_url", F.lit("HOST")).isNotNull(),
     )
     rules = [(text(r, *ends[i]) if i in ends else r, ok) for i, (r, ok) in enumerate(zip(REASONS, passes, strict=True))]
-    rows = rows.withColumn("reason", first_reason(rules))
+    # All three results come from the judged rows: they are computed once.
+    rows = stored(rows.withColumn("reason", first_reason(rules)))
     skipped = rows.where("reason is not null").select("id", "ord", "reason")
     unmatched = rows.where(F.startswith("reason", F.lit(REASONS[4]))).select("filer_name").distinct().orderBy("filer_name")
     good = rows.where("reason is null")

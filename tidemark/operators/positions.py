@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import EXTRACTIONS
+from tidemark.functions.columns import once, EXTRACTIONS
 
 KEY = ("member", "security", "owner")
 #: The notes of a position, and why a sale is none.
@@ -34,8 +34,11 @@ def _named(level: Column) -> Column:
 
 def _by_url(sources: Column) -> Column:
     """The first source of each address, in order."""
-    urls = F.array_distinct(F.transform(sources, lambda s: s["url"]))
-    return F.transform(urls, lambda u: F.get(F.filter(sources, lambda s: s["url"] == u), F.lit(0)))
+    placed = F.array_sort(F.transform(sources, lambda s, i: F.struct(s["url"].alias("url"), i.alias("i"), s.alias("s"))))
+    # Sorted by address, the first of a run is the first of its address.
+    first = lambda p: F.transform(p, lambda x, i: F.when((i == 0) | ~F.get(p, i - 1)["url"].eqNullSafe(x["url"]), F.struct(x["i"].alias("i"), x["s"].alias("s"))))
+    kept = F.array_sort(F.array_compact(once(placed, first)))
+    return F.transform(kept, lambda x: x["s"])
 
 
 def latest_baseline(reports: DataFrame) -> DataFrame:
@@ -122,9 +125,9 @@ def fold(trades: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
     from_base = F.col("p.start") < 0
     inside = lambda e: (e["i"] >= F.col("p.start")) & ((F.col("p.stop") == -1) | (e["i"] <= F.col("p.stop"))) & (at.isNull() | (e["traded"] > at))
     done = done.withColumn("own", F.when(F.col("p.status") == "none", F.filter("events", lambda e: F.lit(False))).otherwise(F.filter("events", inside)))
-    traded = F.transform(F.array_distinct(F.transform("own", lambda e: e["url"])), lambda u: F.struct(F.lit("filing").alias("kind"), u.alias("url"), F.lit(None).cast("string").alias("title")))
     before = F.when(from_base, F.coalesce("b_sources", F.array().cast(_SOURCES))).otherwise(F.array().cast(_SOURCES))
-    sources = F.concat(before, F.filter(traded, lambda s: ~F.exists(before, lambda b: b["url"] == s["url"])))
+    fresh = F.array_except(F.transform("own", lambda e: e["url"]), F.transform(before, lambda b: b["url"]))  # distinct, in order
+    sources = F.concat(before, F.transform(fresh, lambda u: F.struct(F.lit("filing").alias("kind"), u.alias("url"), F.lit(None).cast("string").alias("title"))))
     # A position that a partial sale has ended was exhausted by it.
     ended = lambda e: (F.col("p.status") == "sold") & (e["i"] == F.col("p.stop"))
     day = lambda e: e["traded"].cast("string")

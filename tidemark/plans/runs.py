@@ -3,15 +3,15 @@ state that streams keep, and lines of positioned items. Each is over all rows of
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import review
+from tidemark.operators import contract, lookup, review, traders
 from tidemark.plans.filings import _dollars, _joined, _td, _us
-from tidemark.plans.model import TRADES_SQL, table, trades
+from tidemark.plans.model import MEMBERS_SQL, TODAY, TRADES_SQL, members, table, trades
 from tidemark.plans.queries import ORACLES, QUERIES, query  # noqa: F401
 from tidemark.shared import shared_folder, stored
-from tidemark.sources import filings, landing, positioned
+from tidemark.sources import filings, landing, positioned, searches
 from tidemark.streaming import feed
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -122,3 +122,101 @@ def a8_positioned_lines(spark: SparkSession, d: str) -> DataFrame:
         (line * 10000000 + F.col("l_partkey") * 10 + F.col("l_suppkey") % 10).alias("ord"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("text"),
     )
     return positioned.lines(items, ["page"])
+
+
+_ODD_SQL = """x AS (SELECT *, row_number() OVER (PARTITION BY orderkey ORDER BY rid) - 1 AS i FROM t), p AS (
+  SELECT orderkey, 'owners[' || i || ']' AS place, line, lo, hi FROM x
+), f AS (
+  SELECT orderkey, place || '.member: must be a letter and six digits' AS fault FROM p WHERE orderkey % 17 = 1 AND line = 2
+  UNION ALL SELECT orderkey, place || '.range: hi must not be below lo' FROM p WHERE orderkey % 19 = 3 AND line = 3
+  UNION ALL SELECT orderkey, place || '.range.lo: must be 0 or more' FROM p WHERE orderkey % 31 = 2 AND line = 1
+  UNION ALL SELECT orderkey, place || '.status: must be one of holds, sold, stale' FROM p WHERE orderkey % 23 = 5 AND line = 1
+  UNION ALL SELECT orderkey, place || '.name: is missing' FROM p WHERE orderkey % 37 = 4 AND line = 4
+  UNION ALL SELECT orderkey, place || '.party: must be one of R, D, I' FROM p WHERE orderkey % 41 = 4 AND line = 2
+  UNION ALL SELECT orderkey, 'owners: must have 2 or more' FROM p GROUP BY orderkey HAVING count(*) < 2
+  UNION ALL SELECT orderkey, 'owners_count: must be 2 or more' FROM p GROUP BY orderkey HAVING count(*) + CASE WHEN orderkey % 29 = 7 THEN 1 ELSE 0 END < 2
+  UNION ALL SELECT DISTINCT orderkey, unnest(['row: the parties must sum to owners_count', 'row: owners_count must be the number of owners that have not sold']) FROM p WHERE orderkey % 29 = 7
+  UNION ALL SELECT DISTINCT orderkey, 'security: must have 1 letters or more' FROM p WHERE orderkey % 43 = 6
+)"""
+
+
+@query(f"""WITH {TRADES_SQL}, {_ODD_SQL} SELECT orderkey, count(fault) AS n_faults, coalesce(string_agg(fault, '; ' ORDER BY fault), '') AS faults FROM (SELECT DISTINCT orderkey FROM t) LEFT JOIN f USING (orderkey) GROUP BY orderkey""")
+def v1_v11_contracts(spark: SparkSession, d: str) -> DataFrame:
+    t, c = trades(spark, d), F.col
+    odd = lambda m, n, line, bad, good: F.when((c("orderkey") % m == n) & (c("line") == line), bad).otherwise(good)
+    member = odd(17, 1, 2, F.lit("x1"), F.concat(F.lit("M"), F.lpad(c("member").cast("string"), 6, "0")))
+    lo = odd(31, 2, 1, F.lit(-5), odd(19, 3, 3, c("hi") + 1, c("lo"))).cast("long")
+    owner = F.struct(
+        c("rid"), member.alias("member"), odd(37, 4, 4, F.lit(None).cast("string"), F.lit("Al")).alias("name"), odd(41, 4, 2, F.lit("X"), F.lit("R")).alias("party"), odd(23, 5, 1, F.lit("gone"), F.lit("holds")).alias("status"),
+        F.struct(lo.alias("lo"), c("hi")).alias("range"), F.array(c("traded")).alias("buy_dates"),
+    )
+    rows = t.groupBy("orderkey").agg(F.array_sort(F.collect_list(owner)).alias("owners"), F.count(F.lit(1)).alias("n"))
+    count = c("n") + F.when(c("orderkey") % 29 == 7, 1).otherwise(0)
+    docs = rows.select("orderkey", F.when(c("orderkey") % 43 == 6, "").otherwise("S").alias("security"), count.alias("owners_count"), c("n").alias("party_r"), F.lit(0).alias("party_d"), F.lit(0).alias("party_i"), F.lit(None).cast("date").alias("latest_buy"), F.transform("owners", lambda o: o.dropFields("rid")).alias("owners"))
+    found = docs.select("orderkey", F.array_sort(contract.faults(contract.COMMON)).alias("f"))
+    return found.select("orderkey", F.size("f").cast("long").alias("n_faults"), F.array_join("f", "; ").alias("faults"))
+
+
+@query("""WITH c AS (SELECT *, c_custkey % 8 AS search, c_custkey // 100 AS page FROM customer), b AS (SELECT DISTINCT search FROM c WHERE search = 3 OR search = 6)
+SELECT c_custkey AS customer, make_date(2020, 1 + (c_custkey % 12)::INT, 1 + (c_custkey % 28)::INT)::VARCHAR AS filed, NULL::VARCHAR AS reason FROM c
+WHERE search NOT IN (3, 6) AND make_date(2020, 1 + (c_custkey % 12)::INT, 1 + (c_custkey % 28)::INT) >= DATE '2020-05-07' AND c_custkey % 5 <> 0
+UNION ALL SELECT NULL, NULL, CASE search WHEN 3 THEN (count(*) FILTER (WHERE page <> 1)) || ' rows of ' || count(*) ELSE '1 pages without an answer' END FROM c WHERE search IN (3, 6) GROUP BY search""")
+def a10_a11_search_scan(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").withColumns({"search": F.col("c_custkey") % 8, "page": F.floor(F.col("c_custkey") / 100)})
+    id_ = F.concat(F.lit("00000000-0000-0000-0000-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"))
+    link = F.concat(F.lit('<a href="/search/view/ptr/'), id_, F.lit('/">Periodic Transaction Report</a>'))
+    date = F.concat_ws("/", (F.lit(1) + F.col("c_custkey") % 12).cast("string"), (F.lit(1) + F.col("c_custkey") % 28).cast("string"), F.lit("2020"))
+    totals = c.groupBy("search").agg(F.count(F.lit(1)).cast("int").alias("recordsTotal"))
+    rows = c.groupBy("search", "page").agg(F.collect_list(F.array(F.lit("First"), F.col("c_name"), F.lit("Senator"), link, date)).alias("data")).join(totals, "search")
+    # Of search 3 the second page is missing, of search 6 it is no answer.
+    rows = rows.where("not (search = 3 and page = 1)")
+    body = F.when(F.expr("search = 6 and page = 1"), '{"error": "busy"}').otherwise(F.to_json(F.struct("recordsTotal", "data")))
+    folder = shared_folder(spark)
+    rows.select(body.alias("value"), F.col("search").cast("string").alias("search"), F.col("page").alias("p")).repartition("search", "p").write.partitionBy("search", "p").text(folder + "/pages")
+    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder + "/pages")
+    parts = F.split(F.col("_metadata.file_path"), "/")
+    pages = stored(searches.pages(read.select(F.element_at(parts, -3).alias("search"), F.element_at(parts, -2).alias("page"), F.col("value").alias("body"))))
+    found, _ = searches.hits(pages)
+    number = F.right("filing", F.lit(12)).cast("long")
+    state = c.where("c_custkey % 5 = 0").select(id_.alias("filing"))
+    due = searches.due(found, state, F.lit("2020-05-07").cast("date")).select(number.alias("customer"), F.col("filed").cast("string").alias("filed"), F.lit(None).cast("string").alias("reason"))
+    return due.unionByName(searches.unfinished(pages).select("reason"), allowMissingColumns=True)
+
+
+@query(f"""WITH {TRADES_SQL}, m AS (SELECT member FROM t GROUP BY member ORDER BY count(*) DESC, member LIMIT 1), r AS (SELECT rid, traded, filed, row_number() OVER (ORDER BY traded DESC, filed DESC, rid) AS n FROM t JOIN m USING (member))
+SELECT rid, traded::VARCHAR AS traded, n - 100 AS place FROM r WHERE n BETWEEN 101 AND 150""")
+def a21_w14_third_page(spark: SparkSession, d: str) -> DataFrame:
+    t = trades(spark, d).select("member", "traded", "filed", F.col("rid").alias("ord"))
+    path = shared_folder(spark)
+    lookup.write(t, path)
+    busiest = t.groupBy("member").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "member").first()
+    after = None
+    for _ in range(2):
+        after = lookup.last_of(lookup.page(spark, path, busiest["member"], after)) if busiest else None
+    third = lookup.page(spark, path, busiest["member"] if busiest else None, after)
+    place = F.row_number().over(Window.orderBy(F.desc("traded"), F.desc("filed"), "ord"))  # of one page
+    return third.select(F.col("ord").alias("rid"), F.col("traded").cast("string").alias("traded"), place.cast("long").alias("place"))
+
+
+@query(f"""WITH {TRADES_SQL}, {MEMBERS_SQL}, e AS (SELECT *, CASE member % 3 WHEN 0 THEN [] WHEN 1 THEN [1.5] ELSE [-2.0, 0.0] END AS claims, CASE WHEN member % 7 = 2 THEN 'Own note.' END AS own FROM m),
+s AS (SELECT t.* FROM t JOIN e USING (member) WHERE t.member % 11 <> 5 AND (side = 'sell' OR t.member % 13 <> 4)),
+b AS (SELECT member, traded, (lo + hi) / 2 AS w, line = 5 AS options, CASE WHEN line NOT IN (5, 6) AND member % 17 <> 3 THEN (cents % 2000) / 8.0 - 100 END AS ret, CASE WHEN line <> 4 THEN (cents % 1000) / 8.0 - 50 END AS excess FROM s WHERE side = 'buy'),
+a AS (SELECT member, count(*) AS buys, count(*) FILTER (WHERE ret IS NULL) AS un, count(*) FILTER (WHERE ret IS NULL AND options) AS op, sum(w * ret) FILTER (WHERE ret IS NOT NULL) / sum(w) FILTER (WHERE ret IS NOT NULL) AS ret,
+  sum(w * excess) FILTER (WHERE ret IS NOT NULL AND excess IS NOT NULL) / sum(w) FILTER (WHERE ret IS NOT NULL AND excess IS NOT NULL) AS excess, min(traded) FILTER (WHERE ret IS NOT NULL)::VARCHAR AS d0, max(traded) FILTER (WHERE ret IS NOT NULL)::VARCHAR AS d1 FROM b GROUP BY member),
+c AS (SELECT member, count(*) AS n FROM s GROUP BY member), o AS (SELECT member, string_agg(owner, ' + ' ORDER BY k DESC, owner) AS who FROM (SELECT member, owner, count(*) AS k FROM s WHERE owner IS NOT NULL GROUP BY ALL) GROUP BY member),
+r AS (SELECT e.member, coalesce(n, 0) AS trade_count, floor(ret * 10 + 0.5) / 10 AS ret, floor(excess * 10 + 0.5) / 10 AS excess, buys, un, op, d0, d1, coalesce(who, 'self (owner not stated in filings)') AS attribution, own, e.member % 3 AS k FROM e LEFT JOIN c USING (member) LEFT JOIN a USING (member) LEFT JOIN o USING (member))
+SELECT member, row_number() OVER (ORDER BY trade_count DESC, member) AS rank, trade_count, ret, excess, CASE WHEN ret IS NOT NULL THEN 'disclosed buys ' || CASE WHEN d0 = d1 THEN d0 ELSE d0 || ' to ' || d1 END || ', since-trade, midpoint-weighted' END AS window,
+  CASE WHEN ret IS NOT NULL THEN 'Estimate: position sizes are disclosed-range midpoints, never exact amounts.' || CASE WHEN un > 0 THEN ' ' || un || ' unpriceable position(s) excluded (options or no resolvable price).' ELSE '' END END AS measured_note, attribution,
+  CASE WHEN k > 0 AND ret IS NOT NULL THEN sign(ret) = CASE k WHEN 1 THEN 1 ELSE -1 END END AS supported,
+  nullif(concat_ws(' ', own, CASE WHEN ret IS NULL THEN 'Not measured: ' || CASE WHEN trade_count = 0 THEN 'no merged trades for this member yet' WHEN buys IS NULL THEN 'no disclosed buys in the merged filings (sells only)' ELSE 'all ' || buys || ' disclosed buy(s) are unpriceable' || CASE WHEN op > 0 THEN ' (' || op || ' options position(s))' ELSE '' END END || '.' END), '') AS note FROM r""")
+def p18_w1_traders(spark: SparkSession, d: str) -> DataFrame:
+    m, c = members(spark, d), F.col
+    claims = F.when(c("member") % 3 == 0, F.array().cast("array<double>")).when(c("member") % 3 == 1, F.array(F.lit(1.5))).otherwise(F.array(F.lit(-2.0), F.lit(0.0)))
+    entries = m.select("member", c("member").alias("ord"), claims.alias("claims"), F.when(c("member") % 7 == 2, "Own note.").alias("note"))
+    own = stored(trades(spark, d).where("member % 11 <> 5 and (side = 'sell' or member % 13 <> 4)"))
+    priced = ~c("line").isin(5, 6) & (c("member") % 17 != 3)
+    buys = own.where("side = 'buy'").select(
+        "member", "traded", ((c("lo") + c("hi")) / 2).alias("midpoint"), (c("line") == 5).alias("options"), F.when(priced, c("cents") % 2000 / 8.0 - 100).alias("ret"), F.when(c("line") != 4, c("cents") % 1000 / 8.0 - 50).alias("excess"),
+    )
+    found = traders.rows(entries, own, buys, F.lit(TODAY).cast("date"))
+    return found.select("member", c("rank").cast("long").alias("rank"), "trade_count", c("measured.return").alias("ret"), c("measured.excess").alias("excess"), c("measured.window").alias("window"), c("measured.note").alias("measured_note"), "attribution", c("claims_supported").alias("supported"), "note")

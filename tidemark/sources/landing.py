@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.resolve import first_by
+from tidemark.shared import stored
 
 THIRD = """id string, source_id string, transaction_date string, filing_date string, owner string, ticker string, asset_name string, asset_type string, transaction_type string,
 amount_range_low double, amount_range_high double, is_late int, comment string, doc_url string, filer_id string, filer_name string, branch string, chamber string, party string, state string"""
@@ -251,20 +252,20 @@ class StepError(Exception):
 
 
 def step(name: str, run: Callable[[], Any]) -> Any:
-    """What a step gives; a failure names it."""
+    """What a step gives; a failure names it. Of steps within steps the inner one, which failed, is named."""
     try:
         return run()
+    except StepError:
+        raise
     except Exception as e:
         raise StepError(f"{name}: {e}") from e
 
 
 def or_last_good(name: str, run: Callable[[], DataFrame], last: Callable[[], DataFrame], warnings: list[str]) -> DataFrame:
-    """A step's rows, or the last good ones with a warning: rows are computed when asked for, so the step is tried on all
-    of them first."""
+    """A step's rows, or the last good ones with a warning: rows are computed when asked for, so they are computed and
+    stored here, once, and the stored ones are what the step gives."""
     try:
-        rows = run()
-        rows.write.format("noop").mode("overwrite").save()
-        return rows
+        return stored(run())
     except Exception as e:
         warnings.append(f"{name} failed, the previous output stays: {e}")
         return last()

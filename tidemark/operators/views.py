@@ -27,6 +27,20 @@ def tier_columns(rows: DataFrame) -> DataFrame:
     return own.withColumn("rows", F.transform("rows", lambda r: F.struct(*[r[c].alias(c) for c in ("security", "owner", "lo", "hi", "status")]))).orderBy("party", F.desc("max_hi"), "name")
 
 
+def exposure(positions: DataFrame, tier_1: Column) -> DataFrame:
+    """What each member holds now: ``top`` (anything of tier 1), the sums ``lo`` and ``hi`` of all bands, and ``max_hi``, the
+    largest upper bound of tier 1 (null without any). One row a member, however many its positions are."""
+    held = positions.where(CURRENT)
+    return held.groupBy("member").agg(F.bool_or(tier_1).alias("top"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.max(F.when(tier_1, F.col("hi"))).alias("max_hi"))
+
+
+def site_stats(positions: DataFrame, members: DataFrame, tier_1: Column) -> DataFrame:
+    """By party: active ``holders``, those of them with a position of tier 1, the combined exposure of all members (``lo``,
+    ``hi``), and ``max_hi`` of tier 1 (0 without any). Members that the roster lacks belong to no party."""
+    rows = exposure(positions, tier_1).join(members.select("member", "party", "active"), "member")
+    return rows.groupBy("party").agg(F.count_if("active").alias("holders"), F.count_if(F.col("active") & F.col("top")).alias("tier_1_holders"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.coalesce(F.max("max_hi"), F.lit(0)).alias("max_hi"))
+
+
 def shown(rows: DataFrame, tiers: tuple[int, ...] = (1, 2), parties: tuple[str, ...] = ()) -> DataFrame:
     """Rows of the tiers that are not hidden; those of tier 2 of the parties alone, if any is named."""
     rows = rows.where(F.col("tier").isin(*tiers))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import columns as K
 from tidemark.functions import labels as L
-from tidemark.operators import gate, matching, portfolio, positions, pricing, resolve
+from tidemark.operators import gate, matching, portfolio, positions, pricing, resolve, views
 from tidemark.plans.model import FOLD_SQL, MEMBERS_SQL, TIER_1, TODAY, TRADES_SQL, members, table, trades
 from tidemark.shared import stored
 from tidemark.sources import landing, markup
@@ -264,9 +264,7 @@ def f13_directory_filter(spark: SparkSession, d: str) -> DataFrame:
 SELECT party, count(DISTINCT member) FILTER (WHERE active) AS holders, count(DISTINCT member) FILTER (WHERE active AND top) AS tier_1_holders, sum(lo)::BIGINT AS lo, sum(hi)::BIGINT AS hi, coalesce(max(hi) FILTER (WHERE top), 0) AS max_hi FROM j GROUP BY party""")
 def g17_g21_site_stats(spark: SparkSession, d: str) -> DataFrame:
     top = F.split("security", ":")[1].isin(*TIER_1)
-    per = _positions(spark, d).where("status not in ('sold', 'none')").groupBy("member").agg(F.bool_or(top).alias("top"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.max(F.when(top, F.col("hi"))).alias("max_hi"))
-    rows = per.join(members(spark, d), "member")
-    return rows.groupBy("party").agg(F.count_if("active").alias("holders"), F.count_if(F.col("active") & F.col("top")).alias("tier_1_holders"), F.sum("lo").alias("lo"), F.sum("hi").alias("hi"), F.coalesce(F.max("max_hi"), F.lit(0)).alias("max_hi"))
+    return views.site_stats(_positions(spark, d).where("status <> 'none'"), members(spark, d), top)
 
 
 @query(f"WITH {TRADES_SQL} SELECT rid, concat_ws(',', CASE WHEN filed < traded THEN 'filed before traded' END, CASE WHEN owner IS NULL THEN 'no owner' END, CASE WHEN hi > 100000 THEN 'too large' END) AS violations FROM t WHERE filed < traded OR owner IS NULL OR hi > 100000")

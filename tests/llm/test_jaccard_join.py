@@ -63,13 +63,14 @@ def test_query_equals_brute_force(spark, tmp_path, monkeypatch, seed, sizes, cop
     assert got == want and len({c for *_, c in want}) < len(want) - 30
 
 
-@pytest.mark.parametrize("rounds", [1, 3])
-def test_lists_with_several_components_in_small_blocks(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "dense"), [(1, 2), (1, 0), (3, 2)])
+def test_lists_with_several_components_in_small_blocks(spark, monkeypatch, rounds, dense):
     """Copies of copies: most of a list is unlike its centre."""
     monkeypatch.setattr(jaccard_join, "OUTSIDE_BLOCK", 3)
     monkeypatch.setattr(jaccard_join, "MEMBER_BLOCK", 5)
     monkeypatch.setattr(jaccard_join, "SCANNED", 100)
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "DENSE", dense)
     g = random.Random(12)
     texts = [[f"w{g.randrange(10**6)}" for _ in range(150)]]
     for _ in range(80):

@@ -19,7 +19,9 @@ comparison each, and yet any two sets that share a listed element have been comp
 
 A comparison looks at counts first: the elements of a set fall into cells by their hashes, some eight a cell, and two sets
 share no more than the lesser counts of all cells. Only pairs that this bound lets through are read as whole sets and
-compared exactly; it rejects no linked pair, and a set's cells are a sixty-fourth of its size.
+compared compared exactly; it rejects no linked pair, and a set's cells are a sixty-fourth of its size. A block of which many pairs
+pass (near copies of one text that are not quite alike) is scanned again with cells of one element each, which tell
+those apart.
 
 The frequencies are counts of all elements of all documents in a table of ``COUNTERS`` hashes; filters of at most
 ``filters.BITS`` say early which elements and texts are surely not wanted. So what is broadcast has a fixed size. The counts only
@@ -58,6 +60,8 @@ MOST_LIGHT = 24
 COUNTERS = 1 << 20
 #: Rounds of centres; elements of a cell; sets of a block of a list on either side; rows that a task scans, about.
 ROUNDS, PER_CELL, OUTSIDE_BLOCK, MEMBER_BLOCK, SCANNED = 3, 8, 256, 1024, 20_000
+#: Likely pairs for each set of a block from which on the block is scanned again with cells of one element.
+DENSE = 2
 _ODD = [np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)]
 
 
@@ -142,14 +146,14 @@ def frequencies(rows: DataFrame) -> np.ndarray:
     return merged(rows.select("t").mapInArrow(run, "chunk int, x binary"), np.add, "<i8", COUNTERS)
 
 
-def cell_numbers(n: np.ndarray) -> np.ndarray:
-    """Cells of sets of n elements: a power of two, ``PER_CELL`` to twice as many elements each."""
-    return 1 << np.floor(np.log2(np.maximum(n // PER_CELL, 1))).astype(np.int64)
+def cell_numbers(n: np.ndarray, per: int = PER_CELL) -> np.ndarray:
+    """Cells of sets of n elements: a power of two, ``per`` to twice as many elements each."""
+    return 1 << np.floor(np.log2(np.maximum(n // per, 1))).astype(np.int64)
 
 
-def cells(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> list[bytes]:
+def cells(h: np.ndarray, row: np.ndarray, n: np.ndarray, per: int = PER_CELL) -> list[bytes]:
     """Numbers of elements of each row in the cells of its size, by the first bits of their hashes; 255 is 255 or more."""
-    number = cell_numbers(n)
+    number = cell_numbers(n, per)
     first = np.append(0, np.cumsum(number))
     bits = np.log2(number).astype(np.uint64)[row]
     own = np.where(bits > 0, (mix(h) >> np.uint64(1) >> (np.uint64(63) - bits)), 0).astype(np.int64)
@@ -216,25 +220,27 @@ def _shared_tokens(reps: DataFrame, sent: Broadcast) -> DataFrame:
     return reps.select("rep", "n", "tokens").mapInArrow(run, "rep long, n long, tokens array<long>")
 
 
-def _sets(rows: DataFrame, ids: DataFrame, several: DataFrame | None) -> DataFrame:
-    """``id`` and its elements, sorted and packed, of all rows with one of the ``ids`` (and some others); texts are read
-    where they lie. Of an id with several rows, each set once."""
+def _sets(rows: DataFrame, ids: DataFrame, several: DataFrame | None, per: int = 0) -> DataFrame:
+    """``id`` and ``packed``, its elements sorted (or their cells, ``per`` elements each), of all rows with one of the
+    ``ids`` (and some others); texts are read where they lie. Of an id with several rows, each set once."""
     sent = rows.sparkSession.sparkContext.broadcast(Filter(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pc.is_valid(b.column(0)))
             b = b.filter(pa.array(sent.value.may_hold(b.column(0).to_numpy())))
-            out = []
+            out, size = [], []
             for r0, r1, row, h in _slabs(b.column(1)):
                 order = np.argsort(row, kind="stable")
                 row, h = row[order], h[order]
                 first = np.searchsorted(row, np.arange(r1 - r0 + 1))
-                out += [np.unique(h[first[i] : first[i + 1]]).tobytes() for i in range(r1 - r0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["id", "packed"])
+                own = [np.unique(h[first[i] : first[i + 1]]) for i in range(r1 - r0)]
+                size += [len(x) for x in own]
+                out += [cells(x, np.zeros(len(x), np.int64), np.array([len(x)]), per)[0] if per else x.tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(out, pa.binary())], names=["id", "n", "packed"])
             give_back()
 
-    found = rows.mapInArrow(run, "id long, packed binary")
+    found = rows.mapInArrow(run, "id long, n long, packed binary")
     if several is None:
         return found
     return found.join(several, "id", "left_anti").unionByName(found.join(several, "id", "left_semi").distinct())
@@ -288,11 +294,11 @@ def _likely(pairs: DataFrame, cells_: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", "cells_x", "cells_y").mapInArrow(run, "x long, y long")
 
 
-def _scan(open_: DataFrame, cells_: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets of one list (``token``, ``rep``, ``label``) in different components that may be linked by their cells.
+def _blocks(open_: DataFrame) -> DataFrame:
+    """Lists of several components (``token, rep, label``) as pieces of work: ``piece, rep, label, outside``.
 
-    Each set outside the list's largest component is held against all of the list. Both are dealt into blocks, and every
-    block of the one against every block of the other is a piece of work; many small lists are one task's.
+    Each set outside a list's largest component is to be held against all of the list. Both are dealt into blocks, and
+    every block of the one against every block of the other is a piece.
     """
     parts = open_.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
     main = parts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.sum("k").alias("m"), F.max("k").alias("in_main"))
@@ -301,23 +307,30 @@ def _scan(open_: DataFrame, cells_: DataFrame, percent: int) -> DataFrame:
     rows = open_.join(grid, "token")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    columns = ["token", "rep", "label", "u", "m", "outside"]
+    columns = [F.xxhash64("token", "u", "m").alias("piece"), "rep", "label", "outside"]
     few = rows.where("label <> main").withColumns({"u": own("us"), "outside": F.lit(True)}).withColumn("m", every("ms")).select(*columns)
     all_ = rows.withColumns({"m": own("ms"), "outside": F.lit(False)}).withColumn("u", every("us")).select(*columns)
-    dealt = stored(few.unionByName(all_).withColumn("piece", F.xxhash64("token", "u", "m")))
-    tasks = max(1, -(-dealt.count() // SCANNED))
+    return few.unionByName(all_)
+
+
+def _scan(blocks: DataFrame, cells_: DataFrame, percent: int, per: int, dense: int | None) -> DataFrame:
+    """Pairs (``x``, ``y``) of sets in different components that may be linked by their cells, of all pieces; many small
+    pieces are one task's. A piece with more than ``dense`` pairs for each set gives its number (``piece``) instead."""
+    tasks = max(1, -(-blocks.count() // SCANNED))
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("piece").combine_chunks()
         piece, rep, label, n = (table.column(c).to_numpy() for c in ("piece", "rep", "label", "n"))
         outside, packed = table.column("outside").to_numpy(zero_copy_only=False), table.column("cells").to_pylist()
         edge = np.append(np.flatnonzero(np.append(True, piece[1:] != piece[:-1])), len(piece))
-        number = cell_numbers(n)
+        number = cell_numbers(n, per)
         found: set[tuple[int, int]] = set()
+        crowded = []
         for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
             asked, others = np.flatnonzero(outside[a:b]) + a, np.flatnonzero(~outside[a:b]) + a
             by_number = {int(k): others[number[others] == k] for k in np.unique(number[others])}
             table_of = {k: np.frombuffer(b"".join(packed[i] for i in at), np.uint8).reshape(len(at), k) for k, at in by_number.items()}
+            own: set[tuple[int, int]] = set()
             for q in asked.tolist():
                 one = np.frombuffer(packed[q], np.uint8)
                 for k, at in by_number.items():
@@ -325,12 +338,19 @@ def _scan(open_: DataFrame, cells_: DataFrame, percent: int) -> DataFrame:
                     if fits.any():
                         some = at[fits]
                         some = some[bound(one, table_of[k][fits]) >= -(-percent * (n[some] + n[q]) // (100 + percent))]
-                        found.update((min(int(rep[q]), i), max(int(rep[q]), i)) for i in rep[some].tolist())
+                        own.update((min(int(rep[q]), i), max(int(rep[q]), i)) for i in rep[some].tolist())
+                if dense is not None and len(own) > dense * (b - a):
+                    break
+            if dense is not None and len(own) > dense * (b - a):
+                crowded.append(int(piece[a]))
+            else:
+                found |= own
         x, y = zip(*found, strict=True) if found else ((), ())
-        return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
+        rows = [pa.array([*x, *[None] * len(crowded)], pa.int64()), pa.array([*y, *[None] * len(crowded)], pa.int64()), pa.array([*[None] * len(x), *crowded], pa.int64())]
+        return pa.table(rows, names=["x", "y", "piece"])
 
-    work = dealt.join(cells_, "rep").select("piece", "rep", "label", "n", "cells", "outside", F.pmod("piece", F.lit(tasks)).alias("task"))
-    return work.groupBy("task").applyInArrow(trim(run), "x long, y long").distinct()
+    work = blocks.join(cells_, "rep").select("piece", "rep", "label", "n", "cells", "outside", F.pmod("piece", F.lit(tasks)).alias("task"))
+    return work.groupBy("task").applyInArrow(trim(run), "x long, y long, piece long")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -401,7 +421,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent
         if left.isEmpty():
             break
     else:
-        compared(_scan(left.select("token", "rep", "label"), cells_, percent))
+        blocks = stored(_blocks(left.select("token", "rep", "label")))
+        found = stored(_scan(blocks, cells_, percent, PER_CELL, DENSE))
+        crowded = blocks.join(found.where("piece is not null").select("piece"), "piece", "left_semi")
+        pairs = found.where("piece is null").select("x", "y")
+        if not crowded.isEmpty():
+            crowded = stored(crowded)
+            fine = _sets(rows, crowded.select("rep").distinct(), several, 1).select(F.col("id").alias("rep"), "n", F.col("packed").alias("cells"))
+            pairs = pairs.unionByName(_scan(crowded, fine, percent, 1, None).select("x", "y"))
+        compared(pairs.distinct())
         labels = connected(reduce(DataFrame.unionByName, links))
     labels = labels.withColumnRenamed("id", "rep")
     return of_set.join(labels, "rep", "left").select("id", "n", F.coalesce("label", "rep").alias("component_id")).unionByName(alone)

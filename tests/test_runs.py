@@ -227,6 +227,12 @@ def test_a_batch_of_one_key_reads_one_bucket(spark, tmp_path):
     feed.take(one(999_999), "id", "ts", out, "run", 3)
     assert feed.last_commit(spark, out)["read"] == [] and len(feed.last_commit(spark, out)["buckets"]) == 1
     assert feed.rows(spark, out, schema).count() == 6001
+    # Compacted, a bucket's keys are one file, and nothing is forgotten.
+    assert feed.compact(spark, out) == 4 and feed.compact(spark, out) == 0
+    files = spark.read.parquet(f"{feed._at(out, 'keys', feed.last_commit(spark, out)['version'])}/bucket={bucket}").inputFiles()
+    assert len(files) == 1 and not list((tmp_path / "out/keys/000000001").glob("*"))
+    feed.take(spark.createDataFrame([(77, at), (5999, at), (7_000_000, at)], schema), "id", "ts", out, "run", 4)
+    assert feed.rows(spark, out, schema).count() == 6002 and sorted(r.id for r in feed.rows(spark, out, schema).where("id > 6000").collect()) == [999_999, 7_000_000]
 
 
 def walk(items):

@@ -46,6 +46,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.globStatus(p))
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
 def read_json(spark: SparkSession, path: str, schema: str, must_exist: bool = True) -> DataFrame:
     """Rows of JSON documents; malformed ones raise. A missing path gives no rows unless it must exist; any other fault
     is no missing path and raises."""

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.shared import stored
-from tidemark.sources.landing import exists, read_small, write_small
+from tidemark.sources.landing import delete, exists, read_small, write_small
 
 #: Fixed order of the states; a conflict stays.
 STATES = ("unverified", "corroborated", "conflict")
@@ -39,7 +39,7 @@ def rows(spark: SparkSession, out: str, schema: str) -> DataFrame:
     done = commits(spark, out)
     if not done:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*[_at(out, "rows", c["version"]) for c in done])
+    return spark.read.schema(schema).parquet(*[_at(out, "rows", c["version"]) for c in done if not c.get("compacted")])
 
 
 def _at(out: str, what: str, version: int) -> str:
@@ -87,7 +87,7 @@ def take(batch: DataFrame, key: str, time: str, out: str, run: str, number: int)
         suspects = stored(_suspects(keyed.select("_key", *_HELPERS), known))
         read = sorted(r[0] for r in suspects.select("_bucket").distinct().collect())  # BUCKETS at most
         if read:
-            old = [f"{_at(out, 'keys', c['version'])}/bucket={b}" for c in done for b in sorted(set(read) & set(c["buckets"]))]
+            old = [f"{_at(out, 'keys', c['version'])}/bucket={b}" for c in _with_keys(done) for b in sorted(set(read) & set(c["buckets"]))]
             if old:  # a filter may answer for a bucket that has no keys
                 new = stored(keyed.join(spark.read.parquet(*old).select(F.col("key").alias("_key")), "_key", "left_anti"))
         bits = known.unionByName(_bits(new)).groupBy("bucket", "word").agg(F.bit_or("bits").alias("bits"))
@@ -100,6 +100,31 @@ def take(batch: DataFrame, key: str, time: str, out: str, run: str, number: int)
     write_small(spark, f"{out}/commits/{version:09d}.json", json.dumps({"version": version, "run": run, "batch": number, "buckets": touched, "read": read}))
 
 
+def _with_keys(done: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """The commits whose keys are read: from the last compaction on, which has those of all before it."""
+    return done[max([0, *(i for i, c in enumerate(done) if c.get("compacted"))]) :]
+
+
+def compact(spark: SparkSession, out: str) -> int:
+    """Write the seen keys anew, a file a bucket, so that a batch opens one file for a bucket however many batches have
+    written to it; the folders of the old ones are deleted after the commit. How many. Not while a batch is taken."""
+    done = commits(spark, out)
+    old = _with_keys(done)
+    if len(old) < 2:
+        return 0
+    version = done[-1]["version"] + 1
+    paths = [f"{_at(out, 'keys', c['version'])}/bucket={b}" for c in old for b in c["buckets"]]
+    keys = spark.read.parquet(*paths)
+    keyed = keys.select("key", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"))
+    keyed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(_at(out, "keys", version))
+    spark.read.parquet(_at(out, "filter", done[-1]["version"])).write.mode("overwrite").parquet(_at(out, "filter", version))
+    buckets = sorted({b for c in old for b in c["buckets"]})
+    write_small(spark, f"{out}/commits/{version:09d}.json", json.dumps({"version": version, "run": None, "batch": None, "compacted": True, "buckets": buckets, "read": buckets}))
+    for c in old:
+        delete(spark, _at(out, "keys", c["version"]))
+    return len(old)
+
+
 def change_feed(source: DataFrame, key: str, time: str, out: str, checkpoint: str) -> StreamingQuery:
     """Append rows with new keys to the feed ``out`` (``rows`` reads it), however late a row comes. A batch that fails is
     read again, since its offsets are committed after its rows; what it had committed by then is not taken twice."""

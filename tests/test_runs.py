@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import contract, lookup, prefix, review
-from tidemark.sources import filings, landing, positioned, searches
+from tidemark.sources import caches, filings, landing, positioned, searches
 from tidemark.streaming import feed
 
 DAY = dt.date.fromisoformat
@@ -351,3 +351,34 @@ def test_a_page_reads_few_row_groups(spark, tmp_path):
         stack += [node.children().apply(i) for i in range(node.children().size())]
     assert 300 <= read < 6000  # of 40,000 rows; the member has a few thousand
     assert lookup.last_of(lookup.page(spark, path, 999)) is None
+
+
+def test_answers_are_checked_before_they_land(spark, tmp_path):
+    folder = f"{tmp_path}/copies"
+    at = lambda h: F.lit(f"2026-01-01 {h:02d}:00:00").cast("timestamp")
+    fetched = lambda *rows: spark.createDataFrame(rows, "name string, body string")
+    wanted = spark.createDataFrame([(n,) for n in ("a", "a", "b", "c", None)], "name string")
+    names = lambda df: sorted(r.name for r in df.collect())
+    assert names(caches.due(wanted, caches.copies(spark, folder), at(1))) == ["a", "b", "c"]
+    bad = caches.land(fetched(("a", "[1]"), ("b", "<html>"), ("c", " "), ("d", None)), folder, at(1))
+    assert {r.name: r.reason for r in bad.collect()} == {"b": "no JSON", "c": "an empty answer", "d": "an empty answer"}
+    # A broken answer does not take the good copy's place, and the old copy serves when it is stale.
+    assert names(caches.land(fetched(("a", "{"), ("b", '{"x": 2}')), folder, at(9))) == ["a"]
+    copies = caches.copies(spark, folder)
+    assert sorted((r.name, r.body, r.fresh) for r in caches.serving(copies, at(22)).collect()) == [("a", "[1]", False), ("b", '{"x": 2}', True)]
+    assert names(caches.due(wanted, copies, at(22))) == ["a", "c"] and names(caches.due(wanted, copies, at(22), hours=12)) == ["a", "b", "c"]
+
+
+def test_each_chart_is_asked_for_once(spark):
+    buys = spark.createDataFrame([("ibit", False), (" IBIT ", None), ("SPY", False), (None, False), ("", False), ("X", True)], "ticker string, options boolean")
+    none = spark.createDataFrame([], caches.COPY)
+    now = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    assert sorted(r.name for r in caches.charts_due(buys, none, now).collect()) == ["IBIT", "SPY"]
+    assert caches.charts_due(buys.where("options"), none, now).count() == 0
+
+
+def test_recent_rows_come_before_histories(spark):
+    recent = spark.createDataFrame([("t1", "new"), ("t2", "b"), (None, "x")], "id string, v string")
+    histories = spark.createDataFrame([("t1", "old", 1), ("t3", "c", 2)], "id string, v string, more int")
+    rows = sorted(((r.ord, r.id, r.v, r.more) for r in caches.both(recent, histories).collect()))
+    assert [r[1:3] for r in rows][:2] == [("t1", "new"), ("t2", "b")] and {r[1:] for r in rows} == {("t1", "new", None), ("t2", "b", None), ("t1", "old", 1), ("t3", "c", 2)}

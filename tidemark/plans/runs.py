@@ -11,7 +11,7 @@ from tidemark.plans.filings import _dollars, _joined, _td, _us
 from tidemark.plans.model import MEMBERS_SQL, TODAY, TRADES_SQL, members, table, trades
 from tidemark.plans.queries import ORACLES, QUERIES, query  # noqa: F401
 from tidemark.shared import shared_folder, stored
-from tidemark.sources import filings, landing, positioned, searches
+from tidemark.sources import caches, filings, landing, positioned, searches
 from tidemark.streaming import feed
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -220,3 +220,20 @@ def p18_w1_traders(spark: SparkSession, d: str) -> DataFrame:
     )
     found = traders.rows(entries, own, buys, F.lit(TODAY).cast("date"))
     return found.select("member", c("rank").cast("long").alias("rank"), "trade_count", c("measured.return").alias("ret"), c("measured.excess").alias("excess"), c("measured.window").alias("window"), c("measured.note").alias("measured_note"), "attribution", c("claims_supported").alias("supported"), "note")
+
+
+@query("""WITH e AS (SELECT 'u' || user_id AS name, '{"v":' || event_id || '}' AS body, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 9 END AS h FROM events WHERE event_id % 5 <> 0 AND user_id % 7 <> 3),
+b AS (SELECT name, max(h) AS h FROM e GROUP BY name), a AS (SELECT DISTINCT 'u' || user_id AS name FROM events)
+SELECT a.name, min(e.body) AS body, coalesce(any_value(b.h) = 9, false) AS fresh, coalesce(any_value(b.h) <> 9, true) AS due FROM a LEFT JOIN b ON a.name = b.name LEFT JOIN e ON e.name = b.name AND e.h = b.h GROUP BY a.name""")
+def b8_a12_landed_copies(spark: SparkSession, d: str) -> DataFrame:
+    events = table(spark, d, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("name"), (F.col("user_id") % 7 == 3).alias("never"))
+    body = F.when((F.col("event_id") % 5 == 0) | F.col("never"), "<html>busy</html>").otherwise(F.concat(F.lit('{"v":'), F.col("event_id").cast("string"), F.lit("}")))
+    at = lambda h: F.lit(f"2026-01-01 {h:02d}:00:00").cast("timestamp")
+    folder = shared_folder(spark)
+    for odd, hour in ((0, 1), (1, 9)):
+        caches.land(events.where(F.col("event_id") % 2 == odd).select("name", body.alias("body")), folder, at(hour))
+    copies, names = caches.copies(spark, folder), events.select("name").distinct()
+    serving = caches.serving(copies, at(22)).select("name", "body", "fresh")
+    due = caches.due(names, copies, at(22)).withColumn("due", F.lit(True))
+    out = names.join(serving, "name", "left").join(due, "name", "left")
+    return out.select("name", "body", F.coalesce("fresh", F.lit(False)).alias("fresh"), F.coalesce("due", F.lit(False)).alias("due"))

@@ -167,7 +167,8 @@ def c14_g12_roll_calls(spark: SparkSession, d: str) -> DataFrame:
     docs = t.groupBy("orderkey").agg(_joined(row).alias("rows"))
     xml = F.concat(F.lit("<roll_call_vote><congress>119</congress><vote_date>January 5, 2026,  05:31 PM</vote_date><question>On Passage</question><vote_result>Passed</vote_result><members>"), "rows", F.lit("</members></roll_call_vote>"))
     found = bills.senate_detail(docs.select("orderkey", xml.alias("xml")))
-    parties = found.select("orderkey", F.size("members").cast("long").alias("members"), F.explode("by_party").alias("party", "n"))
+    # An inner explode filters by the map's size below the parser, which would parse each document again.
+    parties = found.select("orderkey", F.size("members").cast("long").alias("members"), F.explode_outer("by_party").alias("party", "n")).where("party is not null")
     return parties.select("orderkey", "members", "party", *[F.col(f"n.{v}").cast("long").alias(v) for v in ("yea", "nay", "present", "not_voting")])
 
 

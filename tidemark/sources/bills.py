@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import clerk_date, found, iso_date, long_date, menu_date, truncated
+from tidemark.functions.columns import clerk_date, found, iso_date, long_date, menu_date, once, truncated
 from tidemark.functions.labels import bill_label, bill_url, cast_of, senate_question, version_of
 
 _VOTE = "struct<rollNumber: int, chamber: string, congress: int, sessionNumber: int, date: string, url: string>"
@@ -32,7 +32,7 @@ VOTES = ("yea", "nay", "present", "not-voting")
 def _read(xml: Column, schema: str, root: str) -> Column:
     """The element ``root`` of a document; a document without it raises."""
     block = found(xml, rf"(?s)(<{root}(?:\s[^>]*)?>.*</{root}>)")
-    return F.from_xml(F.when(block.isNotNull(), block).otherwise(F.raise_error(F.lit(f"no <{root}> in the document"))), schema, {"mode": "FAILFAST"})
+    return F.from_xml(F.coalesce(block, F.raise_error(F.lit(f"no <{root}> in the document")).cast("string")), schema, {"mode": "FAILFAST"})
 
 
 def _items(array: Column, of: str) -> Column:
@@ -138,16 +138,21 @@ def senate_menu(docs: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def party_tally(members: Column) -> Column:
-    """Votes by party of an array of members with ``party`` and ``vote``."""
-    parties = F.array_sort(F.array_distinct(F.transform(members, lambda m: m["party"])))
+    """Votes by party of an array of members with ``party`` and ``vote``. The array is computed once: where it is a parsed
+    document, each use of it would parse that again."""
 
-    def count(party: Column, vote: str) -> Column:
-        return F.size(F.filter(members, lambda m: (m["party"] == party) & (m["vote"] == vote))).alias(vote.replace("-", "_"))
+    def tally(members: Column) -> Column:
+        parties = F.array_sort(F.array_distinct(F.transform(members, lambda m: m["party"])))
 
-    def entry(p: Column) -> Column:
-        return F.struct(p.alias("key"), F.struct(*[count(p, v) for v in VOTES]).alias("value"))
+        def count(party: Column, vote: str) -> Column:
+            return F.size(F.filter(members, lambda m: (m["party"] == party) & (m["vote"] == vote))).alias(vote.replace("-", "_"))
 
-    return F.map_from_entries(F.transform(parties, entry))
+        def entry(p: Column) -> Column:
+            return F.struct(p.alias("key"), F.struct(*[count(p, v) for v in VOTES]).alias("value"))
+
+        return F.map_from_entries(F.transform(parties, entry))
+
+    return once(members, tally)
 
 
 def senate_detail(docs: DataFrame, xml: str = "xml") -> DataFrame:

@@ -9,6 +9,8 @@ from tidemark.functions.columns import once
 
 #: Named entities that filings use.
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+#: Runs of white space, and a mark that stands in no text of a filing.
+_BLANKS, _MARK = "[\\s\\u00a0]+", "\x1f"
 
 
 def decoded(text: Column) -> Column:
@@ -20,16 +22,33 @@ def decoded(text: Column) -> Column:
         # A code point as a letter, by its four bytes.
         decimal = F.when(p.rlike(r"^&#\d+;$"), F.regexp_extract(p, r"^&#(\d+);$", 1).try_cast("int"))
         hexadecimal = F.when(p.rlike("^&#x[0-9a-fA-F]+;$"), F.conv(F.regexp_extract(p, "^&#x([0-9a-fA-F]+);$", 1), 16, 10).try_cast("int"))
-        code = F.coalesce(decimal, hexadecimal)
-        spelled = F.when(code.between(1, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        return F.coalesce(named, spelled, p)
+        spell = lambda code: F.when((code >= 1) & (code <= 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        spelled = F.when(F.startswith(p, F.lit("&#")), once(F.coalesce(decimal, hexadecimal), spell))
+        return F.when(F.startswith(p, F.lit("&")), F.coalesce(named, spelled, p)).otherwise(p)
 
     return F.when(text.contains("&"), F.array_join(F.transform(parts, letter), "")).otherwise(text)
 
 
 def text_of(html: Column) -> Column:
     """Text without tags, with entities decoded and white space collapsed."""
-    return F.trim(F.regexp_replace(once(F.regexp_replace(html, "(?s)<[^>]*>", " "), decoded), "[\\s\\u00a0]+", " "))
+    return text_of_plain(F.regexp_replace(html, "(?s)<[^>]*>", " "))
+
+
+def text_of_plain(text: Column) -> Column:
+    """Text that has no tags any more, with entities decoded and white space collapsed."""
+    return F.trim(F.regexp_replace(once(text, decoded), _BLANKS, " "))
+
+
+def texts_of(cells: Column) -> Column:
+    """``text_of`` of each text of an array without nulls, by one pass over all of them with a mark between them; only
+    those with entities are looked at again. Texts that hold the mark are read one by one."""
+
+    def each(parts: Column) -> Column:
+        plain = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("&")), text_of_plain(p)).otherwise(p))
+        return F.when(F.size(parts) == F.size(cells), plain).otherwise(F.transform(cells, text_of))
+
+    bare = F.regexp_replace(F.array_join(cells, _MARK), f"(?s)<[^>{_MARK}]*>", " ")
+    return once(F.split(F.trim(F.regexp_replace(bare, _BLANKS, " ")), f" ?{_MARK} ?"), each)
 
 
 def rows_of(html: Column) -> Column:

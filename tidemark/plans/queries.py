@@ -36,9 +36,15 @@ def _baseline(t: DataFrame) -> DataFrame:
     return positions.latest_baseline(reports)
 
 
-def _once(spark: SparkSession, d: str) -> DataFrame:
-    """All trades, for queries that use them more than once: joined and written once."""
-    return stored(trades(spark, d))
+def _once(spark: SparkSession, d: str, *columns: str, where: str = "true") -> DataFrame:
+    """Trades, for queries that use them more than once: joined and written once. Only the columns named here are moved
+    and written (all without any), and only the rows that a query reads."""
+    t = trades(spark, d).where(where)
+    return stored(t.select(*columns) if columns else t)
+
+
+#: What positions are folded from.
+_FOLDED = ("member", "security", "owner", "side", "partial", "lo", "hi", "traded", "filed", "reported", "rid")
 
 
 def _held(t: DataFrame) -> DataFrame:
@@ -47,7 +53,7 @@ def _held(t: DataFrame) -> DataFrame:
 
 
 def _positions(spark: SparkSession, d: str) -> DataFrame:
-    return _held(_once(spark, d))
+    return _held(_once(spark, d, *_FOLDED))
 
 
 @query(f"WITH RECURSIVE {FOLD_SQL} SELECT member, security, owner, lo, hi, as_of::VARCHAR AS as_of, n_reports::BIGINT AS n_reports FROM b")
@@ -79,7 +85,7 @@ SELECT security, count(*) FILTER (WHERE cur) AS owners_count, count(*) FILTER (W
   string_agg(name || ' ' || status || ' ' || lo || '-' || hi || coalesce(' ' || bought, ''), ', ' ORDER BY NOT cur, coalesce(bought::VARCHAR, '') DESC, name) AS owners
 FROM e JOIN m USING (member) LEFT JOIN y USING (security, member) GROUP BY security HAVING owners_count >= 2""")
 def g10_common_holdings(spark: SparkSession, d: str) -> DataFrame:
-    t = _once(spark, d)
+    t = _once(spark, d, *_FOLDED)
     found = portfolio.common_documents(_held(t).where("status <> 'none'"), members(spark, d), t.where("side = 'buy'"))
     now = F.filter("owners", lambda o: o["status"] != "sold")
     total = lambda c: F.aggregate(F.transform(now, lambda o: o[c]), F.lit(0).cast("long"), lambda a, x: a + x).alias(c)
@@ -214,7 +220,7 @@ def _tier_sql(name: str, key: str) -> str:
 SELECT rid, coalesce(a.v, b.v, c.v) AS found_lo, CASE WHEN a.v IS NOT NULL THEN 1 WHEN b.v IS NOT NULL THEN 2 WHEN c.v IS NOT NULL THEN 3 END AS tier
 FROM t LEFT JOIN a USING (member, text, traded) LEFT JOIN b USING (member, ticker, traded) LEFT JOIN c USING (member, traded) WHERE t.part % 2 = 0 AND t.side = 'buy'""")
 def j12_return_lookup(spark: SparkSession, d: str) -> DataFrame:
-    buys = _once(spark, d).where("side = 'buy'").select("rid", "member", "text", "ticker", "traded", "lo", "part")
+    buys = _once(spark, d, "rid", "member", "text", "ticker", "traded", "lo", "part", where="side = 'buy'")
     found = matching.tiered_lookup(buys.where("part % 2 = 0").drop("part", "lo"), buys.where("part % 2 = 1"), [["member", "text", "traded"], ["member", "ticker", "traded"], ["member", "traded"]], ["lo"], "rid")
     return found.select("rid", "found_lo", "tier")
 

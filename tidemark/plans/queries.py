@@ -235,9 +235,10 @@ def _prices(t: DataFrame, *key: str) -> DataFrame:
 
 @query(f"WITH {_PRICE_SQL}, b AS (SELECT DISTINCT ticker, filed - 3 AS traded FROM t) SELECT b.ticker, b.traded::VARCHAR AS traded, pr.date::VARCHAR AS entry_date, floor(close + 0.5)::BIGINT AS entry FROM b ASOF LEFT JOIN pr ON b.ticker = pr.ticker AND b.traded <= pr.date")
 def j13_asof_forward(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d).select("ticker", "traded", "filed", "cents", "quantity")
-    asked = t.select("ticker", F.date_sub("filed", 3).alias("traded")).distinct()
-    found = pricing.asof_forward(asked, _prices(t, "ticker"), "ticker", "traded")
+    # The as-of pass reads both sides more than once: each is made once, and the trades are joined once for both.
+    t = _once(spark, d, "ticker", "traded", "filed", "cents", "quantity")
+    asked = stored(t.select("ticker", F.date_sub("filed", 3).alias("traded")).distinct())
+    found = pricing.asof_forward(asked, stored(_prices(t, "ticker")), "ticker", "traded")
     return found.select("ticker", _text("traded"), _text("entry_date"), F.floor(F.col("entry") + 0.5).cast("long").alias("entry"))
 
 

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import found, once
+from tidemark.operators import matching
+from tidemark.plans import queries
 from tidemark.plans.runs import QUERIES
 from tidemark.sources import filings, markup
 
@@ -42,3 +44,30 @@ def test_ends_of_lines_of_layout_text(spark):
     text = "SP   Fund A   P   01/02/2024 01/03/2024   $1,001 - $15,000\r\n  (ABéC)\r more\r\n\n  F S: New\nJT   Fund B   S (partial)   01/02/2024 01/03/2024   $1,001 -\n  more of it     $15,000\n  Type\n"
     rows = filings.layout_transactions(spark.createDataFrame([(text,)], "text string")).orderBy("line").collect()
     assert [(r.line, r.owner_code, r.asset, r.type_code, r.partial, r.lo, r.hi) for r in rows] == [(0, "SP", "Fund A (AB C) more", "P", False, 1001.0, 15000.0), (4, "JT", "Fund B more of it", "S", True, 1001.0, 15000.0)]
+
+
+def _side(spark, *rows):
+    return spark.createDataFrame([(m, "2024-01-01", "buy", a, o, o, "text", 1, 2, f) for m, a, o, f in rows], "member long, traded string, side string, asset string, ord string, rid string, text string, lo long, hi long, filed string")
+
+
+def test_a_key_pass_moves_rows_once(spark):
+    own, other = _side(spark, (1, "A", "o2", "x"), (1, "A", "o1", "x"), (2, None, "o3", "x"), (1, "B", "o4", "x")), _side(spark, (1, "A", "k9", "y"), (1, "A", "k5", "y"), (1, "A", "k7", "y"), (2, None, "k1", "y"))
+    found = matching.key_pass(own, other)
+    assert sorted(map(tuple, found.collect())) == [("k5", "o1"), ("k7", "o2")]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+
+
+def test_matches_carry_columns_of_both_sides(spark):
+    own, other = _side(spark, (1, "A", "o1", "x")), _side(spark, (1, "A", "k1", "y"), (3, "A", "k2", "z"))
+    got = {r.rid: (r.official_rid, r.how, r.filed, r.official_filed, r.lo, r.official_lo) for r in matching.one_to_one(own, other, carry=["filed", "lo"]).collect()}
+    assert got == {"k1": ("o1", "key", "y", "x", 1, 1), "k2": (None, "none", "z", None, 1, None)}
+
+
+def test_trades_are_joined_once_and_only_what_is_read_is_written(spark):
+    assert set(queries._once(spark, SF, "rid", "lo", where="side = 'buy'").columns) == {"rid", "lo"}
+    assert "l_orderkey" not in _plan(QUERIES["j13_asof_forward"](spark, SF))
+
+
+def test_landed_pages_are_no_file_each(spark):
+    read = QUERIES["a10_a11_search_scan"](spark, SF).inputFiles()
+    assert len(read) < 40 and not any(f.endswith(".txt") for f in read)

@@ -11,24 +11,29 @@ TRIPLE = ("member", "traded", "side")
 
 
 def key_pass(official: DataFrame, other: DataFrame) -> DataFrame:
-    """``rid`` and ``official_rid``: the n-th row of a key matches the n-th official row of it."""
+    """``rid`` and ``official_rid``: the n-th row of a key matches the n-th official row of it. Rows of both are moved
+    once, by their key, numbered in one pass and paired where they are; a key with a null matches none."""
     key = [*TRIPLE, "asset"]
-    nth = Window.partitionBy(*key).orderBy("ord")
-    left = other.withColumn("nth", F.row_number().over(nth)).select(*key, "nth", "rid")
-    right = official.withColumn("nth", F.row_number().over(nth)).select(*key, "nth", F.col("rid").alias("official_rid"))
-    return left.join(right, [*key, "nth"]).select("rid", "official_rid")
+    side = lambda rows, own: rows.dropna(subset=key).select(*key, "ord", "rid", F.lit(own).alias("_own"))
+    so_far = Window.partitionBy(*key).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda own: F.count(F.when(F.col("_own") == own, 1)).over(so_far)
+    rows = side(official, True).unionByName(side(other, False)).withColumn("_nth", F.when(F.col("_own"), count(True)).otherwise(count(False)))
+    rid = lambda own: F.max(F.when(F.col("_own") == own, F.col("rid")))
+    return rows.groupBy(*key, "_nth").agg(rid(False).alias("rid"), rid(True).alias("official_rid")).where("rid is not null and official_rid is not null").select("rid", "official_rid")
 
 
-def one_to_one(official: DataFrame, other: DataFrame, shortest: int = 4) -> DataFrame:
-    """``rid``, ``official_rid`` (null: no match) and ``how`` (key, text or none) of every row of ``other``.
+def one_to_one(official: DataFrame, other: DataFrame, shortest: int = 4, carry: Sequence[str] = ()) -> DataFrame:
+    """``rid``, ``official_rid`` (null: no match) and ``how`` (key, text or none) of every row of ``other``, and the
+    columns of ``carry``: its own, and with ``official_`` before the name those of its match, which so need no joins.
 
     Each official row absorbs one other row at most. Rows of the same member, date and side are independent of all
     others; inside such a group the other rows go in order: the first official row with an equal ``asset`` that is
     left, else by ``text``: equal, or one begins with the other, which has ``shortest`` characters at least, with an
     equal range if there is one. Groups are days of one member, folded in the JVM.
     """
-    own = official.groupBy(*TRIPLE).agg(F.sort_array(F.collect_list(F.struct("ord", "rid", "asset", "text", "lo", "hi"))).alias("o"))
-    rows = other.groupBy(*TRIPLE).agg(F.sort_array(F.collect_list(F.struct("ord", "rid", "asset", "text", "lo", "hi"))).alias("k"))
+    row = F.struct("ord", "rid", "asset", "text", "lo", "hi", *[c for c in carry if c not in ("asset", "text", "lo", "hi")])
+    own = official.groupBy(*TRIPLE).agg(F.sort_array(F.collect_list(row)).alias("o"))
+    rows = other.groupBy(*TRIPLE).agg(F.sort_array(F.collect_list(row)).alias("k"))
     both = rows.join(own, list(TRIPLE), "left").withColumn("o", F.coalesce("o", F.array().cast(own.schema["o"].dataType)))
     places = F.when(F.size("o") > 0, F.sequence(F.lit(0), F.size("o") - 1)).otherwise(F.array().cast("array<int>"))
 
@@ -50,7 +55,8 @@ def one_to_one(official: DataFrame, other: DataFrame, shortest: int = 4) -> Data
     found = both.select("o", F.explode(F.arrays_zip(F.col("k").alias("k"), claimed.alias("at"))).alias("m"))
     hit = F.when(F.col("m.at") >= 0, F.get("o", F.col("m.at")))
     how = F.when(hit.isNull(), "none").when(hit["asset"] == F.col("m.k.asset"), "key").otherwise("text")
-    return found.select(F.col("m.k.rid").alias("rid"), hit["rid"].alias("official_rid"), how.alias("how"))
+    carried = [x for c in carry for x in (F.col(f"m.k.{c}").alias(c), hit[c].alias(f"official_{c}"))]
+    return found.select(F.col("m.k.rid").alias("rid"), hit["rid"].alias("official_rid"), how.alias("how"), *carried)
 
 
 def differences(pairs: DataFrame, fields: Sequence[str], both_known: Sequence[str] = ()) -> Column:

@@ -156,16 +156,21 @@ _SOURCES_SQL = f"""{TRADES_SQL}, o AS (
 )"""
 
 
-def _sources(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = _once(spark, d).withColumn("late", K.is_late(F.col("traded"), F.col("filed"))).withColumn("asset", F.when(F.col("kind") == "SMALL", F.concat(F.lit("raw:"), "text")).otherwise(F.col("security")))
-    names = ["rid", "member", "traded", "side", "asset", "text", "lo", "hi", "filed", "owner", "late"]
+def _sources(spark: SparkSession, d: str, *fields: str) -> tuple[DataFrame, DataFrame]:
+    """The official rows and the other source's, with the fields that are asked for besides the key and the text."""
+    t = _once(spark, d, "rid", "member", "traded", "side", "security", "kind", "text", "part", "orderkey", "line", *[f for f in fields if f != "late"])
+    t = t.withColumn("asset", F.when(F.col("kind") == "SMALL", F.concat(F.lit("raw:"), "text")).otherwise(F.col("security")))
+    if "late" in fields:
+        t = t.withColumn("late", K.is_late(F.col("traded"), F.col("filed")))
+    names = ["rid", "member", "traded", "side", "asset", "text", *fields]
     own = t.where("part % 2 = 0").select(*names).withColumn("ord", F.col("rid"))
     short = F.col("line") % 4 == 0
     cut = F.left("text", F.lit(5))
-    other = t.where("part % 2 = 1 or orderkey % 3 = 0").withColumns({
+    changed = {
         "rid": F.concat(F.lit("x"), "rid"), "asset": F.when(short, F.concat(F.lit("raw:"), cut)).otherwise(F.col("asset")), "text": F.when(short, cut).otherwise(F.col("text")),
         "hi": F.when(F.col("line") % 2 == 0, F.col("hi") + 50000).otherwise(F.col("hi")), "filed": F.expr("date_add(filed, if(orderkey % 2 = 0, 5, 0))"),
-    })
+    }
+    other = t.where("part % 2 = 1 or orderkey % 3 = 0").withColumns({c: v for c, v in changed.items() if c in names})
     return own, other.select(*names).withColumn("ord", F.col("rid"))
 
 
@@ -194,7 +199,7 @@ w AS (
 
 @query(f"WITH RECURSIVE {_MATCH_SQL} SELECT rid, official_rid, how FROM x")
 def j8_merge_one_to_one(spark: SparkSession, d: str) -> DataFrame:
-    return matching.one_to_one(*_sources(spark, d))
+    return matching.one_to_one(*_sources(spark, d, "lo", "hi"))
 
 
 @query(f"""WITH RECURSIVE {_MATCH_SQL}, g AS (SELECT min(filed) AS start FROM o)
@@ -202,10 +207,9 @@ SELECT x.rid, how, CASE WHEN x.official_rid IS NOT NULL THEN 'both' WHEN c.filed
   concat_ws(',', CASE WHEN o.lo <> c.lo THEN 'lo' END, CASE WHEN o.hi <> c.hi THEN 'hi' END, CASE WHEN o.filed <> c.filed THEN 'filed' END, CASE WHEN o.late <> c.late THEN 'late' END, CASE WHEN o.owner <> c.owner THEN 'owner' END) AS conflicts
 FROM x JOIN c ON x.rid = c.rid LEFT JOIN o ON o.rid = x.official_rid CROSS JOIN g""".replace("FROM c ANTI", "FROM c ANTI"))
 def j10_j11_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    own, other = _sources(spark, d)
     fields = ["lo", "hi", "filed", "late"]
-    official = own.select(F.col("rid").alias("official_rid"), *[F.col(c).alias(f"official_{c}") for c in [*fields, "owner"]])
-    pairs = matching.one_to_one(own, other).join(other.select("rid", *fields, "owner"), "rid").join(official, "official_rid", "left")
+    own, other = _sources(spark, d, *fields, "owner")
+    pairs = matching.one_to_one(own, other, carry=[*fields, "owner"])
     pairs = pairs.join(F.broadcast(own.groupBy().agg(F.min("filed").alias("start"))), how="cross")
     unlike = F.when(F.col("official_rid").isNotNull(), F.array_join(matching.differences(pairs, fields, ["owner"]), ","))
     only = matching.coverage(F.col("filed"), matching.coverage_start(F.lit(None).cast("string"), None, None, F.col("start")))

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import found, once
+from tidemark.functions.columns import amount_band, found, once, us_date
 from tidemark.operators import matching
 from tidemark.plans import queries
+from tidemark.plans.model import trades
 from tidemark.plans.runs import QUERIES
 from tidemark.sources import filings, markup
 
@@ -71,3 +72,29 @@ def test_trades_are_joined_once_and_only_what_is_read_is_written(spark):
 def test_landed_pages_are_no_file_each(spark):
     read = QUERIES["a10_a11_search_scan"](spark, SF).inputFiles()
     assert len(read) < 40 and not any(f.endswith(".txt") for f in read)
+
+
+def test_a_grouping_by_order_moves_no_trade_again(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = trades(spark, SF, by_order=True).groupBy("orderkey", "filed").count()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count("Exchange hashpartitioning") == 4  # both sides of two joins
+
+
+def test_an_amount_and_a_date_are_looked_at_once(spark):
+    texts = ["$1,001 - $15,000", "Over $50", "less  than $7", "$1 -", "$, - $5", "over $2 x $3-$4", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(amount_band(F.col("t")).alias("b")).collect()
+    assert [r.b and tuple(r.b) for r in rows] == [(1001.0, 15000.0), (50.0, 50.0), (0.0, 7.0), None, None, (3.0, 4.0), None]
+    assert _plan(spark.range(1).select(amount_band(F.col("id").cast("string")).alias("b"))).count("regexp_extract(") == 3
+    dates = spark.createDataFrame([(t,) for t in ("2/29/2020", "2/29/2021", "1/2/20", " 12/31/2020 ", "2020-01-02", None)], "t string").select(us_date(F.col("t")).cast("string").alias("d"))
+    assert [r.d for r in dates.collect()] == ["2020-02-29", None, None, "2020-12-31", None, None]
+    assert "gettimestamp" not in _plan(dates)
+
+
+def test_cells_of_long_rows_need_no_stack(spark):
+    html = "<TR a><td>" + "<b>x</b > " * 50000 + "</TD><td>y</td></tr><tr><td>z"
+    rows = spark.createDataFrame([(html,)], "h string").select(F.transform(markup.rows_of(F.col("h")), markup.texts_of).alias("t")).first().t
+    assert rows == [[" ".join(["x"] * 50000), "y"]]

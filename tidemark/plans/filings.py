@@ -35,14 +35,14 @@ def _td(*cells: Column) -> Column:
 
 
 def _joined(row: Column, order: str = "rid") -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r")))), lambda x: x["r"]), "\n")
+    return F.array_join(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), row.alias("r"))))["r"], "\n")
 
 
 @query(f"""WITH {TRADES_SQL} SELECT orderkey, line AS row, filed::VARCHAR AS filed, traded::VARCHAR AS traded, {_OWNER} AS owner, CASE WHEN line % 4 <> 0 THEN ticker END AS ticker, text AS asset, CASE WHEN line % 3 = 0 THEN 'Company: ' || kind || ' & Co' END AS detail,
   CASE WHEN side = 'buy' THEN 'Purchase' WHEN partial THEN 'Sale (Partial)' ELSE 'Sale (Full)' END AS type, CASE WHEN line = 7 THEN 0 ELSE lo END::BIGINT AS lo, CASE WHEN line = 6 THEN lo ELSE hi END::BIGINT AS hi, CASE WHEN line % 2 = 0 THEN 'é ' || line END AS comment
 FROM t""")
 def c3_c7_electronic_pages(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
+    t = trades(spark, d, by_order=True)
     amount = F.when(F.col("line") == 6, F.concat(F.lit("Over "), _dollars("lo"))).when(F.col("line") == 7, F.concat(F.lit("None (or less than "), _dollars("hi"), F.lit(")"))).otherwise(F.concat(_dollars("lo"), F.lit(" - "), _dollars("hi")))
     detail = F.when(F.col("line") % 3 == 0, F.concat(F.lit("<div class='m'><em>Company:</em> "), "kind", F.lit(" &amp; Co</div>"))).otherwise("")
     kind = F.when(F.col("side") == "buy", "Purchase").when(F.col("partial"), "Sale (Partial)").otherwise("Sale (Full)")
@@ -61,7 +61,7 @@ def c3_c7_electronic_pages(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TRADES_SQL} SELECT orderkey, text || ' (' || ticker || ') [ST]' AS asset, side, coalesce(CASE line % 4 WHEN 1 THEN 'spouse' WHEN 2 THEN 'joint' WHEN 3 THEN 'dependent' END, 'self') AS owner, lo, hi, traded::VARCHAR AS traded, filed > traded + 45 AS late,
   CASE WHEN partial THEN 'partial sale' END AS note FROM t WHERE line <> 5""")
 def c2_p1_layout_text(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
+    t = trades(spark, d, by_order=True)
     code = F.when(F.col("line") % 4 == 1, "SP   ").when(F.col("line") % 4 == 2, "JT   ").when(F.col("line") % 4 == 3, "DC   ").otherwise("     ")
     kind = F.when(F.col("line") == 5, "E").when(F.col("side") == "buy", "P").when(F.col("partial"), "S (partial)").otherwise("S")
     wrapped = F.col("line") % 3 == 0
@@ -141,7 +141,7 @@ _ACTIONS = (("", "nothing", ""), ("1000", "Introduced in House", ""), ("8000", "
 SELECT orderkey, coalesce(i, traded)::VARCHAR AS introduced, h::VARCHAR AS house_passed, s::VARCHAR AS senate_reported, c::VARCHAR AS senate_cloture, p::VARCHAR AS senate_passed, l::VARCHAR AS became_law, x AS substitute_in_play, p IS NOT NULL AND x AS requires_repassage,
   list_position([h IS NULL, s IS NULL, p IS NULL, true], true) AS reached, 'H.R. ' || orderkey AS label FROM b""")
 def c9_g24_w13_bills(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
+    t = trades(spark, d, by_order=True)
     field = lambda i: _pick(tuple(a[i] for a in _ACTIONS), F.col("line"))
     text = F.concat(field(1), F.when((F.col("line") == 4) & (F.col("side") == "sell"), " with an amendment in the nature of a substitute").otherwise(""))
     item = F.concat(F.lit("<item><actionDate>"), F.col("filed").cast("string"), F.lit("</actionDate><text>"), text, F.lit("</text><type>"), field(2), F.lit("</type><actionCode>"), field(0), F.lit("</actionCode></item>"))
@@ -161,7 +161,7 @@ SELECT orderkey, count(*) FILTER (WHERE v < 5) AS members, party_n.party, party_
   SELECT orderkey, party, count(*) FILTER (WHERE v IN (0, 1)) AS yea, count(*) FILTER (WHERE v = 2) AS nay, count(*) FILTER (WHERE v = 3) AS present, count(*) FILTER (WHERE v = 4) AS not_voting FROM v WHERE v < 5 GROUP BY ALL
 ) party_n USING (orderkey) GROUP BY ALL""")
 def c14_g12_roll_calls(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
+    t = trades(spark, d, by_order=True)
     cast = _pick(("Yea", "Guilty", "Nay", "Present", "Absent", "Unknown"), F.col("line") % 6)
     row = F.concat(F.lit("<member><member_full>M</member_full><party>"), _pick(("R", "D", "I"), F.col("member") % 3), F.lit("</party><state>TX</state><vote_cast>"), cast, F.lit("</vote_cast><lis_member_id>S"), F.col("member").cast("string"), F.lit("</lis_member_id></member>"))
     docs = t.groupBy("orderkey").agg(_joined(row).alias("rows"))

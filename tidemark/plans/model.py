@@ -18,11 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """All trades. ``by_order``: orders are joined last, so that rows lie by ``orderkey`` and a grouping by it moves none."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("traded"))
     parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("text"), F.col("p_brand").alias("ticker"), F.col("p_type").alias("kind"))
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    with_orders = lambda rows: rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    with_parts = lambda rows: rows.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    rows = with_orders(with_parts(lines)) if by_order else with_parts(with_orders(lines))
     price = F.col("l_extendedprice")
     band = lambda side: F.coalesce(*[F.when(price <= hi, (lo, hi)[side]) for lo, hi in BANDS[:-1]], F.lit(BANDS[-1][side])).cast("long")
     cents = F.round(price * 100).cast("long")

@@ -13,6 +13,11 @@ _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&
 _BLANKS, _MARK = "[\\s\\u00a0]+", "\x1f"
 
 
+def _body(tag: str) -> str:
+    """All before the next end of a tag, as a lazy ``.*?`` finds it, by whole runs of letters and without a stack."""
+    return rf"[^<]*+(?:<(?!/{tag}>)[^<]*+)*+"
+
+
 def decoded(text: Column) -> Column:
     """Text with its named and numeric entities decoded, each once."""
     parts = F.regexp_extract_all(text, F.lit(r"(?s)(&#\d{1,7};|&#x[0-9a-fA-F]{1,6};|&[a-z]+;|&|[^&]+)"), F.lit(1))
@@ -44,22 +49,23 @@ def texts_of(cells: Column) -> Column:
     those with entities are looked at again. Texts that hold the mark are read one by one."""
 
     def each(parts: Column) -> Column:
-        plain = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("&")), text_of_plain(p)).otherwise(p))
+        plain = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("&")), text_of_plain(p)).otherwise(F.trim(p)))
         return F.when(F.size(parts) == F.size(cells), plain).otherwise(F.transform(cells, text_of))
 
-    bare = F.regexp_replace(F.array_join(cells, _MARK), f"(?s)<[^>{_MARK}]*>", " ")
-    return once(F.split(F.trim(F.regexp_replace(bare, _BLANKS, " ")), f" ?{_MARK} ?"), each)
+    # Tags and white space in one pass, without a stack; a split at one letter compiles no pattern for each row.
+    bare = F.regexp_replace(F.array_join(cells, _MARK), rf"(?:[\s\u00a0]++|<[^>{_MARK}]*+>)++", " ")
+    return once(F.split(bare, _MARK), each)
 
 
 def rows_of(html: Column) -> Column:
     """The cells (their HTML) of each table row that has any."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.filter(F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1))), lambda c: F.size(c) > 0)
+    rows = F.regexp_extract_all(html, F.lit(rf"(?i)<tr[^>]*>({_body('tr')})</tr>"), F.lit(1))
+    return F.filter(F.transform(rows, lambda r: F.regexp_extract_all(r, F.lit(rf"(?i)<td[^>]*>({_body('td')})</td>"), F.lit(1))), lambda c: F.size(c) > 0)
 
 
 def table_with(html: Column, header: str) -> Column:
     """The first table whose HTML holds a text; null if none does."""
-    tables = F.regexp_extract_all(html, F.lit(r"(?is)(<table[^>]*>.*?</table>)"), F.lit(1))
+    tables = F.regexp_extract_all(html, F.lit(rf"(?i)(<table[^>]*>{_body('table')}</table>)"), F.lit(1))
     return F.get(F.filter(tables, lambda t: F.contains(t, F.lit(header))), F.lit(0))
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import amount_band, found, once, us_date
-from tidemark.operators import matching
+from tidemark.operators import intake, matching
 from tidemark.plans import queries
 from tidemark.plans.model import trades
 from tidemark.plans.runs import QUERIES
@@ -98,3 +98,19 @@ def test_cells_of_long_rows_need_no_stack(spark):
     html = "<TR a><td>" + "<b>x</b > " * 50000 + "</TD><td>y</td></tr><tr><td>z"
     rows = spark.createDataFrame([(html,)], "h string").select(F.transform(markup.rows_of(F.col("h")), markup.texts_of).alias("t")).first().t
     assert rows == [[" ".join(["x"] * 50000), "y"]]
+
+
+def test_rows_that_are_no_trades_are_moved_without_their_columns(spark):
+    columns = {"id": "r1", "ord": "1", "source_id": "house_clerk", "transaction_date": "2024-01-01", "filing_date": "2024-01-02", "owner": "SP", "ticker": None, "asset_name": "Fund", "asset_type": "ST", "transaction_type": "Purchase", "amount_range_low": 1.0,
+               "amount_range_high": 2.0, "is_late": 0, "comment": None, "doc_url": "https://x.org/1", "filer_id": None, "filer_name": "Ann Oda", "branch": "congress", "chamber": "house", "party": "R"}
+    schema = ", ".join(f"{c} {'double' if c.startswith('amount') else 'int' if c == 'is_late' else 'string'}" for c in columns)
+    odd = [{}, {"ord": "2"}, {"id": "r2", "ord": "3", "branch": "executive"}, {"id": None, "ord": "5", "filer_name": "Bo Lee"}, {"id": None, "ord": "4"}, {"id": "", "ord": "6", "transaction_type": "Exchange"}]
+    rows = spark.createDataFrame([tuple({**columns, **o}.values()) for o in odd], schema)
+    roster = spark.createDataFrame([(7, "Ann Oda", "house")], "member long, name string, chamber string")
+    none = spark.createDataFrame([], "security string, ticker string, name string, kind string, aliases array<string>, ord int")
+    good, bad, lost = intake.normalize_third(rows, roster, none)
+    assert sorted((r.ord, r.member, r.security, r.lo) for r in good.collect()) == [("1", 7, None, 1.0), ("4", 7, None, 1.0)]
+    assert sorted((r.ord, r.reason) for r in bad.collect()) == [("2", "duplicate row id"), ("3", "non-congress filer"), ("5", "duplicate row id"), ("6", "unsupported transaction_type: Exchange")]
+    judged = spark.read.parquet(*{f.rsplit("/", 1)[0] for f in bad.inputFiles()})
+    assert "transaction_type" not in judged.columns and judged.where("reason is not null and url is not null").count() == 0
+    assert lost.count() == 0

@@ -56,8 +56,10 @@ def is_congress(rows: DataFrame) -> Column:
 def _duplicates(rows: DataFrame, key: str, order: str) -> DataFrame:
     """All rows with ``_first``: whether a row is the first of its key. The least of each key is reduced before the
     exchange, so a key that most rows have is no group of one task."""
-    first = rows.groupBy(F.col(key).alias("_id")).agg(F.min(order).alias("_least"))
-    return rows.join(first, F.col(key).eqNullSafe(F.col("_id")), "left").withColumn("_first", F.col(order) == F.col("_least")).drop("_id", "_least")
+    # Grouped by the two columns that a comparison of nulls is made of, so that the groups lie where they are joined.
+    known, none = F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()
+    first = rows.groupBy(known.alias("_id"), none.alias("_none")).agg(F.min(order).alias("_least"))
+    return rows.join(first, (known == F.col("_id")) & (none == F.col("_none")), "left").withColumn("_first", F.col(order) == F.col("_least")).drop("_id", "_none", "_least")
 
 
 def normalize_third(rows: DataFrame, roster: DataFrame, universe: DataFrame, filers: DataFrame | None = None, default: dict[str, str | None] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -70,31 +72,45 @@ def normalize_third(rows: DataFrame, roster: DataFrame, universe: DataFrame, fil
     without party, without name, not on the roster; no purchase or sale; no amounts; no sound transaction or filing
     date; no address; no asset; and last the contract of a trade.
     """
-    rows = filer_context(_duplicates(rows, "id", "ord"), filers, default)
-    matched = match_names(rows.select(F.col("filer_name").alias("name"), "chamber").where("name is not null"), roster, NICKNAMES)
-    matched = matched.select(F.col("name").alias("_name"), F.col("chamber").alias("_chamber"), "member")
-    rows = rows.join(matched, (F.col("filer_name") == F.col("_name")) & F.col("chamber").eqNullSafe(F.col("_chamber")), "left").drop("_name", "_chamber")
+    rows = filer_context(rows, filers, default)
     sound = lambda c: F.col(c).rlike(r"^\d{4}-\d{2}-\d{2}$")
     side, asset = side_of(F.col("transaction_type")), F.coalesce(given(F.col("asset_name")), given(F.col("ticker")))
     text = lambda label, *values: F.concat(F.lit(label), F.coalesce(*[F.col(v) for v in values[:-1]], F.lit(values[-1])))
     # What each reason ends with, and when a row passes it.
     ends = {2: ("filer_name", "filer_id", "unknown"), 4: ("filer_name", ""), 5: ("transaction_type", "null")}
     passes = (
-        F.col("_first"), is_congress(rows), F.col("party") != "", F.col("filer_name").isNotNull(), F.col("member").isNotNull(), side.isNotNull(), F.col("amount_range_low").isNotNull() & F.col("amount_range_high").isNotNull(),
+        F.coalesce("_first", F.lit(False)), is_congress(rows), F.col("party") != "", F.col("filer_name").isNotNull(), F.col("member").isNotNull(), side.isNotNull(), F.col("amount_range_low").isNotNull() & F.col("amount_range_high").isNotNull(),
         sound("transaction_date"), sound("filing_date"), F.col("doc_url").rlike(r"^https?://"), asset.isNotNull(), F.least("amount_range_low", "amount_range_high") >= 0, F.try_parse_url("doc_url", F.lit("HOST")).isNotNull(),
     )
     rules = [(text(r, *ends[i]) if i in ends else r, ok) for i, (r, ok) in enumerate(zip(REASONS, passes, strict=True))]
+    # What a row says by itself comes first: only what can become a trade is moved, and of other rows their reason.
+    rows = rows.withColumns({"_before": first_reason(rules[1:4]), "_after": first_reason(rules[5:])})
+    low, high = F.least("amount_range_low", "amount_range_high"), F.greatest("amount_range_low", "amount_range_high")
+    trade = {
+        "ticker": F.col("ticker"), "asset_name": F.col("asset_name"), "asset_type": F.col("asset_type"), "side": side, "owner": owner_of(F.col("owner")), "lo": low, "hi": high, "traded": iso_date(F.col("transaction_date")),
+        "filed": iso_date(F.col("filing_date")), "url": F.col("doc_url"), "late": F.coalesce(F.col("is_late").cast("int") == 1, F.lit(False)), "note": given(F.col("comment")),
+    }
+    asked, whole = F.col("_before").isNull(), F.col("_before").isNull() & F.col("_after").isNull()
+    rows = stored(rows.select("id", "ord", "_before", F.when(asked, F.col("_after")).alias("_after"), *[F.when(asked, F.col(c)).alias(c) for c in ("filer_name", "chamber")], *[F.when(whole, v).alias(n) for n, v in trade.items()]))
+    # Matches are stored, so that the sizes of the files say whether rows must move for them.
+    matched = match_names(rows.where("_before is null").select(F.col("filer_name").alias("name"), "chamber"), roster, NICKNAMES)
+    matched = stored(matched.select(F.col("name").alias("_name"), F.col("chamber").alias("_chamber"), "member"))
+    rows = rows.join(matched, (F.col("filer_name") == F.col("_name")) & F.col("chamber").eqNullSafe(F.col("_chamber")), "left").drop("_name", "_chamber", "chamber")
+    unknown = first_reason([rules[4]])
+    lost = F.when(F.col("_before").isNull() & F.col("member").isNull(), F.col("filer_name"))
+    rows = rows.withColumn("_own", F.coalesce("_before", unknown, "_after")).withColumn("filer_name", lost)
+    rows = rows.withColumns({c: F.when(F.col("_own").isNull(), F.col(c)) for c in ("member", *trade)}).drop("_before", "_after")
+    rows = _duplicates(rows, "id", "ord")
     # All three results come from the judged rows: they are computed once.
-    rows = stored(rows.withColumn("reason", first_reason(rules)))
+    rows = rows.withColumn("reason", F.coalesce(first_reason([rules[0]]), F.col("_own")))
+    rows = stored(rows.select("id", "ord", "reason", "filer_name", *[F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("member", *trade)]))
     skipped = rows.where("reason is not null").select("id", "ord", "reason")
     unmatched = rows.where(F.startswith("reason", F.lit(REASONS[4]))).select("filer_name").distinct().orderBy("filer_name")
     good = rows.where("reason is null")
-    named = resolve_third(good.select("ticker", F.col("asset_name").alias("asset"), "asset_type"), universe).toDF("_ticker", "_asset", "_type", "security")
+    named = stored(resolve_third(good.select("ticker", F.col("asset_name").alias("asset"), "asset_type"), universe).toDF("_ticker", "_asset", "_type", "security").where("security is not null"))
     same = F.col("ticker").eqNullSafe(F.col("_ticker")) & F.col("asset_name").eqNullSafe(F.col("_asset")) & F.col("asset_type").eqNullSafe(F.col("_type"))
     trades = good.join(named, same, "left").select(
-        "id", "ord", "member", asset.alias("asset"), "security", side.alias("side"), owner_of(F.col("owner")).alias("owner"), F.least("amount_range_low", "amount_range_high").alias("lo"),
-        F.greatest("amount_range_low", "amount_range_high").alias("hi"), iso_date(F.col("transaction_date")).alias("traded"), iso_date(F.col("filing_date")).alias("filed"), F.col("doc_url").alias("url"),
-        F.coalesce(F.col("is_late").cast("int") == 1, F.lit(False)).alias("late"), given(F.col("comment")).alias("note"),
+        "id", "ord", "member", asset.alias("asset"), "security", "side", "owner", "lo", "hi", "traded", "filed", "url", "late", "note",
     )
     return trades, skipped, unmatched
 

@@ -198,7 +198,7 @@ def p4_u3_normalize(spark: SparkSession, d: str) -> DataFrame:
     )
     roster = members(spark, d).select("member", F.concat(F.lit("Robert "), F.translate(c("member").cast("string"), *_LETTERS)).alias("name"), F.lit("house").alias("chamber"))
     none = spark.createDataFrame([], "security string, ticker string, name string, kind string, aliases array<string>, ord int")
-    good, bad, _ = intake.normalize_third(stored(rows), roster, none)
+    good, bad, _ = intake.normalize_third(rows, roster, none)
     out = good.select(c("ord").alias("rid"), F.lit(None).cast("string").alias("reason"), "member", "side", c("lo").cast("long").alias("lo"), c("hi").cast("long").alias("hi"), c("traded").cast("string").alias("traded"))
     return out.unionByName(bad.select(c("ord").alias("rid"), "reason"), allowMissingColumns=True)
 

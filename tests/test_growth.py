@@ -124,3 +124,7 @@ def test_rows_of_a_search_are_dealt_and_their_link_is_looked_for_once(spark):
     assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted((r.last, r.kind, r.channel, r.title, r.filed.isoformat()) for r in got.collect()) == [("Lee", "other", "paper", "Periodic\x1f$1 Transaction", "2020-01-02"), ("Oda", "annual", "electronic", "New Filer Report", "2020-01-02")]
     assert _plan(rows.select(filings.hit_rows(F.col("cells")).alias("h"))).count("regexp_extract(") == 2  # the link and the date
+
+
+def test_actions_are_sorted_without_an_interpreted_comparison(spark):
+    assert "array_sort(" not in _plan(QUERIES["c9_g24_w13_bills"](spark, SF))

@@ -99,8 +99,8 @@ def with_hits(status: DataFrame, hits: DataFrame) -> DataFrame:
 def milestones(status: DataFrame) -> DataFrame:
     """Statuses with a struct of ``date`` and ``detail`` for each milestone (null if it is not reached),
     ``substitute_in_play`` and ``requires_repassage``. ``status``: as ``bill_status`` gives it, with ``hits``."""
-    # The earliest action counts, on one day the one that stands first.
-    actions = F.array_sort(F.transform("actions", lambda a, i: F.struct(a["date"].alias("date"), i.alias("pos"), a["text"].alias("text"), a["type"].alias("type"), a["code"].alias("code"))))
+    # The earliest action counts, on one day the one that stands first; sorted without a comparison that is interpreted.
+    actions = F.sort_array(F.transform("actions", lambda a, i: F.struct(a["date"].alias("date"), i.alias("pos"), a["text"].alias("text"), a["type"].alias("type"), a["code"].alias("code"))))
     says = lambda what: (lambda a: a["text"].rlike(f"(?i){SAYS[what]}"))
     pair = lambda date, detail: F.struct(date.alias("date"), detail.alias("detail"))
 

@@ -86,3 +86,36 @@ def test_files_beyond_five_digits_go_by_number(spark):
     rows = spark.createDataFrame([(i, 10 ** (2 - i), n, 0) for i, n in enumerate(names)], "doc_id long, n_tokens long, file_name string, row_index long")
     table = rows.select("doc_id", "n_tokens", F.struct("file_name", "row_index").alias("_metadata"))
     assert {r.doc_id: r.start for r in token_files.offsets(table).collect()} == {2: 0, 0: 1, 1: 101}
+
+
+class Counted:
+    """The library's model, and what it was asked for."""
+
+    def __init__(self, model):
+        self.model, self.asked = model, []
+
+    def tokenize(self, word):
+        self.asked.append(word)
+        return self.model.tokenize(word)
+
+
+def test_library_gets_each_distinct_pre_token_once():
+    own = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    own.model = Counted(own.library.model)
+    words, marks = [f"wört{'abcdefghij'[i % 10]}{'äöüßé'[i // 10]}" for i in range(50)], ["***", "###", "!?", "...", "++"]
+    for m in marks:
+        own.encode_all([" ".join(w + m for w in words[i:] + words[:i]) for i in range(3)])
+    assert len(own.model.asked) == len(set(own.model.asked)) == 50 + 3 + len(marks) + 1  # three words also without a blank before them; the placeholder
+
+
+def test_stretches_of_a_long_text_equal_the_library(monkeypatch):
+    monkeypatch.setattr(token_files, "LETTERS", 30)
+    own = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    g = random.Random(11)
+    bits = [" ", "  ", "\n ", "'s", "'re", "'", "''ll", "'LL", "'ve'd", "x", "word", "7", "²", "é", "é", "漢", "🙂", "　", "᠎", "\0", "<|", "<|endoftext|>", "<|endoftext|><|endoftext|>", "!?"]
+    texts = ["".join(g.choice(bits) for _ in range(g.randrange(120))) for _ in range(1500)]
+    texts += ["".join(f"a{c}b {c}1{c} {c}{c}'s" for c in map(chr, range(i, i + 256)) if not "\ud800" <= c <= "\udfff") for i in range(0, 0x20000, 256)]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    ids, n = own.encode_flat(texts, np.array([0], "<u4").tobytes())
+    assert ids.tolist() == [i for x in want for i in [*x, 0]] and n.tolist() == [len(x) + 1 for x in want]

@@ -128,3 +128,25 @@ def test_rows_of_a_search_are_dealt_and_their_link_is_looked_for_once(spark):
 
 def test_actions_are_sorted_without_an_interpreted_comparison(spark):
     assert "array_sort(" not in _plan(QUERIES["c9_g24_w13_bills"](spark, SF))
+
+
+def test_plain_texts_are_read_without_a_pattern(spark, monkeypatch):
+    cells = ["plain", " a - b ", "", "x > y", "--"]
+    monkeypatch.setattr(markup, "_BLANKS", "(")  # no pattern: whoever looks for it fails
+    rows = spark.createDataFrame([(cells,)], "a array<string>").select(markup.texts_of(F.col("a")).alias("all"), F.transform("a", markup.text_of).alias("each"))
+    assert rows.first() == (["plain", "a - b", "", "x > y", "--"],) * 2
+
+
+def test_texts_with_uneven_white_space_or_tags(spark):
+    cells = ["a  b", "a\tb", "\n a", "a\x0b\x0cb\r", " a", "a <b>c</b>d", "a&nbsp;&nbsp;b", "<i> </i>", "a\x1f  b"]
+    want = ["a b", "a b", "a", "a b", "a", "a c d", "a b", "", "a\x1f b"]
+    rows = spark.createDataFrame([(cells,)], "a array<string>").select(markup.texts_of(F.col("a")).alias("all"), F.transform("a", markup.text_of).alias("each"), F.transform("a", lambda c: markup.texts_of(F.array(c))[0]).alias("one"))
+    assert rows.first() == (want,) * 3
+
+
+def test_names_of_assets(spark):
+    row = lambda name: f"<tr><td>1</td><td>{name}</td><td>ETF</td><td>Self</td><td>$1,001 - $15,000</td></tr>"
+    names = ["<a>T</a> -  Fund  A\n<i>x</i> Description: d", "- - B", "<A HREF='x'>\nT </A>C", "<a>T</a> d <a>U</a> e", "&#45; F", "Description: g"]
+    docs = spark.createDataFrame([(i, f"Part 3. Assets<table>{row(n)}</table>") for i, n in enumerate(names)], "i int, html string")
+    got = filings.annual_assets(docs).orderBy("i").collect()
+    assert [(r.ticker, r.asset, r.lo, r.hi) for r in got] == [(t, a, 1001.0, 15000.0) for t, a in (("T", "Fund A x"), (None, "- B"), ("T", "C"), ("T", "d e"), (None, "F"), (None, ""))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from tidemark.functions.columns import once
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 #: Runs of white space, and a mark that stands in no text of a filing.
 _BLANKS, _MARK = "[\\s\\u00a0]+", "\x1f"
+#: A trimmed text without any of these has nothing to collapse.
+_UNEVEN = ("  ", "\t", "\n", "\x0b", "\f", "\r", "\u00a0")
 
 
 def _body(tag: str) -> str:
@@ -34,27 +38,39 @@ def decoded(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(F.transform(parts, letter), "")).otherwise(text)
 
 
+def _has(text: Column, *parts: str) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(p)) for p in parts])
+
+
+def _collapsed(text: Column) -> Column:
+    """Runs of white space as one blank, and none at the ends. Most texts are so already; a search for fixed letters
+    tells, at a fraction of a pattern's time."""
+    return once(F.trim(text), lambda t: F.when(_has(t, *_UNEVEN), F.trim(F.regexp_replace(t, _BLANKS, " "))).otherwise(t))
+
+
 def text_of(html: Column) -> Column:
     """Text without tags, with entities decoded and white space collapsed."""
-    return text_of_plain(F.regexp_replace(html, "(?s)<[^>]*>", " "))
+    return text_of_plain(once(html, lambda h: F.when(F.contains(h, F.lit("<")), F.regexp_replace(h, "(?s)<[^>]*>", " ")).otherwise(h)))
 
 
 def text_of_plain(text: Column) -> Column:
     """Text that has no tags any more, with entities decoded and white space collapsed."""
-    return F.trim(F.regexp_replace(once(text, decoded), _BLANKS, " "))
+    return _collapsed(once(text, decoded))
 
 
 def texts_of(cells: Column) -> Column:
     """``text_of`` of each text of an array without nulls, by one pass over all of them with a mark between them; only
-    those with entities are looked at again. Texts that hold the mark are read one by one."""
+    those with entities are looked at again. Texts that hold the mark are read one by one, and those that are plain
+    already are only trimmed."""
 
     def each(parts: Column) -> Column:
         plain = F.transform(parts, lambda p: F.when(F.contains(p, F.lit("&")), text_of_plain(p)).otherwise(F.trim(p)))
         return F.when(F.size(parts) == F.size(cells), plain).otherwise(F.transform(cells, text_of))
 
     # Tags and white space in one pass, without a stack; a split at one letter compiles no pattern for each row.
-    bare = F.regexp_replace(F.array_join(cells, _MARK), rf"(?:[\s\u00a0]++|<[^>{_MARK}]*+>)++", " ")
-    return once(F.split(bare, _MARK), each)
+    bare = lambda x: F.regexp_replace(x, rf"(?:{_BLANKS}+|<[^>{_MARK}]*+>)++", " ")
+    uneven = lambda x: F.when(_has(x, "<", "&", *_UNEVEN), once(F.split(bare(x), _MARK), each)).otherwise(F.transform(cells, lambda c: F.trim(c)))
+    return once(F.array_join(cells, _MARK), uneven)
 
 
 def rows_of(html: Column) -> Column:

@@ -4,6 +4,7 @@ import subprocess
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import public_tokenizers as P
 import pytest
@@ -97,6 +98,33 @@ def test_caches_are_bounded(monkeypatch):
     assert len(own._words) <= 6 and len(own._chunks) <= 6
 
 
+def test_a_worker_holds_no_words_between_tasks(spark, monkeypatch):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: f)
+    run = bpe.encode(df, P.path(FILES[0]), decoded="decoded")
+    texts = [*HARD, None, *(f"word{i} tion{i}x" for i in range(200))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    own, other = bpe.load(P.path(FILES[0])), library(FILES[0])
+    assert len(own._edges) <= bpe.EDGES
+    for _ in range(2):
+        got = [r for out in run(iter([batch, batch.slice(0, 0)])) for r in out.to_pylist()]
+        assert [r["ids"] for r in got] == [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert not any(map(len, (own._words, own._chunks, own._fits, own._edges)))
+    left = run(iter([batch]))
+    next(left)
+    left.close()  # a task that needs no more rows ends early
+    assert not own._words
+
+
+def test_ends_of_tokens_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "EDGES", 3)
+    own, other = bpe.Bpe(P.path(FILES[0])), library(FILES[0])
+    g = random.Random(5)
+    text = " ".join("".join(g.choice("aeinorstxz") for _ in range(12)) for _ in range(200))
+    assert own.encode(text).tolist() == other.encode(text, add_special_tokens=False).ids
+    assert 0 < len(own._edges) <= 3
+
+
 def test_round_trip_in_spark_keeps_other_columns(spark):
     rows = [(1, "some words here", "x", None), (2, None, "y", 3), (2, None, "y", 3), (3, "", None, 4)]
     df = spark.createDataFrame(rows, "doc_id long, text string, token string, n_tokens int")

@@ -12,6 +12,9 @@ A word takes some bytes of memory for each of its letters, so that a very long o
 kept by ``encode`` and ``decode`` whatever their names: where a table has a column of the new one's name, the new one
 gets an underscore behind it.
 
+Spark keeps Python workers from stage to stage, and two tasks' workers stand beside an executor's heap. So a model is
+held in arrays, and what it has learned of a task's words goes when the task ends.
+
 Text beyond the Latin letters is normalized and cut into words by the file's own normalizer and pre-tokenizer, run by
 the tokenizers library, so that both have the same Unicode tables; merges are made here.
 """
@@ -36,6 +39,8 @@ from tidemark.llm.arrow_text import give_back, pieces, remember, utf8
 
 #: Cells of the pair table that a worker holds; it is emptied when full.
 CELLS = 300_000
+#: Ends of tokens that a worker holds while pairs are judged; they are dropped when full.
+EDGES = 4096
 #: Bytes (or ids) of texts that are worked on at once, about.
 PIECE = 2 << 20
 _END = 256
@@ -84,7 +89,8 @@ class Bpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         kinds = {n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])}
         self.lower = "Lowercase" in kinds
-        library = Tokenizer.from_file(path)
+        # The library's own vocabulary is not asked for anything.
+        library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "decoder": None, "model": model | {"vocab": {}, "merges": []}}))
         self.normalizer, self.cutter = library.normalizer, library.pre_tokenizer
         pre = spec["pre_tokenizer"]
         if pre["type"] == "Sequence":
@@ -97,9 +103,9 @@ class Bpe:
         letters = byte_letters()
         vocab: dict[str, int] = model["vocab"]
         self.size = max([*vocab.values(), *self.special.values()]) + 1
-        self.strings = [""] * self.size
+        strings = [""] * self.size
         for token, i in [*vocab.items(), *self.special.items()]:
-            self.strings[i] = token
+            strings[i] = token
 
         def symbols(token: str) -> str:
             ends = bool(self.suffix) and token.endswith(self.suffix)
@@ -107,18 +113,20 @@ class Bpe:
             codes = [letters[c] for c in text]
             return "".join(map(chr, codes[:-1])) + chr(codes[-1] + _END) if ends else "".join(map(chr, codes))
 
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        #: The rank of each merge, by ``left * size + right``; the first merge that makes each token, and its two halves.
+        self.rank: dict[int, int] = {}
+        self.made, *self.halves = (array("i", [-1]) * self.size for _ in range(3))
         for r, (a, b) in enumerate(map(tuple, model["merges"])):
             left, right, whole = vocab[a], vocab[b], vocab[a + b]
-            self.rank[left, right] = r
-            self.parts.setdefault(whole, (left, right, r))
+            self.rank[left * self.size + right] = r
+            if self.made[whole] < 0:
+                self.made[whole], self.halves[0][whole], self.halves[1][whole] = r, left, right
         self._edges: dict[tuple[int, int], list[tuple[int, int]]] = {}
         self._fits: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         of: dict[str, int] = {}
         for token, i in vocab.items():
-            if i not in self.parts or self._apart(*self.parts[i][:2], self.parts[i][2]):
+            if self.made[i] < 0 or self._apart(self.halves[0][i], self.halves[1][i], self.made[i]):
                 of[symbols(token)] = i
         #: Letters of each token, and the longest token that it begins with.
         self.length, self.shorter = [0] * self.size, [-1] * self.size
@@ -131,10 +139,16 @@ class Bpe:
         self._chunks: dict[str, bytes] = {}
         self.decimal = OffsetTable([b"%d " % i for i in range(self.size)])
         if self.drops_space:
-            self.table = OffsetTable([s.encode() + b" " for s in self.strings])
+            self.table = OffsetTable([s.encode() + b" " for s in strings])
         else:
             special = {i: s for s, i in self.special.items()}
-            self.table = OffsetTable([special[i].encode() if i in special else bytes(letters[c] for c in s) for i, s in enumerate(self.strings)])
+            self.table = OffsetTable([special[i].encode() if i in special else bytes(letters[c] for c in s) for i, s in enumerate(strings)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that was learned from texts."""
+        for known in (self._words, self._chunks, self._fits, self._edges):
+            known.clear()
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """The pieces at the right (side 1) or left (side 0) end of a token while it is merged, each with the rank of
@@ -142,11 +156,12 @@ class Bpe:
         out = self._edges.get((token, side))
         if out is None:
             out, part = [(token, _NEVER)], token
-            while part in self.parts:
-                rank = self.parts[part][2]
-                part = self.parts[part][side]
+            while (rank := self.made[part]) >= 0:
+                part = self.halves[side][part]
                 out.append((part, rank))
             out.reverse()
+            if len(self._edges) >= EDGES:
+                self._edges.clear()
             self._edges[token, side] = out
         return out
 
@@ -156,7 +171,7 @@ class Bpe:
         i = j = 0
         while True:
             (x, x_gone), (y, y_gone) = left[i], right[j]
-            r = self.rank.get((x, y))
+            r = self.rank.get(x * self.size + y)
             if r is not None and r < until and r < x_gone and r <= y_gone:
                 return False
             if x_gone == y_gone == _NEVER:
@@ -290,16 +305,24 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     schema = T.StructType([*df.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what an earlier stage left
         model = load(path)
-        for b in batches:
-            for r0, r1 in pieces(*utf8(b.column(place)), PIECE):
-                part = b.slice(r0, r1 - r0)
-                got = [model.encode(t.as_py() or "") for t in part.column(place)]
-                at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
-                own = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got).view(np.int32)))]
-                if decoded:
-                    own.append(pa.array([model.decode(g).decode() for g in got], pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[f.name for f in schema.fields])
+        b = part = None
+        try:
+            for b in batches:
+                for r0, r1 in pieces(*utf8(b.column(place)), PIECE):
+                    part = b.slice(r0, r1 - r0)
+                    got = [model.encode(t.as_py() or "") for t in part.column(place)]
+                    at = np.concatenate([[0], np.cumsum([len(g) for g in got])]).astype(np.int32)
+                    own = [pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(got).view(np.int32)))]
+                    if decoded:
+                        own.append(pa.array([model.decode(g).decode() for g in got], pa.string()))
+                    yield pa.RecordBatch.from_arrays([*part.columns, *own], names=[f.name for f in schema.fields])
+                    del got, own
+                    give_back()
+        finally:
+            b = part = None
+            model.forget()
             give_back()
 
     return df.mapInArrow(run, schema)
